@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bagminhash import op10_near_duplicates
 from .bpe import op4_byte_bpe
+from .decontaminate import OP9_SQL, op9_decontaminate
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontaminate": OP9_SQL,
+}
