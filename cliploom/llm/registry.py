@@ -5,9 +5,13 @@ from __future__ import annotations
 from .bagminhash import op10_near_duplicates
 from .bpe import op4_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .secrets import op7_secrets
+from .tokencounts import op8_token_counts
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_secrets": op7_secrets,
+    "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
 }
