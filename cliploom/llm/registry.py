@@ -5,10 +5,16 @@ from __future__ import annotations
 from .bagminhash import op10_near_duplicates
 from .bpe import op4_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .language import op2_language
+from .media import op3_media
 from .secrets import op7_secrets
 from .tokencounts import op8_token_counts
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
+    "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
