@@ -10,12 +10,14 @@ from .media import op3_media
 from .secrets import op7_secrets
 from .tokencounts import op8_token_counts
 from .toxicity import op1_toxicity
+from .urlfilter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
     "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_url_filter": op5_url_filter,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_url_filter": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
 }
