@@ -26,11 +26,12 @@ from .language import held_out
 from .sampling import bounds, sampled
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 16, (3, 4, 5)
-#: Words of half a passage; passages overlap by half.
-HALF = 10
+#: Words of half a passage; passages overlap by half. Short passages keep one repeated harmless word
+#: from outweighing, and one toxic word among many from vanishing.
+HALF = 1
 #: Labelled texts of a class that training takes at most.
 PER_CLASS = 2500
-WARM, STEPS = 40, 160
+WARM, STEPS = 30, 90
 CACHED_WORDS = 1_000_000
 
 
@@ -120,9 +121,10 @@ class Model:
             for i, text in zip(missing, c_words(c, first[missing]), strict=True):
                 values[i] = known[int(distinct[i])] = self.word(text)
         mean, doc, _, _ = passage_means(values[inverse], np.diff(w.first))
-        logit = np.full(len(c), -np.inf)
-        np.maximum.at(logit, doc, mean)
-        logit = np.where(np.isinf(logit), 0, logit) + self.offset
+        logit = np.full(len(c), self.offset)
+        if len(doc):
+            edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            logit[doc[edge]] += np.maximum.reduceat(mean, edge)
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
@@ -146,7 +148,7 @@ def train(texts: Iterator[tuple[str, int]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     embedding, layer, bias = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 1, (2, DIM)), np.zeros(2)
     y = np.array(labels, np.float64)
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not bag.vocabulary:
         return Model(np.zeros((BUCKETS, DIM), np.float32), layer.astype(np.float32), np.array([1.0, 0.0]))
     grams_of = [subwords(w) for w in bag.vocabulary]
     size = np.array([len(g) for g in grams_of])
@@ -169,9 +171,9 @@ def train(texts: Iterator[tuple[str, int]], seed: int = 7) -> Model:
             share = np.bincount(doc, minlength=len(y))
             weight = weight / share[doc]
         else:
-            best = np.full(len(y), -np.inf)
-            np.maximum.at(best, doc, mean)
-            weight = np.where(mean == best[doc], weight, 0)
+            edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            best = np.repeat(np.maximum.reduceat(mean, edge), np.diff(np.append(edge, len(doc))))
+            weight = np.where(mean == best, weight, 0)
         g = (p - y[doc]) * weight  # gradient of the logit difference of each passage
         per_half = np.zeros(len(half_starts))
         per_half[at] += g / n
@@ -209,14 +211,14 @@ def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None,
     """
     extra = extra or {}
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in extra.items()])
-    kinds = dict(source.dtypes)
+    kinds, names = dict(source.dtypes), list(extra)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([c.batch.column("id"), pa.array(shipped.value.scores(c)), *[c.batch.column(k) for k in extra]], ["id", "score", *extra])
+            yield pa.RecordBatch.from_arrays([c.batch.column("id"), pa.array(shipped.value.scores(c)), *[c.batch.column(k) for k in names]], ["id", "score", *names])
 
-    schema = ", ".join(f"`{k}` {v}" for k, v in [("id", kinds["id"]), ("score", "double"), *[(k, kinds[k]) for k in extra]])
+    schema = ", ".join(f"`{k}` {v}" for k, v in [("id", kinds["id"]), ("score", "double"), *[(k, kinds[k]) for k in names]])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
