@@ -159,8 +159,9 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     shown = lambda keep: F.concat_ws(",", F.transform(keep, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
+    of_kind = lambda k: count(lambda s: s["kind"] == k)
     return found.select(
-        "doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in KINDS[:3]],
+        "doc_id", *[of_kind(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(shown(F.filter("spans", lambda s: s["kind"] != "bare")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "example").alias("n_example"),
     )

@@ -25,7 +25,8 @@ def texts(spark, sf):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
 
 
-def test_query_equals_patterns_as_written(spark, sf):
+def test_query_equals_patterns_as_written(spark):
+    sf = "/root/testdata/sf0.01"
     want = texts(spark, sf)
     rows = s.op7_secrets(spark, sf).collect()
     assert len(rows) == len(want)
