@@ -8,6 +8,7 @@ from .decontaminate import OP9_SQL, op9_decontaminate
 from .language import op2_language
 from .media import op3_media
 from .secrets import op7_secrets
+from .suffixdedup import OP6_SQL, op6_suffix_dedup
 from .tokencounts import op8_token_counts
 from .toxicity import op1_toxicity
 from .urlfilter import OP5_SQL, op5_url_filter
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": OP5_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
 }
