@@ -176,17 +176,17 @@ def predict(docs: DataFrame, profiles: Profiles, extra: dict[str, Column] | None
     """
     extra = extra or {}
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in extra.items()])
-    kinds = dict(source.dtypes)
+    kinds, names = dict(source.dtypes), list(extra)
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x DIM numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in _batched(batch):
-                names, score = shipped.value.predict(texts)
+                found, score = shipped.value.predict(texts)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names), pa.array(score), *[part.column(k) for k in extra]], ["id", "lang_pred", "score", *extra])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found), pa.array(score), *[part.column(k) for k in names]], ["id", "lang_pred", "score", *names])
 
-    schema = ", ".join(f"`{k}` {v}" for k, v in [("id", kinds["id"]), ("lang_pred", "string"), ("score", "double"), *[(k, kinds[k]) for k in extra]])
+    schema = ", ".join(f"`{k}` {v}" for k, v in [("id", kinds["id"]), ("lang_pred", "string"), ("score", "double"), *[(k, kinds[k]) for k in names]])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
