@@ -9,7 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,6 +81,17 @@ def narrow(docs: DataFrame, *columns: str, **renamed: str) -> DataFrame:
     return docs.select(*picked)
 
 
+def carried(docs: DataFrame, text_col: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Whole rows as one column ``__row`` beside ``__text``, and what turns ``__row`` into the columns again.
+
+    An operator takes ``__row`` for the id, so a filter on its result keeps or drops rows
+    without a join, whatever the columns are called and however often an id occurs.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    names = list(docs.columns)
+    return docs.select(row.alias("__row"), F.col(f"`{text_col}`").alias("__text")), lambda out: out.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 # ---------------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, grams, materialize, narrow, ragged, words
+from .common import U64, carried, chunks, grams, materialize, narrow, ragged, words
 
 #: Words of a prefix shingle (fewer in shorter windows); windows in a broadcast block.
 SHINGLE, MAX_BLOCK_WINDOWS = 3, 200_000
@@ -207,6 +207,12 @@ def find_contamination(
     return rows.drop("text").withColumnRenamed("row_id", id_col)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs in which no benchmark window occurs. All columns stay."""
+    rows, restored = carried(docs, text_col)
+    return restored(find_contamination(rows, benchmark, id_col="__row", text_col="__text", **options).where("size(spans) = 0"))
+
+
 class _Nothing:
     """The index of an empty benchmark."""
 

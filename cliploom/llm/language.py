@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import U64, carried, mix
 from .sampling import bounds, sampled
 
 DIM, N = 1024, 3
 #: Training texts of a language, and languages, at most.
 PER_LANGUAGE, MAX_LANGUAGES = 3000, 256
 UNKNOWN = "und"
+#: Below this cosine a text is as far from every prototype as random vectors are from each other.
+MIN_SCORE = 0.05
 
 
 @lru_cache(maxsize=1)
@@ -190,6 +192,16 @@ def predict(docs: DataFrame, profiles: Profiles, extra: dict[str, Column] | None
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is known: not ``und``, and with a cosine of ``min_score`` at least.
+
+    Where nothing was learnt all rows go. All columns stay.
+    """
+    rows, restored = carried(docs, text_col)
+    found = predict(rows, profiles, id_col="__row", text_col="__text")
+    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))
+
+
 def held_out(id_col: str, parts: int, rest: int) -> Column:
     """Whether crc32 of the id as text leaves this rest; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % parts == rest
