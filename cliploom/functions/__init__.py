@@ -1 +1 @@
-
+"""Column functions on clips and NumPy kernels."""

@@ -1 +1 @@
-
+"""Transforms over records, and what composes them."""

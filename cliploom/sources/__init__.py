@@ -1 +1 @@
-
+"""Where clips come from: files, groups of files, and arrays."""
