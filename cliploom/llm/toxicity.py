@@ -31,7 +31,7 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 16, (3, 4, 5)
 HALF = 1
 #: Labelled texts of a class that training takes at most.
 PER_CLASS = 2500
-WARM, STEPS = 30, 90
+WARM, STEPS = 30, 130
 CACHED_WORDS = 1_000_000
 
 
@@ -51,7 +51,7 @@ class Bag:
 
     def add(self, text: str) -> None:
         known = self.vocabulary
-        self.index.append(np.array([known.setdefault(w, len(known)) for w in split(text)], np.int64))
+        self.index.append(np.array([known.setdefault(w, len(known)) for w in split(text)], np.int32))
 
 
 def split(text: str) -> list[str]:
@@ -62,28 +62,39 @@ def split(text: str) -> list[str]:
 _TABLE = WORD_CODES.tobytes()
 
 
-def passages(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of half passages, over all words, and the text of each."""
-    halves = -(-n_words // HALF)
-    doc = np.repeat(np.arange(len(n_words)), halves)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(halves) - halves, halves)
-    first = np.cumsum(n_words) - n_words
-    return first[doc] + place * HALF, doc
-
-
-def passage_means(value: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Mean of ``value`` over each passage (two half passages side by side); its text, first half and size."""
-    starts, doc = passages(n_words)
-    if not len(starts):
-        return np.zeros(0), doc, np.zeros(0, np.int64), np.zeros(0)
-    sums = np.add.reduceat(value, starts)
-    size = np.diff(np.append(starts, len(value))).astype(np.float64)
-    pair = np.append(doc[1:] == doc[:-1], False)  # has a right neighbour
-    follows = np.append(False, pair[:-1])
-    keep = pair | ~follows  # the last half alone only if it is the only one
-    total, n = sums + np.where(pair, np.append(sums[1:], 0), 0), size + np.where(pair, np.append(size[1:], 0), 0)
-    at = np.flatnonzero(keep)
-    return total[at] / n[at], doc[at], at, n[at]
+class Passages:
+    """The passages of texts of so many words: two half passages side by side, or the only half."""
+
+    def __init__(self, n_words: np.ndarray):
+        halves = -(-n_words // HALF)
+        doc = np.repeat(np.arange(len(n_words), dtype=np.int32), halves)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(halves) - halves, halves)
+        self.starts = (np.cumsum(n_words) - n_words)[doc] + place * HALF
+        self.sizes = np.diff(np.append(self.starts, n_words.sum())).astype(np.int32)
+        joined = doc[1:] == doc[:-1]
+        self.at = np.flatnonzero(np.append(joined, False) | ~np.append(False, joined)).astype(np.int32)  # first half of each passage
+        self.wide = np.append(joined, False)[self.at]
+        self.right = self.at[self.wide] + 1
+        self.n = self.sizes[self.at].astype(np.float32)
+        self.n[self.wide] += self.sizes[self.right]
+        self.doc = doc[self.at]
+        self.edge = np.flatnonzero(np.append(True, self.doc[1:] != self.doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+
+    def means(self, value: np.ndarray) -> np.ndarray:
+        """Mean of a number per word over each passage."""
+        if not len(self.at):
+            return np.zeros(0)
+        sums = np.add.reduceat(value, self.starts)
+        out = sums[self.at]
+        out[self.wide] += sums[self.right]
+        return out / self.n
+
+    def spread(self, g: np.ndarray) -> np.ndarray:
+        """A number per passage, summed over the passages that each half belongs to."""
+        out = np.zeros(len(self.starts), g.dtype)
+        out[self.at] = g
+        out[self.right] += g[self.wide]
+        return out
 
 
 class Model:
@@ -120,11 +131,10 @@ class Model:
         if missing:
             for i, text in zip(missing, c_words(c, first[missing]), strict=True):
                 values[i] = known[int(distinct[i])] = self.word(text)
-        mean, doc, _, _ = passage_means(values[inverse], np.diff(w.first))
+        p = Passages(np.diff(w.first))
         logit = np.full(len(c), self.offset)
-        if len(doc):
-            edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            logit[doc[edge]] += np.maximum.reduceat(mean, edge)
+        if len(p.edge):
+            logit[p.doc[p.edge]] += np.maximum.reduceat(p.means(values[inverse]), p.edge)
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
@@ -150,35 +160,33 @@ def train(texts: Iterator[tuple[str, int]], seed: int = 7) -> Model:
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max() or not bag.vocabulary:
         return Model(np.zeros((BUCKETS, DIM), np.float32), layer.astype(np.float32), np.array([1.0, 0.0]))
-    grams_of = [subwords(w) for w in bag.vocabulary]
+    grams_of = [np.array(subwords(w), np.int32) for w in bag.vocabulary]
     size = np.array([len(g) for g in grams_of])
-    flat, owner = np.concatenate([np.array(g) for g in grams_of]), np.repeat(np.arange(len(size)), size)
+    flat, owner = np.concatenate(grams_of), np.repeat(np.arange(len(size), dtype=np.int32), size)
     starts = np.cumsum(size) - size
     n_words = np.array([len(x) for x in bag.index])
     word_at = np.concatenate(bag.index)
-    half_starts, _ = passages(n_words)
-    half_size = np.diff(np.append(half_starts, len(word_at)))
-    half_of = np.repeat(np.arange(len(half_starts)), half_size)
+    parts = Passages(n_words)
+    half_of = np.repeat(np.arange(len(parts.starts), dtype=np.int32), parts.sizes)
+    bag.vocabulary.clear()
+    bag.index.clear()
     balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    counts = np.diff(np.append(parts.edge, len(parts.doc)))
+    truth, balanced = y[parts.doc].astype(np.float32), balance[parts.doc].astype(np.float32)
+    evenly = balanced / np.repeat(counts, counts).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (embedding, layer, bias)]
     for step in range(1, WARM + STEPS + 1):
         d = layer[1] - layer[0]
-        vectors = np.add.reduceat((embedding @ d)[flat], starts) / size
-        mean, doc, at, n = passage_means(vectors[word_at], n_words)
-        p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -500, 500)))
-        weight = balance[doc]
+        vectors = (np.add.reduceat((embedding @ d)[flat], starts) / size).astype(np.float32)
+        mean = parts.means(vectors[word_at])
+        p = 1 / (1 + np.exp(-np.clip(mean + (bias[1] - bias[0]), -80, 80)))
         if step <= WARM:
-            share = np.bincount(doc, minlength=len(y))
-            weight = weight / share[doc]
+            weight = evenly
         else:
-            edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            best = np.repeat(np.maximum.reduceat(mean, edge), np.diff(np.append(edge, len(doc))))
-            weight = np.where(mean == best, weight, 0)
-        g = (p - y[doc]) * weight  # gradient of the logit difference of each passage
-        per_half = np.zeros(len(half_starts))
-        per_half[at] += g / n
-        wide = n > half_size[at]  # passages of two halves
-        np.add.at(per_half, at[wide] + 1, (g / n)[wide])
+            best = np.repeat(np.maximum.reduceat(mean, parts.edge), counts)
+            weight = np.where(mean == best, balanced, 0)
+        g = (p - truth) * weight  # gradient of the logit difference of each passage
+        per_half = parts.spread(g / parts.n)
         per_word = np.bincount(word_at, weights=per_half[half_of], minlength=len(size))
         per_bucket = np.bincount(flat, weights=(per_word / size)[owner], minlength=BUCKETS)
         grad_d = per_bucket @ embedding
@@ -199,9 +207,17 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
     limits = bounds(docs.where(learnable).select(F.col(f"`{id_col}`").alias("__id")).join(marked, "__id"), "__label", "__id", per_class, 2)
     wanted = marked.where(sampled(F.col("__label"), "__id", limits))
     source = docs.where(learnable).select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    # At most 2 x per_class ids, so they may go to every reader of the texts.
-    rows = source.join(F.broadcast(wanted), "__id").orderBy("__id", "__text").select("__text", "__label")
-    return train((r["__text"], r["__label"]) for r in rows.toLocalIterator())
+    # At most 2 x per_class ids, so they may go to every reader of the texts, and one task can train on them.
+    rows = source.join(F.broadcast(wanted), "__id").repartition(1).sortWithinPartitions("__id", "__text").select("__text", "__label")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((t, y) for batch in batches for t, y in zip(batch.column("__text").to_pylist(), batch.column("__label").to_pylist(), strict=True))
+        m = train(pairs)
+        parts = [np.ascontiguousarray(x, np.float32).tobytes() for x in (m.embedding, m.layer, m.bias)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["embedding", "layer", "bias"])
+
+    r = rows.mapInArrow(fit, "embedding binary, layer binary, bias binary").first()
+    return Model(*(np.frombuffer(r[k], np.float32).reshape(shape) for k, shape in (("embedding", (BUCKETS, DIM)), ("layer", (2, DIM)), ("bias", 2))))
 
 
 def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
