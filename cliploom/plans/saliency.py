@@ -17,6 +17,7 @@ from ..functions import expr as e
 from ..functions import kernels as k
 from ..operators import arrow
 from ..rng import Stream, uniform_key
+from ..schema import CLIP, with_fields
 
 Draw = Callable[..., object]
 
@@ -92,6 +93,23 @@ def attempts(clips: DataFrame, duration: float, params: SaliencyParams, seed: in
     return tries.select("record_key", "attempt", offset_column(params.search_function, u, 0.0, duration, F.col("total"), F.col("attempt"), params.num_tries).alias("offset"))
 
 
+def random_excerpts(clips: DataFrame, duration: float, search: str = "uniform", offset: float = 0.0, seed: int = 0, clip_col: str = "clip") -> DataFrame:
+    """Each record's clip cut to a random excerpt, whatever its loudness: rows (record_key, clip).
+
+    The offset is drawn once (try 0 of 1) and noted in the metadata; the loudness becomes unknown.
+    """
+    if duration <= 0:
+        raise ValueError("an excerpt needs a duration")
+    clip = F.col(clip_col)
+    total = F.size(F.get(clip["audio_data"], 0)) / clip["sample_rate"]
+    u = Stream(seed, F.col("record_key"), "excerpt").uniform("offset")
+    at = offset_column(search, u, offset, duration, total, F.lit(0), 1)
+    drawn = clips.select("record_key", clip.alias("clip"), at.alias("at"))
+    meta = F.struct(F.col("clip.metadata.filepath").alias("filepath"), F.col("at").alias("offset"), F.lit(float(duration)).alias("duration"), F.col("clip.metadata.extra").alias("extra"))
+    audio = e.excerpt(F.col("clip.audio_data"), F.col("clip.sample_rate"), F.col("at"), duration)
+    return drawn.select("record_key", with_fields(F.col("clip"), CLIP, audio_data=audio, loudness=F.lit(None).cast("double"), metadata=meta).alias("clip"))
+
+
 def pick(tries: DataFrame, cutoff: float) -> DataFrame:
     """From rows (record_key, attempt, loudness, ...) the attempt of each record."""
     first = F.expr(f"min(attempt) filter (where loudness > {float(cutoff)!r})")

@@ -357,6 +357,11 @@ def excerpt_offset_early(spark, sf_dir):
     return _drawn(spark, sf_dir, "early")
 
 
+@query(sql_report(f"(SELECT k, a[CAST(floor({sql_u('excerpt', '', 'offset')} * (len(a) / 10.0 - 2.0) * 10) AS BIGINT) + 1 : CAST(floor({sql_u('excerpt', '', 'offset')} * (len(a) / 10.0 - 2.0) * 10) AS BIGINT) + 20] AS a FROM {LONG})", "clip=a"))
+def random_excerpt(spark, sf_dir):
+    return report(sal.random_excerpts(long_clips(spark, sf_dir), 2.0), "clip")
+
+
 @query("SELECT user_id AS record_key, coalesce(min(event_id) FILTER (WHERE value > 300), arg_max(event_id, {'v': value, 'a': -event_id})) AS attempt FROM events GROUP BY user_id")
 def saliency_pick(spark, sf_dir):
     tries = table(spark, sf_dir, "events").select(F.col("user_id").alias("record_key"), F.col("event_id").alias("attempt"), F.col("value").alias("loudness"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +25,14 @@ def file_table(spark: SparkSession, sources: Mapping[str, Sequence[str]], extens
     return spark.createDataFrame(rows, "group_idx int, group_name string, folder_idx int, path string")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the folder of ``spark.checkpoint.dir``; only where the session has none, into a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cliploom-"))
+    return df.checkpoint()
+
+
 def numbered(files: DataFrame, order: Sequence[str | Column], name: str = "record_key") -> DataFrame:
     """Number rows from 0 in an order, without bringing all of them to one task.
 
@@ -31,7 +40,8 @@ def numbered(files: DataFrame, order: Sequence[str | Column], name: str = "recor
     where the ones before it end. Only one count for each partition passes through one task.
     """
     part = files.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    part = part.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    # Ranges are sampled, so the partitioned rows are kept: both uses below must see the same ranges.
+    part = cut(part.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = part.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     return part.join(starts, "__p").withColumn(name, F.col("__start") + F.col("__i") - 1).drop("__p", "__i", "__start")

@@ -161,6 +161,19 @@ def test_both_forms_of_the_search_agree(spark):
         sal.salient_excerpts(clips, 0.0, params)
 
 
+def test_random_excerpts(spark):
+    clips = spark.createDataFrame([(i, [[float(x) for x in range(100)]]) for i in range(20)], "record_key long, a array<array<float>>").select("record_key", clip(F.col("a"), 10).alias("clip"))
+    got = sal.random_excerpts(clips, 2.0, offset=1.0).collect()
+    for r in got:
+        start = int(r.clip.metadata.offset * 10)
+        assert 1.0 <= r.clip.metadata.offset <= 8.0 and r.clip.audio_data[0] == [float(x) for x in range(start, start + 20)]
+    assert len({r.clip.metadata.offset for r in got}) == 20
+    long = sal.random_excerpts(clips, 30.0).first().clip
+    assert long.metadata.offset == 0 and len(long.audio_data[0]) == 300
+    with pytest.raises(ValueError):
+        sal.random_excerpts(clips, 0.0)
+
+
 def test_pick_equals_the_loop(spark):
     rng = np.random.default_rng(0)
     table = {i: rng.integers(-5, 5, 6).astype(float).tolist() for i in range(300)}
