@@ -112,7 +112,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
+            n = max(n + n // 8, 1 << 20)
             self.up, self.down = (self._table(b, n) for b in (self.base, self.inverse))
         return self.up, self.down
 

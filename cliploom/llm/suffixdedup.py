@@ -36,7 +36,9 @@ from .common import BASE, POWERS, U64, Powers, chunks, materialize, mix, partiti
 
 LENGTH, GRAM = 50, 16
 #: Text bytes of a pack (a longer document is a pack of its own) and of a bucket, on average.
-PACK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+PACK_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
+#: Suffixes that are sorted together.
+SORT_BLOCK = 400_000
 FP_BYTES, LOW = 5, 24  # of a minimiser's hash: its upper bytes travel, the lower bits choose the bucket
 
 
@@ -257,7 +259,11 @@ def common_extension(h: np.ndarray, down: np.ndarray, x: np.ndarray, y: np.ndarr
 
 
 def suffix_groups(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """For each place the number of its string of ``length`` bytes, in the strings' sorted order."""
+    """For each place a number of its string of ``length`` bytes: equal numbers for equal strings.
+
+    Suffixes are sorted in blocks of about SORT_BLOCK, by a hash of their leading bytes, so that memory
+    is bounded and equal strings share a block; within a block numbers follow the strings' order.
+    """
     rng = np.random.default_rng(1)
     base = BASE
     while True:
@@ -268,9 +274,27 @@ def suffix_groups(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarr
 
 
 def _suffix_groups(data, places, length, powers):
+    out = np.zeros(len(places), np.int64)
     h = prefix_hash(data, powers)
     _, down = powers.upto(len(data) + 1)
     eight = leading(data)
+    parts = -(-len(places) // SORT_BLOCK)
+    if parts < 2 or length < 8:
+        blocks = [np.arange(len(places))] if len(places) else []
+    else:
+        part = (mix(eight[places]) % U64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        blocks = np.split(order, np.cumsum(np.bincount(part, minlength=parts))[:-1])
+    last = 0
+    for block in blocks:
+        if len(block):
+            out[block] = _sorted_block(data, h, down, eight, places[block], length) + last
+            last = int(out[block].max()) + 1
+    return out
+
+
+def _sorted_block(data, h, down, eight, places, length):
+    """Numbers of the strings at some places, in the strings' order."""
     # Runs of equal leading bytes, then merge sort inside each run, all runs at once.
     keys = [np.minimum(places + at, len(data) - 1) for at in ((8, 0) if length >= 16 else ())]
     order = np.lexsort([eight[k] for k in keys]) if keys else np.arange(len(places))
@@ -308,20 +332,16 @@ def _suffix_groups(data, places, length, powers):
         target = begin + pair + (local - (local // width) * width) + (rank_lo - lo)
         pos[target], whole[target], order[target] = pos[member], whole[member], order[member]
         width *= 2
-    if len(pos):
-        same = np.append(False, whole[1:] == whole[:-1])
-        a, b = pos[np.flatnonzero(same)], pos[np.flatnonzero(same) - 1]
-        for at in [*range(0, length - 7, 8), max(length - 8, 0)] if length >= 8 else []:
-            if not np.array_equal(eight[a + at], eight[b + at]):
-                raise Collision
-        for at in range(length) if length < 8 else []:
-            if not np.array_equal(data[a + at], data[b + at]):
-                raise Collision
-        number = np.cumsum(~same) - 1
-        out = np.zeros(len(pos), np.int64)
-        out[order] = number
-        return out
-    return np.zeros(0, np.int64)
+    same = np.append(False, whole[1:] == whole[:-1])
+    a, b = pos[np.flatnonzero(same)], pos[np.flatnonzero(same) - 1]
+    steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length)
+    source = eight if length >= 8 else data
+    for at in steps:
+        if not np.array_equal(source[a + at], source[b + at]):
+            raise Collision
+    out = np.zeros(len(pos), np.int64)
+    out[order] = np.cumsum(~same) - 1
+    return out
 
 
 def _less(data, h, down, pos, whole, y, x, or_equal, length) -> np.ndarray:

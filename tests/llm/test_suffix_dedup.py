@@ -71,6 +71,15 @@ def test_suffix_sort_orders_and_groups(length):
     assert number.tolist() == [rank[t] for t in strings]
 
 
+def test_blocks_keep_equal_strings_together(monkeypatch):
+    monkeypatch.setattr(s, "SORT_BLOCK", 100)
+    data = np.random.default_rng(0).integers(0, 2, 3000).astype(np.uint8)
+    places = np.arange(len(data) - 15)
+    strings = [data[p : p + 16].tobytes() for p in places]
+    pairs = set(zip(s.suffix_groups(data, places, 16).tolist(), strings, strict=True))
+    assert len(pairs) == len({n for n, _ in pairs}) == len(set(strings))
+
+
 def test_collisions_are_noticed(monkeypatch):
     """Under a base of 1 the hash is a sum, so permuted strings collide; the sort starts again with another base."""
     from cliploom.llm.common import Powers
@@ -78,8 +87,8 @@ def test_collisions_are_noticed(monkeypatch):
     data = np.frombuffer(b"abcdefgh12345678" * 2 + b"12345678abcdefgh" * 2 + b"bacdefgh12345678", np.uint8)
     places = np.arange(len(data) - 15)
     with pytest.raises(s.Collision):
-        monkeypatch.setattr(s, "POWERS", Powers(1))
-        s._suffix_groups(data, places, 8, s.POWERS)
+        s._suffix_groups(data, places, 8, Powers(1))
+    monkeypatch.setattr(s, "POWERS", Powers(1))
     number = s.suffix_groups(data, places, 8)
     strings = [data[p : p + 8].tobytes() for p in places]
     assert number.tolist() == [sorted(set(strings)).index(t) for t in strings]
