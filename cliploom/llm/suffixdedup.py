@@ -32,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, POWERS, U64, Powers, chunks, materialize, mix, partitions, prefix_hash, ragged
+from .common import BASE, POWERS, U64, Powers, chunks, give_back, materialize, mix, partitions, prefix_hash, ragged, worker
 
 LENGTH, GRAM = 50, 16
 #: Text bytes of a pack (a longer document is a pack of its own) and of a bucket, on average.
 PACK_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
+#: A minimiser of more segments (equal ones of a pack count once) has them cut into single strings.
+HOT_SEGMENTS = 20_000
 #: Suffixes that are sorted together.
 SORT_BLOCK = 400_000
 FP_BYTES, LOW = 5, 24  # of a minimiser's hash: its upper bytes travel, the lower bits choose the bucket
@@ -55,7 +57,7 @@ def make_packs(docs: DataFrame, pack_bytes: int) -> DataFrame:
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["pack", "ids", "sizes", "z", "nbytes"])
 
-    return docs.mapInArrow(run, "pack long, ids binary, sizes binary, z binary, nbytes long")
+    return docs.mapInArrow(worker(run), "pack long, ids binary, sizes binary, z binary, nbytes long")
 
 
 @dataclass
@@ -69,6 +71,17 @@ class Pack:
     count: np.ndarray  # how many suffixes
     doc: np.ndarray
     fp: np.ndarray  # hash of its minimiser
+    content: np.ndarray  # hash of its bytes
+
+
+@dataclass
+class Segments:
+    """The segments of a pack that travel: first suffix, number of suffixes, document and the hash that chooses the bucket."""
+
+    start: np.ndarray
+    count: np.ndarray
+    doc: np.ndarray
+    fp: np.ndarray
 
 
 def open_pack(ids: bytes, sizes: bytes, z: bytes, length: int) -> Pack:
@@ -77,12 +90,12 @@ def open_pack(ids: bytes, sizes: bytes, z: bytes, length: int) -> Pack:
     return Pack(np.frombuffer(ids, np.int64), offsets, data, *segments(data, offsets, length))
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of suffixes, document and minimiser hash of all segments."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Start, number of suffixes, document, minimiser hash and content hash of all segments."""
     n, gram = len(data), min(GRAM, length)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64)
+        return none, none, none, np.zeros(0, U64), np.zeros(0, U64)
     h = prefix_hash(data)
     _, down = POWERS.upto(n + 1)
     g = mix((h[gram:] - h[:-gram]) * down[: n - gram + 1])
@@ -110,7 +123,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     fresh[begins] = True
     start = np.flatnonzero(fresh)
     stop = np.flatnonzero(valid & ~np.append(valid[1:] & ~fresh[1:], False)) + 1
-    return start, stop - start, np.searchsorted(offsets, start, side="right") - 1, g[place[start]]
+    content = mix((h[stop + length - 1] - h[start]) * down[start])
+    return start, stop - start, np.searchsorted(offsets, start, side="right") - 1, g[place[start]], content
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,36 +143,48 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 # ------------------------------------------------- first: which minimisers are shared
-def distinct_fps(p: Pack) -> tuple[np.ndarray, np.ndarray]:
-    """The pack's distinct minimisers, sorted, and whether documents of two ids have them."""
-    order = np.lexsort((p.ids[p.doc], p.fp))
-    fp, ids = p.fp[order], p.ids[p.doc][order]
-    at, ends = runs(fp)
-    return fp[at], ids[at] != ids[ends - 1]
+def distinct_fps(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pack's distinct minimisers, sorted, whether documents of two ids have them, and of how many segments (up to 255)."""
+    order = np.lexsort((p.content, p.fp))
+    fp, content, ids = p.fp[order], p.content[order], p.ids[p.doc[order]]
+    at, _ = runs(fp)
+    if not len(at):
+        return fp, np.zeros(0, bool), np.zeros(0, np.uint8)
+    other = np.append(True, (fp[1:] != fp[:-1]) | (content[1:] != content[:-1]))
+    kinds = np.minimum(np.add.reduceat(other.astype(np.int64), at), 255).astype(np.uint8)
+    return fp[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at), kinds
+
+
+def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Row by row, so that only one pack at a time is a Python object."""
+    columns = [batch.column(n) for n in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
 
 
 def send_minimisers(packs: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Rows (bucket, pack, fps, many): a pack's minimisers of a bucket, 5 bytes each, in order."""
+    """Rows (bucket, pack, fps, many, kinds): a pack's minimisers of a bucket, 5 bytes each, in order, and what is known of them."""
 
     def run(batches):
         for batch in batches:
-            for ids, sizes, z, pack in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "z", "pack")), strict=True):
-                fp, many = distinct_fps(open_pack(ids, sizes, z, length))
+            for ids, sizes, z, pack in rows_of(batch, "ids", "sizes", "z", "pack"):
+                fp, many, kinds = distinct_fps(open_pack(ids, sizes, z, length))
                 b = bucket_of(fp, n_buckets)
                 order = np.argsort(b, kind="stable")
                 raw = (fp[order] >> U64(LOW)).view(np.uint8).reshape(-1, 8)[:, :FP_BYTES]
-                many, b = many[order], b[order]
+                many, kinds, b = many[order], kinds[order], b[order]
                 at, ends = runs(b)
                 yield _rows(
                     bucket=b[at], pack=[pack] * len(at), fps=[raw[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist(), strict=True)],
                     many=[np.packbits(many[i:j]).tobytes() for i, j in zip(at.tolist(), ends.tolist(), strict=True)],
+                    kinds=[kinds[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist(), strict=True)],
                 )
 
-    return packs.mapInArrow(run, "bucket long, pack long, fps binary, many binary")
+    return packs.mapInArrow(worker(run), "bucket long, pack long, fps binary, many binary, kinds binary")
 
 
-def shared_minimisers(sent: DataFrame) -> DataFrame:
-    """Rows (pack, bucket, bits): which of a pack's minimisers of a bucket a second document has."""
+def shared_minimisers(sent: DataFrame, hot_segments: int) -> DataFrame:
+    """Rows (pack, bucket, bits, hot): which of a pack's minimisers of a bucket a second document has, and which come in over ``hot_segments`` segments."""
 
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("fps").to_pylist()
@@ -169,33 +195,49 @@ def shared_minimisers(sent: DataFrame) -> DataFrame:
         _, inverse, count = np.unique(fp.view(U64).ravel(), return_inverse=True, return_counts=True)
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table.column("many").to_pylist(), sizes.tolist(), strict=True)])
         shared = (count[inverse] > 1) | (many > 0)
-        bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
-        return pa.Table.from_batches([_rows(pack=table.column("pack").to_pylist(), bucket=table.column("bucket").to_pylist(), bits=bits)])
+        total = np.bincount(inverse, weights=np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint8))
+        bits, hot = ([np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])] for flags in (shared, total[inverse] > hot_segments))
+        return pa.Table.from_batches([_rows(pack=table.column("pack").to_pylist(), bucket=table.column("bucket").to_pylist(), bits=bits, hot=hot)])
 
-    return sent.groupBy("bucket").applyInArrow(run, "pack long, bucket long, bits binary")
+    return sent.groupBy("bucket").applyInArrow(run, "pack long, bucket long, bits binary, hot binary")
 
 
-def candidates(p: Pack, answers: list[dict], n_buckets: int) -> np.ndarray:
-    """Numbers of the segments whose minimiser is shared."""
-    fp, _ = distinct_fps(p)
+def candidates(p: Pack, answers: list[dict], length: int, n_buckets: int) -> Segments:
+    """The segments whose minimiser is shared.
+
+    A minimiser of very many segments - that of a line which everyone copies, each with another
+    continuation - would bring them all into one bucket. Its segments are cut into single
+    strings, and each goes to the bucket of its own hash.
+    """
+    fp = np.unique(p.fp)
     b = bucket_of(fp, n_buckets)
     order = np.argsort(b, kind="stable")
-    shared = np.zeros(len(fp), bool)
-    edges = np.searchsorted(b[order], np.arange(n_buckets + 1)) if n_buckets < 1 << 16 else None
-    for a in answers:
-        k = a["bucket"]
-        lo, hi = (edges[k], edges[k + 1]) if edges is not None else np.searchsorted(b[order], [k, k + 1])
-        shared[order[lo:hi]] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=int(hi - lo)) > 0
-    return np.flatnonzero(shared[np.searchsorted(fp, p.fp)])
+    flags = {"bits": np.zeros(len(fp), bool), "hot": np.zeros(len(fp), bool)}
+    buckets = np.array([a["bucket"] for a in answers], np.int64)
+    low, high = np.searchsorted(b[order], buckets), np.searchsorted(b[order], buckets, side="right")
+    for a, lo, hi in zip(answers, low.tolist(), high.tolist(), strict=True):
+        for name, to in flags.items():
+            to[order[lo:hi]] = np.unpackbits(np.frombuffer(a[name], np.uint8), count=hi - lo) > 0
+    of = np.searchsorted(fp, p.fp)
+    shared, hot = flags["bits"][of], flags["hot"][of]
+    plain, busy = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+    start = ragged(p.start[busy], p.count[busy])
+    h = prefix_hash(p.data)
+    _, down = POWERS.upto(len(p.data) + 1)
+    own = mix((h[start + length] - h[start]) * down[start])
+    return Segments(
+        np.append(p.start[plain], start), np.append(p.count[plain], np.ones(len(start), np.int64)),
+        np.append(p.doc[plain], np.repeat(p.doc[busy], p.count[busy])), np.append(p.fp[plain], own),
+    )
 
 
 class Distinct:
     """The distinct segments among a pack's candidates, by bucket in order of appearance."""
 
-    def __init__(self, p: Pack, which: np.ndarray, length: int, n_buckets: int):
+    def __init__(self, p: Pack, some: Segments, length: int, n_buckets: int):
         raw = p.data.tobytes()
-        start, count = p.start[which], p.count[which]
-        ids = p.ids[p.doc[which]]
+        start, count = some.start, some.count
+        ids = p.ids[some.doc]
         known: dict[bytes, int] = {}
         text = [raw[a:b] for a, b in zip(start.tolist(), (start + count + length - 1).tolist(), strict=True)]
         self.of = np.array([known.setdefault(t, len(known)) for t in text], np.int64)
@@ -206,7 +248,7 @@ class Distinct:
         self.count = np.zeros(n, np.int64)
         self.count[self.of] = count
         bucket = np.zeros(n, np.int64)
-        bucket[self.of] = bucket_of(p.fp[which], n_buckets)
+        bucket[self.of] = bucket_of(some.fp, n_buckets)
         self.order = np.argsort(bucket, kind="stable")
         sorted_ = bucket[self.order]
         self.at, self.ends = runs(sorted_)
@@ -218,16 +260,16 @@ def send_segments(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for ids, sizes, z, pack, answers in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "z", "pack", "answers")), strict=True):
+            for ids, sizes, z, pack, answers in rows_of(batch, "ids", "sizes", "z", "pack", "answers"):
                 p = open_pack(ids, sizes, z, length)
-                d = Distinct(p, candidates(p, answers, n_buckets), length, n_buckets)
+                d = Distinct(p, candidates(p, answers, length, n_buckets), length, n_buckets)
                 groups = [d.order[a:b].tolist() for a, b in zip(d.at.tolist(), d.ends.tolist(), strict=True)]
                 yield _rows(
                     bucket=d.buckets, pack=[pack] * len(groups), sizes=[np.array([len(d.text[k]) for k in g], np.int32).tobytes() for g in groups],
                     least=[d.least[g].tobytes() for g in groups], z=[zstandard.compress(b"".join([d.text[k] for k in g]), 1) for g in groups],
                 )
 
-    return rows.mapInArrow(run, "bucket long, pack long, sizes binary, least binary, z binary")
+    return rows.mapInArrow(worker(run), "bucket long, pack long, sizes binary, least binary, z binary")
 
 
 # ---------------------------------------------------------------- the suffix sort
@@ -358,6 +400,7 @@ def judge_segments(sent: DataFrame, length: int) -> DataFrame:
     """Rows (pack, bucket, bits): for each suffix of a pack's segments, whether its string starts under a smaller id."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         known: dict[bytes, int] = {}
         least: list[np.ndarray] = []
         numbers, counts = [], []
@@ -389,8 +432,8 @@ def judge_segments(sent: DataFrame, length: int) -> DataFrame:
 # ------------------------------------------------------------------- what is removed
 def removed_mask(p: Pack, answers: list[dict], verdicts: list[dict], length: int, n_buckets: int) -> np.ndarray:
     """Which bytes of a pack go."""
-    which = candidates(p, answers, n_buckets)
-    d = Distinct(p, which, length, n_buckets)
+    some = candidates(p, answers, length, n_buckets)
+    d = Distinct(p, some, length, n_buckets)
     first = np.cumsum(d.count) - d.count
     bit = np.zeros(int(d.count.sum()), bool)
     place = {b: k for k, b in enumerate(d.buckets.tolist())}
@@ -398,9 +441,9 @@ def removed_mask(p: Pack, answers: list[dict], verdicts: list[dict], length: int
         k = place[v["bucket"]]
         own = d.order[d.at[k] : d.ends[k]]
         bit[ragged(first[own], d.count[own])] = np.unpackbits(np.frombuffer(v["bits"], np.uint8), count=int(d.count[own].sum())) > 0
-    count = p.count[which]
-    suffix = ragged(p.start[which], count)
-    goes = bit[ragged(first[d.of], count)] | np.repeat(p.ids[p.doc[which]] > d.least[d.of], count)
+    count = some.count
+    suffix = ragged(some.start, count)
+    goes = bit[ragged(first[d.of], count)] | np.repeat(p.ids[some.doc] > d.least[d.of], count)
     change = np.zeros(len(p.data) + 1, np.int64)
     np.add.at(change, suffix[goes], 1)
     np.add.at(change, suffix[goes] + length, -1)
@@ -410,7 +453,7 @@ def removed_mask(p: Pack, answers: list[dict], verdicts: list[dict], length: int
 def apply_verdicts(rows: DataFrame, length: int, n_buckets: int, with_text: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for ids, sizes, z, answers, verdicts in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "z", "answers", "verdicts")), strict=True):
+            for ids, sizes, z, answers, verdicts in rows_of(batch, "ids", "sizes", "z", "answers", "verdicts"):
                 p = open_pack(ids, sizes, z, length)
                 gone = removed_mask(p, answers or [], verdicts or [], length, n_buckets)
                 kept = p.data[~gone].tobytes()
@@ -429,10 +472,10 @@ def apply_verdicts(rows: DataFrame, length: int, n_buckets: int, with_text: bool
                     out["kept"] = pa.array(texts, pa.binary())
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(worker(run), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, pack_bytes: int = PACK_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """Returns id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary): one row for each row of docs.
 
     A byte goes if a string of ``length`` bytes covers it that also starts in a document with a
@@ -445,8 +488,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     packs = materialize(make_packs(source.where("id is not null"), pack_bytes), "packs")
     total = packs.agg(F.sum("nbytes")).first()[0] or 0
     n_buckets = max(partitions(spark), total // BUCKET_BYTES, 1)
-    gather = lambda rows, name: rows.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-    answers = materialize(gather(shared_minimisers(send_minimisers(packs, length, n_buckets)), "answers"), "answers")
+    gather = lambda rows, name: rows.groupBy("pack").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "pack"])).alias(name))
+    answers = materialize(gather(shared_minimisers(send_minimisers(packs, length, n_buckets), hot_segments), "answers"), "answers")
     verdicts = materialize(gather(judge_segments(send_segments(packs.join(answers, "pack"), length, n_buckets), length), "verdicts"), "verdicts")
     out = apply_verdicts(packs.join(answers, "pack", "left").join(verdicts, "pack", "left"), length, n_buckets, with_text)
     text = F.coalesce(F.col("text"), F.lit(""))

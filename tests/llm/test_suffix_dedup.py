@@ -49,6 +49,22 @@ def test_equals_brute_force(spark, docs, length, pack):
     assert got(s.remove_repeats(docs(rows), length, pack_bytes=pack)) == brute(rows, length)
 
 
+def test_hot_minimisers_are_cut_into_strings(spark, docs):
+    rng = random.Random(9)
+    line = "the line that everyone copies, word for word, everywhere!"
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(40)) + line + "".join(rng.choice("abc ") for _ in range(rng.choice([3, 40])))) for i in range(60)]
+    p = s.open_pack(np.arange(60).tobytes(), np.array([len(t) for _, t in rows]).tobytes(), s.zstandard.compress("".join(t for _, t in rows).encode()), 50)
+    fp, many, kinds = s.distinct_fps(p)
+    assert kinds.max() > 20
+    b = s.bucket_of(fp, 3)
+    answer = [{"bucket": k, "bits": np.packbits(many[b == k]).tobytes(), "hot": np.packbits(many[b == k]).tobytes()} for k in range(3)]
+    some = s.candidates(p, answer, 50, 3)
+    assert set(some.count.tolist()) == {1} and len(some.start) == p.count[np.isin(p.fp, fp[many])].sum()
+    text = [p.data[a : a + 50].tobytes() for a in some.start]
+    assert len({(t, f) for t, f in zip(text, some.fp.tolist(), strict=True)}) == len(set(text))
+    assert got(s.remove_repeats(docs(rows), pack_bytes=100, hot_segments=5)) == got(s.remove_repeats(docs(rows), pack_bytes=100)) == brute(rows, 50)
+
+
 def test_long_text_and_kept_bytes(spark, docs):
     rng = random.Random(2)
     long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
