@@ -23,10 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import narrow
+from .common import narrow, worker
 
-#: Pieces of up to so many characters are remembered, up to so many pieces.
-CACHED_LENGTH, CACHED_PIECES = 40, 300_000
+#: Pieces of up to so many characters are remembered, up to so many pieces; and so many borders.
+CACHED_LENGTH, CACHED_PIECES, CACHED_BORDERS = 32, 120_000, 250_000
 #: A rank file of more bytes is refused: it is sent to every Python worker.
 MAX_RANK_BYTES = 64 << 20
 
@@ -45,7 +45,7 @@ class Codec:
         self.automaton.make_automaton()
         self.split: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int] = {}
-        self.border: dict[tuple[int, int], bool] = {}
+        self.border: dict[int, bool] = {}
 
     # -------------------------------------------------------------- merge trees
     def parts(self, r: int) -> tuple[int, int] | None:
@@ -68,11 +68,11 @@ class Codec:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of ``a`` and ``b`` together gives these two tokens again."""
-        known = self.border.get((a, b))
+        known = self.border.get(a << 32 | b)
         if known is None:
-            if len(self.border) > 4_000_000:
+            if len(self.border) > CACHED_BORDERS:
                 self.border.clear()
-            known = self.border[a, b] = self._test(a, b)
+            known = self.border[a << 32 | b] = self._test(a, b)
         return known
 
     def _test(self, a: int, b: int) -> bool:
@@ -236,7 +236,7 @@ def _mapped(docs, ranks, pattern, id_col, text_col, digest):
                 )
 
     schema = f"row_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return source.mapInArrow(run, schema).withColumnRenamed("row_id", id_col)
+    return source.mapInArrow(worker(run), schema).withColumnRenamed("row_id", id_col)
 
 
 def decode_tokens(rows: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -254,7 +254,7 @@ def decode_tokens(rows: DataFrame, ranks: str, id_col: str = "doc_id", ids_col:
             out = [c.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(out, pa.binary())], ["row_id", "decoded"])
 
-    return source.mapInArrow(run, f"row_id {dict(source.dtypes)['row_id']}, decoded binary").withColumnRenamed("row_id", id_col)
+    return source.mapInArrow(worker(run), f"row_id {dict(source.dtypes)['row_id']}, decoded binary").withColumnRenamed("row_id", id_col)
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, carried, chunks, grams, materialize, narrow, ragged, words
+from .common import U64, carried, chunks, grams, materialize, narrow, ragged, words, worker
 
 #: Words of a prefix shingle (fewer in shorter windows); windows in a broadcast block.
 SHINGLE, MAX_BLOCK_WINDOWS = 3, 200_000
@@ -47,7 +47,7 @@ def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str
                     items += [name] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rows, pa.list_(pa.int64()))], ["item", "words"])
 
-    return source.mapInArrow(run, "item string, words array<long>")
+    return source.mapInArrow(worker(run), "item string, words array<long>")
 
 
 class Index:
@@ -129,7 +129,7 @@ def _count_shingles(texts: DataFrame, tokens) -> DataFrame:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["token", "n"])
 
-    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(worker(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _through_block(rows: DataFrame, index, keep_text: bool) -> DataFrame:
@@ -171,7 +171,7 @@ def _through_block(rows: DataFrame, index, keep_text: bool) -> DataFrame:
                 out["text"] = c.batch.column("text")
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return rows.mapInArrow(run, f"row_id {kind}, n_words long, spans {SPANS}, items array<string>" + ", text string" * keep_text)
+    return rows.mapInArrow(worker(run), f"row_id {kind}, n_words long, spans {SPANS}, items array<string>" + ", text string" * keep_text)
 
 
 def find_contamination(

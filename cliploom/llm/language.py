@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, carried, mix
+from .common import U64, carried, mix, worker
 from .sampling import bounds, sampled
 
 DIM, N = 1024, 3
@@ -105,16 +105,19 @@ def _indexed(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alphabet, lookup[code]
 
 
-def _batched(batch: pa.RecordBatch, max_chars: int = 2 << 20) -> Iterator[tuple[int, int, list]]:
-    texts = batch.column("text").to_pylist()
+def _batched(batch: pa.RecordBatch, rows: int = 256, max_chars: int = 1 << 20) -> Iterator[tuple[int, int, list]]:
+    """Texts of a batch in pieces; a piece ends after so many rows or characters."""
+    texts: list = []
     lo = size = 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t or "") > max_chars:
-            yield lo, i, texts[lo:i]
-            lo, size = i, 0
+    for i, value in enumerate(batch.column("text")):
+        t = value.as_py()
+        if texts and (len(texts) == rows or size + len(t or "") > max_chars):
+            yield lo, i, texts
+            texts, lo, size = [], i, 0
+        texts.append(t)
         size += len(t or "")
-    if lo < len(texts):
-        yield lo, len(texts), texts[lo:]
+    if texts:
+        yield lo, lo + len(texts), texts
 
 
 class Profiles:
@@ -165,7 +168,7 @@ def learn(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(range(DIM), pa.int32()), pa.array(np.rint(v).astype(np.int64))], ["lang", "i", "v"])
 
     sums: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toLocalIterator():
+    for r in rows.mapInArrow(worker(run), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toLocalIterator():
         sums.setdefault(r.lang, np.zeros(DIM))[r.i] = r.v
     return Profiles(list(sums), np.array(list(sums.values())).reshape(len(sums), DIM))
 
@@ -189,7 +192,7 @@ def predict(docs: DataFrame, profiles: Profiles, extra: dict[str, Column] | None
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found), pa.array(score), *[part.column(k) for k in names]], ["id", "lang_pred", "score", *names])
 
     schema = ", ".join(f"`{k}` {v}" for k, v in [("id", kinds["id"]), ("lang_pred", "string"), ("score", "double"), *[(k, kinds[k]) for k in names]])
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(worker(run), schema).withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, worker
 
 Validator = Callable[[memoryview, int], int]
 RATE, UNIT = 8000, 64
@@ -301,7 +301,7 @@ def sniff_media(rows: DataFrame, id_col: str, content_col: str, declared_col: st
             )
 
     item = "struct<type:string,start:bigint,end:bigint" + ",content:binary" * carve + ">"
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, declared string, detected string, corrected boolean, embedded array<{item}>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(worker(run), f"id {dict(source.dtypes)['id']}, declared string, detected string, corrected boolean, embedded array<{item}>").withColumnRenamed("id", id_col)
 
 
 # ------------------------------------------------------------ texts as samples
@@ -332,7 +332,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = [wav_of(x.ljust(max(UNIT, -(-len(x) // UNIT) * UNIT), b"\0")) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(worker(run), f"id {dict(source.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def media_features(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media", declared: str = "application/octet-stream") -> DataFrame:
@@ -366,7 +366,7 @@ def media_features(rows: DataFrame, id_col: str = "doc_id", media_col: str = "me
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *arrays], ["id", "n_bytes", *out])
 
     schema = f"id {dict(source.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, detected string, corrected boolean, n_embedded long"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(worker(run), schema).withColumnRenamed("id", id_col)
 
 
 def _sound(payload: bytes) -> str:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker
 
 KINDS = ("assign", "access", "hex", "bare")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_cols: tuple[str, ...
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([rows, batch.column("id"), batch.column("owner"), batch.column("repo"), pa.array(spans, pa.list_(pa.struct(fields)))], ["row", "id", "owner", "repo", "spans"])
 
-    return source.mapInArrow(run, f"row long, id {dict(source.dtypes)['id']}, owner string, repo string, spans array<{SPAN}>")
+    return source.mapInArrow(worker(run), f"row long, id {dict(source.dtypes)['id']}, owner string, repo string, spans array<{SPAN}>")
 
 
 def find_secrets(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_tokenizer, rank_bytes
-from .common import materialize, narrow
+from .common import materialize, narrow, worker
 
 #: Tokens in a block that the writer makes; blocks in a super-block.
 BLOCK_TOKENS, SUPER = 1 << 18, 1024
@@ -71,7 +71,7 @@ def token_stream(docs: DataFrame, ranks: str, pattern: str, eod: int, width: int
         if buffer:
             yield cut(len(buffer))
 
-    return source.mapInArrow(run, "file long, block long, data binary, ended array<string>")
+    return source.mapInArrow(worker(run), "file long, block long, data binary, ended array<string>")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -99,7 +99,7 @@ def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
                 seps.append(np.flatnonzero(ids == eod).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(n, pa.int64()), pa.array(seps, pa.list_(pa.int32()))], ["file", "block", "n", "seps"])
 
-    return source.mapInArrow(run, f"file {dict(source.dtypes)['file']}, block long, n long, seps array<int>")
+    return source.mapInArrow(worker(run), f"file {dict(source.dtypes)['file']}, block long, n long, seps array<int>")
 
 
 def document_counts(blocks: DataFrame, eod: int, width: int = 2, super_blocks: int = SUPER) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CODES, Chunk, chunks, words
+from .common import WORD_CODES, Chunk, chunks, words, worker
 from .language import held_out
 from .sampling import bounds, sampled
 
@@ -32,7 +32,7 @@ HALF = 1
 #: Labelled texts of a class that training takes at most.
 PER_CLASS = 2500
 WARM, STEPS = 30, 130
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 
 def subwords(word: str) -> list[int]:
@@ -216,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
         parts = [np.ascontiguousarray(x, np.float32).tobytes() for x in (m.embedding, m.layer, m.bias)]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["embedding", "layer", "bias"])
 
-    r = rows.mapInArrow(fit, "embedding binary, layer binary, bias binary").first()
+    r = rows.mapInArrow(worker(fit), "embedding binary, layer binary, bias binary").first()
     return Model(*(np.frombuffer(r[k], np.float32).reshape(shape) for k, shape in (("embedding", (BUCKETS, DIM)), ("layer", (2, DIM)), ("bias", 2))))
 
 
@@ -235,7 +235,7 @@ def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None,
             yield pa.RecordBatch.from_arrays([c.batch.column("id"), pa.array(shipped.value.scores(c)), *[c.batch.column(k) for k in names]], ["id", "score", *names])
 
     schema = ", ".join(f"`{k}` {v}" for k, v in [("id", kinds["id"]), ("score", "double"), *[(k, kinds[k]) for k in names]])
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(worker(run), schema).withColumnRenamed("id", id_col)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
