@@ -113,6 +113,16 @@ def worker(run: Callable) -> Callable:
     return lean
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send fewer rows to Python at once, unless the session says otherwise than Spark's default.
+
+    Texts are long rows: at 10,000 a batch takes tens of MB, twice in the JVM and again in Python, for every task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if _libc is not None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from .bagminhash import op10_near_duplicates
 from .bpe import op4_byte_bpe
+from .common import bounded_batches
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .language import op2_language
 from .media import op3_media
@@ -13,6 +16,16 @@ from .tokencounts import op8_token_counts
 from .toxicity import op1_toxicity
 from .urlfilter import OP5_SQL, op5_url_filter
 
+
+def _bounded(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -25,6 +38,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
 }
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": OP5_SQL,

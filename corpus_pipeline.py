@@ -6,34 +6,50 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm import bagminhash, bpe, decontaminate, language, secrets
-from cliploom.llm.common import materialize
+from cliploom.llm.common import bounded_batches, materialize
+
+
+def _bounded(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_bounded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns the languages that docs name; documents of none of them go."""
     return language.keep_known(docs, language.learn(docs, "doc_id", "text", "lang"))
 
 
+@_bounded
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays."""
     return bagminhash.keep_one(docs)
 
 
+@_bounded
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_bounded
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking secrets are masked; n_chars follows the text."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
+@_bounded
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's tokens: their number and digest, and the digest of the bytes they decode to."""
     return bpe.encode_digests(docs, *bpe.default_tokenizer())
