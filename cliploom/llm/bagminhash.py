@@ -13,8 +13,8 @@ about n + m log m points for m registers.
 
 Texts that agree in a band of registers are candidates. A band's bucket is split by
 length, and all its members are compared with one centre, by exact multiset overlap; members that no link puts into its class
-are compared on (see :func:`classify`). So a bucket of alike texts costs a number of
-comparisons that is linear in its size, however large it is.
+are compared with all members of other classes (see :func:`classify`). So a bucket whose texts are like its centre costs a number of
+comparisons that is linear in its size; members out of the centre's class cost one with each member of another class, by matrix products over blocks.
 """
 
 from __future__ import annotations
@@ -27,17 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, chunks, grams, materialize, mix, narrow, words, worker
+from .common import U64, Chunk, chunks, grams, materialize, mix, narrow, ragged, words, worker
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 26 bands of 5: texts of similarity 0.8 share a band but for 3 pairs in 100,000.
 BANDS, ROWS = 26, 5
-#: Neighbours in a bucket that a member is compared with.
-NEAR = 3
+#: Members and shingles on a side of a cell, about; a longer text is a side of its own.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -238,7 +238,7 @@ def _by_length(members: DataFrame, threshold: float) -> DataFrame:
     """
     place = F.log(F.col("n").cast("double")) / (-2 * math.log(threshold))
     classes = F.array(F.floor(place) * 2, F.floor(place + 0.5) * 2 + 1)
-    return members.withColumn("class", F.explode(classes)).select(F.xxhash64("key", "class").alias("key"), "band", "id")
+    return members.withColumn("class", F.explode(classes)).select(F.xxhash64("key", "class").alias("key"), "band", "id", "n")
 
 
 def _centers(rows: DataFrame) -> DataFrame:
@@ -251,50 +251,129 @@ def _labelled(rows: DataFrame, id_col: str, classes: DataFrame, name: str) -> Da
     return rows.join(classes.select(F.col("id").alias(id_col), F.col("component").alias("__c")), id_col, "left").withColumn(name, F.coalesce("__c", id_col)).drop("__c")
 
 
-def _neighbours(rest: DataFrame, signed: DataFrame) -> DataFrame:
-    """(center, member): each member with the NEAR members before it, in the order of the bucket's following bands.
+def _unary(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of multisets as sets: the i-th copy of a shingle has a key of its own."""
+    count = np.concatenate([c for _, c in bags])
+    copy = ragged(np.zeros(len(count), np.int64), count).astype(U64)
+    key = mix(np.repeat(np.concatenate([s for s, _ in bags]), count) + copy * U64(GOLD))
+    return np.repeat(np.arange(len(bags)), [int(c.sum()) for _, c in bags]), key
 
-    Sorted like that, members that agree in more bands stand side by side, and each bucket
-    sorts by other bands.
+
+def overlaps(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs, as :func:`overlap` gives them.
+
+    Frequent keys go through matrix products, rare ones through the pairs that have them.
+    """
+    (lr, lk), (rr, rk) = _unary(left), _unary(right)
+    size = np.bincount(lr, minlength=len(left))[:, None] + np.bincount(rr, minlength=len(right))[None, :]
+    columns = np.intersect1d(lk, rk)
+    both = np.zeros((len(left), len(right)), np.int64)
+    if len(columns):
+        lr, lc = _placed(lr, lk, columns)
+        rr, rc = _placed(rr, rk, columns)
+        nl, nr = np.bincount(lc, minlength=len(columns)), np.bincount(rc, minlength=len(columns))
+        dense = nl * nr * 50 > both.size
+        at, many = np.cumsum(dense) - 1, int(dense.sum())
+        li, ri = dense[lc], dense[rc]
+        lrow, lcol, rrow, rcol = lr[li], at[lc[li]], rr[ri], at[rc[ri]]
+        step = max(64, (1 << 22) // (len(left) + len(right)))
+        for lo in range(0, many, step):
+            hi = min(lo + step, many)
+            x, y = np.zeros((len(left), hi - lo), np.float32), np.zeros((len(right), hi - lo), np.float32)
+            for m, row, col in ((x, lrow, lcol), (y, rrow, rcol)):
+                a, b = np.searchsorted(col, (lo, hi))
+                m[row[a:b], col[a:b] - lo] = 1
+            both += np.rint(x @ y.T).astype(np.int64)
+        lr, lc = lr[~li], lc[~li]
+        first, pairs = np.searchsorted(rc, lc), nr[lc]
+        ends = np.cumsum(pairs)
+        lo = 0
+        while lo < len(lr):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - pairs[lo] + (1 << 21), side="right")))
+            spot = np.repeat(lr[lo:hi], pairs[lo:hi]) * len(right) + rr[ragged(first[lo:hi], pairs[lo:hi])]
+            both += np.bincount(spot, minlength=both.size).reshape(both.shape)
+            lo = hi
+    return both / np.maximum(size - both, 1)
+
+
+def _placed(row: np.ndarray, key: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places among ``columns`` of the keys that occur there, by place."""
+    at = np.minimum(np.searchsorted(columns, key), len(columns) - 1)
+    ok = columns[at] == key
+    row, at = row[ok], at[ok]
+    order = np.argsort(at, kind="stable")
+    return row[order], at[order]
+
+
+def _cells(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, i, j, left, id, class): what is still to be compared, in cells of bounded size.
+
+    A pair of a bucket is open if its classes differ, so one of the two is not in the centre's
+    class. Blocks of such members (left) meet blocks of all members. Buckets of the same
+    members are taken once; in one of two members the centre has met the other.
     """
-    bands = signed.select("id", "bands").join(rest.select("id").distinct(), "id", "left_semi")
-    turned = F.concat(F.slice("bands", F.col("band") + 2, F.size("bands")), F.slice("bands", F.lit(1), F.col("band")))
-    ordered = Window.partitionBy("key").orderBy("turned", "id")
-    rows = rest.join(bands, "id").select("key", "id", turned.alias("turned"))
-    before = rows.select("id", F.array(*[F.lag("id", k).over(ordered) for k in range(1, NEAR + 1)]).alias("before"))
-    pairs = before.select(F.col("id").alias("member"), F.explode(F.array_compact("before")).alias("center"))
-    return pairs.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member")).distinct()
+    named = _labelled(_labelled(rows, "id", classes, "class"), "center", classes, "of").select("key", "id", "n", "class", (F.col("class") != F.col("of")).alias("out"))
+    named = materialize(named, "named")
+    sizes = named.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum("n").alias("long"), F.sum(F.col("out").cast("long")).alias("rest"), F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("f2")
+    )
+    open_ = sizes.where("rest > 0 and size > 2").groupBy("size", "f1", "f2").agg(F.min(F.struct("key", "long", "rest")).alias("b")).select("b.*", "size")
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) * F.col("size") / F.col("long"))))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    found = named.join(open_.select("key", blocks("rest").alias("ni"), blocks("size").alias("nj")), "key")
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = found.where("out").select("key", spot("ni").alias("i"), upto("nj").alias("j"), F.lit(True).alias("left"), "id", "class")
+    return left.unionByName(found.select("key", upto("ni").alias("i"), spot("nj").alias("j"), F.lit(False).alias("left"), "id", "class"))
+
+
+def _rest_links(cells: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(center, member): pairs of classes that a link of the threshold at least joins in a cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, left, of = table.column("id").to_pylist(), np.array(table.column("left").to_pylist(), bool), np.array(table.column("class").to_pylist(), np.int64)
+        bags = _Bags().of(ids, table.column("z").to_pylist())
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        pairs: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            alike = overlaps([bags[k] for k in a], [bags[k] for k in b]) >= threshold
+            x, y = np.nonzero(alike & (of[a][:, None] != of[b][None, :]))
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            for p, q in set(zip(of[a][x].tolist(), of[b][y].tolist(), strict=True)):
+                p, q = sorted((find(p), find(q)))
+                if p != q:
+                    root[q] = p
+                    pairs.append((p, q))
+        return pa.table({"center": pa.array([p for p, _ in pairs], pa.int64()), "member": pa.array([q for _, q in pairs], pa.int64())})
+
+    return cells.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "center long, member long").distinct()
 
 
 def classify(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Rows (id, component) of all texts that have a link. ``signed`` has one row for each text.
 
     First each bucket's members are compared with its centre. The links so far make
-    classes; members in their centre's class are done. The others are compared with their neighbours in
-    the bucket, sorted by the other bands, and so on until no class is joined to another
-    any more. So a round makes a number of comparisons that is linear in the size of the buckets.
+    classes; two members of one class need no comparison. Then all pairs of a bucket whose
+    classes differ are compared, in cells, so every pair of a bucket is in one class or has been compared.
     """
     each = signed.select("id", "n", F.posexplode("bands").alias("band", "key")).select("key", "band", "id", "n")
-    rest = materialize(_shared(_by_length(_shared(each), threshold)), "buckets")
-    texts = materialize(_packed(docs).join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    sizes = rest.groupBy("key").agg(F.count("*").alias("size"))
-    shares = rest.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("shares"))
-    rest = rest.join(shares, "id")
-    rest = materialize(rest.join(_centers(rest), "key").drop("shares"), "centers")
-    pairs = rest.where("id <> center").select(F.least("center", "id").alias("center"), F.greatest("center", "id").alias("member")).distinct()
-    tested = materialize(pairs, "pairs")
-    good = materialize(verify(tested, texts, threshold), "links")
+    rows = materialize(_shared(_by_length(_shared(each), threshold)), "buckets")
+    texts = materialize(_packed(docs).join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+    shares = rows.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("shares"))
+    rows = rows.join(shares, "id")
+    rows = materialize(rows.join(_centers(rows), "key").drop("shares"), "centers")
+    pairs = rows.where("id <> center").select(F.least("center", "id").alias("center"), F.greatest("center", "id").alias("member")).distinct()
+    good = materialize(verify(pairs, texts, threshold), "links")
     classes = components(good.select(F.col("center").alias("a"), F.col("member").alias("b")))
-    while not good.isEmpty():
-        rest = _labelled(_labelled(rest, "id", classes, "of"), "center", classes, "center_of").where("of <> center_of").drop("of", "center_of")
-        rest = materialize(rest, "rest")
-        near = _labelled(_labelled(_neighbours(rest, signed), "center", classes, "a"), "member", classes, "b").where("a <> b").select("center", "member")
-        pairs = materialize(near.join(tested, ["center", "member"], "left_anti"), "pairs")
-        good = materialize(verify(pairs, texts, threshold), "links")
-        tested = tested.unionByName(pairs)
-        if not good.isEmpty():
-            classes = _merged(classes, good)
-    return classes
+    more = materialize(_rest_links(_cells(rows, classes), texts, threshold), "links")
+    return classes if more.isEmpty() else _merged(classes, more)
 
 
 def _merged(classes: DataFrame, good: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cliploom.llm import bagminhash as b
 from cliploom.llm.components import components
@@ -94,6 +95,31 @@ def test_hot_group_of_near_copies_and_failures(spark, docs):
     assert got == brute(rows)
 
 
+def test_links_out_of_the_centers_class(spark):
+    """A bucket whose centre is like none, and one whose rest is like members of the centre's class only."""
+    base = [f"w{k}" for k in range(100)]
+    edit = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(base))
+    other = " ".join(f"z{k}" for k in range(100))
+    far = {9: edit(), 8: edit(20), 1: edit(20, 50, 80)}
+    plain = {19: other, 12: edit(20), 11: edit(20, 50)}
+    rows = {**far, **plain}
+    texts = spark.createDataFrame(list(rows.items()), "id long, text string")
+    key = F.when(F.col("id") < 10, 1).otherwise(2).cast("long")
+    signed = texts.select("id", F.lit(96).cast("long").alias("n"), F.array(key).alias("bands"))
+    got = {r.id: r.component for r in b.classify(signed, texts, 0.8).collect()}
+    want = brute(far) | brute(plain)
+    assert {i: got.get(i, i) for i in rows} == want and len(set(want.values())) == 3
+
+
+def test_overlaps_equal_overlap():
+    rng = np.random.default_rng(2)
+    bags = []
+    for size in (3, 40, 400, 1, 400, 400):
+        found, count = np.unique(rng.zipf(1.3, size) % 300, return_counts=True)
+        bags.append((found.astype(np.uint64), count))
+    assert np.array_equal(b.overlaps(bags[:4], bags), [[b.overlap(x, y) for y in bags] for x in bags[:4]])
+
+
 def test_signature_estimates_weighted_jaccard():
     """The share of equal registers is unbiased for counts that differ."""
     m = 4096
