@@ -167,8 +167,9 @@ def balanced_index(spark, sf_dir):
 
 @query(f"SELECT record_key, path FROM (SELECT row_number() OVER (ORDER BY group_idx, folder_idx, path) - 1 AS record_key, path FROM {FILES}) WHERE record_key % 7 = 0")
 def record_lookup(spark, sf_dir):
-    keys = spark.range(0, 1 << 20, 7).select(F.col("id").alias("record_key"))
-    return ix.lookup(ix.simple_index(files(spark, sf_dir)), keys).select("record_key", "path")
+    index = ix.simple_index(files(spark, sf_dir))
+    keys = index.where(F.col("record_key") % 7 == 0).select("record_key")
+    return ix.lookup(index, keys).select("record_key", "path")
 
 
 @query("SELECT page_id, url FROM pages WHERE ends_with(lower(url), '5') OR ends_with(lower(url), 'ref=x')")

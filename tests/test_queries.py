@@ -30,6 +30,13 @@ def test_equals_sql(spark, sf, duck, name):
     assert got == sorted(map(repr, want.select(*[f'"{c}"' for c in columns]).fetchall()))
 
 
+def test_record_lookup_has_no_upper_bound(spark, tmp_path):
+    n = (1 << 20) + 50
+    spark.range(n).selectExpr("id AS vec_id", "CAST(id % 10 AS INT) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    r = QUERIES["record_lookup"](spark, str(tmp_path)).selectExpr("count(*) AS n", "max(record_key) AS last").first()
+    assert (r.n, r.last) == ((n + 6) // 7, (n - 1) // 7 * 7)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10 or entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
