@@ -27,7 +27,8 @@ DIM, N = 1024, 3
 #: Training texts of a language, and languages, at most.
 PER_LANGUAGE, MAX_LANGUAGES = 3000, 256
 UNKNOWN = "und"
-#: Below this cosine a text is as far from every prototype as random vectors are from each other.
+#: Below this cosine a text is about as far from every prototype as random vectors are from each other. So are
+#: clean texts of a few n-grams, so no text goes for it unless a caller asks for that.
 MIN_SCORE = 0.05
 
 
@@ -195,14 +196,14 @@ def predict(docs: DataFrame, profiles: Profiles, extra: dict[str, Column] | None
     return source.mapInArrow(worker(run), schema).withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is known: not ``und``, and with a cosine of ``min_score`` at least.
+def keep_known(docs: DataFrame, profiles: Profiles, min_score: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is not ``und``; with ``min_score``, only those whose cosine is that at least.
 
     Where nothing was learnt all rows go. All columns stay.
     """
     rows, restored = carried(docs, text_col)
-    found = predict(rows, profiles, id_col="__row", text_col="__text")
-    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))
+    found = predict(rows, profiles, id_col="__row", text_col="__text").where(F.col("lang_pred") != UNKNOWN)
+    return restored(found if min_score is None else found.where(F.col("score") >= min_score))
 
 
 def held_out(id_col: str, parts: int, rest: int) -> Column:

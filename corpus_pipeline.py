@@ -26,7 +26,7 @@ def _bounded(stage):
 
 @_bounded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages that docs name; documents of none of them go."""
+    """Learns the languages that docs name; documents without a letter go."""
     return language.keep_known(docs, language.learn(docs, "doc_id", "text", "lang"))
 
 

@@ -52,6 +52,14 @@ def test_language_edges(spark, docs):
     assert [(r.lang_pred, r.score) for r in lang.predict(docs({1: "text"}), nothing).collect()] == [("und", 0.0)]
 
 
+def test_keep_known_keeps_short_texts(spark, docs):
+    """Short clean texts whose cosine is as low as noise stay; null and letterless texts go."""
+    p = lang.learn(docs({1: "the cat and the dog and the house", 2: "der Hund und die Katze und das Haus"}), "doc_id", "text", "lang")
+    rows = docs({1: "Avec.", 2: "A.", 3: None, 4: "12-3", 5: "xyzzy", 6: "the dog"})
+    assert min(r.score for r in lang.predict(rows, p).collect() if r.lang_pred != "und") < lang.MIN_SCORE
+    assert sorted(r.doc_id for r in lang.keep_known(rows, p).collect()) == [1, 2, 5, 6]
+
+
 def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = tox.op1_toxicity(spark, SF).collect()
