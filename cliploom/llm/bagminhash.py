@@ -15,13 +15,15 @@ Texts that agree in a band of registers are candidates. A band's bucket is split
 length, and all its members are compared with one centre, by exact multiset overlap; members that no link puts into its class
 are compared with all members of other classes (see :func:`classify`). So a bucket whose texts are like its centre costs a number of
 comparisons that is linear in its size; members out of the centre's class cost one with each member of another class, by matrix products over blocks.
+
+Hashes choose candidates only. What is compared are exact numbers: words are numbered by an
+exact dictionary, then pairs of numbers, up to five words. Equal texts are found by a 256-bit digest of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, chunks, grams, materialize, mix, narrow, ragged, words, worker
+from .common import U64, Chunk, Words, chunks, grams, materialize, mix, narrow, numbered, partitions, ragged, words, worker
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,11 +40,13 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Members and shingles on a side of a cell, about; a longer text is a side of its own.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Compressed bytes of texts that are compared with their centre at once, about.
+SLICE_BYTES = 1 << 19
 GOLD = 0x9E3779B97F4A7C15
 
 
-def shingles(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, object]:
-    """Document, shingle (52 bits) and count of each distinct shingle of a chunk; shingles per document; words.
+def shingles(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
+    """Document, hashed shingle (52 bits) and count of each distinct shingle of a chunk; shingles per document; words.
 
     A text of fewer than five words, but not none, has one shingle: all its words.
     """
@@ -105,83 +109,59 @@ def band_hashes(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def text_keys(c: Chunk, w) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that are equal for texts of equal words; for texts without words, of equal bytes."""
-    n = len(w.hash)
-    power = np.ones(n + 1, U64)
-    if n:
-        power[1:] = U64(0xD1342543DE82EF95)
-        np.multiply.accumulate(power, out=power)
-    inverse = U64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-    down = np.ones(n + 1, U64)
-    down[1:] = inverse
-    np.multiply.accumulate(down, out=down)
-    keys = []
-    for salt in (0, 0xA0761D6478BD642F):
-        h = np.append(U64(0), np.cumsum(mix(w.hash + U64(salt)) * power[:n]))
-        keys.append(mix((h[w.first[1:]] - h[w.first[:-1]]) * down[w.first[:-1]] + U64(salt)))
-    for d in np.flatnonzero(np.diff(w.first) == 0).tolist():
-        raw = hashlib.blake2b(c.data[c.offsets[d] : c.offsets[d + 1]].tobytes(), digest_size=16, person=b"nowords").digest()
-        keys[0][d], keys[1][d] = np.frombuffer(raw, U64)
-    return keys[0].view(np.int64), keys[1].view(np.int64)
+def text_keys(c: Chunk, w: Words) -> list[bytes]:
+    """256-bit digests of the words of each text; of the bytes of a text without words."""
+    flat, at = w.spelled()
+    edge = at[w.first].tolist()
+    out = []
+    for d, (x, y) in enumerate(zip(edge, edge[1:], strict=False)):
+        plain = flat[x:y] if y > x else c.data[c.offsets[d] : c.offsets[d + 1]].tobytes()
+        out.append(hashlib.blake2b(plain, digest_size=32, person=b"words" if y > x else b"nowords").digest())
+    return out
 
 
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Rows (id, k1, k2, n, bands): text key, number of shingles, band hashes (none without shingles)."""
+    """Rows (id, sha, key, n, bands, z): text digest, number of shingles, band hashes (none without shingles), the text compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for c in chunks(batches, "text"):
             doc, shingle, count, own, w = shingles(c)
             found = band_hashes(signatures(doc, shingle, count, len(c), bands * rows), bands, rows)
-            k1, k2 = text_keys(c, w)
             offsets = np.append(0, np.cumsum(np.where(own > 0, bands, 0))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[own > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([c.batch.column("id"), pa.array(k1), pa.array(k2), pa.array(own, pa.int64()), lists], ["id", "k1", "k2", "n", "bands"])
-
-    return docs.mapInArrow(worker(run), "id long, k1 long, k2 long, n long, bands array<long>")
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed, as they travel to their partners."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                z = [press.compress((t or "").encode()) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(z, pa.binary())], ["id", "z"])
-
-    return docs.mapInArrow(worker(run), "id long, z binary")
-
-
-class _Bags:
-    """Shingle multisets of compressed texts; the last few centres are kept."""
-
-    def __init__(self):
-        self.plain, self.kept = zstandard.ZstdDecompressor(), OrderedDict()
-
-    def of(self, ids: list[int], packed: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        todo = {}
-        for i, z in zip(ids, packed, strict=True):
-            if i in self.kept:
-                out[i] = self.kept[i]
-            elif i not in todo:
-                todo[i] = self.plain.decompress(z)
-        if todo:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(todo)), pa.array(list(todo.values()), pa.binary())], ["id", "text"])
-            for c in chunks(iter([batch]), "text"):
-                doc, shingle, count, _, _ = shingles(c)
-                edge = np.searchsorted(doc, np.arange(len(c) + 1))
-                for d, i in enumerate(c.batch.column("id").to_pylist()):
-                    out[i] = (shingle[edge[d] : edge[d + 1]], count[edge[d] : edge[d + 1]])
-        return [out[i] for i in ids]
-
-    def keep(self, i: int, bag) -> None:
-        self.kept[i] = bag
-        while len(self.kept) > 4:
-            self.kept.popitem(last=False)
+            raw, at = c.data.tobytes(), c.offsets.tolist()
+            z = [press.compress(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            out = {"id": c.batch.column("id"), "sha": c.batch.column("sha"), "key": pa.array(text_keys(c, w), pa.binary()), "n": pa.array(own, pa.int64()), "bands": lists, "z": pa.array(z, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return docs.mapInArrow(worker(run), "id long, sha string, key binary, n long, bands array<long>, z binary")
+
+
+def exact_bags(packed: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingle multisets (sorted numbers, counts) of compressed texts; equal numbers, within one call, for equal shingles only."""
+    plain = zstandard.ZstdDecompressor()
+    batch = pa.RecordBatch.from_arrays([pa.array([plain.decompress(z) for z in packed], pa.large_binary())], ["text"])
+    arrays, sizes = [], []
+    for c in chunks(iter([batch]), "text"):
+        w = words(c)
+        arrays.append(w.as_array())
+        sizes.append(np.diff(w.first))
+    size = np.concatenate(sizes)
+    word = numbered(pa.chunked_array(arrays))
+    # A text of fewer than five words is filled up with a number that no word has.
+    room = np.where(size > 0, np.maximum(size, SHINGLE), 0)
+    line = np.zeros(int(room.sum()), np.int64)
+    line[ragged(np.cumsum(room) - room, size)] = word + 1
+    gram = line
+    for i in range(1, SHINGLE):
+        gram = numbered(pa.array((gram[:-1] << 32) | line[i : i + len(gram) - 1])) if len(gram) else gram
+    own = np.maximum(room - SHINGLE + 1, 0)
+    key = np.repeat(np.arange(len(size)) << 32, own) | gram[ragged(np.cumsum(room) - room, own)]
+    key, count = np.unique(key, return_counts=True)
+    edge = np.searchsorted(key >> 32, np.arange(len(size) + 1))
+    key &= (1 << 32) - 1
+    return [(key[a:b], count[a:b]) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -196,23 +176,43 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (center, member) whose multisets overlap by the threshold at least."""
-    members = pairs.join(texts.select(F.col("id").alias("member"), F.col("z").alias("mz")), "member")
-    both = members.join(texts.select(F.col("id").alias("center"), F.col("z").alias("cz")), "center").select("center", "cz", "member", "mz")
+    """The pairs (center, member) whose multisets overlap by the threshold at least.
+
+    A centre's members are dealt out in blocks, and its text goes once to each block, so a
+    centre of very many members is neither one task nor copied to each of them.
+    """
+    blocks = pairs.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    spot = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
+    members = pairs.join(blocks, "center").select("center", spot.alias("block"), F.lit(False).alias("head"), F.col("member").alias("id"))
+    heads = blocks.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("head"), F.col("center").alias("id"))
+    both = members.unionByName(heads).join(texts, "id").select("center", "block", "head", "id", "z")
+    dealt = both.repartition(partitions(pairs.sparkSession), "center", "block").sortWithinPartitions("center", "block", F.desc("head"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags = _Bags()
+        current: list[bytes] = []  # the centre's text
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                center, member = part.column("center").to_pylist(), part.column("member").to_pylist()
-                mine = bags.of(center, part.column("cz").to_pylist())
-                theirs = bags.of(member, part.column("mz").to_pylist())
-                ok = [overlap(a, b) >= threshold for a, b in zip(mine, theirs, strict=True)]
-                bags.keep(center[-1], mine[-1])
-                yield part.select(["center", "member"]).filter(pa.array(ok))
-
-    return both.mapInArrow(worker(run), "center long, member long")
+            heads, centers, ids = (batch.column(c).to_pylist() for c in ("head", "center", "id"))
+            at = 0
+            while at < len(heads):
+                packed, of, member = list(current), [], []
+                last = len(packed) - 1
+                size = 0
+                while at < len(heads) and (not size or len(packed) < 256 and size < SLICE_BYTES):
+                    z = batch.column("z")[at].as_py()
+                    if heads[at]:
+                        last, current = len(packed), [z]
+                    else:
+                        of.append((last, len(packed)))
+                        member.append((centers[at], ids[at]))
+                    packed.append(z)
+                    size += len(z)
+                    at += 1
+                if of:
+                    bags = exact_bags(packed)
+                    good = [m for m, (x, y) in zip(member, of, strict=True) if overlap(bags[x], bags[y]) >= threshold]
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in good], pa.int64()), pa.array([m for _, m in good], pa.int64())], ["center", "member"])
+
+    return dealt.mapInArrow(worker(run), "center long, member long")
 
 
 def _rank(band: Column) -> Column:
@@ -254,8 +254,7 @@ def _labelled(rows: DataFrame, id_col: str, classes: DataFrame, name: str) -> Da
 def _unary(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of multisets as sets: the i-th copy of a shingle has a key of its own."""
     count = np.concatenate([c for _, c in bags])
-    copy = ragged(np.zeros(len(count), np.int64), count).astype(U64)
-    key = mix(np.repeat(np.concatenate([s for s, _ in bags]), count) + copy * U64(GOLD))
+    key = np.repeat(np.concatenate([s for s, _ in bags]).astype(np.int64), count) << 32 | ragged(np.zeros(len(count), np.int64), count)
     return np.repeat(np.arange(len(bags)), [int(c.sum()) for _, c in bags]), key
 
 
@@ -332,7 +331,10 @@ def _rest_links(cells: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
     def run(table: pa.Table) -> pa.Table:
         ids, left, of = table.column("id").to_pylist(), np.array(table.column("left").to_pylist(), bool), np.array(table.column("class").to_pylist(), np.int64)
-        bags = _Bags().of(ids, table.column("z").to_pylist())
+        place = {i: k for k, i in enumerate(dict.fromkeys(ids))}  # a text may stand on both sides
+        z = dict(zip(ids, table.column("z").to_pylist(), strict=True))
+        found = exact_bags([z[i] for i in place])
+        bags = [found[place[i]] for i in ids]
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         pairs: list[tuple[int, int]] = []
         if len(a) and len(b):
@@ -355,8 +357,8 @@ def _rest_links(cells: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     return cells.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "center long, member long").distinct()
 
 
-def classify(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Rows (id, component) of all texts that have a link. ``signed`` has one row for each text.
+def classify(signed: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Rows (id, component) of all texts that have a link, from rows (id, n, bands) and (id, z), one for each text.
 
     First each bucket's members are compared with its centre. The links so far make
     classes; two members of one class need no comparison. Then all pairs of a bucket whose
@@ -364,7 +366,7 @@ def classify(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """
     each = signed.select("id", "n", F.posexplode("bands").alias("band", "key")).select("key", "band", "id", "n")
     rows = materialize(_shared(_by_length(_shared(each), threshold)), "buckets")
-    texts = materialize(_packed(docs).join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = materialize(packed.join(rows.select("id").distinct(), "id", "left_semi"), "texts")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
     shares = rows.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("shares"))
     rows = rows.join(shares, "id")
@@ -385,36 +387,50 @@ def _merged(classes: DataFrame, good: DataFrame) -> DataFrame:
     return materialize(moved.select("id", F.coalesce("to", "component").alias("component")), "classes")
 
 
+def _classified(docs: DataFrame, threshold: float, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, sha, class_id, text_id, n_shingles); ``sha`` is the digest of the text as it stands."""
+    source = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    signed = materialize(sign(source, bands, rows), "signatures")
+    known = signed.where("id is not null")
+    # One node for each distinct text: what rows of one text have besides ids is equal, so any of them will do.
+    distinct = known.groupBy("key").agg(F.min("id").alias("text_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("z").alias("z"))
+    texts = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    classes = classify(texts.select(F.col("node").alias("id"), "n", "bands"), texts.select(F.col("node").alias("id"), "z"), threshold)
+    placed = materialize(texts.select("key", "text_id", F.col("node").alias("id")).join(classes, "id"), "placed")
+    least = materialize(placed.groupBy("component").agg(F.min("text_id").alias("class_id")), "least")
+    placed = placed.join(least, "component").select("key", "class_id")
+    named = texts.select("key", "text_id").join(placed, "key", "left").select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
+    out = known.select("id", "sha", "key", "n").join(materialize(named, "named"), "key").select("id", "sha", "class_id", "text_id", F.col("n").alias("n_shingles"))
+    none = F.lit(None).cast("long")
+    return out.unionByName(signed.where("id is null").select("id", "sha", none.alias("class_id"), none.alias("text_id"), F.col("n").alias("n_shingles")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, class_id, text_id, n_shingles: one row for each row of docs.
 
     ``class_id`` is the least id among the texts that links of weighted Jaccard
     similarity >= threshold connect; ``text_id`` the least id of the same words.
-    Ids are integers (ties can't occur between different ids; rows that share an
-    id count as one node, and each gets a row). A text without words is alike only
+    Ids are integers. Every distinct text is a node of its own, whatever its ids: rows that share an id and
+    have different texts are classed by their texts, in any order of rows; rows of one id and
+    text get a row each. A text without words is alike only
     to texts of the same bytes; null counts as the empty text. A row whose id is
     null has class_id and text_id null. An empty table gives an empty table.
     """
-    source = narrow(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    signed = materialize(sign(source, bands, rows), "signatures")
-    known = signed.where("id is not null")
-    texts = materialize(known.groupBy("k1", "k2").agg(F.min("id").alias("text_id")), "distinct")
-    one = known.join(texts.select(F.col("text_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    classes = classify(one, source.where("id is not null"), threshold)
-    named = texts.join(classes.withColumnRenamed("id", "text_id"), "text_id", "left").select("k1", "k2", "text_id", F.coalesce("component", "text_id").alias("class_id"))
-    out = known.drop("bands").join(named, ["k1", "k2"]).select("id", "class_id", "text_id", F.col("n").alias("n_shingles"))
-    alone = signed.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.col("n").alias("n_shingles"))
-    return out.unionByName(alone).withColumnRenamed("id", id_col)
+    return _classified(docs, threshold, bands, rows, id_col, text_col).drop("sha").withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that name their class: one document of each group stays.
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that name their class: of each group the rows of its least id stay.
 
-    Rows without an id stay.
+    Rows without an id stay. A row goes for its own text only: another text under the same id is judged by itself.
+    All columns stay, whatever their names.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(f"class_id <> `{id_col}`").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    found = _classified(docs, threshold, bands, rows, id_col, text_col)
+    gone = found.where("class_id <> id").select("id", "sha").distinct()
+    held = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("sha"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    )
+    return held.join(gone, ["id", "sha"], "left_anti").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -226,6 +226,18 @@ def _word_codes() -> np.ndarray:
 
 
 WORD_CODES = _word_codes()
+#: Places of a word that have a column of their own in the table of random numbers below.
+PLACES = 64
+
+
+def _word_table() -> np.ndarray:
+    """A random number for each place and byte; 0 for the byte 0."""
+    out = mix(mix(np.arange(PLACES * 256, dtype=np.int64).astype(U64) + U64(0x1F83D9ABFB41BD6B)))
+    out[::256] = 0
+    return out
+
+
+_WORD_TABLE = _word_table()
 
 
 @dataclass
@@ -233,16 +245,36 @@ class Words:
     """The words of a chunk, document after document.
 
     ``hash`` has 64 bits for each word; ``first[d]`` is the index of the first
-    word of document d (one more entry ends the last).
+    word of document d (one more entry ends the last). ``codes`` are the lower-cased bytes, 0 where
+    there is no word; word i is ``codes[begin[i]:end[i]]``. Hashes only find candidates; what has to be equal is
+    compared by :meth:`spelled` or by exact numbers (:func:`numbered`).
     """
 
     hash: np.ndarray
     first: np.ndarray
+    codes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def spelled(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space after each, and where each begins (one more entry ends the last)."""
+        used = self.codes != 0
+        keep = used.copy()
+        keep[1:] |= used[:-1]
+        flat = self.codes[keep]
+        flat[flat == 0] = 0x20
+        return flat.tobytes(), np.append(0, np.cumsum(self.end - self.begin + 1))
+
+    def as_array(self) -> pa.Array:
+        """The words as an Arrow array."""
+        used = self.codes[self.codes != 0]
+        at = np.append(0, np.cumsum(self.end - self.begin)).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.begin), [None, pa.py_buffer(at), pa.py_buffer(used)])
+
 
 def words(chunk: Chunk) -> Words:
     """Words are maximal runs of digits, letters a-z (A-Z lower-cased) and non-ASCII bytes."""
@@ -260,11 +292,35 @@ def words(chunk: Chunk) -> Words:
     inside = (codes != 0).view(np.int8)
     edge = np.flatnonzero(np.diff(inside, prepend=np.int8(0)))
     begin, end = edge[0::2], edge[1::2]
-    h = prefix_hash(codes)
-    _, down = POWERS.upto(len(codes) + 1)
-    hashed = mix((h[end] - h[begin]) * down[begin])
+    hashed = mix(_word_sums(codes, begin, end) + (end - begin).astype(U64))
     first = np.searchsorted(begin, np.append(starts, len(codes)))
-    return Words(hashed, first)
+    return Words(hashed, first, codes, begin, end)
+
+
+def _word_sums(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the sum of the random numbers of its (place, byte) pairs.
+
+    Places beyond the table's get numbers of their own by mixing, so no place repeats another's.
+    """
+    if not len(begin):
+        return np.zeros(0, U64)
+    size = end - begin
+    flat = codes[codes != 0]
+    at = np.cumsum(size) - size
+    place = np.arange(len(flat), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+    value = _WORD_TABLE[((place & (PLACES - 1)) << 8) | flat]
+    if int(size.max()) > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15))
+    total = np.cumsum(value)
+    return total[at + size - 1] - total[at] + value[at]
+
+
+def numbered(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for equal values, by an exact dictionary: values are compared, not only their hashes."""
+    coded = values.dictionary_encode()
+    parts = coded.chunks if isinstance(coded, pa.ChunkedArray) else [coded]
+    return np.concatenate([np.zeros(0, np.int64), *[p.indices.to_numpy(zero_copy_only=False).astype(np.int64) for p in parts]])
 
 
 def grams(w: np.ndarray, k: int) -> np.ndarray:

@@ -13,10 +13,20 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _hook(both: DataFrame, keep_larger: bool) -> DataFrame:
-    """Link the neighbours of each node to the least of them (or to the node, if it is less)."""
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    linked = both.join(least, "a")
+#: A node of more than this share of the edges (and more than HUB edges) is a hub; so there are at most 2 * SHARE of them.
+HUB, SHARE = 100, 4096
+
+
+def _hook(both: DataFrame, keep_larger: bool, n_edges: int) -> DataFrame:
+    """Link the neighbours of each node to the least of them (or to the node, if it is less).
+
+    The edges of a hub stay where they are: the hubs' few rows go to them. All others meet by node.
+    """
+    limit = max(HUB, n_edges // SHARE)
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))  # 2 * SHARE rows at most
+    rest = both.join(hubs.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
+    linked = both.join(hubs, "a").unionByName(rest)
     if keep_larger:
         return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     near = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -37,8 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _hook(both, True).distinct()
-        small = _hook(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), False).distinct()
+        large = _hook(both, True, state[0]).distinct()
+        small = _hook(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), False, state[0]).distinct()
         now = materialize(small, "edges")
         before, state = state, _state(now)
         if state == before:

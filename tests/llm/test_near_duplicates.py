@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cliploom.llm import bagminhash as b
@@ -103,7 +105,7 @@ def test_links_out_of_the_centers_class(spark):
     far = {9: edit(), 8: edit(20), 1: edit(20, 50, 80)}
     plain = {19: other, 12: edit(20), 11: edit(20, 50)}
     rows = {**far, **plain}
-    texts = spark.createDataFrame(list(rows.items()), "id long, text string")
+    texts = spark.createDataFrame([(i, zstandard.compress(t.encode())) for i, t in rows.items()], "id long, z binary")
     key = F.when(F.col("id") < 10, 1).otherwise(2).cast("long")
     signed = texts.select("id", F.lit(96).cast("long").alias("n"), F.array(key).alias("bands"))
     got = {r.id: r.component for r in b.classify(signed, texts, 0.8).collect()}
@@ -120,6 +122,60 @@ def test_overlaps_equal_overlap():
     assert np.array_equal(b.overlaps(bags[:4], bags), [[b.overlap(x, y) for y in bags] for x in bags[:4]])
 
 
+def test_repeated_ids_in_any_order(spark, docs):
+    """Rows of one id and different texts are classed by their texts."""
+    a, c = " ".join(f"a{k}" for k in range(60)), " ".join(f"c{k}" for k in range(60))
+    rows = [(5, a), (5, c), (7, c + " end"), (9, a), (9, "a text of its own that stays"), (2, "other words that are alone")]
+    want = sorted([(5, 5), (5, 5), (7, 5), (9, 5), (9, 9), (2, 2)])
+    for order in (rows, rows[::-1]):
+        frame = docs(order).repartition(3)
+        assert sorted((r.doc_id, r.class_id) for r in b.near_duplicates(frame).collect()) == want
+        assert sorted((r.doc_id, r.text[:6]) for r in b.keep_one(frame).collect()) == sorted([(5, "a0 a1 "), (5, "c0 c1 "), (9, "a text"), (2, "other ")])
+
+
+def thue_morse(order, x="a", y="b"):
+    """Two words that any polynomial hash modulo 2**64 takes for one."""
+    for _ in range(order):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("order", [10, 11])
+def test_different_texts_of_like_words_stay_apart(spark, docs, order):
+    x, y = thue_morse(order)
+    rows = {1: x, 2: y, 3: f"{x} b c d e f", 4: f"{y} b c d e f", 5: f"{x}  b c d e f", 6: f"{y} {x} q r s t", 7: f"{x} {y} q r s t"}
+    got = {r.doc_id: r.class_id for r in b.near_duplicates(docs(rows)).collect()}
+    assert got == brute(rows) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 6, 7: 7}
+
+
+def test_recall_of_links(spark, docs):
+    """Pairs of a similarity around 0.8, each planted alone: those of 0.8 and more are found, no others."""
+    rng = random.Random(8)
+    rows = {}
+    for i in range(0, 600, 2):
+        base = [f"p{i}w{k}" for k in range(120)]
+        other = list(base)
+        for k in rng.sample(range(0, 120, 6), rng.randrange(1, 4)):
+            other[k] = f"n{i}{k}"
+        rows[i], rows[i + 1] = " ".join(base), " ".join(other)
+    got = {r.doc_id: r.class_id for r in b.near_duplicates(docs(rows)).collect()}
+    want = brute_pairs(rows)
+    assert 50 < len(want) < 300
+    linked = {i for i in rows if i % 2 and got[i] != i}
+    assert linked <= want and len(linked) >= 0.99 * len(want)
+
+
+def brute_pairs(rows):
+    return {i for i in rows if i % 2 and jaccard(bag(rows[i]), bag(rows[i - 1])) >= 0.8}
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "id", "sha", "key", "row", "c0", "node", "class_id", "z", "component"]
+    frame = spark.createDataFrame([(k, "the same few words here", *["x"] * 9) for k in (1, 2)], names)
+    kept = b.keep_one(frame)
+    assert kept.columns == names and [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_signature_estimates_weighted_jaccard():
     """The share of equal registers is unbiased for counts that differ."""
     m = 4096
@@ -138,3 +194,6 @@ def test_components_of_paths_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    many = [(1000 + k, 5000) for k in range(900)] + [(5000, 7000), (7000, 7001)]  # a node with more edges than HUB
+    got = {r.id: r.component for r in components(spark.createDataFrame(many, "a long, b long")).collect()}
+    assert set(got.values()) == {1000} and len(got) == 903
