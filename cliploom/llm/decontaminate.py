@@ -6,11 +6,13 @@ shingles; a document contains the window only if it contains the window's rarest
 shingle, so that one shingle is the whole prefix that the join needs for a
 containment of 1. Rarity is the number of occurrences over all documents. A match of
 the prefix fixes where the window would have to lie (positional bound) and whether
-it fits into the document (length bound); what passes is compared word by word.
+it fits into the document (length bound); what passes is compared with the window's
+own words, byte by byte, so hashes only ever propose.
 
-The benchmark side is cut into blocks of at most ``MAX_BLOCK_WINDOWS`` windows. A
-block is what is broadcast, so its size is bounded whatever the benchmark's size;
-the documents go through one block after the other and are never shuffled.
+The join has two forms with one result. Windows whose number and bytes are under a limit are
+broadcast as an index, and documents are never shuffled. Beyond it, prefixes are joined by a
+shuffle: a bit table of fixed size lets only words through that may be a prefix, each with the
+words around it, and a frequent prefix is salted. Both count rarity in one pass.
 """
 
 from __future__ import annotations
@@ -19,59 +21,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, carried, chunks, grams, materialize, narrow, ragged, words, worker
+from .common import U64, Chunk, Words, carried, chunks, grams, materialize, narrow, ragged, words, worker
 
-#: Words of a prefix shingle (fewer in shorter windows); windows in a broadcast block.
-SHINGLE, MAX_BLOCK_WINDOWS = 3, 200_000
+#: Words of a prefix shingle (fewer in shorter windows); windows and bytes that are broadcast at most.
+SHINGLE, MAX_BLOCK_WINDOWS, MAX_BLOCK_BYTES = 3, 200_000, 32 << 20
 SPANS = "array<struct<start:int,end:int>>"
+#: Bits of the table of tokens, as a power of two. A token that occurs in more than this share of the corpus's candidates is salted.
+SIEVE_BITS, HOT_SHARE = 26, 1024
+
+
+def text_chunk(texts: list[bytes]) -> Chunk:
+    """Some texts as one chunk."""
+    return Chunk(None, np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64))
 
 
 def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """Rows (item string, words array<long>): the distinct windows of every item."""
+    """Rows (item, window): the windows of every item, as words with a space between."""
     source = narrow(benchmark, item=item_col, text=text_col).withColumn("item", F.coalesce(F.col("item").cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, "text"):
             w = words(c)
-            items, rows = [], []
-            names = c.batch.column("item").to_pylist()
-            for d, name in enumerate(names):
-                own = w.hash[w.first[d] : w.first[d + 1]].view(np.int64)
-                if len(own):
-                    size = min(window, len(own))
-                    found = np.unique(np.lib.stride_tricks.sliding_window_view(own, size), axis=0)
-                    rows += list(found)
-                    items += [name] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rows, pa.list_(pa.int64()))], ["item", "words"])
+            flat, at = w.spelled()
+            for d, name in enumerate(c.batch.column("item").to_pylist()):
+                a, b = int(w.first[d]), int(w.first[d + 1])
+                size = min(window, b - a)
+                if size:
+                    found = {flat[at[k] : at[k + size] - 1] for k in range(a, b - size + 1)}
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string())], ["item", "window"])
+
+    return source.mapInArrow(worker(run), "item string, window string")
+
+
+def gram_rows(m: np.ndarray, k: int) -> np.ndarray:
+    """As :func:`grams`, for every row of a matrix of word hashes."""
+    flat = grams(m.ravel(), k)
+    return flat[(np.arange(len(m)) * m.shape[1])[:, None] + np.arange(m.shape[1] - k + 1)[None, :]]
 
-    return source.mapInArrow(worker(run), "item string, words array<long>")
+
+class Sieve:
+    """A bit table of tokens: no token is missed, some others pass."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.bits = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+        place = tokens >> U64(64 - SIEVE_BITS)
+        np.bitwise_or.at(self.bits, (place >> U64(3)).astype(np.int64), np.left_shift(1, (place & U64(7)).astype(np.uint8), dtype=np.uint8))
+
+    def passing(self, g: np.ndarray) -> np.ndarray:
+        place = g >> U64(64 - SIEVE_BITS)
+        return np.flatnonzero(self.bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8) & 1)
 
 
 class Index:
-    """The windows of one block, by their rarest shingle."""
-
-    def __init__(self, rows: dict[tuple[int, ...], list[str]]):
-        self.windows = list(rows)
-        self.items = [sorted(set(x)) for x in rows.values()]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.flat = np.concatenate([np.array(w, np.int64) for w in self.windows]).view(U64)
-        self.first = np.append(0, np.cumsum(self.length))
+    """The windows of a benchmark, by their rarest shingle."""
+
+    def __init__(self, windows: list[bytes], items: list[list[str]]):
+        self.windows, self.items = windows, items
+        w = words(text_chunk(windows))
+        self.length = np.diff(w.first)
         self.sizes = sorted({min(SHINGLE, n) for n in self.length.tolist()})
+        self.groups = []  # windows of one length, and the shingles of each
+        for n in sorted(set(self.length.tolist())):
+            which = np.flatnonzero(self.length == n)
+            self.groups.append((which, gram_rows(w.hash[w.first[which][:, None] + np.arange(n)[None, :]], min(SHINGLE, n))))
 
     def shingles(self) -> np.ndarray:
-        """All shingles of the block's windows, sorted."""
-        return np.unique(np.concatenate([grams(np.array(w, np.int64).view(U64), min(SHINGLE, len(w))) for w in self.windows]))
+        """All shingles of the windows, sorted."""
+        return np.unique(np.concatenate([g.ravel() for _, g in self.groups]))
 
     def order(self, tokens: np.ndarray, counts: np.ndarray) -> None:
         """Choose each window's rarest shingle; ties go to the first."""
         keys, offset = np.zeros(len(self.windows), U64), np.zeros(len(self.windows), np.int64)
-        for i, w in enumerate(self.windows):
-            g = grams(np.array(w, np.int64).view(U64), min(SHINGLE, len(w)))
-            k = int(np.argmin(counts[np.searchsorted(tokens, g)]))
-            keys[i], offset[i] = g[k], k
+        for which, g in self.groups:
+            k = np.argmin(counts[np.searchsorted(tokens, g)], axis=1)
+            keys[which], offset[which] = g[np.arange(len(k)), k], k
+        self.groups = []
         self.by = np.argsort(keys, kind="stable")
         self.offset = offset[self.by]
         self.keys, at = np.unique(keys[self.by], return_index=True)
@@ -79,11 +107,11 @@ class Index:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.keys >> U64(44)] = True
 
-    def matches(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word positions and window numbers of all occurrences."""
         starts, found = [], []
         for size in self.sizes:
-            g = grams(hashes, size)
+            g = grams(w.hash, size)
             at = np.flatnonzero(self.sieve[g >> U64(44)])
             k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
             same = self.keys[k] == g[at]
@@ -92,25 +120,18 @@ class Index:
             entry = ragged(self.bounds[k], n)
             begin = np.repeat(at, n) - self.offset[entry]
             win = self.by[entry]
-            d = np.searchsorted(first, np.repeat(at, n), side="right") - 1
-            fits = (begin >= first[d]) & (begin + self.length[win] <= first[d + 1])
+            d = np.searchsorted(w.first, np.repeat(at, n), side="right") - 1
+            fits = (begin >= w.first[d]) & (begin + self.length[win] <= w.first[d + 1])
             starts.append(begin[fits])
             found.append(win[fits])
         begin, win = np.concatenate(starts), np.concatenate(found)
-        ok = np.ones(len(begin), bool)
-        for j in range(int(self.length.max(initial=0))):
-            todo = np.flatnonzero(ok & (self.length[win] > j))
-            ok[todo] = hashes[begin[todo] + j] == self.flat[self.first[win[todo]] + j]
+        if not len(begin):
+            return begin, win
+        flat, at = w.spelled()
+        ok = [flat[a : b - 1] == self.windows[k] for a, b, k in zip(at[begin].tolist(), at[begin + self.length[win]].tolist(), win.tolist(), strict=True)]
         return begin[ok], win[ok]
 
 
-def _block_index(block: DataFrame) -> Index | None:
-    rows: dict[tuple[int, ...], list[str]] = {}
-    for words_, items in block.select("words", "items").toLocalIterator():
-        rows[tuple(words_)] = items
-    return Index(rows) if rows else None
-
-
 def _count_shingles(texts: DataFrame, tokens) -> DataFrame:
     """How often each of the broadcast shingles occurs in all documents."""
 
@@ -132,79 +153,182 @@ def _count_shingles(texts: DataFrame, tokens) -> DataFrame:
     return texts.mapInArrow(worker(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _through_block(rows: DataFrame, index, keep_text: bool) -> DataFrame:
+def _by_index(rows: DataFrame, index) -> DataFrame:
+    """Documents against a broadcast index, or None for an empty one."""
     kind = dict(rows.dtypes)["row_id"]
-    started = "spans" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for c in chunks(batches, "text"):
             w = words(c)
-            begin, win = ix.matches(w.hash, w.first)
-            change = np.zeros(len(w.hash) + 1, np.int64)
-            np.add.at(change, begin, 1)
-            np.add.at(change, begin + ix.length[win], -1)
-            hit = np.cumsum(change)[:-1] > 0
-            if started:
-                for d, spans in enumerate(c.batch.column("spans").to_pylist()):
-                    for s in spans:
-                        hit[w.first[d] + s["start"] : w.first[d] + s["end"]] = True
-            n = len(c)
-            spans_of: list[list[dict]] = [[] for _ in range(n)]
-            # Runs never cross documents: a run starts anew at each first word.
-            fresh = np.zeros(len(hit) + 1, bool)
-            fresh[w.first[:-1]] = True
-            fresh = fresh[:-1] if len(hit) else fresh[:0]
-            starts = np.flatnonzero(hit & (fresh | ~np.append(False, hit[:-1])))
-            ends = np.flatnonzero(hit & (np.append(fresh[1:], True) | ~np.append(hit[1:], False))) + 1
-            docs = np.searchsorted(w.first, starts, side="right") - 1
-            for d, a, b in zip(docs.tolist(), (starts - w.first[docs]).tolist(), (ends - w.first[docs]).tolist(), strict=True):
-                spans_of[d].append({"start": a, "end": b})
-            items: list[set] = [set() for _ in range(n)] if not started else [set(x) for x in c.batch.column("items").to_pylist()]
-            pairs = np.unique((np.searchsorted(w.first, begin, side="right") - 1) * len(ix.windows) + win)
-            for d, i in zip((pairs // len(ix.windows)).tolist(), (pairs % len(ix.windows)).tolist(), strict=True):
-                items[d].update(ix.items[i])
-            out = {"row_id": c.batch.column("row_id"), "n_words": pa.array(np.diff(w.first), pa.int64())}
-            out["spans"] = pa.array(spans_of, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            out["items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-            if keep_text:
-                out["text"] = c.batch.column("text")
+            begin, win = ix.matches(w) if ix else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            of = np.searchsorted(w.first, begin, side="right") - 1
+            spans: list[list] = [[] for _ in range(len(c))]
+            items: list[set] = [set() for _ in range(len(c))]
+            if ix:
+                order = np.argsort(begin, kind="stable")
+                for d, a, n in zip(of[order].tolist(), (begin - w.first[of])[order].tolist(), ix.length[win[order]].tolist(), strict=True):
+                    add_span(spans[d], a, a + n)
+                for p in np.unique(of * len(ix.windows) + win).tolist():
+                    items[p // len(ix.windows)].update(ix.items[p % len(ix.windows)])
+            out = {"row_id": c.batch.column("row_id"), "n_words": pa.array(np.diff(w.first), pa.int64()), "spans": _span_lists(spans), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return rows.mapInArrow(worker(run), f"row_id {kind}, n_words long, spans {SPANS}, items array<string>" + ", text string" * keep_text)
+    return rows.mapInArrow(worker(run), f"row_id {kind}, n_words long, spans {SPANS}, items array<string>")
+
+
+def add_span(spans: list[dict], start: int, end: int) -> None:
+    """Add a run of words to runs in order; runs that touch are one."""
+    if spans and start <= spans[-1]["end"]:
+        spans[-1]["end"] = max(spans[-1]["end"], end)
+    else:
+        spans.append({"start": start, "end": end})
+
+
+def _span_lists(spans: list[list[dict]]) -> pa.Array:
+    return pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+
+# ------------------------------------------------------- beyond what can be broadcast
+def _window_tokens(windows: DataFrame) -> DataFrame:
+    """Rows (win, window, items, length, offset, size, token): the shingles of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches, "window"):
+            w = words(c)
+            length = np.diff(w.first)
+            for size in range(1, SHINGLE + 1):
+                own = np.flatnonzero(np.minimum(length, SHINGLE) == size)
+                n = length[own] - size + 1
+                at, offset = ragged(w.first[own], n), ragged(np.zeros(len(n), np.int64), n)
+                out = {"win": c.batch.column("win").take(pa.array(np.repeat(own, n))), "offset": pa.array(offset.astype(np.int32)), "size": pa.array(np.full(len(at), size, np.int32))}
+                out["length"] = pa.array(np.repeat(length[own], n).astype(np.int32))
+                out["token"] = pa.array(grams(w.hash, size)[at].view(np.int64))
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return windows.select("win", "window").mapInArrow(worker(run), "win long, offset int, size int, length int, token long")
+
+
+def _sieve(tokens: DataFrame) -> Sieve:
+    """The bit table of a column ``token``, made from at most 2 ** (SIEVE_BITS - 5) numbers."""
+    place = F.shiftrightunsigned("token", 64 - SIEVE_BITS)
+    cells = tokens.select(F.shiftright(place, 5).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - SIEVE_BITS}) & 31 as int))").alias("bit"))
+    table = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = Sieve(np.zeros(0, U64))
+    out.bits.view(np.uint32)[table.column("cell").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _tokens_of(rows: DataFrame, shipped, window: int, counting: bool, salts=None) -> DataFrame:
+    """The tokens of documents that pass the sieve: their counts, or each with its row, place and the words around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, sizes = shipped.value
+        hot = salts.value if salts is not None else {}
+        for c in chunks(batches, "text"):
+            w = words(c)
+            if not counting:
+                flat, at = w.spelled()
+                numbers = c.batch.column("row").to_pylist()
+            for size in sizes:
+                g = grams(w.hash, size)
+                k = sieve.passing(g)
+                if counting:
+                    token, n = np.unique(g[k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+                    continue
+                d = np.searchsorted(w.first, k, side="right") - 1
+                low, high = np.maximum(k - window + size, w.first[d]), np.minimum(k + window, w.first[d + 1])
+                token = g[k].view(np.int64)
+                salt = [p % hot.get(t, 1) for t, p in zip(token.tolist(), k.tolist(), strict=True)]
+                around = [flat[a : b - 1] for a, b in zip(at[low].tolist(), at[high].tolist(), strict=True)]
+                out = {"token": pa.array(token), "salt": pa.array(salt, pa.int32()), "size": pa.array(np.full(len(k), size, np.int32)), "row": pa.array([numbers[x] for x in d.tolist()], pa.int64())}
+                out |= {"place": pa.array((k - w.first[d]).astype(np.int32)), "low": pa.array((k - low).astype(np.int32)), "around": pa.array(around, pa.binary()).cast(pa.string())}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    schema = "token long, n long" if counting else "token long, salt int, size int, row long, place int, low int, around string"
+    found = rows.mapInArrow(worker(run), schema)
+    return found.groupBy("token").agg(F.sum("n").alias("n")) if counting else found
+
+
+def _by_shuffle(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """Documents against any number of windows: rarest shingles are joined, then the words around them are compared."""
+    context = rows.sparkSession.sparkContext
+    kind = dict(rows.dtypes)["row_id"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for c in chunks(batches, "text"):
+            n = np.diff(words(c).first)
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(c)), pa.int64()), c.batch.column("row_id"), pa.array(n, pa.int64()), c.batch.column("text")], ["row", "row_id", "n_words", "text"])
+            row += len(c)
+
+    docs = materialize(rows.mapInArrow(worker(number), f"row long, row_id {kind}, n_words long, text string"), "numbered")
+    windows = materialize(windows.withColumn("win", F.monotonically_increasing_id()), "windows")
+    tokens = materialize(_window_tokens(windows), "tokens")
+    sizes = list(range(1, SHINGLE + 1))
+    counted = _tokens_of(docs, context.broadcast((_sieve(tokens), sizes)), window, counting=True)
+    rarity = tokens.join(counted, "token", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    prefix = materialize(rarity.groupBy("win").agg(F.min(F.struct("n", "offset", "token", "size", "length")).alias("p")).select("win", "p.*"), "prefixes")
+    each = prefix.groupBy("token").agg(F.max("n").alias("n"))
+    limit = (each.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE + 1
+    salts = {r.token: r.salts for r in each.where(F.col("n") > limit).select("token", F.ceil(F.col("n") / limit).cast("int").alias("salts")).collect()}  # HOT_SHARE tokens at most
+    candidates = _tokens_of(docs, context.broadcast((_sieve(prefix), sizes)), window, counting=False, salts=context.broadcast(salts))
+    salted = prefix.join(windows, "win").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1).cast("int") - 1)))
+    met = candidates.join(salted.select("token", "salt", "size", "offset", "length", "window", "items"), ["token", "salt", "size"]).where("offset <= low")
+    said = F.array_join(F.slice(F.split("around", " "), F.col("low") - F.col("offset") + 1, F.col("length")), " ")
+    hits = met.where(said == F.col("window")).select("row", (F.col("place") - F.col("offset")).alias("start"), "length", "items")
+    # Words, then items, are made distinct before a row's are put together.
+    found = materialize(hits, "hits")
+    runs = found.select("row", "start", "length").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("runs"))
+    names = found.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    joined = docs.select("row", "row_id", "n_words").join(runs.join(names, "row"), "row", "left")
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged: list[list] = []
+            for runs_ in batch.column("runs").to_pylist():
+                merged.append([])
+                for r in runs_ or []:
+                    add_span(merged[-1], r["start"], r["start"] + r["length"])
+            items = [x or [] for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("n_words"), _span_lists(merged), pa.array(items, pa.list_(pa.string()))], ["row_id", "n_words", "spans", "items"])
+
+    return joined.mapInArrow(worker(spans), f"row_id {kind}, n_words long, spans {SPANS}, items array<string>")
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_windows: int = MAX_BLOCK_WINDOWS
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    max_block_windows: int = MAX_BLOCK_WINDOWS, max_block_bytes: int = MAX_BLOCK_BYTES,
+) -> DataFrame:
     """Returns id_col, n_words long, spans, items array<string>: one row for each row of docs.
 
     ``spans`` are the maximal runs of words (end exclusive) that lie inside an
     occurrence of a benchmark window; ``items`` are the sorted ids, as strings, of
     the items with occurring windows. Null and empty texts have no words; an item
     without words has no window; an item id of null counts as the empty string;
-    an empty benchmark hits nothing. Repeated rows give repeated rows.
+    an empty benchmark hits nothing. Repeated rows give repeated rows. Up to ``max_block_windows``
+    distinct windows of ``max_block_bytes`` bytes, item ids included, are broadcast; more are joined by a shuffle.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = narrow(docs, row_id=id_col, text=text_col)
-    # The table is small next to the documents; equal windows of several items are one row.
-    windows = materialize(item_windows(benchmark, window, item_col, item_text_col).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
-    n_blocks = max(1, -(-windows.count() // max_block_windows))
-    while n_blocks > 1 and windows.groupBy(F.pmod(F.xxhash64("words"), F.lit(n_blocks))).count().agg(F.max("count")).first()[0] > max_block_windows:
-        n_blocks += 1
-    for b in range(n_blocks):
-        index = _block_index(windows.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == b))
-        if index is None:
-            continue
+    # Equal windows of several items are one row.
+    each = item_windows(benchmark, window, item_col, item_text_col).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    windows = materialize(each, "windows")
+    bytes_ = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda acc, x: acc + F.octet_length(x) + 8)
+    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    if n > max_block_windows or size > max_block_bytes:
+        return _by_shuffle(rows, windows, window).withColumnRenamed("row_id", id_col)
+    index = None
+    if n:
+        table = windows.orderBy("window").toArrow()
+        index = Index([x.encode() for x in table.column("window").to_pylist()], table.column("items").to_pylist())
         tokens = index.shingles()
         counts = np.zeros(len(tokens), np.int64)
-        for token, n in _count_shingles(narrow(docs, text=text_col), spark.sparkContext.broadcast((tokens, index.sizes))).toLocalIterator():
-            counts[token] = n
+        counted = _count_shingles(rows.select("text"), context.broadcast((tokens, index.sizes))).toArrow()  # a row for each token at most
+        counts[counted.column("token").to_numpy()] = counted.column("n").to_numpy()
         index.order(tokens, counts)
-        rows = _through_block(rows, spark.sparkContext.broadcast(index), keep_text=True)
-    if "spans" not in rows.columns:
-        rows = _through_block(rows, spark.sparkContext.broadcast(_Nothing()), keep_text=False)
-    return rows.drop("text").withColumnRenamed("row_id", id_col)
+    return _by_index(rows, context.broadcast(index)).withColumnRenamed("row_id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -213,17 +337,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
     return restored(find_contamination(rows, benchmark, id_col="__row", text_col="__text", **options).where("size(spans) = 0"))
 
 
-class _Nothing:
-    """The index of an empty benchmark."""
-
-    windows: list = [()]
-    items: list = []
-    length = np.zeros(1, np.int64)
-
-    def matches(self, hashes, first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])

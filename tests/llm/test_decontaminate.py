@@ -66,3 +66,24 @@ def test_empty_sides(spark, docs):
 def test_windows_never_cross_documents(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert got(d.find_contamination(docs([(1, "x a b"), (2, "c d"), (3, "A, b; C-d")]), bench)) == [(1, 3, [], []), (2, 2, [], []), (3, 4, [(0, 4)], ["1"])]
+
+
+@pytest.mark.parametrize("block", [200_000, 0])
+def test_words_of_equal_polynomial_hash(spark, docs, block):
+    """A long word that differs is not the item's word."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    say = lambda word: " ".join([f"u{k}" for k in range(5)] + [word] + [f"v{k}" for k in range(5)])
+    bench = spark.createDataFrame([("i1", say(x)), ("i2", x), ("i3", f"{x} {y}")], "item_id string, text string")
+    rows = [(1, say(x)), (2, say(y)), (3, f"q {y}"), (4, f"{y} {x}"), (5, f"{x} {y}")]
+    assert got(d.find_contamination(docs(rows), bench, max_block_windows=block)) == brute(rows, [("i1", say(x)), ("i2", x), ("i3", f"{x} {y}")])
+
+
+def test_frequent_prefixes_by_shuffle(spark, docs):
+    """A frequent prefix is salted; both forms give the same."""
+    rows = [(k, "the same few words in every document " * 3 + f"and a tail {k} one two three four five six seven eight nine {k % 4}") for k in range(200)]
+    items = [(k, f"in every document the same few words in every {k % 2}") for k in range(3)] + [(9, "the same few words in every document the same few"), (10, "same"), (11, "one two three four five six seven eight nine 3")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    large = d.find_contamination(docs(rows), bench, max_block_bytes=10)
+    assert got(large) == got(d.find_contamination(docs(rows), bench)) == brute(rows, items)
