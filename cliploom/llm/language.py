@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, carried, mix, worker
-from .sampling import bounds, sampled
+from .common import U64, carried, materialize, mix, worker
+from .sampling import TEXT_BYTES, least, place, small
 
 DIM, N = 1024, 3
-#: Training texts of a language, and languages, at most.
-PER_LANGUAGE, MAX_LANGUAGES = 3000, 256
+#: Training texts of a language at most. Every language is learnt.
+PER_LANGUAGE = 3000
+#: Languages whose prototypes (4 KB each) are broadcast at once; further ones go round by round.
+BLOCK_LANGUAGES = 4096
 UNKNOWN = "und"
 #: Below this cosine a text is about as far from every prototype as random vectors are from each other. So are
 #: clean texts of a few n-grams, so no text goes for it unless a caller asks for that.
@@ -129,16 +131,28 @@ class Profiles:
         self.languages = [languages[i] for i in order]
         self.unit = _unit(sums[order]) if languages else np.zeros((0, DIM), np.float32)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language (ties: the first in order) and cosine, 0 to 1, of each text."""
-        found, letters = bundles(texts)
+    def blocks(self, size: int) -> list[Profiles]:
+        """The languages in blocks of so many, in order; one empty block where there are none."""
+        return [self._part(slice(lo, lo + size)) for lo in range(0, max(1, len(self.languages)), size)]
+
+    def _part(self, which: slice) -> Profiles:
+        out = Profiles([], self.unit)
+        out.languages, out.unit = self.languages[which], self.unit[which]
+        return out
+
+    def nearest(self, found: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language (ties: the first in order) and cosine of each bundle; ``und`` and -2 for texts without letters."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(found), np.full(len(found), -2.0)
         cosine = _unit(found) @ self.unit.T
         best = np.argmax(cosine, axis=1)
-        score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
         known = letters > 0
-        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
+        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], np.where(known, cosine[np.arange(len(found)), best].astype(np.float64), -2.0)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and cosine, 0 to 1, of each text."""
+        names, cosine = self.nearest(*bundles(texts))
+        return names, np.clip(cosine, 0, 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -147,53 +161,80 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def learn(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> Profiles:
-    """Prototypes from at most ``per_language`` texts of each language, chosen by a hash of the id.
+    """Prototypes of all languages, from at most ``per_language`` distinct texts of each, chosen by a hash of id and text.
 
-    Rows without a language or a text teach nothing.
+    Rows without a language or a text teach nothing; nor do texts of more than ``sampling.TEXT_BYTES`` bytes. The
+    sample of a language has ``sampling.CLASS_BYTES`` bytes at most. Prototypes come to the driver, 4 KB for each language.
     """
-    limits = bounds(train.where(F.col(f"`{text_col}`").isNotNull()), lang_col, id_col, per_language, MAX_LANGUAGES)
-    if not limits:
+    text = F.col(f"`{text_col}`")
+    rows = train.select(F.col(f"`{lang_col}`").cast("string").alias("c"), place(id_col, text_col).alias("at"), text.alias("text")).where("c is not null and text is not null")
+    sample = least(rows.select("c", "at", F.octet_length("text").alias("size")), per_language)
+    tops = materialize(sample.groupBy("c").agg(F.max("at").alias("top")), "tops")
+    if tops.isEmpty():
         return Profiles([], np.zeros((0, DIM)))
-    lang = F.col(f"`{lang_col}`")
-    rows = train.where(sampled(lang, id_col, limits)).select(lang.cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    taken = rows.join(small(tops), "c").where((F.col("at") <= F.col("top")) & (F.octet_length("text") <= TEXT_BYTES)).groupBy("c", "at").agg(F.first("text").alias("text")).select(F.col("c").alias("lang"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def sums() -> pa.RecordBatch:
+            values = [np.rint(v).astype(np.int64) for v in total.values()]
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(values, pa.list_(pa.int64()))], ["lang", "v"])
+            total.clear()
+            return out
+
         for batch in batches:
             names = np.array(batch.column("lang").to_pylist(), object)
             for lo, hi, texts in _batched(batch):
                 found, _ = bundles(texts)
                 for name in set(names[lo:hi]):
                     total[name] = total.get(name, 0) + found[names[lo:hi] == name].astype(np.float64).sum(axis=0)
-        for name, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(range(DIM), pa.int32()), pa.array(np.rint(v).astype(np.int64))], ["lang", "i", "v"])
+                if len(total) > 1000:
+                    yield sums()
+        yield sums()
 
-    sums: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(worker(run), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toLocalIterator():
-        sums.setdefault(r.lang, np.zeros(DIM))[r.i] = r.v
-    return Profiles(list(sums), np.array(list(sums.values())).reshape(len(sums), DIM))
+    each = taken.mapInArrow(worker(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    table = each.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).toArrow()
+    return Profiles(table.column("lang").to_pylist(), np.array(table.column("v").to_pylist(), np.float64).reshape(-1, DIM))
 
 
-def predict(docs: DataFrame, profiles: Profiles, extra: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, profiles: Profiles, extra: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_LANGUAGES) -> DataFrame:
     """Returns id_col, lang_pred and score, and the columns in ``extra``, for each row of docs.
 
     ``und`` and 0 for texts that are null or have no letter, and for all where nothing was learnt.
-    Repeated rows give repeated rows.
+    Repeated rows give repeated rows. Of more than ``block`` languages each block meets the texts in a round of its own.
     """
     extra = extra or {}
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in extra.items()])
-    kinds, names = dict(source.dtypes), list(extra)
-    shipped = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x DIM numbers
+    now = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in extra.items()])
+    parts = profiles.blocks(block)
+    for i, part in enumerate(parts):
+        now = _round(now, part, list(extra), first=i == 0, last=i == len(parts) - 1)
+        if i < len(parts) - 1:
+            now = materialize(now, "languages")
+    return now.withColumnRenamed("id", id_col)
+
+
+def _round(rows: DataFrame, part: Profiles, names: list[str], first: bool, last: bool) -> DataFrame:
+    """Compare texts with a block of languages, and with the best of the blocks before."""
+    shipped = rows.sparkSession.sparkContext.broadcast(part)  # BLOCK_LANGUAGES x DIM numbers at most
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, texts in _batched(batch):
-                found, score = shipped.value.predict(texts)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found), pa.array(score), *[part.column(k) for k in names]], ["id", "lang_pred", "score", *names])
-
-    schema = ", ".join(f"`{k}` {v}" for k, v in [("id", kinds["id"]), ("lang_pred", "string"), ("score", "double"), *[(k, kinds[k]) for k in names]])
-    return source.mapInArrow(worker(run), schema).withColumnRenamed("id", id_col)
+                found, score = shipped.value.nearest(*bundles(texts))
+                piece = batch.slice(lo, hi - lo)
+                if not first:
+                    old, had = piece.column("lang_pred").to_pylist(), piece.column("score").to_numpy()
+                    found = [a if x >= y else b for a, b, x, y in zip(old, found, had, score, strict=True)]
+                    score = np.maximum(had, score)
+                out = {"id": piece.column("id"), "lang_pred": pa.array(found, pa.string()), "score": pa.array(np.clip(score, 0, 1) if last else score)} | {k: piece.column(k) for k in names}
+                if not last:
+                    out["text"] = piece.column("text")
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    fields = [("id", kinds["id"]), ("lang_pred", "string"), ("score", "double"), *[(k, kinds[k]) for k in names]] + [("text", "string")] * (not last)
+    return rows.mapInArrow(worker(run), ", ".join(f"`{k}` {v}" for k, v in fields))
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, min_score: float | None = None, text_col: str = "text") -> DataFrame:

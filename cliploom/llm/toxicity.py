@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD_CODES, Chunk, chunks, words, worker
 from .language import held_out
-from .sampling import bounds, sampled
+from .sampling import least, place
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 16, (3, 4, 5)
-#: Words of half a passage; passages overlap by half. Short passages keep one repeated harmless word
-#: from outweighing, and one toxic word among many from vanishing.
-HALF = 1
-#: Labelled texts of a class that training takes at most.
+#: Words of half a passage; passages overlap by half. Passages of eight words keep one toxic word in a
+#: long text from vanishing; shorter ones are surer of single words, longer ones dilute (figures in the README).
+HALF = 4
+#: Distinct labelled texts of a class that training takes at most; ``sampling`` bounds their bytes too.
 PER_CLASS = 2500
 WARM, STEPS = 30, 130
 CACHED_WORDS = 300_000
@@ -105,7 +105,7 @@ class Model:
         # The layer is linear, so a word adds one number to the difference of the two logits.
         self.part = (embedding @ (layer[1] - layer[0])).astype(np.float64)
         self.offset = float(bias[1] - bias[0])
-        self.known: dict[int, float] = {}
+        self.known: dict[bytes, float] = {}
 
     def __reduce__(self):
         return Model, (self.embedding, self.layer, self.bias)
@@ -116,37 +116,25 @@ class Model:
     def scores(self, c: Chunk) -> np.ndarray:
         """Probability of label 1 of each text of a chunk."""
         w = words(c)
-        distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        values = np.zeros(len(distinct))
+        coded = w.as_array().dictionary_encode()
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        missing = []
-        for i, h in enumerate(distinct.tolist()):
-            v = known.get(h)
+        distinct = coded.dictionary.to_pylist()
+        values = np.zeros(len(distinct))
+        for i, word in enumerate(distinct):
+            v = known.get(word)
             if v is None:
-                missing.append(i)
-            else:
-                values[i] = v
-        if missing:
-            for i, text in zip(missing, c_words(c, first[missing]), strict=True):
-                values[i] = known[int(distinct[i])] = self.word(text)
+                v = self.word(word.decode("utf-8", "replace"))
+                if len(word) <= 64:
+                    known[word] = v
+            values[i] = v
         p = Passages(np.diff(w.first))
-        logit = np.full(len(c), self.offset)
+        out = np.zeros(len(c))
         if len(p.edge):
-            logit[p.doc[p.edge]] += np.maximum.reduceat(p.means(values[inverse]), p.edge)
-        return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
-
-
-def c_words(c: Chunk, which: np.ndarray) -> list[str]:
-    """The words with these numbers, over the whole chunk, as text."""
-    codes = np.zeros(len(c.data) + len(c), np.uint8)
-    to = np.arange(len(c.data)) + np.repeat(np.arange(len(c)), np.diff(c.offsets))
-    codes[to] = WORD_CODES[c.data]
-    edge = np.flatnonzero(np.diff((codes != 0).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    begin, end = edge[0::2][which].tolist(), edge[1::2][which].tolist()
-    raw = codes.tobytes()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)]
+            logit = np.maximum.reduceat(p.means(values[coded.indices.to_numpy()]), p.edge) + self.offset
+            out[p.doc[p.edge]] = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+        return out
 
 
 def train(texts: Iterator[tuple[str, int]], seed: int = 7) -> Model:
@@ -199,19 +187,22 @@ def train(texts: Iterator[tuple[str, int]], seed: int = 7) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Train on at most ``per_class`` texts of each label, chosen by a hash of the id.
+    """Train on at most ``per_class`` distinct texts of each label, chosen by a hash of id and text.
 
     Only rows of docs with ``learnable`` count. Labels that are null teach nothing; of several labels of an id the largest counts.
+    A text of more than ``sampling.TEXT_BYTES`` bytes teaches nothing; those of a label have ``sampling.CLASS_BYTES`` bytes at most. So the
+    one task that trains holds a bounded number of bytes.
     """
-    marked = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("__label"))
-    limits = bounds(docs.where(learnable).select(F.col(f"`{id_col}`").alias("__id")).join(marked, "__id"), "__label", "__id", per_class, 2)
-    wanted = marked.where(sampled(F.col("__label"), "__id", limits))
-    source = docs.where(learnable).select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    # At most 2 x per_class ids, so they may go to every reader of the texts, and one task can train on them.
-    rows = source.join(F.broadcast(wanted), "__id").repartition(1).sortWithinPartitions("__id", "__text").select("__text", "__label")
+    marked = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("i")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("c"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    source = docs.where(learnable).select(F.col(f"`{id_col}`").alias("i"), text.alias("t")).withColumn("at", place("i", "t"))
+    # Only ids, places and sizes meet the labels; then at most 2 x per_class places go to the texts.
+    labelled = source.select("i", "at", F.octet_length("t").alias("size")).join(marked, "i").select("c", "at", "size")
+    wanted = least(labelled, per_class)
+    rows = source.select("at", "t").join(F.broadcast(wanted), "at").groupBy("at", "c").agg(F.first("t").alias("t")).repartition(1).sortWithinPartitions("c", "at").select(F.col("t").alias("text"), F.col("c").alias("label"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = ((t, y) for batch in batches for t, y in zip(batch.column("__text").to_pylist(), batch.column("__label").to_pylist(), strict=True))
+        pairs = ((t, y) for batch in batches for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True))
         m = train(pairs)
         parts = [np.ascontiguousarray(x, np.float32).tobytes() for x in (m.embedding, m.layer, m.bias)]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["embedding", "layer", "bias"])
@@ -223,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
 def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col and score, and the columns in ``extra``, for each row of docs.
 
-    Texts without words, null ones too, get the score of the bias alone. Repeated rows give repeated rows.
+    Texts without words, null ones too, have no passage and score 0. Repeated rows give repeated rows.
     """
     extra = extra or {}
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[c.alias(k) for k, c in extra.items()])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliploom.llm import language as lang
+from cliploom.llm import sampling
 from cliploom.llm import toxicity as tox
 
 SF = "/root/testdata/sf0.01"
@@ -60,6 +61,84 @@ def test_keep_known_keeps_short_texts(spark, docs):
     assert sorted(r.doc_id for r in lang.keep_known(rows, p).collect()) == [1, 2, 5, 6]
 
 
+def test_all_languages_are_learnt(spark):
+    """300 languages, in one block and in several; prediction equals brute force over all prototypes."""
+    say = lambda k, n: " ".join("".join(chr(0x3400 + (k * 31 + j * 7 + i) % 3000) for j in range(4)) for i in range(n))
+    rows = [(k * 2 + r, say(k, 5 + r), f"l{k:03d}") for k in range(300) for r in (0, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = lang.learn(frame, "doc_id", "text", "lang")
+    assert len(p.languages) == 300
+    sums = {}
+    for _, text, name in rows:
+        sums[name] = sums.get(name, 0) + lang.bundles([text])[0][0].astype(np.float64)
+    names = sorted(sums)
+    table = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    want = {}
+    for i, text, _ in rows:
+        v = lang.bundles([text])[0][0].astype(np.float64)
+        want[i] = names[int(np.argmax(table @ (v / np.linalg.norm(v))))]
+    for block in (4096, 64):
+        got = lang.predict(frame, p, {"more": F.lit(1)}, block=block)
+        assert got.columns == ["doc_id", "lang_pred", "score", "more"]
+        assert {r.doc_id: r.lang_pred for r in got.collect()} == want
+
+
+def test_samples_are_bounded(spark):
+    """Never more rows or bytes of a class than the bounds, with many rows, copies and long texts; and not many fewer."""
+    rows = spark.range(200_000).selectExpr("if(id % 3 = 0, 'a', 'b') AS c", "id AS i", "if(id % 3 = 1, 'copy', concat('text ', id)) AS t").withColumn("i", F.expr("if(t = 'copy', 1, i)"))
+    rows = rows.select("c", sampling.place("i", "t").alias("at"), F.octet_length("t").alias("size"))
+    count = lambda found: {r.c: r["count"] for r in found.groupBy("c").count().collect()}
+    got = count(sampling.least(rows, 1000))
+    assert got == {"a": 1000, "b": 1000}
+    got = count(sampling.least(rows, 1000, class_bytes=600))
+    assert 40 < got["a"] <= 60 and 40 < got["b"] <= 60
+    assert count(sampling.least(rows, 10, text_bytes=3)) == {} and count(sampling.least(rows.where("false"), 10)) == {}
+
+
+def test_toxicity_scores_equal_the_definition(spark, docs, model):
+    """Every passage by hand: the mean of its words' subword means, through the layer and softmax; the largest counts."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["bane", "horrible", "dukal", "Été", "x1", "mika-ru", "unseen" * 15]
+    rows = {k: " ".join(rng.choice(vocabulary, rng.integers(0, 40))) for k in range(40)}
+    got = scored(spark, docs, model, rows)
+    for k, text in rows.items():
+        vectors = [model.embedding[tox.subwords(x)].astype(np.float64).mean(axis=0) for x in tox.split(text)]
+        halves = [vectors[i : i + tox.HALF] for i in range(0, len(vectors), tox.HALF)]
+        passages = [a + b for a, b in zip(halves, halves[1:], strict=False)] or halves
+        best = 0.0
+        logits = [model.layer.astype(np.float64) @ np.mean(p, axis=0) + model.bias for p in passages]
+        if logits:
+            best = max(np.exp(z[1] - z.max()) / np.exp(z - z.max()).sum() for z in logits)
+        assert abs(got[k] - best) < 1e-5
+
+
+def test_toxicity_training_descends_the_loss():
+    """Against the loss and a numerical gradient step written out: training must lower the balanced loss of all passages."""
+    texts = [("good calm kind words here", 0), ("calm good people talk", 0), ("awful horrid words here", 1), ("you awful thing", 1)]
+    m = tox.train(iter(texts))
+
+    def loss(model):
+        out = 0
+        for text, y in texts:
+            mean = np.mean([model.embedding[tox.subwords(w)].mean(axis=0) for w in tox.split(text)], axis=0)
+            z = model.layer @ mean + model.bias
+            out -= np.log(np.exp(z[y] - z.max()) / np.exp(z - z.max()).sum())
+        return out / len(texts)
+
+    blank = tox.Model(np.zeros_like(m.embedding), m.layer, np.zeros(2))
+    assert loss(m) < 0.1 < loss(blank)
+
+
+def test_toxicity_held_out_at_more_rows(spark):
+    """Precision and recall on rows that were never learnt, and on long texts."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in tox.op1_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    caught = [r.predicted for r in rows if labels[r.doc_id] == 1]
+    right = [labels[r.doc_id] for r in rows if r.predicted]
+    assert np.mean(caught) > 0.7 and np.mean(right) > 0.85
+
+
 def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = tox.op1_toxicity(spark, SF).collect()

@@ -8,38 +8,15 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as p
-from cliploom.llm import bpe, language, secrets
+from cliploom.llm import bpe, secrets
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near_duplicates import brute as classes
 
 tiktoken = pytest.importorskip("tiktoken")
 
 
-def bundle(text):
-    code = [0]
-    for c in (text or "").lower():
-        x = ord(c) if c.isalpha() else 0
-        if x or code[-1]:
-            code.append(x)
-    code += [0] * bool(code[-1])
-    out = np.zeros(language.DIM)
-    for gram, n in Counter(zip(code, code[1:], code[2:], strict=False)).items():
-        v = np.ones(language.DIM)
-        for k, c in enumerate(gram):
-            v *= np.roll(language.letter_vectors(np.array([c]), language.DIM)[0], 2 - k)
-        out += n * v
-    return out
-
-
 def plain(rows, items):
-    vectors = {i: bundle(r.text) for i, r in rows.items()}
-    sums = defaultdict(lambda: np.zeros(language.DIM))
-    for i, r in rows.items():
-        if r.lang is not None and r.text is not None:
-            sums[r.lang] += vectors[i]
-    unit = lambda v: v / (np.linalg.norm(v) or 1)
-    best = {i: max(unit(v) @ unit(s) for s in sums.values()) for i, v in vectors.items()}
-    rows = {i: r for i, r in rows.items() if any(c.isalpha() for c in r.text or "") and best[i] >= language.MIN_SCORE}
+    rows = {i: r for i, r in rows.items() if any(c.isalpha() for c in r.text or "")}
     of = classes({i: r.text for i, r in rows.items()})
     rows = {i: r for i, r in rows.items() if of[i] == i}
     hit = {i for i, _, spans, _ in contaminated([(i, r.text) for i, r in rows.items()], items) if spans}
