@@ -11,8 +11,10 @@ embedded media, carved by their confirmed lengths.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,18 +26,37 @@ from pyspark.sql import functions as F
 
 from .common import narrow, worker
 
-Validator = Callable[[memoryview, int], int]
 RATE, UNIT = 8000, 64
 
 
-def _u(b: memoryview, at: int, form: str) -> int:
+class Scan(bytes):
+    """Some bytes, with what validators have found out about them, so that nothing is looked for twice."""
+
+    def __new__(cls, data: bytes):
+        out = super().__new__(cls, data)
+        out.places, out.chains = {}, {}
+        return out
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """Where a pattern matches next; -1: nowhere. All its places are found in one pass."""
+        if pattern not in self.places:
+            self.places[pattern] = [m.start() for m in re.finditer(pattern, self, re.S)]
+        found = self.places[pattern]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+
+Validator = Callable[[Scan, int], int]
+
+
+def _u(b: bytes, at: int, form: str) -> int:
     size = struct.calcsize(form)
     if at < 0 or at + size > len(b):
         raise ValueError("short")
     return struct.unpack_from(form, b, at)[0]
 
 
-def riff(b: memoryview, at: int) -> dict[bytes, tuple[int, int]]:
+def riff(b: bytes, at: int) -> dict[bytes, tuple[int, int]]:
     """Chunks of a RIFF form: name -> (start, length) of the first of that name."""
     end, pos, found = at + 8 + _u(b, at + 4, "<I"), at + 12, {}
     if end > len(b) or end < pos:
@@ -44,7 +65,7 @@ def riff(b: memoryview, at: int) -> dict[bytes, tuple[int, int]]:
         size = _u(b, pos + 4, "<I")
         if pos + 8 + size > end:
             raise ValueError("chunk")
-        found.setdefault(bytes(b[pos : pos + 4]), (pos + 8, size))
+        found.setdefault(b[pos : pos + 4], (pos + 8, size))
         pos += 8 + size + size % 2
     return found
 
@@ -67,8 +88,8 @@ def _webp(b, at):
 def _png(b, at):
     pos, first = at + 8, True
     while True:
-        size, name = _u(b, pos, ">I"), bytes(b[pos + 4 : pos + 8])
-        if first and (name != b"IHDR" or size != 13) or _u(b, pos + 8 + size, ">I") != zlib.crc32(b[pos + 4 : pos + 8 + size]):
+        size, name = _u(b, pos, ">I"), b[pos + 4 : pos + 8]
+        if first and (name != b"IHDR" or size != 13) or _u(b, pos + 8 + size, ">I") != zlib.crc32(memoryview(b)[pos + 4 : pos + 8 + size]):
             raise ValueError("chunk")
         pos, first = pos + 12 + size, False
         if name == b"IEND":
@@ -110,13 +131,12 @@ def _jpeg(b, at):
             pos += 1
             continue
         size = _u(b, pos + 2, ">H")
-        if kind < 0xC0 or size < 2:
+        if kind < 0xC0 or kind == 0xD8 or size < 2:
             raise ValueError("marker")
         pos += 2 + size
         if kind == 0xDA:  # entropy-coded bytes run to the next real marker
             scans += 1
-            while _u(b, pos, "B") != 0xFF or _u(b, pos + 1, "B") == 0 or 0xD0 <= _u(b, pos + 1, "B") <= 0xD7:
-                pos += 1
+            pos = b.next(rb"\xff[^\x00\xd0-\xd7]", pos)
 
 
 def _bmp(b, at):
@@ -129,41 +149,154 @@ def _bmp(b, at):
     return at + size
 
 
+#: FLAC: samples of a block and bits of a sample by their codes in a frame's header (0: given elsewhere).
+FLAC_BLOCKS = {1: 192} | {k: 144 << k for k in range(2, 6)} | {k: 1 << k for k in range(8, 16)}
+FLAC_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+def _crc(data: bytes, poly: int, bits: int) -> int:
+    out = 0
+    table = _crc_table(poly, bits)
+    if bits == 8:
+        for x in data:
+            out = table[out ^ x]
+        return out
+    for x in data:
+        out = (out << 8 & 0xFFFF) ^ table[out >> 8 ^ x]
+    return out
+
+
+@lru_cache(maxsize=4)
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        v = x << (bits - 8)
+        for _ in range(8):
+            v = v << 1 ^ (poly if v >> (bits - 1) & 1 else 0)
+        out.append(v & ((1 << bits) - 1))
+    return out
+
+
 def _flac(b, at):
-    """Metadata blocks, then frames up to the end of the bytes (frames carry no length)."""
-    pos, first = at + 4, True
+    """Metadata blocks, then frames, each read bit by bit to its end, up to the stream's number of samples or the last whole frame."""
+    pos, first, wanted, depth = at + 4, True, 0, 0
     while True:
         head, size = _u(b, pos, "B"), _u(b, pos, ">I") & 0xFFFFFF
-        if first and (head & 127 or size != 34) or head & 127 == 127:
+        if first and (head & 127 or size != 34) or head & 127 == 127 or pos + 4 + size > len(b):
             raise ValueError("block")
+        if first:
+            packed = _u(b, pos + 14, ">Q")  # 20 bits rate, 3 channels, 5 bits a sample, 36 samples
+            wanted, depth = packed & ((1 << 36) - 1), (packed >> 36 & 31) + 1
         pos, first = pos + 4 + size, False
         if head & 128:
             break
-    if _u(b, pos, ">H") & 0xFFFE != 0xFFF8:
+    end, samples = _flac_frame(b, pos, depth)
+    while not wanted or samples < wanted:
+        try:
+            end, more = _flac_frame(b, end, depth)
+        except ValueError:
+            break
+        samples += more
+    return end
+
+
+def _flac_frame(b, at, depth):
+    """Where the frame at a place ends, and its number of samples."""
+    if _u(b, at, ">H") & 0xFFFE != 0xFFF8:
+        raise ValueError("frame")
+    codes, kinds = _u(b, at + 2, "B"), _u(b, at + 3, "B")
+    lead = _u(b, at + 4, "B")
+    pos = at + 5 + max(0, 8 - (lead ^ 0xFF).bit_length() - 1)  # the frame's number, as UTF-8 writes numbers
+    block = codes >> 4
+    n = FLAC_BLOCKS.get(block, 0)
+    if block in (6, 7):
+        n = _u(b, pos, "B" if block == 6 else ">H") + 1
+        pos += block - 5
+    rate = codes & 15
+    pos += 1 if rate == 12 else 2 if rate in (13, 14) else 0
+    channels, bits = kinds >> 4, FLAC_BITS.get(kinds >> 1 & 7, depth if not kinds >> 1 & 7 else 0)
+    if not n or not bits or kinds & 1 or channels > 10 or rate == 15 or _u(b, pos, "B") != _crc(b[at:pos], 0x07, 8):
         raise ValueError("frame")
-    return len(b)
+    pos += 1
+    count = channels + 1 if channels < 8 else 2
+    room = b[pos : pos + count * (n * (bits + 2) + 2048) // 8 + 64]
+    line = bin(int.from_bytes(b"\1" + room, "big"))[3:]
+    i = 0
+    for c in range(count):
+        side = channels == 8 and c == 1 or channels == 9 and c == 0 or channels == 10 and c == 1
+        i = _flac_subframe(line, i, n, bits + side)
+    end = pos + -(-i // 8)
+    if _u(b, end, ">H") != _crc(b[at:end], 0x8005, 16):
+        raise ValueError("checksum")
+    return end + 2, n
+
+
+def _flac_subframe(line: str, i: int, n: int, bits: int) -> int:
+    """Bit at which a subframe ends."""
+    kind, i = int(line[i : i + 7] or "1000000", 2), i + 8
+    if line[i - 1 : i] == "1":  # bits that all samples waste, in unary
+        one = line.index("1", i)
+        bits, i = bits - (one - i + 1), one + 1
+    if kind == 0:
+        return i + bits
+    if kind == 1:
+        return i + n * bits
+    if 8 <= kind <= 12:
+        order = kind - 8
+        i += order * bits
+    elif 32 <= kind < 64:
+        order = kind - 31
+        i += order * bits
+        precision = int(line[i : i + 4], 2) + 1
+        i += 9 + order * precision
+    else:
+        raise ValueError("subframe")
+    method, parts = int(line[i : i + 2], 2), int(line[i + 2 : i + 6], 2)
+    if method > 1 or n & ((1 << parts) - 1) or n >> parts < order:
+        raise ValueError("residual")
+    i, wide = i + 6, 4 + method
+    find = line.index
+    for p in range(1 << parts):
+        size = (n >> parts) - (order if p == 0 else 0)
+        rice = int(line[i : i + wide], 2)
+        i += wide
+        if rice == (1 << wide) - 1:
+            raw = int(line[i : i + 5], 2)
+            i += 5 + raw * size
+            continue
+        rice += 1
+        for _ in range(size):
+            i = find("1", i) + rice
+    return i
 
 
 def _ogg(b, at):
-    pos, pages = at, 0
-    while bytes(b[pos : pos + 4]) == b"OggS":
-        n = _u(b, pos + 26, "B")
-        if pos + 27 + n > len(b) or _u(b, pos + 4, "B"):
-            raise ValueError("page")
-        last = _u(b, pos + 5, "B") & 4
-        pos, pages = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n]), pages + 1
-        if pos > len(b):
-            raise ValueError("page")
-        if last:
-            return pos
-    raise ValueError("no end")
+    """Pages up to the one that ends the stream. Pages of a chain have one fate, so each is read once."""
+    pos, chain, end = at, [], -1
+    while pos not in b.chains:
+        chain.append(pos)
+        if b[pos : pos + 4] != b"OggS" or pos + 27 > len(b):
+            break
+        n = b[pos + 26]
+        after = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
+        if pos + 27 + n > len(b) or b[pos + 4] or after > len(b):
+            break
+        if b[pos + 5] & 4:
+            end = after
+            break
+        pos = after
+    end = b.chains.get(pos, end)
+    b.chains.update(dict.fromkeys(chain, end))
+    if end < 0:
+        raise ValueError("no end")
+    return end
 
 
 def _mp4(b, at):
     at -= 4
     pos, seen = at, set()
     while pos + 8 <= len(b):
-        size, name = _u(b, pos, ">I"), bytes(b[pos + 4 : pos + 8])
+        size, name = _u(b, pos, ">I"), b[pos + 4 : pos + 8]
         if not name.isalnum() or not (size >= 8 or size == 1):
             break
         size = _u(b, pos + 8, ">Q") if size == 1 else size
@@ -177,38 +310,67 @@ def _mp4(b, at):
 
 
 def _au(b, at):
-    start, size, form, rate, channels = struct.unpack(">5I", bytes(b[at + 4 : at + 24]).ljust(20, b"\0"))
+    start, size, form, rate, channels = struct.unpack(">5I", b[at + 4 : at + 24].ljust(20, b"\0"))
     if start < 24 or not 1 <= form <= 27 or not rate or not channels or size == 0xFFFFFFFF or at + start + size > len(b):
         raise ValueError("header")
     return at + start + size
 
 
 def _pdf(b, at):
-    end = bytes(b[at:]).find(b"%%EOF")
-    if end < 0 or not bytes(b[at + 5 : at + 6]).isdigit() or b"startxref" not in bytes(b[at : at + end]):
+    end, table = b.next(b"%%EOF", at), b.next(b"startxref", at)
+    if end < 0 or not b[at + 5 : at + 6].isdigit() or not 0 <= table < end:
         raise ValueError("trailer")
-    return at + end + 5
+    return end + 5
 
 
 def _gzip(b, at):
-    plain = zlib.decompressobj(31)
-    rest = bytes(b[at:])
-    while rest and not plain.eof:
-        plain.decompress(rest, 1 << 20)
-        rest = plain.unconsumed_tail or (b"" if not plain.eof else rest)
-    if not plain.eof:
-        raise ValueError("cut")
-    return len(b) - len(plain.unused_data)
+    """Header, raw stream and trailer. Names in headers may be long, so streams are remembered by where they begin."""
+    flags, pos = _u(b, at + 3, "B"), at + 10
+    if flags & 0xE0:
+        raise ValueError("flags")
+    if flags & 4:
+        pos += 2 + _u(b, pos, "<H")
+    for bit in (8, 16):
+        if flags & bit:
+            pos = b.next(b"\0", pos) + 1
+            if not pos:
+                raise ValueError("name")
+    pos += 2 if flags & 2 else 0
+    key = "deflate", pos
+    if key not in b.chains:
+        b.chains[key] = _deflated(b, pos)
+    if b.chains[key] < 0:
+        raise ValueError("stream")
+    return b.chains[key]
+
+
+def _deflated(b, at) -> int:
+    """Where a raw stream and its checksum and length end; -1: it isn't one."""
+    plain, pos, crc, size = zlib.decompressobj(-15), at, 0, 0
+    step = 1 << 8
+    while not plain.eof:
+        piece = b[pos : pos + step]
+        if not piece:
+            return -1
+        pos, step = pos + len(piece), min(step * 2, 1 << 16)
+        while piece and not plain.eof:
+            try:
+                out = plain.decompress(piece, 1 << 20)
+            except zlib.error:
+                return -1
+            crc, size, piece = zlib.crc32(out, crc), size + len(out), plain.unconsumed_tail
+    end = pos - len(plain.unused_data)
+    return end + 8 if b[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else -1
 
 
 def _zip(b, at):
-    end = bytes(b[at:]).find(b"PK\5\6")
+    end = b.next(rb"PK\x05\x06", at)
     if end < 0:
         raise ValueError("no directory")
-    size, start = _u(b, at + end + 12, "<I"), _u(b, at + end + 16, "<I")
-    if start + size != end or bytes(b[at + start : at + start + 4]) != b"PK\1\2":
+    size, start = _u(b, end + 12, "<I"), _u(b, end + 16, "<I")
+    if start + size != end - at or b[at + start : at + start + 4] != b"PK\1\2":
         raise ValueError("directory")
-    return at + end + 22 + _u(b, at + end + 20, "<H")
+    return end + 22 + _u(b, end + 20, "<H")
 
 
 #: Magic bytes, type and validator. The place reported is where the magic begins.
@@ -243,35 +405,30 @@ def _automaton() -> ahocorasick.Automaton:
     return out
 
 
-def confirmed(data: bytes) -> list[tuple[str, int, int]]:
-    """All confirmed items (type, start, end) by start; of several at one place the first format's."""
-    view, out = memoryview(data), {}
+def confirmed(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """Confirmed items (type, start, end), but for those that begin inside an embedded item; of several at one place the first format's."""
+    view, edge, done = Scan(data), 0, -1
     for last, (size, which) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - size
         for i in which:
             magic, kind, validator = FORMATS[i]
             start = at - 4 if magic == b"ftyp" else at
-            if start < 0 or start in out or kind in FORM and data[at + 8 : at + 12] != FORM[kind]:
+            if start < edge or start == done or kind in FORM and data[at + 8 : at + 12] != FORM[kind]:
                 continue
             try:
                 end = validator(view, at)
             except (ValueError, KeyError, zlib.error, struct.error):
                 continue
             if start < end <= len(data):
-                out[start] = (kind, start, end)
-    return [out[k] for k in sorted(out)]
+                done = start
+                edge = end if start else edge
+                yield kind, start, end
 
 
 def sniff(data: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The type of the item that begins the bytes, and embedded items (none inside another embedded one)."""
-    kind, embedded, edge = None, [], 0
-    for item in confirmed(data):
-        if item[1] == 0:
-            kind = item[0]
-        elif item[1] >= edge:
-            embedded.append(item)
-            edge = item[2]
-    return kind, embedded
+    found = list(confirmed(data))
+    return next((kind for kind, start, _ in found if not start), None), [item for item in found if item[1]]
 
 
 def sniff_media(rows: DataFrame, id_col: str, content_col: str, declared_col: str | None = None, carve: bool = False) -> DataFrame:
@@ -312,7 +469,7 @@ def wav_of(payload: bytes, rate: int = RATE) -> bytes:
 
 def payload_of(media: bytes) -> bytes:
     """The samples that a stored WAV file holds."""
-    start, size = riff(memoryview(media), 0)[b"data"]
+    start, size = riff(media, 0)[b"data"]
     return media[start : start + size]
 
 
