@@ -2,8 +2,9 @@
 
 Patterns find candidates in each text. Every candidate value is hashed, and the
 hashes are aggregated by distinct owners and repositories over the whole corpus:
-a value that several owners have is a copied example (documentation, test
-fixtures); a value of one owner that looks random is a live-looking credential.
+a value of several owners, or of two owners in several repositories, is a copied example (documentation, test
+fixtures); any other value that looks random for its length is a live-looking credential of its owner,
+who may use it in several repositories.
 Besides the three base kinds, bare high-entropy strings are candidates; they
 become spans (kind ``bare``) only where ownership shows that they are owner-specific.
 """
@@ -33,8 +34,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A bare candidate: so many characters of the value alphabet, with a digit and letters of both cases.
 BARE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", re.S)
-#: A value of so many owners is a copied example; bits per character of a live-looking value.
-EXAMPLE_OWNERS, MIN_ENTROPY = 3, 3.0
+#: A value of so many owners, or of two owners and so many repositories, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 4
+#: Bits per character of a live-looking value; of a short one, this share of what its length allows.
+MIN_ENTROPY, ENTROPY_SHARE = 3.0, 0.8
+#: A value of more than this share of all candidates (and of more than HOT candidates) is hot: its verdict is broadcast.
+HOT, HOT_SHARE = 1000, 4096
 SPAN = "struct<kind:string,start:int,end:int,vstart:int,vend:int,hash:string,entropy:double>"
 
 
@@ -95,25 +100,32 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_cols: tuple[str, ...
 
 
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), example_owners: int = EXAMPLE_OWNERS, min_entropy: float = MIN_ENTROPY
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"),
+    example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, min_entropy: float = MIN_ENTROPY,
+) -> DataFrame:
     """Returns id_col and spans: one row for each row of docs.
 
     A span has kind, start, end (code points, end exclusive), the value's own
     vstart and vend, its hash, entropy, owners, repos (distinct, over all docs) and
-    verdict: ``example`` for a value of ``example_owners`` owners at least, ``live`` for any
-    other of ``min_entropy`` bits a character at least, else ``weak``. Spans stand by start,
+    verdict: ``example`` for a value of ``example_owners`` owners at least, or of two owners and ``example_repos``
+    repositories at least; ``live`` for any other of ``min_entropy`` bits a character at least, or of
+    ENTROPY_SHARE of the most that its length allows if that is less; else ``weak``. Spans stand by start,
     then kind. Null and empty texts have none. A null owner counts as the owner named by
     the empty string. Repeated rows give repeated rows and count once among owners.
     """
     scanned = materialize(scan(docs, id_col, text_col, owner_cols, repo_cols), "secrets")
-    each = scanned.where("size(spans) > 0").select("row", "owner", "repo", F.explode("spans").alias("s"))
+    each = scanned.where("size(spans) > 0").select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s", F.col("s.hash").alias("hash"))
     # Distinct (value, repository, owner) first, so that a value that is everywhere is a few rows.
-    owned = each.groupBy(F.col("s.hash").alias("hash"), "repo", "owner").agg(F.count("*").alias("n"))
-    owned = owned.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.select("row", "s", F.col("s.hash").alias("hash")).join(owned, "hash")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("s.entropy") >= min_entropy, "live").otherwise("weak")
-    judged = judged.select("row", "s", "owners", "repos", verdict.alias("verdict")).where("s.kind <> 'bare' or verdict = 'live'")
+    owned = each.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
+    owned = owned.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
+    owned = materialize(owned, "owners")
+    limit = max(HOT, (owned.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(owned.where(F.col("n") > limit))  # HOT_SHARE rows at most
+    told = each.join(hot.select("hash"), "hash", "left_anti").join(owned.where(F.col("n") <= limit), "hash").unionByName(each.join(hot, "hash"))
+    copied = (F.col("owners") >= example_owners) | ((F.col("owners") >= 2) & (F.col("repos") >= example_repos))
+    bits = F.least(F.lit(float(min_entropy)), F.lit(ENTROPY_SHARE) * F.log2(F.col("s.vend") - F.col("s.vstart")))
+    verdict = F.when(copied, "example").when(F.col("s.entropy") >= bits, "live").otherwise("weak")
+    judged = told.select("row", "s", "owners", "repos", verdict.alias("verdict")).where("s.kind <> 'bare' or verdict = 'live'")
     order = F.when(F.col("s.kind") == "assign", 0).when(F.col("s.kind") == "access", 1).when(F.col("s.kind") == "hex", 2).otherwise(3)
     fields = ["kind", "start", "end", "vstart", "vend", "hash", "entropy"]
     whole = F.struct(F.col("s.start").alias("at"), order.alias("o"), *[F.col(f"s.{f}").alias(f) for f in fields], "owners", "repos", "verdict")
@@ -124,35 +136,31 @@ def find_secrets(
     return out.unionByName(none).withColumnRenamed("id", id_col)
 
 
-def redact(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), mask: str = "[SECRET]", **options
-) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), mask: str = "[SECRET]", **options) -> DataFrame:
     """The rows of docs, with the values of live-looking spans replaced in the text.
 
-    All columns stay; rows without such a span stay as they are. Values that overlap are
+    All columns stay, whatever their names; rows without such a span stay as they are. Values that overlap are
     replaced together.
     """
-    # Spans go back to their rows by id and text, so rows that share an id keep apart.
-    key = F.concat_ws(":", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("string"), F.col(f"`{id_col}`").cast("string"))
-    picked = [key.alias("__key"), F.col(f"`{text_col}`").alias("__text")]
-    picked += [F.col(f"`{c}`").alias(f"__{kind}{i}") for kind, cols in (("owner", owner_cols), ("repo", repo_cols)) for i, c in enumerate(cols)]
-    source = docs.select(*picked)
-    named = {kind: tuple(c for c in source.columns if c.startswith(f"__{kind}")) for kind in ("owner", "repo")}
-    found = find_secrets(source, "__key", "__text", named["owner"], named["repo"], **options)
-    live = found.select("__key", F.expr("array_sort(transform(filter(spans, s -> s.verdict = 'live'), s -> struct(s.vstart as a, s.vend as b)))").alias("__cuts"))
-    live = live.where("size(__cuts) > 0").dropDuplicates(["__key"])
+    # A whole row is the id of its spans, so rows keep apart without a key.
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    named = {kind: {f"{kind}{i}": F.col(f"`{c}`") for i, c in enumerate(cols)} for kind, cols in (("owner", owner_cols), ("repo", repo_cols))}
+    source = docs.select(row.alias("whole"), F.col(f"`{text_col}`").alias("body"), *[c.alias(k) for cols in named.values() for k, c in cols.items()])
+    found = find_secrets(source, "whole", "body", tuple(named["owner"]), tuple(named["repo"]), **options)
+    cuts = F.expr("array_sort(transform(filter(spans, s -> s.verdict = 'live'), s -> struct(s.vstart as a, s.vend as b)))")
     merged = F.expr(
-        "aggregate(__cuts, cast(array() as array<struct<a:int,b:int>>), (acc, s) -> if(coalesce(try_element_at(acc, -1).b > s.a, false), "
+        "aggregate(cuts, cast(array() as array<struct<a:int,b:int>>), (acc, s) -> if(coalesce(try_element_at(acc, -1).b > s.a, false), "
         "concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a as a, greatest(element_at(acc, -1).b, s.b) as b))), concat(acc, array(s))))"
     )
-    both = docs.withColumn("__key", key).join(live.select("__key", merged.alias("__cuts")), "__key", "left")
-    text = F.col(f"`{text_col}`")
+    held = found.select("whole", cuts.alias("cuts")).select("whole", merged.alias("cuts"))
+    text = F.col(f"whole.c{docs.columns.index(text_col)}")
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
     masked = F.aggregate(
-        "__cuts", start, lambda acc, s: F.struct(F.concat(acc["t"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit(mask)).alias("t"), s["b"].alias("at")),
+        "cuts", start, lambda acc, s: F.struct(F.concat(acc["t"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit(mask)).alias("t"), s["b"].alias("at")),
         lambda acc: F.concat(acc["t"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return both.select(*[(F.when(F.col("__cuts").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    clean = F.when(F.size("cuts") == 0, text).otherwise(masked)
+    return held.select(*[(clean if c == text_col else F.col(f"whole.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:

@@ -12,19 +12,23 @@ task ever holds all blocks of a large file.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_tokenizer, rank_bytes
-from .common import materialize, narrow, worker
+from .common import materialize, narrow, partitions, worker
 
 #: Tokens in a block that the writer makes; blocks in a super-block.
 BLOCK_TOKENS, SUPER = 1 << 18, 1024
 WIDTHS = {2: "<u2", 4: "<u4"}
+#: Stores whose files PyArrow can read from any byte on.
+RANGED = ("file", "hdfs", "s3", "gs")
 
 
 def token_stream(docs: DataFrame, ranks: str, pattern: str, eod: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,11 +37,15 @@ def token_stream(docs: DataFrame, ranks: str, pattern: str, eod: int, width: int
     Each partition of docs is a file, cut into blocks of ``block_tokens`` ids of ``width``
     bytes. ``ended`` lists the ids, as strings, of the documents whose separator lies in the
     block; it is the writer's manifest and the scan doesn't read it. Null and empty
-    texts are a separator alone.
+    texts are a separator alone. An ``eod`` that the vocabulary uses, or that ``width`` bytes can't hold, is an error.
     """
     source = narrow(docs, row_id=id_col, text=text_col).withColumn("row_id", F.col("row_id").cast("string"))
     shipped = docs.sparkSession.sparkContext.broadcast(rank_bytes(ranks))
     kind = WIDTHS[width]
+    if eod in {int(line.split()[1]) for line in shipped.value.splitlines() if line}:
+        raise ValueError(f"{eod} is an id of the vocabulary, so it can't end documents")
+    if not 0 <= eod < 1 << 8 * width:
+        raise ValueError(f"{eod} doesn't fit into {width} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shipped.value, pattern)
@@ -75,14 +83,40 @@ def token_stream(docs: DataFrame, ranks: str, pattern: str, eod: int, width: int
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Flat token files of any Hadoop file system as rows (file string, block, data).
+    """Flat token files as rows (file string, block, data); files of any size, as each block is a byte range of its own.
 
-    A file must fit a row (2 GB). A last block that is no whole number of ids is an error of the scan.
+    Spark lists the files. Ranges are read where PyArrow knows the store (RANGED); from other stores Spark reads whole files, of
+    2 GB at most each. A last block that is no whole number of ids is an error of the scan.
     """
     size = width * block_tokens
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
-    at = files.select(F.col("path").alias("file"), "content", F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("length"), F.lit(size).cast("long"))).alias("block", "start"))
-    return at.select("file", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, cast(start as int), {size})").alias("data"))
+    scheme = F.regexp_extract("path", "^([a-z0-9]+):", 1)
+    ranges = files.where(scheme.isin(*RANGED)).select("path", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("block", "start"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, block, start in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "start")), strict=True):
+                store, inner = (fs.LocalFileSystem(), unquote(name[5:])) if name.startswith("file:") else fs.FileSystem.from_uri(name)
+                with store.open_input_file(inner) as f:
+                    yield _block_row(name, block, f.read_at(size, start))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                whole = content.as_buffer()
+                for block, start in enumerate(range(0, whole.size, size)):
+                    yield _block_row(name, block, whole.slice(start, min(size, whole.size - start)).to_pybytes())
+
+    schema = "file string, block long, data binary"
+    spread = ranges.repartition(partitions(spark), "path", "start").mapInArrow(worker(read), schema)
+    others = files.where(~scheme.isin(*RANGED))
+    if others.select("path").isEmpty():
+        return spread
+    return spread.unionByName(others.select("path", "content").mapInArrow(worker(cut), schema))
+
+
+def _block_row(file: str, block: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
 
 
 def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:

@@ -27,6 +27,7 @@ SUFFIXES, SEGMENTS = 3, 3
 MAX_TOKENS = SUFFIXES + SEGMENTS + 1
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.6
 MARK = "verdict="
+HOT_SHARE = 4096
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -107,12 +108,19 @@ def judge_urls(
         return judged.select(*out, F.coalesce("stated", F.lit(default)).alias("verdict"), F.when(F.col("stated").isNull(), "default").otherwise("stated").alias("source")).withColumnRenamed("id", id_col)
     decided = judged.where("stated is not null").select(*out, F.col("stated").alias("verdict"), F.lit("stated").alias("source"))
     held = F.array_sort(F.array_intersect(url_tokens(F.col("host"), F.col("path")), F.array(*[F.lit(t) for t in sorted(known)])))
-    rest = judged.where("stated is null").select(*out, held.alias("tokens")).withColumn("key", F.to_json(F.struct("tokens")))
-    # URLs of equal known tokens are judged once, however many they are.
-    sets = rest.where("size(tokens) > 0").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    best = fired(sets, mined).groupBy("key").agg(F.max(F.struct("confidence", "support", "verdict")).alias("best")).select("key", F.col("best.verdict").alias("verdict"))
-    told = rest.join(best, "key", "left").select(*out, F.coalesce("verdict", F.lit(default)).alias("verdict"), F.when(F.col("verdict").isNull(), "default").otherwise("mined").alias("source"))
-    return decided.unionByName(told).withColumnRenamed("id", id_col)
+    rest = judged.where("stated is null").select(*out, held.alias("tokens"))
+    # URLs of equal known tokens are judged once, however many they are; those without any are decided by no rule.
+    bare = rest.where("size(tokens) = 0").select(*out, F.lit(default).alias("verdict"), F.lit("default").alias("source"))
+    rest = rest.where("size(tokens) > 0").withColumn("key", F.to_json(F.struct("tokens")))
+    sets = rest.groupBy("key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    best = fired(sets.select("key", "tokens"), mined).groupBy("key").agg(F.max(F.struct("confidence", "support", "verdict")).alias("best")).select("key", F.col("best.verdict").alias("verdict"))
+    judged_sets = materialize(sets.select("key", "n").join(best, "key", "left"), "sets")
+    # A set of more than this share of the URLs goes to them by broadcast: HOT_SHARE sets at most. The others meet theirs by key.
+    limit = (judged_sets.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE + 1
+    hot = F.broadcast(judged_sets.where(F.col("n") > limit).drop("n"))
+    met = rest.join(hot, "key").unionByName(rest.join(hot.select("key"), "key", "left_anti").join(judged_sets.where(F.col("n") <= limit).drop("n"), "key"))
+    told = met.select(*out, F.coalesce("verdict", F.lit(default)).alias("verdict"), F.when(F.col("verdict").isNull(), "default").otherwise("mined").alias("source"))
+    return decided.unionByName(bare).unionByName(told).withColumnRenamed("id", id_col)
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -21,17 +21,19 @@ def plain(rows, items):
     rows = {i: r for i, r in rows.items() if of[i] == i}
     hit = {i for i, _, spans, _ in contaminated([(i, r.text) for i, r in rows.items()], items) if spans}
     rows = {i: r for i, r in rows.items() if i not in hit}
-    owners = defaultdict(set)
+    owners, repos = defaultdict(set), defaultdict(set)
     for r in rows.values():
         for _, _, _, a, b in secrets.candidates(r.text or ""):
             owners[r.text[a:b]].add(r.source)
+            repos[r.text[a:b]].add((r.source, r.lang))
     out = {}
     for i, r in rows.items():
         live = []
         for *_, a, b in secrets.candidates(r.text or ""):
             v = r.text[a:b]
             h = -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())
-            if len(owners[v]) < secrets.EXAMPLE_OWNERS and h >= secrets.MIN_ENTROPY:
+            copied = len(owners[v]) >= secrets.EXAMPLE_OWNERS or len(owners[v]) > 1 and len(repos[v]) >= secrets.EXAMPLE_REPOS
+            if not copied and h >= min(secrets.MIN_ENTROPY, secrets.ENTROPY_SHARE * math.log2(len(v))):
                 live.append((a, b))
         text, merged = r.text or "", []
         for a, b in sorted(live):

@@ -65,3 +65,30 @@ def test_redaction(spark, docs):
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(1, "é token = [SECRET], then"), (1, "clean"), (2, f"secret=[SECRET] and {own}"), (3, None), (None, "api_key: [SECRET]"), (5, "nothing")], key=str)
     assert s.redact(docs({})).collect() == [] and s.find_secrets(docs({})).collect() == []
+
+
+def test_repositories_and_short_values_decide(spark, docs):
+    """Two owners in few repositories share a live value; in many it is an example. Short values are judged by what their length allows."""
+    own, spread = "q9X7bLw2RtY5uZ3k", "Ex4mpleKey0fTheDocs99"
+    rows = [(i, f"token = {own}", s_, "r1") for i, s_ in ((1, "a"), (2, "b"))] + [(10 + i, f"token = {spread}", "ab"[i % 2], f"r{i // 2}") for i in range(4)]
+    rows += [(20 + i, "secret=Zk3#", "a", "r1") for i in range(2)] + [(30 + i, f"api_key={own}1", "a", f"r{i}") for i in range(6)] + [(40, "password=hunter2", "c", "r1"), (41, "password=aaaaab", "c", "r1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: [x.verdict for x in r.spans] for r in s.find_secrets(frame, repo_cols=("source", "repo")).collect()}
+    assert got[1] == got[2] == ["live"] and {v for i in range(4) for v in got[10 + i]} == {"example"}
+    assert got[20] == [] and {v for i in range(6) for v in got[30 + i]} == {"live"}
+    assert got[40] == ["live"] and got[41] == ["weak"]
+
+
+def test_hot_value(spark, docs):
+    """A value of very many candidates goes another way, with the same verdict."""
+    rows = {i: "token = Ex4mpleKey0fTheDocs99" for i in range(s.HOT + 50)} | {5000: "token = q9X7bLw2RtY5uZ3k"}
+    got = {r.doc_id: [(x.verdict, x.owners) for x in r.spans] for r in s.find_secrets(docs(rows)).collect()}
+    assert got.pop(5000) == [("live", 1)] and len(got) == s.HOT + 50 and set(map(tuple, got.values())) == {(("example", 3),)}
+
+
+def test_redaction_with_any_column_names(spark):
+    names = ["doc_id", "text", "source", "lang", "__cuts", "__key", "cuts", "whole", "row", "id", "spans", "hash", "s", "owner0", "body"]
+    frame = spark.createDataFrame([(k, "token = q9X7bLw2RtY5uZ3k", "a", "en", *["x"] * 11) for k in (1, 1, 2)], names)
+    out = s.redact(frame)
+    assert out.columns == names and [r.text for r in out.collect()] == ["token = [SECRET]"] * 3
+    assert s.find_secrets(frame).columns == ["doc_id", "spans"]

@@ -88,6 +88,30 @@ def test_stream_and_files(spark, docs, tmp_path, codec):
     assert empty.collect() == []
 
 
+def test_separators_of_the_vocabulary_are_refused(spark, docs):
+    path, pattern = bpe.default_tokenizer()
+    for eod, width in ((50255, 2), (0, 2), (70_000, 2), (-1, 4)):
+        with pytest.raises(ValueError):
+            t.token_stream(docs({1: "a"}), path, pattern, eod, width)
+
+
+def test_files_are_read_by_ranges(spark, tmp_path):
+    """Files with any name and number of blocks; a sparse file of over 2 GB has its last blocks read alone."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.bin").write_bytes(np.arange(1, 1001, dtype="<u2").tobytes())
+    blocks = t.read_token_files(spark, str(tmp_path / "in"), block_tokens=64)
+    whole = b"".join(bytes(r.data) for r in sorted(blocks.collect(), key=lambda r: r.block))
+    assert whole == np.arange(1, 1001, dtype="<u2").tobytes()
+    (tmp_path / "large").mkdir()
+    with open(tmp_path / "large" / "x.bin", "wb") as f:
+        f.truncate((1 << 31) + 1000)
+        f.seek((1 << 31) + 900)
+        f.write(np.array([7, 9], "<u2").tobytes())
+    step = 1 << 22
+    last = t.read_token_files(spark, str(tmp_path / "large"), block_tokens=step).where("block = 256").collect()
+    assert [len(r.data) for r in last] == [1000] and bytes(last[0].data[900:904]) == np.array([7, 9], "<u2").tobytes()
+
+
 def test_query_counts_equal_encoding(spark, sf):
     counts = {r.doc_id: r.n_tokens for r in t.op8_token_counts(spark, sf).collect()}
     assert counts == {r.doc_id: r.n_tokens for r in bpe.op4_byte_bpe(spark, sf).select("doc_id", "n_tokens").collect()}
