@@ -6,7 +6,8 @@ strings of a document that share a minimiser form a segment, and a segment trave
 the bucket of its minimiser, so all occurrences of a string meet in one bucket. Two
 things keep that small: first only minimisers travel (5 bytes each), and only segments
 whose minimiser occurs in a second document go on; and a pack of documents sends equal segments
-once, with the least id.
+once, with the least id. A minimiser of very many segments, such as that of a line which everyone copies, has them
+cut into single strings, which are aggregated by their own bytes, within tasks first.
 
 How they are found equal: in a bucket the suffixes of all distinct segments are
 sorted. Runs of equal leading 16 bytes come from a key sort; within a run a merge sort
@@ -36,7 +37,11 @@ from .common import BASE, POWERS, U64, Powers, chunks, give_back, materialize, m
 
 LENGTH, GRAM = 50, 16
 #: Text bytes of a pack (a longer document is a pack of its own) and of a bucket, on average.
-PACK_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
+PACK_BYTES, BUCKET_BYTES = 1 << 20, 4 << 20
+#: Packs grow with the number of buckets, so that what a pack sends to one isn't a single minimiser, up to so many bytes.
+MOST_PACK_BYTES, BYTES_A_BUCKET = 4 << 20, 340
+#: Buckets that a task works on one after the other; packs whose minimisers meet in one group.
+BUCKETS_A_TASK, GROUP_PACKS = 4, 50_000
 #: A minimiser of more segments (equal ones of a pack count once) has them cut into single strings.
 HOT_SEGMENTS = 20_000
 #: Suffixes that are sorted together.
@@ -183,32 +188,73 @@ def send_minimisers(packs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     return packs.mapInArrow(worker(run), "bucket long, pack long, fps binary, many binary, kinds binary")
 
 
-def shared_minimisers(sent: DataFrame, hot_segments: int) -> DataFrame:
-    """Rows (pack, bucket, bits, hot): which of a pack's minimisers of a bucket a second document has, and which come in over ``hot_segments`` segments."""
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Minimisers of some rows end to end, and the number of each row's."""
+    sizes = np.array([len(x) // FP_BYTES for x in blobs], np.int64)
+    fp = np.zeros((int(sizes.sum()), 8), np.uint8)
+    fp[:, :FP_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FP_BYTES)
+    return fp.view(U64).ravel(), sizes
 
-    def run(table: pa.Table) -> pa.Table:
-        blobs = table.column("fps").to_pylist()
-        sizes = np.array([len(x) // FP_BYTES for x in blobs])
-        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FP_BYTES)
-        fp = np.zeros((len(raw), 8), np.uint8)
-        fp[:, :FP_BYTES] = raw
-        _, inverse, count = np.unique(fp.view(U64).ravel(), return_inverse=True, return_counts=True)
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table.column("many").to_pylist(), sizes.tolist(), strict=True)])
-        shared = (count[inverse] > 1) | (many > 0)
-        total = np.bincount(inverse, weights=np.frombuffer(b"".join(table.column("kinds").to_pylist()), np.uint8))
-        bits, hot = ([np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])] for flags in (shared, total[inverse] > hot_segments))
-        return pa.Table.from_batches([_rows(pack=table.column("pack").to_pylist(), bucket=table.column("bucket").to_pylist(), bits=bits, hot=hot)])
-
-    return sent.groupBy("bucket").applyInArrow(run, "pack long, bucket long, bits binary, hot binary")
-
-
-def candidates(p: Pack, answers: list[dict], length: int, n_buckets: int) -> Segments:
-    """The segments whose minimiser is shared.
-
-    A minimiser of very many segments - that of a line which everyone copies, each with another
-    continuation - would bring them all into one bucket. Its segments are cut into single
-    strings, and each goes to the bucket of its own hash.
+
+def _marks(flags: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    return [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
+
+
+def _answer(table: pa.Table, shared: np.ndarray, hot: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    out = _rows(pack=table.column("pack").to_pylist(), bucket=table.column("bucket").to_pylist(), bits=_marks(shared, sizes), hot=_marks(hot, sizes))
+    return out.append_column("any", pa.array([bool(x.any()) for x in np.split(hot, np.cumsum(sizes)[:-1])]))
+
+
+ANSWER = "pack long, bucket long, bits binary, hot binary, any boolean"
+
+
+def shared_minimisers(sent: DataFrame, hot_segments: int, n_parts: int, n_groups: int) -> DataFrame:
+    """Rows (pack, bucket, bits, hot, any): which of a pack's minimisers of a bucket a second document has, and which come in over ``hot_segments`` segments.
+
+    The rows of a bucket are as many as there are packs. With ``n_groups`` groups of packs, each
+    group's minimisers are made distinct first, a bucket's groups are joined next, and the outcome goes back to the rows.
     """
+
+    def counted(table: pa.Table) -> tuple[np.ndarray, ...]:
+        fp, sizes = _unpacked(table.column("fps").to_pylist())
+        distinct, inverse, count = np.unique(fp, return_inverse=True, return_counts=True)
+        many = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table.column("many").to_pylist(), sizes.tolist(), strict=True)]])
+        kinds = b"".join(table.column("kinds").to_pylist())
+        total = np.bincount(inverse, weights=np.frombuffer(kinds, np.uint8 if len(kinds) == len(fp) else "<u4"), minlength=len(distinct))
+        return distinct, inverse, (count > 1) | (np.bincount(inverse, weights=many, minlength=len(distinct)) > 0), total, sizes
+
+    def judge(table: pa.Table) -> pa.Table:
+        _, inverse, shared, total, sizes = counted(table)
+        return pa.Table.from_batches([_answer(table, shared[inverse], total[inverse] > hot_segments, sizes)])
+
+    def combine(table: pa.Table) -> pa.Table:
+        fp, _, shared, total, _ = counted(table)
+        raw = fp.view(np.uint8).reshape(-1, 8)[:, :FP_BYTES].tobytes()
+        return pa.Table.from_batches([_rows(bucket=[table.column("bucket")[0].as_py()], fps=[raw], many=[np.packbits(shared).tobytes()], kinds=[np.minimum(total, hot_segments + 1).astype("<u4").tobytes()])])
+
+    def decide(table: pa.Table) -> pa.Table:
+        fp, _, shared, total, _ = counted(table)
+        lists = [fp[x].view(np.uint8).reshape(-1, 8)[:, :FP_BYTES].tobytes() for x in (shared, total > hot_segments)]
+        return pa.Table.from_batches([_rows(bucket=[table.column("bucket")[0].as_py()], shared=[lists[0]], busy=[lists[1]])])
+
+    def mark(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                fp, sizes = _unpacked(row.column("fps").to_pylist())
+                flags = [np.isin(fp, _unpacked(row.column(c).to_pylist())[0]) for c in ("shared", "busy")]
+                yield _answer(row, *flags, sizes)
+
+    if n_groups < 2:
+        return sent.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(judge, ANSWER)
+    sent = materialize(sent, "minimisers")
+    grouped = sent.withColumn("group", F.pmod(F.xxhash64("pack"), F.lit(n_groups))).groupBy("bucket", "group").applyInArrow(combine, "bucket long, fps binary, many binary, kinds binary")
+    decided = materialize(grouped.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(decide, "bucket long, shared binary, busy binary"), "decided")
+    return sent.join(decided, "bucket").mapInArrow(worker(mark), ANSWER)
+
+
+def candidates(p: Pack, answers: list[dict], length: int, n_buckets: int) -> tuple[Segments, np.ndarray, np.ndarray]:
+    """The segments whose minimiser is shared; for those of hot minimisers instead the first bytes and documents of their single strings."""
     fp = np.unique(p.fp)
     b = bucket_of(fp, n_buckets)
     order = np.argsort(b, kind="stable")
@@ -221,14 +267,44 @@ def candidates(p: Pack, answers: list[dict], length: int, n_buckets: int) -> Seg
     of = np.searchsorted(fp, p.fp)
     shared, hot = flags["bits"][of], flags["hot"][of]
     plain, busy = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
-    start = ragged(p.start[busy], p.count[busy])
-    h = prefix_hash(p.data)
-    _, down = POWERS.upto(len(p.data) + 1)
-    own = mix((h[start + length] - h[start]) * down[start])
-    return Segments(
-        np.append(p.start[plain], start), np.append(p.count[plain], np.ones(len(start), np.int64)),
-        np.append(p.doc[plain], np.repeat(p.doc[busy], p.count[busy])), np.append(p.fp[plain], own),
-    )
+    return Segments(p.start[plain], p.count[plain], p.doc[plain], p.fp[plain]), ragged(p.start[busy], p.count[busy]), np.repeat(p.doc[busy], p.count[busy])
+
+
+class Strings:
+    """The distinct strings at some places of a pack, in order of appearance: their bytes, least ids, and each place's string."""
+
+    def __init__(self, p: Pack, start: np.ndarray, doc: np.ndarray, length: int):
+        raw = p.data.tobytes()
+        known: dict[bytes, int] = {}
+        self.of = np.array([known.setdefault(raw[a : a + length], len(known)) for a in start.tolist()], np.int64)
+        self.text = list(known)
+        self.least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.of, p.ids[doc])
+
+
+def send_strings(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """Rows (string, pack, k, least): the single strings of a pack's hot minimisers."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, sizes, z, pack, answers in rows_of(batch, "ids", "sizes", "z", "pack", "answers"):
+                p = open_pack(ids, sizes, z, length)
+                _, start, doc = candidates(p, answers, length, n_buckets)
+                d = Strings(p, start, doc, length)
+                n = len(d.text)
+                for lo in range(0, n, 10_000):
+                    part = d.text[lo : lo + 10_000]
+                    m = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([pack] * m, pa.int64()), pa.array(range(lo, lo + m), pa.int32()), pa.array(d.least[lo : lo + m])], ["string", "pack", "k", "least"])
+
+    return rows.mapInArrow(worker(run), "string binary, pack long, k int, least long")
+
+
+def judge_strings(sent: DataFrame) -> DataFrame:
+    """Rows (pack, known): the numbers of a pack's single strings that start under a smaller id elsewhere."""
+    sent = materialize(sent, "strings")
+    least = materialize(sent.groupBy("string").agg(F.min("least").alias("m"), F.max("least").alias("x")).where("m < x").drop("x"), "least")
+    return sent.join(least, "string").where("m < least").groupBy("pack").agg(F.collect_list("k").alias("known"))
 
 
 class Distinct:
@@ -262,7 +338,7 @@ def send_segments(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
         for batch in batches:
             for ids, sizes, z, pack, answers in rows_of(batch, "ids", "sizes", "z", "pack", "answers"):
                 p = open_pack(ids, sizes, z, length)
-                d = Distinct(p, candidates(p, answers, length, n_buckets), length, n_buckets)
+                d = Distinct(p, candidates(p, answers, length, n_buckets)[0], length, n_buckets)
                 groups = [d.order[a:b].tolist() for a, b in zip(d.at.tolist(), d.ends.tolist(), strict=True)]
                 yield _rows(
                     bucket=d.buckets, pack=[pack] * len(groups), sizes=[np.array([len(d.text[k]) for k in g], np.int32).tobytes() for g in groups],
@@ -396,7 +472,7 @@ def _less(data, h, down, pos, whole, y, x, or_equal, length) -> np.ndarray:
     return out
 
 
-def judge_segments(sent: DataFrame, length: int) -> DataFrame:
+def judge_segments(sent: DataFrame, length: int, n_parts: int) -> DataFrame:
     """Rows (pack, bucket, bits): for each suffix of a pack's segments, whether its string starts under a smaller id."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -426,13 +502,13 @@ def judge_segments(sent: DataFrame, length: int) -> DataFrame:
             bits.append(np.packbits(string[ragged(base[number], count)] < np.repeat(own, count)).tobytes())
         return pa.Table.from_batches([_rows(pack=table.column("pack").to_pylist(), bucket=table.column("bucket").to_pylist(), bits=bits)])
 
-    return sent.groupBy("bucket").applyInArrow(run, "pack long, bucket long, bits binary")
+    return sent.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(run, "pack long, bucket long, bits binary")
 
 
 # ------------------------------------------------------------------- what is removed
-def removed_mask(p: Pack, answers: list[dict], verdicts: list[dict], length: int, n_buckets: int) -> np.ndarray:
+def removed_mask(p: Pack, answers: list[dict], verdicts: list[dict], known: list[int], length: int, n_buckets: int) -> np.ndarray:
     """Which bytes of a pack go."""
-    some = candidates(p, answers, length, n_buckets)
+    some, start, doc = candidates(p, answers, length, n_buckets)
     d = Distinct(p, some, length, n_buckets)
     first = np.cumsum(d.count) - d.count
     bit = np.zeros(int(d.count.sum()), bool)
@@ -444,18 +520,24 @@ def removed_mask(p: Pack, answers: list[dict], verdicts: list[dict], length: int
     count = some.count
     suffix = ragged(some.start, count)
     goes = bit[ragged(first[d.of], count)] | np.repeat(p.ids[some.doc] > d.least[d.of], count)
+    gone = suffix[goes]
+    if len(start):
+        single = Strings(p, start, doc, length)
+        elsewhere = np.zeros(len(single.text), bool)
+        elsewhere[known] = True
+        gone = np.append(gone, start[elsewhere[single.of] | (p.ids[doc] > single.least[single.of])])
     change = np.zeros(len(p.data) + 1, np.int64)
-    np.add.at(change, suffix[goes], 1)
-    np.add.at(change, suffix[goes] + length, -1)
+    np.add.at(change, gone, 1)
+    np.add.at(change, gone + length, -1)
     return np.cumsum(change)[:-1] > 0
 
 
 def apply_verdicts(rows: DataFrame, length: int, n_buckets: int, with_text: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for ids, sizes, z, answers, verdicts in rows_of(batch, "ids", "sizes", "z", "answers", "verdicts"):
+            for ids, sizes, z, answers, verdicts, known in rows_of(batch, "ids", "sizes", "z", "answers", "verdicts", "known"):
                 p = open_pack(ids, sizes, z, length)
-                gone = removed_mask(p, answers or [], verdicts or [], length, n_buckets)
+                gone = removed_mask(p, answers or [], verdicts or [], known or [], length, n_buckets)
                 kept = p.data[~gone].tobytes()
                 total = np.append(0, np.cumsum(gone))
                 at = p.offsets - total[p.offsets]
@@ -475,7 +557,9 @@ def apply_verdicts(rows: DataFrame, length: int, n_buckets: int, with_text: bool
     return rows.mapInArrow(worker(run), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, pack_bytes: int = PACK_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, pack_bytes: int | None = None, hot_segments: int = HOT_SEGMENTS, group_packs: int = GROUP_PACKS
+) -> DataFrame:
     """Returns id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary): one row for each row of docs.
 
     A byte goes if a string of ``length`` bytes covers it that also starts in a document with a
@@ -485,13 +569,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    packs = materialize(make_packs(source.where("id is not null"), pack_bytes), "packs")
-    total = packs.agg(F.sum("nbytes")).first()[0] or 0
+    total = source.where("id is not null").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = max(partitions(spark), total // BUCKET_BYTES, 1)
+    n_parts = max(partitions(spark), n_buckets // BUCKETS_A_TASK)
+    packs = materialize(make_packs(source.where("id is not null"), pack_bytes or min(MOST_PACK_BYTES, max(PACK_BYTES, BYTES_A_BUCKET * n_buckets))), "packs")
+    n_groups = -(-packs.count() // group_packs)
     gather = lambda rows, name: rows.groupBy("pack").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "pack"])).alias(name))
-    answers = materialize(gather(shared_minimisers(send_minimisers(packs, length, n_buckets), hot_segments), "answers"), "answers")
-    verdicts = materialize(gather(judge_segments(send_segments(packs.join(answers, "pack"), length, n_buckets), length), "verdicts"), "verdicts")
-    out = apply_verdicts(packs.join(answers, "pack", "left").join(verdicts, "pack", "left"), length, n_buckets, with_text)
+    found = shared_minimisers(send_minimisers(packs, length, n_buckets), hot_segments, n_parts, n_groups)
+    answers = materialize(found.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("answers"), F.max("any").alias("any")), "answers")
+    verdicts = materialize(gather(judge_segments(send_segments(packs.join(answers, "pack"), length, n_buckets), length, n_parts), "verdicts"), "verdicts")
+    known = materialize(judge_strings(send_strings(packs.join(answers.where("any"), "pack"), length, n_buckets)), "known")
+    out = apply_verdicts(packs.join(answers.drop("any"), "pack", "left").join(verdicts, "pack", "left").join(known, "pack", "left"), length, n_buckets, with_text)
     text = F.coalesce(F.col("text"), F.lit(""))
     alone = source.where("id is null").select("id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *[F.encode(text, "UTF-8").alias("kept")] * with_text)
     return out.unionByName(alone).withColumnRenamed("id", id_col)

@@ -58,11 +58,15 @@ def test_hot_minimisers_are_cut_into_strings(spark, docs):
     assert kinds.max() > 20
     b = s.bucket_of(fp, 3)
     answer = [{"bucket": k, "bits": np.packbits(many[b == k]).tobytes(), "hot": np.packbits(many[b == k]).tobytes()} for k in range(3)]
-    some = s.candidates(p, answer, 50, 3)
-    assert set(some.count.tolist()) == {1} and len(some.start) == p.count[np.isin(p.fp, fp[many])].sum()
-    text = [p.data[a : a + 50].tobytes() for a in some.start]
-    assert len({(t, f) for t, f in zip(text, some.fp.tolist(), strict=True)}) == len(set(text))
-    assert got(s.remove_repeats(docs(rows), pack_bytes=100, hot_segments=5)) == got(s.remove_repeats(docs(rows), pack_bytes=100)) == brute(rows, 50)
+    some, start, doc = s.candidates(p, answer, 50, 3)
+    assert not len(some.start) and len(start) == len(doc) == p.count[np.isin(p.fp, fp[many])].sum()
+    text = [p.data[a : a + 50].tobytes() for a in start]
+    single = s.Strings(p, start, doc, 50)
+    assert [single.text[k] for k in single.of] == text and len(single.text) == len(set(text))
+    want = brute(rows, 50)
+    assert got(s.remove_repeats(docs(rows), pack_bytes=100)) == want
+    for groups in (50_000, 7):  # packs in one group, and in several
+        assert got(s.remove_repeats(docs(rows), pack_bytes=100, hot_segments=5, group_packs=groups)) == want
 
 
 def test_long_text_and_kept_bytes(spark, docs):
