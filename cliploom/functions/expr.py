@@ -123,13 +123,13 @@ def frames(samples: Column, frame: int, hop: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(hop)), lambda s: F.slice(samples, s + 1, frame))).otherwise(F.array().cast("array<array<float>>"))
 
 
-#: SQL bodies of the element-wise functions, over ``array<array<float>>``.
+#: SQL bodies of the element-wise functions, over ``array<array<float>>``. Numbers of a row are arguments, so that they are computed once.
 SQL_FUNCTIONS = {
-    "clip_gain": ("a array<array<float>>, db double", "array<array<float>>", "transform(a, c -> transform(c, x -> cast(x * pow(10.0D, db / 20.0D) as float)))"),
+    "clip_gain": ("a array<array<float>>, db double", "array<array<float>>", "zip_with(a, array_repeat(pow(10.0D, db / 20.0D), size(a)), (c, g) -> transform(c, x -> cast(x * g as float)))"),
     "clip_invert": ("a array<array<float>>", "array<array<float>>", "transform(a, c -> transform(c, x -> cast(-x as float)))"),
     "clip_swap": ("a array<array<float>>", "array<array<float>>", "reverse(a)"),
     "clip_peak": ("a array<array<float>>", "double", "array_max(transform(flatten(a), x -> cast(abs(x) as double)))"),
-    "clip_rescale": ("a array<array<float>>", "array<array<float>>", "transform(a, c -> transform(c, x -> cast(x / greatest(array_max(transform(flatten(a), y -> cast(abs(y) as double))), 1.0D) as float)))"),
+    "clip_rescale": ("a array<array<float>>", "array<array<float>>", "zip_with(a, array_repeat(coalesce(greatest(array_max(transform(flatten(a), y -> cast(abs(y) as double))), 1.0D), 1.0D), size(a)), (c, p) -> transform(c, x -> cast(x / p as float)))"),
 }
 
 

@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 
 from ..config import Entries, flatten, in_scope, output_names, resolve
 from ..rng import Stream
-from ..schema import Leaf, check_names, is_clip, is_number_array, leaves, tree_columns
+from ..schema import HELPER, Leaf, check_names, is_clip, is_number_array, leaves, tree_columns
 
 Changed = dict[str, Column]
+ONE = f"{HELPER}_one"
 
 
 def apart(df: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def apart(df: DataFrame) -> DataFrame:
     Merged, a kernel would stand inside an array function in another kernel's argument, which Spark
     can't evaluate. Exploding an array of one element is a border that the optimizer leaves alone.
     """
-    return df.select("*", F.explode(F.array(F.lit(1))).alias("__one")).drop("__one")
+    return df.select("*", F.explode(F.array(F.lit(1))).alias(ONE)).drop(ONE)
 
 
 @dataclass
@@ -47,8 +48,7 @@ class Transform:
 
     ``defaults`` names the options and their defaults. ``before`` runs on leaves in scope
     whatever the coin says; ``apply`` is the transform itself; both take the leaf's column and a
-    Spot, and return a column. ``result`` gives the type that apply returns (the leaf's own unless
-    overridden). ``on_arrays`` makes bare number arrays leaves, besides clips; ``kernel_result`` says that Arrow
+    Spot, and return a column, which may be of another type than the leaf. ``on_arrays`` makes bare number arrays leaves, besides clips; ``kernel_result`` says that Arrow
     kernels take part.
     """
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..rng import TINY, Stream
-from ..schema import tree_columns
+from ..schema import HELPER, tree_columns
 from .base import MapTransform, Transform, apart
 
-CHOSEN = "__chosen"
+CHOSEN = f"{HELPER}_chosen"
+N, I, E = (f"{HELPER}_{c}" for c in "nie")
 
 
 class LeafFunction(MapTransform):
@@ -34,7 +35,8 @@ class Choose:
 
     Each record draws keys -ln(u)/weight and takes the c least, which is weighted drawing
     without replacement. Transforms of weight 0 are never drawn. Where a branch adds siblings,
-    records that took another have null there.
+    records that took another have null there. A branch may be a chain or another Choose: it then runs on
+    all records, and those that took another branch get their tree back.
     """
 
     def __init__(self, *transforms: Transform | Callable, c: int = 1, weights: Sequence[float] | None = None, prob: float = 1.0, seed: int = 0, name: str = "Choose"):
@@ -48,7 +50,7 @@ class Choose:
         self.drawn = [i for i, w in enumerate(weights) if w > 0]
         if c > len(self.drawn):
             raise ValueError("c is larger than the number of transforms that can be drawn")
-        self.transforms = [t if isinstance(t, (Transform, Choose)) else LeafFunction(t, seed, f"{name}[{i}]") for i, t in enumerate(transforms)]
+        self.transforms = [t if isinstance(t, (Transform, Choose, Pipeline)) else LeafFunction(t, seed, f"{name}[{i}]") for i, t in enumerate(transforms)]
         self.c, self.weights, self.prob, self.seed, self.name = c, weights, prob, seed, name
 
     def chosen(self) -> Column:
@@ -61,7 +63,7 @@ class Choose:
         return F.when(stream.uniform("prob") < self.prob, drawn).otherwise(F.array().cast("array<int>"))
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        helper = f"{CHOSEN}_{self.name}"
+        helper = f"{CHOSEN}_{len([c for c in df.columns if c.startswith(CHOSEN)])}_{self.name}"
         now = df.withColumn(helper, self.chosen())
         kernels = any(getattr(t, "kernel_result", False) for t in self.transforms)
         for stage in range(self.c):
@@ -69,9 +71,9 @@ class Choose:
         return (apart(now) if kernels else now).drop(helper)
 
     def _stage(self, df: DataFrame, which: Column, helper: str) -> DataFrame:
-        hidden = [f for f in df.schema.fields if f.name.startswith(CHOSEN)]
-        plain = df.drop(*[f.name for f in hidden])
-        branches = {i: self._columns(plain, self.transforms[i]) for i in self.drawn}
+        plain = df.drop(*[c for c in df.columns if c.startswith(HELPER)])
+        whole = [i for i in self.drawn if not isinstance(self.transforms[i], Transform)]
+        branches = {i: self.transforms[i].changes(plain) for i in self.drawn if i not in whole}
         kinds = {i: plain.select(*[c.alias(n) for n, c in b.items()]).schema if b else T.StructType() for i, b in branches.items()}
         names = [f.name for f in plain.schema.fields] + [n for b in branches.values() for n in b]
         out = {}
@@ -87,13 +89,25 @@ class Choose:
             for i in touched:
                 value = F.when(which == i, _widened(branches[i][name], kinds[i][name].dataType, merged)).otherwise(value)
             out[name] = value
-        return df.withColumns(out) if out else df
+        now = df.withColumns(out) if out else df
+        for i in whole:
+            now = self._gated(now, self.transforms[i], which == i, helper)
+        return now
 
     @staticmethod
-    def _columns(df: DataFrame, transform) -> dict[str, Column]:
-        if isinstance(transform, Choose):
-            raise TypeError("a Choose inside a Choose must be given as part of a chain")
-        return transform.changes(df)
+    def _gated(df: DataFrame, branch, taken: Column, helper: str) -> DataFrame:
+        """A branch that is no single transform: its outcome where it was taken, else the tree as it was."""
+        held, flag = f"{helper}_held", f"{helper}_taken"
+        before = {c: df.schema[c].dataType for c in tree_columns(df)}
+        done = branch(df.withColumn(flag, taken).withColumn(held, F.struct(*[F.col(f"`{c}`") for c in before])))
+        done = apart(done)
+        out = {}
+        for c in tree_columns(done):
+            now, was = done.schema[c].dataType, before.get(c)
+            merged = _union(was, now)
+            old = F.lit(None).cast(merged) if was is None else _widened(F.col(f"`{held}`")[c], was, merged)
+            out[c] = F.when(F.col(f"`{flag}`"), _widened(F.col(f"`{c}`"), now, merged)).otherwise(old)
+        return done.withColumns(out).drop(held, flag)
 
 
 def _union(a: T.DataType | None, b: T.DataType) -> T.DataType:
@@ -125,8 +139,8 @@ def _widened(col: Column, kind: T.DataType, to: T.DataType) -> Column:
 class Pipeline:
     """Transforms one after the other. Kernels of neighbours share one pass over Python."""
 
-    def __init__(self, *transforms):
-        self.transforms = transforms
+    def __init__(self, *transforms: Transform | Choose | Pipeline | Callable):
+        self.transforms = [t if isinstance(t, (Transform, Choose, Pipeline)) or not callable(t) or isinstance(t, ReduceBatch) else LeafFunction(t, name=f"Pipeline[{i}]") for i, t in enumerate(transforms)]
 
     def __call__(self, df: DataFrame) -> DataFrame:
         for t in self.transforms:
@@ -149,9 +163,9 @@ class ReduceBatch:
             raise TypeError("every tree column must be an array of batch elements")
         kept = [c for c in df.columns if c not in tree]
         zipped = F.arrays_zip(*[F.col(f"`{c}`") for c in tree])
-        rows = df.select(*kept, F.size(zipped).alias("__n"), F.posexplode(zipped).alias("__i", "__e"))
-        out = rows.withColumn("record_key", F.col("record_key") * F.col("__n") + F.col("__i")) if "record_key" in kept else rows
-        return out.select(*kept, *[F.col("__e")[c].alias(c) for c in tree])
+        rows = df.select(*kept, F.size(zipped).alias(N), F.posexplode(zipped).alias(I, E))
+        out = rows.withColumn("record_key", F.col("record_key") * F.col(N) + F.col(I)) if "record_key" in kept else rows
+        return out.select(*kept, *[F.col(E)[c].alias(c) for c in tree])
 
 
 def batch(df: DataFrame, size: int) -> DataFrame:

@@ -32,19 +32,29 @@ def _early(u, offset, duration, total, attempt, tries, low, high):
     return offset, most * (1 - share) + low(most, offset + duration) * share
 
 
-#: Searches by name: the range that a try's offset is drawn from. ``early`` moves towards the beginning.
+#: Searches by name: (u, offset, duration, total, attempt, tries, least, greatest) -> the range that a try's offset is drawn from, for
+#: numbers and columns alike. ``early`` moves towards the beginning. A search may also be given as such a function.
 SEARCHES: dict[str, Draw] = {"uniform": _uniform, "early": _early}
 
 
-def offset_value(search: str, u: float, offset: float, duration: float, total: float, attempt: int, tries: int) -> float:
-    low, high = SEARCHES[search](u, max(0.0, offset), duration, total, attempt, tries, min, max)
+def register_search(name: str, search: Draw) -> None:
+    """Make a search known by name."""
+    SEARCHES[name] = search
+
+
+def _found(search: str | Draw) -> Draw:
+    return search if callable(search) else SEARCHES[search]
+
+
+def offset_value(search: str | Draw, u: float, offset: float, duration: float, total: float, attempt: int, tries: int) -> float:
+    low, high = _found(search)(u, max(0.0, offset), duration, total, attempt, tries, min, max)
     return low + u * (high - low)
 
 
-def offset_column(search: str, u: Column, offset: Column | float, duration: float, total: Column, attempt: Column, tries: int) -> Column:
+def offset_column(search: str | Draw, u: Column, offset: Column | float, duration: float, total: Column, attempt: Column, tries: int) -> Column:
     """The same as a column."""
     start = F.greatest(F.lit(0.0), F.lit(float(offset)) if isinstance(offset, (int, float)) else offset)
-    low, high = SEARCHES[search](u, start, F.lit(float(duration)), total, attempt.cast("double"), tries, F.least, F.greatest)
+    low, high = _found(search)(u, start, F.lit(float(duration)), total, attempt.cast("double"), tries, F.least, F.greatest)
     return low + u * (high - low)
 
 
@@ -55,12 +65,12 @@ class SaliencyParams:
     enabled: bool = False
     num_tries: int = 8
     loudness_cutoff: float | None = -40.0
-    search_function: str = "uniform"
+    search_function: str | Draw = "uniform"
 
     def __post_init__(self):
         if not isinstance(self.num_tries, int) or self.num_tries < 1:
             raise ValueError("num_tries must be 1 or more")
-        if self.search_function not in SEARCHES:
+        if not callable(self.search_function) and self.search_function not in SEARCHES:
             raise ValueError(f"unknown search {self.search_function!r}; known are {', '.join(SEARCHES)}")
 
     @property

@@ -6,7 +6,6 @@ Embeddings stand in for clips: ``vec_id`` is the record key, the vector the samp
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,6 +20,7 @@ from .operators.base import MapTransform, RandomTransform
 from .operators.compose import Choose, Pipeline, ReduceBatch, batch
 from .plans import saliency as sal
 from .schema import CLIP, clip
+from .shared import mounted_dir, shared_dir
 from .sources import index as ix
 from .sources import load
 
@@ -140,14 +140,15 @@ def from_array(spark, sf_dir):
     return report(mono(spark, sf_dir), "clip")
 
 
-@query(f"SELECT * FROM (SELECT row_number() OVER (ORDER BY group_idx, folder_idx, path) - 1 AS record_key, group_name, path FROM {FILES}) WHERE record_key < 300")
+@query(f"SELECT row_number() OVER (ORDER BY group_idx, folder_idx, path) - 1 AS record_key, group_name, path FROM {FILES}")
 def simple_index(spark, sf_dir):
-    return ix.simple_index(files(spark, sf_dir), 300).select("record_key", "group_name", "path")
+    return ix.simple_index(files(spark, sf_dir)).select("record_key", "group_name", "path")
 
 
-@query(f"SELECT row_number() OVER (ORDER BY group_idx, folder_idx, path) - 1 AS record_key, path FROM {FILES}")
-def large_simple_index(spark, sf_dir):
-    return ix.large_simple_index(files(spark, sf_dir)).select("record_key", "path")
+@query(f"SELECT record_key, path FROM (SELECT row_number() OVER (ORDER BY group_idx, folder_idx, path) - 1 AS record_key, path FROM {FILES}) WHERE record_key < 300")
+def first_records(spark, sf_dir):
+    """The feature ``num_steps``: an index of so many records."""
+    return ix.SimpleSource(files(spark, sf_dir), 300).index.select("record_key", "path")
 
 
 BALANCED = """
@@ -160,16 +161,20 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY group_idx, pass ORDER BY md5((s
 """
 
 
-@query(BALANCED.format(files=f"SELECT * FROM {FILES}", steps=700) + "SELECT CAST(record_key AS BIGINT) AS record_key, group_name, path, CAST(s0 + pass AS BIGINT) AS seed FROM r WHERE record_key < 700")
+ALL = "(SELECT count(*) FROM embeddings)"
+
+
+@query(BALANCED.format(files=f"SELECT * FROM {FILES}", steps=ALL) + f"SELECT CAST(record_key AS BIGINT) AS record_key, group_name, path, CAST(s0 + pass AS BIGINT) AS seed FROM r WHERE record_key < {ALL}")
 def balanced_index(spark, sf_dir):
-    return ix.balanced_index(files(spark, sf_dir), 700).select("record_key", "group_name", "path", F.col("seed").cast("bigint").alias("seed"))
+    """As many records as there are files."""
+    rows = files(spark, sf_dir)
+    return ix.balanced_index(rows, rows.count()).select("record_key", "group_name", "path", F.col("seed").cast("bigint").alias("seed"))
 
 
-@query(f"SELECT record_key, path FROM (SELECT row_number() OVER (ORDER BY group_idx, folder_idx, path) - 1 AS record_key, path FROM {FILES}) WHERE record_key % 7 = 0")
+@query(f"SELECT k.vec_id AS record_key, path FROM embeddings k JOIN (SELECT row_number() OVER (ORDER BY group_idx, folder_idx, path) - 1 AS record_key, path FROM {FILES}) x ON x.record_key = k.vec_id")
 def record_lookup(spark, sf_dir):
-    index = ix.simple_index(files(spark, sf_dir))
-    keys = index.where(F.col("record_key") % 7 == 0).select("record_key")
-    return ix.lookup(index, keys).select("record_key", "path")
+    """All ids of the table as keys; those that the index lacks give no row."""
+    return ix.lookup(ix.simple_index(files(spark, sf_dir)), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_key"))).select("record_key", "path")
 
 
 @query("SELECT page_id, url FROM pages WHERE ends_with(lower(url), '5') OR ends_with(lower(url), 'ref=x')")
@@ -177,15 +182,38 @@ def suffix_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(e.has_extension(F.col("url"), ("5", "REF=X"))).select("page_id", "url")
 
 
-def _wav_folder(clips: DataFrame) -> str:
-    """Clips as WAV files in a folder that executors and driver share."""
-    spark = clips.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{shared.removeprefix('file://').rstrip('/')}/wav-{uuid.uuid4().hex}"
+def _wav_folder(clips: DataFrame, below: str | None = None) -> str:
+    """Clips as WAV files in a folder that executors and driver share, or in a folder below it."""
+    folder = below or f"{mounted_dir(clips.sparkSession)}/wav-{uuid.uuid4().hex}"
     load.write_wav(clips, folder, bits=-32)
     return folder
 
 
+def _remote_files(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Even and odd vectors as two groups of WAV files, listed by Spark."""
+    clips, base = mono(spark, sf_dir), f"{mounted_dir(spark)}/wav-{uuid.uuid4().hex}"
+    for name, rest in (("even", 0), ("odd", 1)):
+        _wav_folder(clips.where(F.col("record_key") % 2 == rest), f"{base}/{name}")
+    return base, ix.remote_file_table(spark, {name: [f"{base}/{name}"] for name in ("even", "odd")})
+
+
+REMOTE = "(SELECT row_number() OVER (ORDER BY vec_id % 2, printf('%d.wav', vec_id)) - 1 AS record_key, CASE vec_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS group_name, printf('%d.wav', vec_id) AS file, embedding FROM embeddings)"
+
+
+@query(f"SELECT record_key, group_name, file FROM {REMOTE}")
+def remote_index(spark, sf_dir):
+    index = ix.simple_index(_remote_files(spark, sf_dir)[1])
+    return index.select("record_key", "group_name", F.regexp_extract("path", r"[^/]+$", 0).alias("file"))
+
+
+@query(sql_report(REMOTE, "clip=embedding[9:48]", key="record_key"))
+def load_index(spark, sf_dir):
+    """Files of an index read by Spark, and an excerpt of each."""
+    base, rows = _remote_files(spark, sf_dir)
+    index = ix.simple_index(rows.withColumn("path", F.regexp_replace("path", "^file:/*", "/")))
+    return report(load.load_index(load.with_content(index, base), None, duration=40 / RATE, offset=8 / RATE), "clip")
+
+
 @query("SELECT printf('%d.wav', vec_id) AS file, 8000 AS sample_rate, 40 AS n, " + sql_sum("embedding[9:48]") + " AS total FROM embeddings")
 def clipfile_scan(spark, sf_dir):
     load.register(spark)
@@ -252,8 +280,7 @@ def stream_volume_change(spark, sf_dir):
     """The same, as a stream over the table's files."""
     from .streaming import run_transform
 
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "embeddings")
     source.select(F.col("vec_id").alias("record_key"), clip(e.from_array(F.col("embedding"), 1), RATE).alias("clip")).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
@@ -369,8 +396,39 @@ def saliency_pick(spark, sf_dir):
     return sal.pick(tries, 300.0)
 
 
+def _third(u, offset, duration, total, attempt, tries, low, high):
+    """A search that isn't known by name: the first third."""
+    return offset, high((total - duration) / 3.0, offset)
+
+
+@query(f"SELECT k AS record_key, CAST(t AS INT) AS attempt, CAST(floor({sql_u('saliency', '', 'offset', 't')} * greatest((len(a) / 10.0 - 2.0) / 3.0, 0.0) * 10000.0 + 0.5) AS BIGINT) AS offset_ FROM (SELECT k, a, unnest(generate_series(0, 3)) AS t FROM {LONG})")
+def excerpt_offset_callable(spark, sf_dir):
+    return _drawn(spark, sf_dir, _third)
+
+
+def _taps() -> str:
+    return ", ".join(repr(float(x)) for x in k.k_taps(RATE, 512))
+
+
+@query(f"""
+WITH h AS (SELECT unnest(generate_series(0, 1022)) AS j, unnest([{_taps()}]::DOUBLE[]) AS h),
+o AS (SELECT vec_id AS k, t, {sql_u('saliency', '', 'offset', 't', key='vec_id')} * (64 / 8000.0 - 0.005) AS off, embedding FROM embeddings, range(0, 4) r(t)),
+x AS (SELECT k, t, off, unnest(generate_series(0, 39)) AS p, unnest(embedding[CAST(floor(off * 8000) AS BIGINT) + 1 : CAST(floor(off * 8000) AS BIGINT) + 40]) AS x FROM o),
+y AS (SELECT k, t, off, p + j AS m, sum(CAST(x AS DOUBLE) * h) AS y FROM x, h GROUP BY k, t, off, p + j),
+l AS (SELECT k, t, off, -0.691 + 10 * log10(sum(y * y) / 3200.0) AS l FROM y GROUP BY k, t, off),
+c AS (SELECT k, coalesce(arg_min({{'t': t, 'off': off, 'l': l}}, t) FILTER (WHERE l > -34.0), arg_max({{'t': t, 'off': off, 'l': l}}, {{'l': l, 'a': -t}})) AS b FROM l GROUP BY k)
+SELECT k AS record_key, CAST(b.t AS INT) AS attempt, CAST(floor(b.off * 10000000.0 + 0.5) AS BIGINT) AS offset_, CAST(floor(b.l * 10000.0 + 0.5) AS BIGINT) AS loudness FROM c""")
+def salient_excerpt(spark, sf_dir):
+    """The first of four random excerpts of each clip that is loud enough, or the loudest, by the loudness of its samples."""
+    out = sal.salient_excerpts(mono(spark, sf_dir), 0.005, sal.SaliencyParams(True, 4, -34.0))
+    return out.select("record_key", "attempt", F.floor(F.col("offset") * 10000000.0 + 0.5).cast("bigint").alias("offset_"), whole(F.col("loudness")).alias("loudness"))
+
+
 # ------------------------------------------------------------------------ resampling
-def _resample_sql(old: int, new: int) -> str:
+def _resample_sql(old: int, new: int, count: str | None = None) -> str:
+    """``count``: how many outputs of the first 63 samples; else all whole outputs of all."""
+    source = "(SELECT vec_id, embedding[1:63] AS embedding FROM embeddings)" if count else "embeddings"
+    count = count or f"{new} * len(embedding) // {old}"
     band = min(old, new) * 0.945
     half = int(np.ceil(24 * old / band))
     return f"""
@@ -379,8 +437,8 @@ WITH kern0 AS (
   FROM range(0, {new}) a(j), range({-half}, {half + old}) b(i)),
 kern1 AS (SELECT j, i, (CASE WHEN t = 0 THEN 1.0 ELSE sin(t) / t END) * pow(cos(t / 24 / 2), 2) AS v FROM kern0),
 kern AS (SELECT j, i, v / sum(v) OVER (PARTITION BY j) AS v FROM kern1),
-x AS (SELECT vec_id AS k, unnest(generate_series(0, len(embedding) - 1)) AS p, unnest(embedding) AS x FROM embeddings),
-n AS (SELECT vec_id AS k, len(embedding) AS len, unnest(generate_series(0, {new} * len(embedding) // {old} - 1)) AS m FROM embeddings),
+x AS (SELECT vec_id AS k, unnest(generate_series(0, len(embedding) - 1)) AS p, unnest(embedding) AS x FROM {source} s),
+n AS (SELECT vec_id AS k, len(embedding) AS len, unnest(generate_series(0, {count} - 1)) AS m FROM {source} s),
 y AS (
   SELECT n.k, n.m, CAST(coalesce(sum(kern.v * CAST(x.x AS DOUBLE)), 0) AS FLOAT) AS y
   FROM n JOIN kern ON kern.j = n.m % {new} LEFT JOIN x ON x.k = n.k AND x.p = (n.m // {new}) * {old} + kern.i GROUP BY n.k, n.m)
@@ -398,6 +456,21 @@ def resample_down(spark, sf_dir):
     return report(t.Resample(4000)(mono(spark, sf_dir)), "clip")
 
 
+def _short(spark, sf_dir) -> DataFrame:
+    return mono(spark, sf_dir).select("record_key", clip(e.pad(F.col("clip.audio_data"), 63), RATE).alias("clip"))
+
+
+@query(_resample_sql(2, 3, "(3 * 63 + 1) // 2"))
+def resample_full(spark, sf_dir):
+    """One output more where the input has a rest."""
+    return report(t.Resample(12000, full=True)(_short(spark, sf_dir)), "clip")
+
+
+@query(_resample_sql(2, 3, "50"))
+def resample_output_length(spark, sf_dir):
+    return report(t.Resample(12000, output_length=50)(_short(spark, sf_dir)), "clip")
+
+
 # --------------------------------------------------------------------------- spectra
 def _spectrum_sql(phase: str | None, tail: str) -> str:
     """DFT of frames of 16 with hop 8, phases turned, inverse and overlap-add, as joins."""
@@ -433,6 +506,19 @@ def istft_identity(spark, sf_dir):
     return report(z.select("record_key", F.struct(arrow.istft(F.col("z"), F.col("n"), 16, 0.5).alias("audio_data")).alias("clip")), "clip")
 
 
+@query("SELECT vec_id // 100 AS record_key, CAST(sum(len(embedding)) AS BIGINT) AS clip_n FROM embeddings GROUP BY vec_id // 100 HAVING count(*) = 100")
+def istft_default_frame(spark, sf_dir):
+    """Clips of 6,400 samples through frames of 2,048 at hops of a quarter and a half and back: the lengths where both agree with the clip."""
+    rows = _joined(spark, sf_dir, lambda v, i: v)
+    samples = F.col("clip.audio_data")
+    out = rows
+    for name, hop in (("quarter", 0.25), ("half", 0.5)):
+        z = out.withColumn("z", arrow.stft(samples, 2048, hop))
+        out = z.withColumn(name, arrow.istft(F.col("z"), F.size(samples[0]), 2048, hop)).drop("z")
+    near = lambda name: F.forall(F.zip_with(F.flatten(samples), F.flatten(name), lambda a, b: F.abs(a - b) < 1e-4), lambda x: x)
+    return out.select("record_key", F.when(near("quarter") & near("half"), F.size(F.flatten("half"))).cast("bigint").alias("clip_n"))
+
+
 @query(_spectrum_sql("(" + sql_u("CorruptPhase", "clip", "phase", "f") + " * 2 - 1) * pi() * 0.5", OVERLAP))
 def corrupt_phase(spark, sf_dir):
     return report(t.CorruptPhase({"amount": 0.5, "frame_length": 16})(mono(spark, sf_dir)), "clip")
@@ -467,6 +553,29 @@ def integrated_loudness(spark, sf_dir):
     return t.ReplaceLoudness()(mono(spark, sf_dir)).select("record_key", whole(F.col("clip.loudness")).alias("loudness"))
 
 
+def _joined(spark, sf_dir, f) -> DataFrame:
+    """(record_key, clip): 100 neighbouring vectors end to end, each changed by f(vector, its place)."""
+    v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("record_key"), (F.col("vec_id") % 100).alias("i"), "embedding")
+    both = v.groupBy("record_key").agg(F.array_sort(F.collect_list(F.struct("i", "embedding"))).alias("v")).where("size(v) = 100")
+    return both.select("record_key", clip(F.array(F.flatten(F.transform("v", lambda x: f(x["embedding"], x["i"])))), RATE).alias("clip"))
+
+
+@query(f"""
+WITH h AS (SELECT unnest(generate_series(0, 1022)) AS j, unnest([{_taps()}]::DOUBLE[]) AS h),
+x AS (
+  SELECT vec_id // 100 AS k, (vec_id % 100) * 64 + unnest(generate_series(0, 63)) AS p, CAST(CAST(unnest(embedding) AS DOUBLE) * pow(10.0, -2.0 * ((vec_id % 100) // 20)) AS FLOAT) AS x
+  FROM embeddings WHERE vec_id // 100 IN (SELECT vec_id // 100 FROM embeddings GROUP BY 1 HAVING count(*) = 100)),
+y AS (SELECT k, p + j AS m, sum(CAST(x AS DOUBLE) * h) AS y FROM x, h WHERE p + j < 6400 GROUP BY k, p + j),
+z AS (SELECT k, b, sum(y * y) / 3200.0 AS z FROM y, range(0, 5) r(b) WHERE m >= 800 * b AND m < 800 * b + 3200 GROUP BY k, b),
+a AS (SELECT * FROM z WHERE -0.691 + 10 * log10(z) >= -70),
+g AS (SELECT k, -0.691 + 10 * log10(avg(z)) - 10 AS gate FROM a GROUP BY k)
+SELECT k AS record_key, CAST(floor((-0.691 + 10 * log10(avg(z))) * 10000.0 + 0.5) AS BIGINT) AS loudness FROM a JOIN g USING (k) WHERE -0.691 + 10 * log10(z) > gate GROUP BY k""")
+def gated_loudness(spark, sf_dir):
+    """Five blocks that fall by 40 dB a fifth of the clip: the absolute gate drops the last, the relative one others."""
+    rows = _joined(spark, sf_dir, lambda v, i: F.transform(v, lambda x: (x.cast("double") * F.pow(F.lit(10.0), F.lit(-2.0) * F.floor(i / 20))).cast("float")))
+    return t.ReplaceLoudness()(rows).select("record_key", whole(F.col("clip.loudness")).alias("loudness"))
+
+
 TARGET = f"(-30.0 + {sql_u('VolumeNorm', 'clip', 'target')} * 10.0)"
 
 
@@ -477,9 +586,9 @@ def volume_norm(spark, sf_dir):
 
 
 # -------------------------------------------------------------------------- choosing
-def _choose_sql(weights: tuple[float, ...], c: int, prob: float = 1.0) -> str:
-    keys = " UNION ALL ".join(f"SELECT k, {i} AS i, -ln(greatest({sql_u('Choose', '', 'choose', str(i))}, pow(2.0, -53))) / {w} AS key FROM {MONO}" for i, w in enumerate(weights) if w)
-    coin = f" AND {sql_u('Choose', '', 'prob')} < {prob}" if prob < 1 else ""
+def _choose_sql(weights: tuple[float, ...], c: int, prob: float = 1.0, name: str = "Choose") -> str:
+    keys = " UNION ALL ".join(f"SELECT k, {i} AS i, -ln(greatest({sql_u(name, '', 'choose', str(i))}, pow(2.0, -53))) / {w} AS key FROM {MONO}" for i, w in enumerate(weights) if w)
+    coin = f" AND {sql_u(name, '', 'prob')} < {prob}" if prob < 1 else ""
     return f"(SELECT e.k, e.a, coalesce(string_agg(i, ',' ORDER BY key), '') AS chosen FROM {MONO} e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY key) AS r FROM ({keys})) q ON q.k = e.k AND r <= {c}{coin.replace('|| k ||', '|| e.k ||')} GROUP BY e.k, e.a)"
 
 
@@ -508,6 +617,26 @@ def choose_two_weighted(spark, sf_dir):
     return report(out, "clip")
 
 
+def _scaled(factor: float, more: float = 0.0) -> str:
+    return f"list_transform(a, lambda x: CAST(CAST(CAST(CAST(x AS DOUBLE) * {factor} AS FLOAT) AS DOUBLE) * 1.0 + {more} AS FLOAT))"
+
+
+@query(sql_report(_choose_sql((1.0, 2.0), 1), f"clip=CASE chosen WHEN '0' THEN {_scaled(2.0, 1.0)} ELSE list_transform(a, lambda x: -x) END"))
+def choose_chain(spark, sf_dir):
+    return report(Choose(Pipeline(_times(2.0), _Add()), t.InvertPhase(), weights=[1.0, 2.0])(mono(spark, sf_dir)), "clip")
+
+
+@query(
+    sql_report(
+        f"(SELECT o.k, o.a, o.chosen, i.chosen AS inner_ FROM {_choose_sql((1.0, 1.0), 1, name='Outer')} o JOIN {_choose_sql((1.0, 3.0), 1, 0.7, name='Inner')} i ON i.k = o.k)",
+        f"clip=CASE WHEN chosen = '1' THEN {_scaled(3.0, 1.0)} WHEN inner_ = '0' THEN list_transform(a, lambda x: -x) WHEN inner_ = '1' THEN {_scaled(2.0)} ELSE a END",
+    )
+)
+def choose_nested(spark, sf_dir):
+    inner = Choose(t.InvertPhase(), _times(2.0), weights=[1.0, 3.0], prob=0.7, name="Inner")
+    return report(Choose(inner, Pipeline(_times(3.0), _Add()), name="Outer")(mono(spark, sf_dir)), "clip")
+
+
 def _quantise(audio: np.ndarray, rate: int) -> np.ndarray:
     """A stand-in for a codec: two codebooks of 8 levels."""
     one = np.floor((audio + 1) * 8).astype(np.int64)
@@ -531,8 +660,8 @@ def reduce_batch(spark, sf_dir):
 
 # -------------------------------------------------------------------------- flagship
 @query(
-    BALANCED.format(files=f"SELECT * FROM {FILES}", steps=2000)
-    + f""", cl AS (SELECT record_key AS k, group_name, list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * 4 AS FLOAT)) AS a FROM r JOIN embeddings ON printf('f%08d', vec_id) = path WHERE record_key < 2000),
+    BALANCED.format(files=f"SELECT * FROM {FILES}", steps=ALL)
+    + f""", cl AS (SELECT record_key AS k, group_name, list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * 4 AS FLOAT)) AS a FROM r JOIN embeddings ON printf('f%08d', vec_id) = path WHERE record_key < {ALL}),
 gn AS (SELECT k, group_name, {sql_gain('a', CHANGE)} AS a FROM (SELECT CAST(k AS BIGINT) AS k, group_name, a FROM cl)),
 pk AS (SELECT group_name, a, greatest(1.0, list_max(list_transform(a, lambda x: abs(CAST(x AS DOUBLE))))) AS p FROM gn),
 sc AS (SELECT group_name, list_transform(a, lambda x: CAST(CAST(x AS DOUBLE) / p AS FLOAT)) AS a FROM pk)
@@ -541,7 +670,8 @@ SELECT group_name, count(*) AS n, CAST(floor(max(list_max(list_transform(a, lamb
 )
 def balanced_gain_report(spark, sf_dir):
     """A group-balanced sequence of clips: seeded gain, clip protection, peak and energy by group."""
-    index = ix.balanced_index(files(spark, sf_dir), 2000).select("record_key", "group_name", "path")
+    rows = files(spark, sf_dir)
+    index = ix.balanced_index(rows, rows.count()).select("record_key", "group_name", "path")
     audio = mono(spark, sf_dir, 4.0).select(F.format_string("f%08d", "record_key").alias("path"), "clip")
     out = Pipeline(t.VolumeChange({"min_db": -12, "max_db": 6}), t.RescaleAudio())(index.join(audio, "path"))
     a = F.col("clip.audio_data")

@@ -79,8 +79,12 @@ def check_names(kind: T.StructType, path: tuple[str, ...] = ()) -> None:
             check_names(below, (*path, f.name))
 
 
+#: Names that begin so are helpers of this package, no part of the tree either.
+HELPER = "__cliploom"
+
+
 def tree_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in KEYS]
+    return [c for c in df.columns if c not in KEYS and not c.startswith(HELPER)]
 
 
 def leaves(kind: T.DataType, is_leaf: Callable[[T.DataType], bool], path: tuple[str, ...] = (), lists: int = 0) -> list[Leaf]:

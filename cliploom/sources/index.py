@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import EXTENSIONS, resolve_entry
+from ..schema import HELPER
+from ..shared import cut
+from .files import EXTENSIONS, list_remote, resolve_entry
 
 
 def file_table(spark: SparkSession, sources: Mapping[str, Sequence[str]], extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
@@ -25,12 +26,21 @@ def file_table(spark: SparkSession, sources: Mapping[str, Sequence[str]], extens
     return spark.createDataFrame(rows, "group_idx int, group_name string, folder_idx int, path string")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of ``spark.checkpoint.dir``; only where the session has none, into a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cliploom-"))
-    return df.checkpoint()
+def remote_file_table(spark: SparkSession, sources: Mapping[str, Sequence[str]], extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+    """As :func:`file_table`, for folders of any Hadoop file system: Spark lists them, and no path comes to the driver."""
+    found = None
+    for g, (name, folders) in enumerate(sources.items()):
+        for f, folder in enumerate(folders):
+            listed = list_remote(spark, folder, extensions).select(F.lit(g).alias("group_idx"), F.lit(name).alias("group_name"), F.lit(f).alias("folder_idx"), "path")
+            found = listed if found is None else found.unionByName(listed)
+    if found is None:
+        return spark.createDataFrame([], "group_idx int, group_name string, folder_idx int, path string")
+    found = cut(found, "files")
+    full = {r.group_idx for r in found.select("group_idx").distinct().collect()}  # a row for each group
+    for g, (name, folders) in enumerate(sources.items()):
+        if g not in full:
+            raise RuntimeError(f"group {name!r}: no {', '.join(extensions)} files in its {len(folders)} folders")
+    return found
 
 
 def numbered(files: DataFrame, order: Sequence[str | Column], name: str = "record_key") -> DataFrame:
@@ -39,25 +49,23 @@ def numbered(files: DataFrame, order: Sequence[str | Column], name: str = "recor
     Rows are range-partitioned by the order and numbered inside partitions; each partition then starts
     where the ones before it end. Only one count for each partition passes through one task.
     """
-    part = files.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    # Ranges are sampled, so the partitioned rows are kept: both uses below must see the same ranges.
-    part = cut(part.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = part.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return part.join(starts, "__p").withColumn(name, F.col("__start") + F.col("__i") - 1).drop("__p", "__i", "__start")
+    part, place, n, start = (f"{HELPER}_{c}" for c in ("part", "place", "n", "start"))
+    rows = files.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    # Ranges are sampled, so the partitioned rows are written: both uses below must see the same ranges.
+    rows = cut(rows.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order)).cast("bigint")), "numbered")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part).agg(F.count("*").alias(n)).select(part, F.coalesce(F.sum(n).over(before), F.lit(0).cast("bigint")).alias(start))
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col(start) + F.col(place) - 1).drop(part, place, start)  # a row for each partition
 
 
 def simple_index(files: DataFrame, num_steps: int | None = None) -> DataFrame:
     """All groups one after the other: files get keys by group, folder and path; ``num_steps`` keeps the first so many."""
-    order = Window.orderBy("group_idx", "folder_idx", "path")
-    index = files.withColumn("record_key", F.row_number().over(order).cast("bigint") - 1)
+    index = numbered(files, ["group_idx", "folder_idx", "path"])
     return index if num_steps is None else index.where(F.col("record_key") < num_steps)
 
 
-def large_simple_index(files: DataFrame, num_steps: int | None = None) -> DataFrame:
-    """As :func:`simple_index`, for tables of files too large for one task."""
-    index = numbered(files, ["group_idx", "folder_idx", "path"])
-    return index if num_steps is None else index.where(F.col("record_key") < num_steps)
+#: The same; it had a form of its own when simple_index took all files to one task.
+large_simple_index = simple_index
 
 
 def balanced_index(files: DataFrame, num_steps: int) -> DataFrame:
@@ -74,16 +82,17 @@ def balanced_index(files: DataFrame, num_steps: int) -> DataFrame:
     share = F.expr(f"({num_steps} + ng - 1) div ng")
     whole = whole.withColumn("loops", F.floor((share + F.col("n") - 1) / F.col("n")))
     before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("first_seed", F.coalesce(F.sum("loops").over(before), F.lit(0).cast("bigint")))
+    none = F.lit(0).cast("bigint")
+    whole = whole.withColumn("first_seed", F.coalesce(F.sum("loops").over(before), none)).withColumn("first_row", F.coalesce(F.sum(F.col("loops") * F.col("n")).over(before), none))
     # The number of groups bounds this side; Spark broadcasts it if it is small.
     same = Window.partitionBy("group_idx", "folder_idx", "path").orderBy("path")
     files = files.withColumn("occurrence", F.row_number().over(same))
     passes = files.join(whole, "group_idx").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("loops") - 1)))
     passes = passes.withColumn("seed", F.col("first_seed") + F.col("pass"))
     key = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("folder_idx").cast("string"), "path", F.col("occurrence").cast("string")))
-    # A pass is a window of its own, so a group with many repetitions is spread over tasks.
-    place = F.row_number().over(Window.partitionBy("group_idx", "pass").orderBy(key)).cast("bigint") - 1 + F.col("pass") * F.col("n")
-    out = passes.withColumn("record_key", place * F.col("ng") + F.col("g")).where(F.col("record_key") < num_steps)
+    # Passes follow each other in the numbering, and each has all files of its group, so a file's number gives its place in the group.
+    rows = numbered(passes.withColumn("shuffle_key", key), ["g", "pass", "shuffle_key"], "row")
+    out = rows.withColumn("record_key", (F.col("row") - F.col("first_row")) * F.col("ng") + F.col("g")).where(F.col("record_key") < num_steps)
     return out.select("record_key", "group_idx", *[c for c in files.columns if c not in ("group_idx", "occurrence")], "pass", "seed")
 
 

@@ -5,17 +5,19 @@ Offset, duration, mono and rate are applied in the reader: only the frames that
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import kernels as k
-from ..operators.arrow import audio_array
+from ..operators.arrow import audio_array, clip_arrays
 from ..plans.saliency import SaliencyParams, salient
 from ..schema import CLIP
 from . import wav
@@ -64,6 +66,29 @@ def _rows(paths: list[str], made: list[tuple[np.ndarray, int, float]], duration:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+#: Bytes of samples in a batch, about; a longer clip is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def _batched(clips: Iterator[tuple[str, tuple, object]], duration: float | None, key: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of (path, clip, record key) of bounded size."""
+    held: list[tuple] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        extra = {"record_key": pa.array([k for _, _, k in held], pa.int64())} if key else {}
+        return _rows([p for p, _, _ in held], [m for _, m, _ in held], duration, extra)
+
+    for path, made, record in clips:
+        held.append((path, made, record))
+        size += made[0].nbytes
+        if size >= BATCH_BYTES or len(held) >= 1000:
+            yield rows()
+            held, size = [], 0
+    if held:
+        yield rows()
+
+
 class ClipPartition(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -85,15 +110,16 @@ class ClipReader(DataSourceReader):
         return [ClipPartition(found[i : i + self.files]) for i in range(0, len(found), self.files)]
 
     def read(self, partition: ClipPartition) -> Iterator[pa.RecordBatch]:
-        for path in partition.paths:
+        yield from _batched(((path, self._clip(path), None) for path in partition.paths), self.duration, False)
+
+    def _clip(self, path: str) -> tuple[np.ndarray, int, float]:
+        with open(path, "rb") as f:
             if path.lower().endswith(".flac"):
-                with open(path, "rb") as f:
-                    audio, rate = wav.decode(f.read(), path, self.offset, self.duration)
+                audio, rate = wav.decode(f.read(), path, self.offset, self.duration)
             else:
-                with open(path, "rb") as f:
-                    audio, rate = wav.read(f, self.offset, self.duration)
-            audio, rate = shaped(audio, rate, self.rate, self.mono, self.duration)
-            yield _rows([path], [(audio, rate, self.offset)], self.duration, {})
+                audio, rate = wav.read(f, self.offset, self.duration)
+        audio, rate = shaped(audio, rate, self.rate, self.mono, self.duration)
+        return audio, rate, self.offset
 
 
 class ClipFiles(DataSource):
@@ -138,18 +164,18 @@ def load_index(
     source = index.select("record_key", "path", *["content"] * has)
     fields = [f.name for f in CLIP.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                key, path = row.column("record_key")[0].as_py(), row.column("path")[0].as_py()
+            for i, (key, path) in enumerate(zip(batch.column("record_key").to_pylist(), batch.column("path").to_pylist(), strict=True)):
                 if has:
-                    content = row.column("content")[0].as_py()
+                    content = batch.column("content")[i].as_py()
                 else:
                     with open(path, "rb") as f:
                         content = f.read()
-                made = load(content, path, key, sample_rate, mono, offset, duration, saliency, seed)
-                yield _rows([path], [made], duration, {"record_key": row.column("record_key")})
+                yield path, load(content, path, key, sample_rate, mono, offset, duration, saliency, seed), key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched(clips(batches), duration, True)
 
     schema = T.StructType([T.StructField("record_key", T.LongType()), *ROW.fields])
     return source.mapInArrow(run, schema).select("record_key", F.struct(*fields).alias("clip"))
@@ -157,15 +183,17 @@ def load_index(
 
 def write_wav(clips: DataFrame, directory: str, clip_col: str = "clip", bits: int = 16) -> None:
     """Write each record's clip as <record_key>.wav into a directory that all executors share."""
+    source = clips.select(F.col("record_key").cast("bigint").alias("k"), F.col(clip_col)["audio_data"].alias("a"), F.col(clip_col)["sample_rate"].alias("r"))
 
-    def run(rows) -> None:
-        import os
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(directory, exist_ok=True)
-        for r in rows:
-            to = os.path.join(directory, f"{r['record_key']}.wav")
-            with open(f"{to}.part", "wb") as f:  # a task that runs again writes the same file
-                f.write(wav.encode(np.array(r[clip_col]["audio_data"], np.float64), r[clip_col]["sample_rate"], bits))
-            os.replace(f"{to}.part", to)
-
-    clips.select("record_key", clip_col).foreachPartition(run)
+        for batch in batches:
+            for key, audio, rate in zip(batch.column("k").to_pylist(), clip_arrays(batch.column("a")), batch.column("r").to_pylist(), strict=True):
+                to = os.path.join(directory, f"{key}.wav")
+                part = f"{to}.{TaskContext.get().taskAttemptId()}.part"
+                with open(part, "wb") as f:  # a task that runs again writes the same file
+                    f.write(wav.encode(audio, rate, bits))
+                os.replace(part, to)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    source.mapInArrow(run, "n long").agg(F.sum("n")).collect()
