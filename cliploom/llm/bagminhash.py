@@ -400,7 +400,7 @@ def _classified(docs: DataFrame, threshold: float, bands: int, rows: int, id_col
     least = materialize(placed.groupBy("component").agg(F.min("text_id").alias("class_id")), "least")
     placed = placed.join(least, "component").select("key", "class_id")
     named = texts.select("key", "text_id").join(placed, "key", "left").select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
-    out = known.select("id", "sha", "key", "n").join(materialize(named, "named"), "key").select("id", "sha", "class_id", "text_id", F.col("n").alias("n_shingles"))
+    out = known.select("id", "sha", "key", "n").join(named, "key").select("id", "sha", "class_id", "text_id", F.col("n").alias("n_shingles"))
     none = F.lit(None).cast("long")
     return out.unionByName(signed.where("id is null").select("id", "sha", none.alias("class_id"), none.alias("text_id"), F.col("n").alias("n_shingles")))
 

@@ -14,19 +14,28 @@ from .common import materialize
 
 
 #: A node of more than this share of the edges (and more than HUB edges) is a hub; so there are at most 2 * SHARE of them.
-HUB, SHARE = 100, 4096
+HUB, SHARE = 400, 4096
 
 
-def _hook(both: DataFrame, keep_larger: bool, n_edges: int) -> DataFrame:
+def _hubs(both: DataFrame, n_edges: int) -> tuple[set[int], set[int]]:
+    """The hubs, and the nodes that their neighbours will be linked to, which may be hubs next."""
+    limit = max(HUB, n_edges // SHARE)
+    found = both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).where(F.col("n") > limit).select("a", "m").collect()
+    return {r.a for r in found}, {r.a for r in found} | {min(r.a, r.m) for r in found}
+
+
+def _hook(both: DataFrame, keep_larger: bool, hubs: set[int]) -> DataFrame:
     """Link the neighbours of each node to the least of them (or to the node, if it is less).
 
     The edges of a hub stay where they are: the hubs' few rows go to them. All others meet by node.
     """
-    limit = max(HUB, n_edges // SHARE)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))  # 2 * SHARE rows at most
-    rest = both.join(hubs.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
-    linked = both.join(hubs, "a").unionByName(rest)
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    if hubs:
+        named = F.broadcast(both.sparkSession.createDataFrame([(h,) for h in sorted(hubs)], "a long"))  # 4 * SHARE rows at most
+        rest = both.join(named, "a", "left_anti").join(least, "a")
+        linked = rest.unionByName(both.join(F.broadcast(least.join(named, "a", "left_semi")), "a"))
+    else:
+        linked = both.join(least, "a")
     if keep_larger:
         return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     near = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -47,8 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _hook(both, True, state[0]).distinct()
-        small = _hook(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), False, state[0]).distinct()
+        now_hubs, next_hubs = _hubs(both, state[0])
+        large = _hook(both, True, now_hubs).distinct()
+        small = _hook(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), False, next_hubs).distinct()
         now = materialize(small, "edges")
         before, state = state, _state(now)
         if state == before:
