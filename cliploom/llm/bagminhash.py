@@ -32,8 +32,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, Words, chunks, grams, materialize, mix, narrow, numbered, partitions, ragged, words, worker
-from .components import components
+from .common import U64, Chunk, Words, chunks, grams, materialize, meet, mix, narrow, numbered, partitions, ragged, words, worker
+from .components import HUB, SHARE, components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 26 bands of 5: texts of similarity 0.8 share a band but for 3 pairs in 100,000.
@@ -304,7 +304,7 @@ def _placed(row: np.ndarray, key: np.ndarray, columns: np.ndarray) -> tuple[np.n
     return row[order], at[order]
 
 
-def _cells(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, classes: DataFrame, hot: list[int]) -> DataFrame:
     """(key, i, j, left, id, class): what is still to be compared, in cells of bounded size.
 
     A pair of a bucket is open if its classes differ, so one of the two is not in the centre's
@@ -319,7 +319,7 @@ def _cells(rows: DataFrame, classes: DataFrame) -> DataFrame:
     open_ = sizes.where("rest > 0 and size > 2").groupBy("size", "f1", "f2").agg(F.min(F.struct("key", "long", "rest")).alias("b")).select("b.*", "size")
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) * F.col("size") / F.col("long"))))
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    found = named.join(open_.select("key", blocks("rest").alias("ni"), blocks("size").alias("nj")), "key")
+    found = meet(named, open_.select("key", blocks("rest").alias("ni"), blocks("size").alias("nj")), hot)
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = found.where("out").select("key", spot("ni").alias("i"), upto("nj").alias("j"), F.lit(True).alias("left"), "id", "class")
@@ -367,14 +367,16 @@ def classify(signed: DataFrame, packed: DataFrame, threshold: float) -> DataFram
     each = signed.select("id", "n", F.posexplode("bands").alias("band", "key")).select("key", "band", "id", "n")
     rows = materialize(_shared(_by_length(_shared(each), threshold)), "buckets")
     texts = materialize(packed.join(rows.select("id").distinct(), "id", "left_semi"), "texts")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
-    shares = rows.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("shares"))
+    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    limit = max(HUB, (sizes.agg(F.sum("size")).first()[0] or 0) // SHARE)
+    hot = [r.key for r in sizes.where(F.col("size") > limit).select("key").collect()]  # SHARE buckets at most
+    shares = meet(rows, sizes, hot).groupBy("id").agg(F.sum("size").alias("shares"))
     rows = rows.join(shares, "id")
-    rows = materialize(rows.join(_centers(rows), "key").drop("shares"), "centers")
+    rows = materialize(meet(rows, _centers(rows), hot).drop("shares"), "centers")
     pairs = rows.where("id <> center").select(F.least("center", "id").alias("center"), F.greatest("center", "id").alias("member")).distinct()
     good = materialize(verify(pairs, texts, threshold), "links")
     classes = components(good.select(F.col("center").alias("a"), F.col("member").alias("b")))
-    more = materialize(_rest_links(_cells(rows, classes), texts, threshold), "links")
+    more = materialize(_rest_links(_cells(rows, classes, hot), texts, threshold), "links")
     return classes if more.isEmpty() else _merged(classes, more)
 
 
@@ -393,14 +395,20 @@ def _classified(docs: DataFrame, threshold: float, bands: int, rows: int, id_col
     signed = materialize(sign(source, bands, rows), "signatures")
     known = signed.where("id is not null")
     # One node for each distinct text: what rows of one text have besides ids is equal, so any of them will do.
-    distinct = known.groupBy("key").agg(F.min("id").alias("text_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("z").alias("z"))
+    distinct = known.groupBy("key").agg(F.min("id").alias("text_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("z").alias("z"), F.count("*").alias("rows"))
     texts = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     classes = classify(texts.select(F.col("node").alias("id"), "n", "bands"), texts.select(F.col("node").alias("id"), "z"), threshold)
     placed = materialize(texts.select("key", "text_id", F.col("node").alias("id")).join(classes, "id"), "placed")
     least = materialize(placed.groupBy("component").agg(F.min("text_id").alias("class_id")), "least")
     placed = placed.join(least, "component").select("key", "class_id")
-    named = texts.select("key", "text_id").join(placed, "key", "left").select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
-    out = known.select("id", "sha", "key", "n").join(named, "key").select("id", "sha", "class_id", "text_id", F.col("n").alias("n_shingles"))
+    named = texts.select("key", "text_id", "rows").join(placed, "key", "left").select("key", "text_id", "rows", F.coalesce("class_id", "text_id").alias("class_id"))
+    named = materialize(named, "named")
+    # A text of more than this share of the rows goes to them by broadcast: SHARE texts at most.
+    limit = max(HUB, (named.agg(F.sum("rows")).first()[0] or 0) // SHARE)
+    busy = F.broadcast(named.where(F.col("rows") > limit))
+    each = known.select("id", "sha", "key", "n")
+    met = each.join(busy, "key").unionByName(each.join(busy.select("key"), "key", "left_anti").join(named.where(F.col("rows") <= limit), "key"))
+    out = met.select("id", "sha", "class_id", "text_id", F.col("n").alias("n_shingles"))
     none = F.lit(None).cast("long")
     return out.unionByName(signed.where("id is null").select("id", "sha", none.alias("class_id"), none.alias("text_id"), F.col("n").alias("n_shingles")))
 

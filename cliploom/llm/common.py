@@ -129,6 +129,15 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
+def meet(rows: DataFrame, each: DataFrame, hot: list[int], key: str = "key") -> DataFrame:
+    """Join rows with ``each``, a row for each key (a long). The rows of the ``hot`` keys, of which there must be few, stay where they are."""
+    if not hot:
+        return rows.join(each, key)
+    named = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], f"`{key}` long"))
+    rest = rows.join(named, key, "left_anti").join(each, key)
+    return rest.unionByName(rows.join(F.broadcast(each.join(named, key, "left_semi")), key))
+
+
 # ---------------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, meet
 
 
 #: A node of more than this share of the edges (and more than HUB edges) is a hub; so there are at most 2 * SHARE of them.
@@ -30,12 +30,7 @@ def _hook(both: DataFrame, keep_larger: bool, hubs: set[int]) -> DataFrame:
     The edges of a hub stay where they are: the hubs' few rows go to them. All others meet by node.
     """
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    if hubs:
-        named = F.broadcast(both.sparkSession.createDataFrame([(h,) for h in sorted(hubs)], "a long"))  # 4 * SHARE rows at most
-        rest = both.join(named, "a", "left_anti").join(least, "a")
-        linked = rest.unionByName(both.join(F.broadcast(least.join(named, "a", "left_semi")), "a"))
-    else:
-        linked = both.join(least, "a")
+    linked = meet(both, least, sorted(hubs), "a")  # 4 * SHARE hubs at most
     if keep_larger:
         return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     near = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))

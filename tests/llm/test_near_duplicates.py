@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from cliploom.llm import bagminhash as b
+from cliploom.llm import components as c
 from cliploom.llm.components import components
 
 
@@ -82,8 +83,11 @@ def test_empty_table_and_long_text(spark, docs):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_hot_group_of_near_copies_and_failures(spark, docs):
-    """Buckets whose members are not all alike are formed again until none is left."""
+@pytest.mark.parametrize("hub", [400, 20])
+def test_hot_group_of_near_copies_and_failures(spark, docs, monkeypatch, hub):
+    """Members that are not like their centre are compared with the others; hot buckets and hubs go another way."""
+    monkeypatch.setattr(b, "HUB", hub)
+    monkeypatch.setattr(c, "HUB", hub)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(300)]
     rows = {}
@@ -93,6 +97,7 @@ def test_hot_group_of_near_copies_and_failures(spark, docs):
         if i % 3 == 0:
             own[100:140] = [f"y{i % 2}{k}" for k in range(40)]
         rows[i] = " ".join(own)
+    rows |= {i: "one text that has many exact copies" for i in range(130, 170)}
     got = {r.doc_id: r.class_id for r in b.near_duplicates(docs(rows)).collect()}
     assert got == brute(rows)
 
