@@ -415,11 +415,14 @@ WITH h AS (SELECT unnest(generate_series(0, 1022)) AS j, unnest([{_taps()}]::DOU
 o AS (SELECT vec_id AS k, t, {sql_u('saliency', '', 'offset', 't', key='vec_id')} * (64 / 8000.0 - 0.005) AS off, embedding FROM embeddings, range(0, 4) r(t)),
 x AS (SELECT k, t, off, unnest(generate_series(0, 39)) AS p, unnest(embedding[CAST(floor(off * 8000) AS BIGINT) + 1 : CAST(floor(off * 8000) AS BIGINT) + 40]) AS x FROM o),
 y AS (SELECT k, t, off, p + j AS m, sum(CAST(x AS DOUBLE) * h) AS y FROM x, h GROUP BY k, t, off, p + j),
-l AS (SELECT k, t, off, -0.691 + 10 * log10(sum(y * y) / 3200.0) AS l FROM y GROUP BY k, t, off),
+l AS (SELECT k, t, off, round(-0.691 + 10 * log10(sum(y * y) / 3200.0), 9) AS l FROM y GROUP BY k, t, off),
 c AS (SELECT k, coalesce(arg_min({{'t': t, 'off': off, 'l': l}}, t) FILTER (WHERE l > -34.0), arg_max({{'t': t, 'off': off, 'l': l}}, {{'l': l, 'a': -t}})) AS b FROM l GROUP BY k)
 SELECT k AS record_key, CAST(b.t AS INT) AS attempt, CAST(floor(b.off * 10000000.0 + 0.5) AS BIGINT) AS offset_, CAST(floor(b.l * 10000.0 + 0.5) AS BIGINT) AS loudness FROM c""")
 def salient_excerpt(spark, sf_dir):
-    """The first of four random excerpts of each clip that is loud enough, or the loudest, by the loudness of its samples."""
+    """The first of four random excerpts of each clip that is loud enough, or the loudest, by the loudness of its samples.
+
+    Two tries may cut the same samples. Their loudness is one number here, but the order of SQL's sums isn't fixed, so SQL rounds before it compares.
+    """
     out = sal.salient_excerpts(mono(spark, sf_dir), 0.005, sal.SaliencyParams(True, 4, -34.0))
     return out.select("record_key", "attempt", F.floor(F.col("offset") * 10000000.0 + 0.5).cast("bigint").alias("offset_"), whole(F.col("loudness")).alias("loudness"))
 
