@@ -443,3 +443,26 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+keyed AS (SELECT r, doc_id, w, len(w) > 0 AS worded, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE t END AS key FROM docs),
+texts AS (SELECT min(doc_id) AS text_id, row_number() OVER () AS node, worded, key, any_value(w) AS w FROM keyed WHERE doc_id IS NOT NULL GROUP BY worded, key),
+bags AS (
+  SELECT node, n, array_to_string(w[i:i + least(n, 5) - 1], ' ') AS k, n < 5 AS short, count(*) AS c
+  FROM (SELECT node, w, len(w) AS n, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM texts WHERE worded) GROUP BY ALL),
+sized AS (SELECT *, sum(c) OVER (PARTITION BY node) AS size FROM bags),
+links AS (
+  SELECT a.node AS x, b.node AS y FROM sized a JOIN sized b ON a.k = b.k AND a.short = b.short AND a.node < b.node
+  GROUP BY a.node, b.node, a.size, b.size
+  HAVING CAST(sum(least(a.c, b.c)) AS DOUBLE) / (a.size + b.size - sum(least(a.c, b.c))) >= 0.8),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT node AS x, node AS y FROM texts UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x),
+classes AS (SELECT reach.x AS node, min(o.text_id) AS class_id FROM reach JOIN texts o ON o.node = reach.y GROUP BY reach.x)
+SELECT d.doc_id, c.class_id, t.text_id, CASE WHEN d.worded THEN greatest(len(d.w) - 4, 1) ELSE 0 END AS n_shingles
+FROM keyed d LEFT JOIN texts t ON d.doc_id IS NOT NULL AND d.worded = t.worded AND d.key = t.key LEFT JOIN classes c USING (node)
+"""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import wraps
 
-from .bagminhash import op10_near_duplicates
+from .bagminhash import OP10_SQL, op10_near_duplicates
 from .bpe import op4_byte_bpe
 from .common import bounded_batches
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .language import op2_language
 from .media import op3_media
-from .secrets import op7_secrets
+from .secrets import OP7_SQL, op7_secrets
 from .suffixdedup import OP6_SQL, op6_suffix_dedup
 from .tokencounts import op8_token_counts
 from .toxicity import op1_toxicity
@@ -43,5 +43,7 @@ QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 ORACLES: dict[str, str] = {
     "op5_url_filter": OP5_SQL,
     "op6_suffix_dedup": OP6_SQL,
+    "op7_secrets": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op10_near_duplicates": OP10_SQL,
 }

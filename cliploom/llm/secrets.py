@@ -173,3 +173,34 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
         F.sha2(shown(F.filter("spans", lambda s: s["kind"] != "bare")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "example").alias("n_example"),
     )
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS lang FROM documents),
+kinds(k, kind, least_size, p, q) AS (VALUES
+  (0, 'assign', 6, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$'),
+  (1, 'access', 20, 'AKIA[A-Z0-9]+', '(.*)'), (2, 'hex', 24, '[0-9a-f]{24,}', '(.*)'), (3, 'bare', 20, '[A-Za-z0-9+/_=-]{20,}', '(.*)')),
+cut AS (
+  SELECT r, k, kind, least_size, q, regexp_extract_all(t, p) AS hit, list_transform(string_split_regex(t, p), lambda x: length(x)) AS gap FROM docs, kinds WHERE regexp_matches(t, p)),
+each AS (SELECT *, list_transform(hit, lambda x: length(x)) AS size, unnest(generate_series(1, len(hit))) AS i FROM cut),
+found AS (
+  SELECT r, k, kind, least_size, hit[i] AS m, regexp_extract(hit[i], q, 1) AS v, list_sum(gap[:i]) + coalesce(list_sum(size[:i - 1]), 0) AS s, list_sum(gap[:i]) + list_sum(size[:i]) AS e FROM each WHERE k = 0 OR size[i] >= least_size),
+spans AS (SELECT r, k, kind, v, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM found WHERE length(v) >= least_size),
+kept AS (
+  SELECT * FROM spans WHERE k < 3 UNION ALL
+  SELECT * FROM spans b WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+    AND NOT EXISTS (SELECT 1 FROM spans o WHERE o.r = b.r AND o.k < 3 AND o.s < b.e AND o.e > b.s)),
+owned AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, lang)) AS repos FROM kept JOIN docs USING (r) GROUP BY v),
+judged AS (
+  SELECT r, k, kind, s, e, CASE WHEN owners >= 3 OR owners >= 2 AND repos >= 4 THEN 'example'
+    WHEN list_aggregate(string_split(v, ''), 'entropy') >= least(3.0::DOUBLE, 0.8::DOUBLE * log2(length(v))) THEN 'live' ELSE 'weak' END AS verdict
+  FROM kept JOIN owned USING (v)),
+told AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+    count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+  FROM judged WHERE k < 3 OR verdict = 'live' GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN told USING (r)
+"""
