@@ -63,7 +63,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: The language and near-duplicate stages can't be expressed in SQL.
+#: The tokens stage can't be expressed in SQL.
 ORACLE_SQL = None
 
 
