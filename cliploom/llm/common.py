@@ -28,10 +28,12 @@ MASK = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests) a temporary folder is used.
+    Only where a local session has none (tests) a temporary folder is used. On a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cliploom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,10 +44,10 @@ try:
 except OSError:  # another C library: its allocator is left alone
     _libc = None
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, DataFrame] = {}
 
 
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy", **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: what follows survives the loss of any executor
@@ -53,18 +55,23 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cliploom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
+    _written[path] = out = spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Empty a table that :func:`materialize` wrote, once nothing will read it again."""
+    for path in [p for p, written in _written.items() if written is table]:
+        del _written[path]
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
 
 
-def drop_materialized(keep: int = 0) -> None:
-    """Delete tables that :func:`materialize` wrote, but for the last ``keep``."""
-    while len(_written) > keep:
-        spark, path = _written.pop(0)
+def drop_materialized() -> None:
+    """Empty all tables that :func:`materialize` wrote and nobody dropped."""
+    for table in list(_written.values()):
         try:
-            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop_path, True)
+            drop(table)
         except Exception:  # the session has ended: the folder goes with the cluster's clean-up
             return
 
@@ -129,11 +136,11 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def meet(rows: DataFrame, each: DataFrame, hot: list[int], key: str = "key") -> DataFrame:
-    """Join rows with ``each``, a row for each key (a long). The rows of the ``hot`` keys, of which there must be few, stay where they are."""
+def meet(rows: DataFrame, each: DataFrame, hot: list, key: str = "key", kind: str = "long") -> DataFrame:
+    """Join rows with ``each``, a row for each key (of the type ``kind``). The rows of the ``hot`` keys, of which there must be few, stay where they are."""
     if not hot:
         return rows.join(each, key)
-    named = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], f"`{key}` long"))
+    named = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], f"`{key}` {kind}"))
     rest = rows.join(named, key, "left_anti").join(each, key)
     return rest.unionByName(rows.join(F.broadcast(each.join(named, key, "left_semi")), key))
 

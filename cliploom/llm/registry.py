@@ -6,8 +6,10 @@ from functools import wraps
 
 from .bagminhash import OP10_SQL, op10_near_duplicates
 from .bpe import op4_byte_bpe
+from .codebooks import op11_vector_codes
 from .common import bounded_batches
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .kdclusters import op12_centroid_clusters
 from .language import op2_language
 from .media import op3_media
 from .secrets import OP7_SQL, op7_secrets
@@ -15,6 +17,7 @@ from .suffixdedup import OP6_SQL, op6_suffix_dedup
 from .tokencounts import op8_token_counts
 from .toxicity import op1_toxicity
 from .urlfilter import OP5_SQL, op5_url_filter
+from .vector_sql import OP11_SQL, OP12_SQL
 
 
 def _bounded(query):
@@ -37,6 +40,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
@@ -46,4 +51,6 @@ ORACLES: dict[str, str] = {
     "op7_secrets": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_near_duplicates": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_centroid_clusters": OP12_SQL,
 }
