@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, meet, worker
+from .common import drop, hot_keys, materialize, meet, worker
 from .vectors import integers, kept, limbs_of, long_or_null, matrix, rebatched, split, squares, summed, total
 
 PARTS, ENTRIES, ROUNDS, DIM = 4, 256, 4, 64
@@ -167,11 +167,5 @@ def _with_sums(coded: DataFrame, id_col: str) -> DataFrame:
     return meet(rows, sums.select("key", "label_error"), hot, kind="string").select(F.col("row.id").alias(id_col), "code", "error", "label_error")
 
 
-def hot_keys(sizes: DataFrame, share: int) -> list:
-    """Keys of more than 1/``share`` of the rows, and of more than 400: at most ``share`` of them. ``sizes`` has (key, rows)."""
-    limit = max(400, (sizes.agg(F.sum("rows")).first()[0] or 0) // share)
-    return [r.key for r in sizes.where(F.col("rows") > limit).select("key").collect()]
-
-
 def op11_vector_codes(spark, sf_dir: str) -> DataFrame:
     return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -145,6 +145,12 @@ def meet(rows: DataFrame, each: DataFrame, hot: list, key: str = "key", kind: st
     return rest.unionByName(rows.join(F.broadcast(each.join(named, key, "left_semi")), key))
 
 
+def hot_keys(sizes: DataFrame, share: int, key: str = "key", least: int = 400) -> list:
+    """Keys of more than 1/``share`` of the rows, and of more than ``least``: at most ``share`` of them. ``sizes`` has a row (key, rows) for each."""
+    limit = max(least, (sizes.agg(F.sum("rows")).first()[0] or 0) // share)
+    return [r[0] for r in sizes.where(F.col("rows") > limit).select(key).collect()]
+
+
 # ---------------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""

@@ -13,6 +13,7 @@ from .kdclusters import op12_centroid_clusters
 from .language import op2_language
 from .media import op3_media
 from .secrets import OP7_SQL, op7_secrets
+from .simhash import op13_simhash
 from .suffixdedup import OP6_SQL, op6_suffix_dedup
 from .tokencounts import op8_token_counts
 from .toxicity import op1_toxicity
@@ -42,6 +43,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_vector_codes": op11_vector_codes,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_simhash": op13_simhash,
 }
 QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
