@@ -14,6 +14,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -56,18 +57,89 @@ def _u(b: bytes, at: int, form: str) -> int:
     return struct.unpack_from(form, b, at)[0]
 
 
+#: Of a chain of blocks the first place in each window of so many bytes is remembered.
+WINDOW = 64
+Step = Callable[["Scan", int], tuple[int | None, int, bool]]
+
+
+def fate(b: Scan, kind: object, at: int, step: Step) -> tuple[int, int]:
+    """What the chain of blocks from a place on comes to: its result, and the place of its last marked block (-1: none).
+
+    A step reads the block at a place: (next place, _, marked), or (None, result, marked) at the chain's end; a block that can't be read
+    gives the result -1. Chains that meet have one fate, so however many signatures lead into a chain its blocks are read about once.
+    """
+    seen, window, last = [], -1, -1
+    while (found := b.chains.get((kind, at))) is None:
+        if at // WINDOW != window:
+            seen.append(at)
+            window = at // WINDOW
+        try:
+            after, end, marked = step(b, at)
+        except (ValueError, struct.error):
+            after, end, marked = None, -1, False
+        last = at if marked else last
+        if after is None:
+            found = end, -1
+            break
+        at = after
+    found = found[0], max(found[1], last)
+    b.chains.update(dict.fromkeys([(kind, x) for x in seen], found))
+    return found
+
+
+class Chunks:
+    """Chains of RIFF chunks, which forms of any length cut off where they end. Each path of places is walked once; a later one ends where it meets it."""
+
+    NAMED = (b"fmt ", b"data", b"VP8 ", b"VP8L", b"VP8X")
+
+    def __init__(self, b: bytes):
+        self.b, self.paths, self.where = b, [], {}
+
+    def _path(self, at: int) -> tuple[int, int]:
+        if at in self.where:
+            return self.where[at]
+        places, named, window, b, pos = array("q"), {name: array("q") for name in self.NAMED}, -1, self.b, at
+        number = len(self.paths)
+        while pos not in self.where and pos + 8 <= len(b):
+            if pos // WINDOW != window:
+                self.where[pos] = number, len(places)
+                window = pos // WINDOW
+            places.append(pos)
+            if (name := b[pos : pos + 4]) in named:
+                named[name].append(pos)
+            size = _u(b, pos + 4, "<I")
+            pos += 8 + size + size % 2
+        self.paths.append((places, named, self.where.get(pos)))
+        return number, 0
+
+    def until(self, at: int, end: int) -> dict[bytes, tuple[int, int]]:
+        """The first chunk of each name in NAMED: (start, length). An error if a chunk reaches beyond the end."""
+        found, spot, b = {}, self._path(at), self.b
+        while spot:
+            number, i = spot
+            places, named, spot = self.paths[number]
+            k = bisect_left(places, end - 7, i)
+            for name, own in named.items():
+                j = bisect_left(own, places[i]) if k > i else len(own)
+                if name not in found and j < len(own) and own[j] <= places[k - 1]:
+                    found[name] = own[j] + 8, _u(b, own[j] + 4, "<I")
+            if k > i and places[k - 1] + 8 + _u(b, places[k - 1] + 4, "<I") > end:
+                raise ValueError("chunk")
+            if k < len(places):
+                break
+        return found
+
+
 def riff(b: bytes, at: int) -> dict[bytes, tuple[int, int]]:
     """Chunks of a RIFF form: name -> (start, length) of the first of that name."""
-    end, pos, found = at + 8 + _u(b, at + 4, "<I"), at + 12, {}
-    if end > len(b) or end < pos:
+    end = at + 8 + _u(b, at + 4, "<I")
+    if end > len(b) or end < at + 12:
         raise ValueError("length")
-    while pos + 8 <= end:
-        size = _u(b, pos + 4, "<I")
-        if pos + 8 + size > end:
-            raise ValueError("chunk")
-        found.setdefault(b[pos : pos + 4], (pos + 8, size))
-        pos += 8 + size + size % 2
-    return found
+    if not isinstance(b, Scan):
+        return Chunks(b).until(at + 12, end)
+    if "riff" not in b.chains:
+        b.chains["riff"] = Chunks(b)
+    return b.chains["riff"].until(at + 12, end)
 
 
 def _wav(b, at):
@@ -85,58 +157,106 @@ def _webp(b, at):
     return at + 8 + _u(b, at + 4, "<I")
 
 
+#: Bytes between remembered checksums.
+CRC_STEP = 4096
+
+
+@lru_cache(maxsize=64)
+def _zeros(k: int) -> list[list[int]]:
+    """What 2**k bytes 0 do to a CRC-32 (a linear map), for each value of each of its bytes."""
+    if not k:
+        table = [zlib.crc32(bytes([v ^ 0xFF])) ^ zlib.crc32(b"\xff") for v in range(256)]
+        return [table, *[[v << (8 * j - 8) for v in range(256)] for j in (1, 2, 3)]]
+    half = _zeros(k - 1)
+    return [[_through(half, _through(half, v << (8 * j))) for v in range(256)] for j in range(4)]
+
+
+def _through(map_: list[list[int]], x: int) -> int:
+    return map_[0][x & 255] ^ map_[1][x >> 8 & 255] ^ map_[2][x >> 16 & 255] ^ map_[3][x >> 24]
+
+
+def crc_of(b: Scan, start: int, end: int) -> int:
+    """CRC-32 of a range. Of a long one by the checksums of what is before its start and its end, so that ranges that overlap aren't read again and again."""
+    if end - start <= CRC_STEP or not isinstance(b, Scan):
+        return zlib.crc32(memoryview(b)[start:end])
+    if "crc" not in b.chains:
+        sums = [0]
+        for at in range(0, len(b), CRC_STEP):
+            sums.append(zlib.crc32(memoryview(b)[at : at + CRC_STEP], sums[-1]))
+        b.chains["crc"] = sums
+    upto = lambda at: zlib.crc32(memoryview(b)[at // CRC_STEP * CRC_STEP : at], b.chains["crc"][at // CRC_STEP])
+    before, n = upto(start), end - start
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            before = _through(_zeros(k), before)
+    return upto(end) ^ before
+
+
+def _png_chunk(b, pos):
+    size, name = _u(b, pos, ">I"), b[pos + 4 : pos + 8]
+    if _u(b, pos + 8 + size, ">I") != crc_of(b, pos + 4, pos + 8 + size):
+        raise ValueError("chunk")
+    after = pos + 12 + size
+    return (None if name == b"IEND" else after), after, False
+
+
 def _png(b, at):
-    pos, first = at + 8, True
-    while True:
-        size, name = _u(b, pos, ">I"), b[pos + 4 : pos + 8]
-        if first and (name != b"IHDR" or size != 13) or _u(b, pos + 8 + size, ">I") != zlib.crc32(memoryview(b)[pos + 4 : pos + 8 + size]):
-            raise ValueError("chunk")
-        pos, first = pos + 12 + size, False
-        if name == b"IEND":
-            return pos
+    if b[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        raise ValueError("header")
+    return fate(b, "png", at + 8, _png_chunk)[0]
+
+
+def _gif_data(b, pos):
+    size = _u(b, pos, "B")
+    return (pos + 1 + size if size else None), pos + 1, False
+
+
+def _gif_block(b, pos):
+    kind = _u(b, pos, "B")
+    if kind == 0x3B:
+        return None, pos + 1, False
+    if kind == 0x21:
+        pos += 2
+    elif kind == 0x2C:
+        flags = _u(b, pos + 9, "B")
+        pos += 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
+    else:
+        raise ValueError("block")
+    after = fate(b, "gif data", pos, _gif_data)[0]
+    return (None if after < 0 else after), -1, False
 
 
 def _gif(b, at):
     flags, pos = _u(b, at + 10, "B"), at + 13
     if not _u(b, at + 6, "<H") or not _u(b, at + 8, "<H"):
         raise ValueError("size")
-    pos += 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    while True:
-        kind = _u(b, pos, "B")
-        if kind == 0x3B:
-            return pos + 1
-        if kind == 0x21:
-            pos += 2
-        elif kind == 0x2C:
-            flags = _u(b, pos + 9, "B")
-            pos += 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-        else:
-            raise ValueError("block")
-        while size := _u(b, pos, "B"):
-            pos += 1 + size
-        pos += 1
+    return fate(b, "gif", pos + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), _gif_block)[0]
+
+
+def _jpeg_segment(b, pos):
+    """Marked are scans, whose entropy-coded bytes run to the next real marker."""
+    if _u(b, pos, "B") != 0xFF:
+        raise ValueError("marker")
+    kind = _u(b, pos + 1, "B")
+    if kind == 0xD9:
+        return None, pos + 2, False
+    if kind == 0xFF:
+        return pos + 1, -1, False
+    size = _u(b, pos + 2, ">H")
+    if kind < 0xC0 or kind == 0xD8 or size < 2:
+        raise ValueError("marker")
+    pos += 2 + size
+    if kind != 0xDA:
+        return pos, -1, False
+    pos = b.next(rb"\xff[^\x00\xd0-\xd7]", pos)
+    return (None if pos < 0 else pos), -1, True
 
 
 def _jpeg(b, at):
-    pos, scans = at + 2, 0
-    while True:
-        if _u(b, pos, "B") != 0xFF:
-            raise ValueError("marker")
-        kind = _u(b, pos + 1, "B")
-        if kind == 0xD9:
-            if not scans:
-                raise ValueError("no scan")
-            return pos + 2
-        if kind == 0xFF:
-            pos += 1
-            continue
-        size = _u(b, pos + 2, ">H")
-        if kind < 0xC0 or kind == 0xD8 or size < 2:
-            raise ValueError("marker")
-        pos += 2 + size
-        if kind == 0xDA:  # entropy-coded bytes run to the next real marker
-            scans += 1
-            pos = b.next(rb"\xff[^\x00\xd0-\xd7]", pos)
+    end, scan = fate(b, "jpeg", at + 2, _jpeg_segment)
+    if scan < at:
+        raise ValueError("no scan")
+    return end
 
 
 def _bmp(b, at):
@@ -179,27 +299,37 @@ def _crc_table(poly: int, bits: int) -> list[int]:
 
 def _flac(b, at):
     """Metadata blocks, then frames, each read bit by bit to its end, up to the stream's number of samples or the last whole frame."""
-    pos, first, wanted, depth = at + 4, True, 0, 0
-    while True:
-        head, size = _u(b, pos, "B"), _u(b, pos, ">I") & 0xFFFFFF
-        if first and (head & 127 or size != 34) or head & 127 == 127 or pos + 4 + size > len(b):
-            raise ValueError("block")
-        if first:
-            packed = _u(b, pos + 14, ">Q")  # 20 bits rate, 3 channels, 5 bits a sample, 36 samples
-            wanted, depth = packed & ((1 << 36) - 1), (packed >> 36 & 31) + 1
-        pos, first = pos + 4 + size, False
-        if head & 128:
-            break
-    end, samples = _flac_frame(b, pos, depth)
+    if _u(b, at + 4, "B") & 127 or _u(b, at + 4, ">I") & 0xFFFFFF != 34:
+        raise ValueError("block")
+    packed = _u(b, at + 18, ">Q")  # 20 bits rate, 3 channels, 5 bits a sample, 36 samples
+    wanted, depth = packed & ((1 << 36) - 1), (packed >> 36 & 31) + 1
+    pos = fate(b, "flac blocks", at + 4, _flac_block)[0]
+    if pos < 0:
+        raise ValueError("block")
+    frames = b.chains.setdefault(("flac frames", depth), {})
+    end, samples = pos, 0
     while not wanted or samples < wanted:
-        try:
-            end, more = _flac_frame(b, end, depth)
-        except ValueError:
+        if end not in frames:
+            try:
+                frames[end] = _flac_frame(b, end, depth)
+            except ValueError:
+                frames[end] = None
+        if frames[end] is None:
             break
+        end, more = frames[end]
         samples += more
+    if not samples:
+        raise ValueError("frame")
     return end
 
 
+def _flac_block(b, pos):
+    head, size = _u(b, pos, "B"), _u(b, pos, ">I") & 0xFFFFFF
+    if head & 127 == 127 or pos + 4 + size > len(b):
+        raise ValueError("block")
+    return (None if head & 128 else pos + 4 + size), pos + 4 + size, False
+
+
 def _flac_frame(b, at, depth):
     """Where the frame at a place ends, and its number of samples."""
     if _u(b, at, ">H") & 0xFFFE != 0xFFF8:
@@ -270,43 +400,35 @@ def _flac_subframe(line: str, i: int, n: int, bits: int) -> int:
     return i
 
 
+def _ogg_page(b, pos):
+    n = _u(b, pos + 26, "B")
+    after = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
+    if b[pos : pos + 4] != b"OggS" or pos + 27 + n > len(b) or b[pos + 4] or after > len(b):
+        raise ValueError("page")
+    return (None if b[pos + 5] & 4 else after), after, False
+
+
 def _ogg(b, at):
-    """Pages up to the one that ends the stream. Pages of a chain have one fate, so each is read once."""
-    pos, chain, end = at, [], -1
-    while pos not in b.chains:
-        chain.append(pos)
-        if b[pos : pos + 4] != b"OggS" or pos + 27 > len(b):
-            break
-        n = b[pos + 26]
-        after = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if pos + 27 + n > len(b) or b[pos + 4] or after > len(b):
-            break
-        if b[pos + 5] & 4:
-            end = after
-            break
-        pos = after
-    end = b.chains.get(pos, end)
-    b.chains.update(dict.fromkeys(chain, end))
-    if end < 0:
-        raise ValueError("no end")
-    return end
+    """Pages up to the one that ends the stream."""
+    return fate(b, "ogg", at, _ogg_page)[0]
+
+
+def _mp4_box(b, pos):
+    """The chain ends before what is no whole box. Marked are boxes of media."""
+    size, name = (_u(b, pos, ">I"), b[pos + 4 : pos + 8]) if pos + 8 <= len(b) else (0, b"")
+    if not name.isalnum() or not (size >= 8 or size == 1):
+        return None, pos, False
+    size = _u(b, pos + 8, ">Q") if size == 1 else size
+    if size < 8 or pos + size > len(b):
+        return None, pos, False
+    return pos + size, -1, name in (b"moov", b"mdat", b"meta")
 
 
 def _mp4(b, at):
-    at -= 4
-    pos, seen = at, set()
-    while pos + 8 <= len(b):
-        size, name = _u(b, pos, ">I"), b[pos + 4 : pos + 8]
-        if not name.isalnum() or not (size >= 8 or size == 1):
-            break
-        size = _u(b, pos + 8, ">Q") if size == 1 else size
-        if size < 8 or pos + size > len(b):
-            break
-        seen.add(name)
-        pos += size
-    if not {b"moov", b"mdat", b"meta"} & seen:
+    end, media = fate(b, "mp4", at - 4, _mp4_box)
+    if media < at - 4:
         raise ValueError("no media box")
-    return pos
+    return end
 
 
 def _au(b, at):

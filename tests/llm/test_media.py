@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import random
 import struct
 import time
 import zipfile
@@ -140,9 +141,71 @@ def test_media_after_a_flac_are_carved():
     assert m.sniff(bytes(broken) + png()) == ("audio/flac", [("image/png", len(broken), len(broken) + len(png()))])
 
 
-@pytest.mark.parametrize("unit", [b"%PDF-1", b"PK\3\4", b"\x1f\x8b\x08", b"OggS\0\0" + bytes(20) + b"\0", b"\xff\xd8\xff\xda\0\4ab", b"GIF89a", b"RIFF\1\0\0\0WAVE", b"fLaC"])
+def chunk(name, data):
+    return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+
+IHDR = chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0))
+GIF = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0)
+#: Signatures by themselves, and nested: each unit's chain of blocks skips the next unit's signature and goes on through all that follow.
+UNITS = {
+    "pdf": b"%PDF-1", "zip": b"PK\3\4", "gzip": b"\x1f\x8b\x08", "ogg": b"OggS\0\0" + bytes(20) + b"\0", "jpeg": b"\xff\xd8\xff\xda\0\4ab", "gif": b"GIF89a", "riff": b"RIFF\1\0\0\0WAVE", "flac": b"fLaC",
+    "mp4": b"\0\0\0\x08ftyp", "nested mp4": b"\0\0\0\x10ftypabcdabcd", "nested wav": b"junk\x0c\0\0\0RIFF\0\0\x1f\0WAVE", "nested webp": b"junk\x0c\0\0\0RIFF\0\0\x1f\0WEBP",
+    "nested gif": b"\x21\xfe" + bytes([len(GIF)]) + GIF + b"\0", "gif data": bytes([len(GIF)]) + GIF,
+    "nested png": b"\x89PNG\r\n\x1a\n" + IHDR + chunk(b"skip", b"\x89PNG\r\n\x1a\n"), "png lengths": b"\x89PNG\r\n\x1a\n" + IHDR + struct.pack(">I", 1 << 21) + b"long",
+    "nested jpeg": b"\xff\xd8\xff\xe0\0\4", "jpeg fill": b"\xff\xd8" + b"\xff" * 6, "nested flac": b"\1\0\0\x2afLaC" + struct.pack(">I", 34) + bytes(34),
+}
+
+
+@pytest.mark.parametrize("unit", UNITS.values(), ids=UNITS)
 def test_long_texts_of_signatures_take_linear_time(unit):
     data = unit * (4_000_000 // len(unit))
     start = time.process_time()
     m.sniff(data)
     assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_remembered_equal_chains_walked(seed):
+    """Bytes with many crossing chains: what is found doesn't depend on what was walked before."""
+    rng = random.Random(seed)
+    parts = [*SAMPLES.values(), *UNITS.values(), b"\0\0\0\x08moov", b"\0\0\0\x0cmdatabcd", b"\0", b"\xff\xd9", b"\x3b", b"ab", b"data\4\0\0\0abcd", b"fmt \x10\0\0\0" + SAMPLES["audio/wav"][20:36]]
+    data = b"".join(rng.choice(parts) for _ in range(60))
+    shared = m.Scan(data)
+    for at in range(len(data)):
+        for magic, kind, validator in m.FORMATS:
+            if data[at : at + len(magic)] == magic:
+                found = []
+                for view in (m.Scan(data), shared):
+                    try:
+                        found.append(validator(view, at))
+                    except (ValueError, KeyError, zlib.error, struct.error):
+                        found.append(-1)
+                assert found[0] == found[1] or max(found) < 0, (kind, at)
+
+
+def test_checksums_of_ranges():
+    rng = random.Random(1)
+    data = rng.randbytes(100_000)
+    view = m.Scan(data)
+    for _ in range(200):
+        a, b = sorted(rng.randrange(len(data) + 1) for _ in range(2))
+        assert m.crc_of(view, a, b) == zlib.crc32(data[a:b])
+
+
+def slow_feature(text):
+    """The feature by its definition: one sample after the other."""
+    raw = (text or "").encode()
+    x = [b - 128 for b in raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))]
+    turns = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+    return f"audio/wav;n={len(x)} mean={sum(x) / len(x):.4f} rms={(sum(v * v for v in x) / len(x)) ** 0.5:.4f} turns={turns};"
+
+
+def test_feature_equals_brute_force(spark, docs):
+    texts = {1: None, 2: "", 3: "x" * 64, 4: "é\U0001f600 mixed" * 33, 5: "plain words " * 5000}
+    rows = {r.doc_id: r.feature for r in m.media_features(m.store_texts(docs(texts))).collect()}
+    assert rows == {i: slow_feature(t) for i, t in texts.items()}
+    holding = "some words and a picture GIF89a\1\0\1\0\0\0\0;"
+    (row,) = m.media_features(m.store_texts(docs({1: holding}))).collect()
+    at = 44 + holding.index("GIF")
+    assert row.feature == slow_feature(holding) + f"image/gif@{at}-{at + 14}" and row.n_embedded == 1
