@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -115,9 +116,9 @@ def find_secrets(
     """
     scanned = materialize(scan(docs, id_col, text_col, owner_cols, repo_cols), "secrets")
     each = scanned.where("size(spans) > 0").select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s", F.col("s.hash").alias("hash"))
-    # Distinct (value, repository, owner) first, so that a value that is everywhere is a few rows.
+    # Distinct (value, repository, owner) first, so that a value that is everywhere is a few rows; of these, distinct owners and distinct repositories.
     owned = each.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
-    owned = owned.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
+    owned = owned.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"), F.sum("n").alias("n"))
     owned = materialize(owned, "owners")
     limit = max(HOT, (owned.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
     hot = F.broadcast(owned.where(F.col("n") > limit))  # HOT_SHARE rows at most
@@ -148,21 +149,26 @@ def redact(docs: DataFrame, text_col: str = "text", owner_cols: tuple[str, ...]
     source = docs.select(row.alias("whole"), F.col(f"`{text_col}`").alias("body"), *[c.alias(k) for cols in named.values() for k, c in cols.items()])
     found = find_secrets(source, "whole", "body", tuple(named["owner"]), tuple(named["repo"]), **options)
     cuts = F.expr("array_sort(transform(filter(spans, s -> s.verdict = 'live'), s -> struct(s.vstart as a, s.vend as b)))")
-    merged = F.expr(
-        "aggregate(cuts, cast(array() as array<struct<a:int,b:int>>), (acc, s) -> if(coalesce(try_element_at(acc, -1).b > s.a, false), "
-        "concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a as a, greatest(element_at(acc, -1).b, s.b) as b))), concat(acc, array(s))))"
-    )
-    held = found.select("whole", cuts.alias("cuts")).select("whole", merged.alias("cuts"))
+    held = found.select("whole", cuts.alias("cuts"))
     text = F.col(f"whole.c{docs.columns.index(text_col)}")
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-    masked = F.aggregate(
-        "cuts", start, lambda acc, s: F.struct(F.concat(acc["t"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit(mask)).alias("t"), s["b"].alias("at")),
-        lambda acc: F.concat(acc["t"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    clean = F.when(F.size("cuts") == 0, text).otherwise(masked)
+    cover = F.pandas_udf(lambda texts, lists: pd.Series([masked(t, c, mask) for t, c in zip(texts, lists, strict=True)], dtype=object), "string")
+    # Texts without a cut stay in the JVM.
+    clean = F.when(F.size("cuts") == 0, text).otherwise(cover(F.when(F.size("cuts") > 0, text), F.expr("transform(cuts, s -> array(s.a, s.b))")))
     return held.select(*[(clean if c == text_col else F.col(f"whole.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
+def masked(text: str | None, cuts: list, mask: str) -> str | None:
+    """The text with a mask for each run of overlapping cuts (start, end), which stand by start; null stays null."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for a, b in cuts:
+        if a >= at:
+            out += [text[at:a], mask]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     shown = lambda keep: F.concat_ws(",", F.transform(keep, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from cliploom.llm import secrets as s
 
@@ -92,3 +93,26 @@ def test_redaction_with_any_column_names(spark):
     out = s.redact(frame)
     assert out.columns == names and [r.text for r in out.collect()] == ["token = [SECRET]"] * 3
     assert s.find_secrets(frame).columns == ["doc_id", "spans"]
+
+
+def test_owners_and_repositories_are_counted_apart(spark):
+    """Owners that share repositories don't make more of them."""
+    own = "q9X7bLw2RtY5uZ3k"
+    rows = [(i, f"token = {own}", o, r) for i, (o, r) in enumerate([("a", "r1"), ("a", "r2"), ("b", "r1"), ("b", "r2")])] + [(9, "token = Ex4mpleKey0fTheDocs99", o, f"r{k}") for k, o in enumerate("aabb")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {(x.owners, x.repos, x.verdict) for r in s.find_secrets(frame, repo_cols=("repo",)).collect() for x in r.spans}
+    assert got == {(2, 2, "live"), (2, 4, "example")}
+    assert [r.text for r in s.redact(frame, repo_cols=("repo",)).where("doc_id < 4").collect()] == ["token = [SECRET]"] * 4
+
+
+def test_redaction_takes_time_linear_in_its_cuts(spark):
+    n = 40_000
+    text = " ".join(f"token=q9X7bLw2Rt{i:06d}" for i in range(n))
+    frame = spark.createDataFrame([(1, text, "a", "en"), (2, None, "a", "en")], "doc_id long, text string, source string, lang string")
+    start = time.monotonic()
+    got = {r.doc_id: r.text for r in s.redact(frame).collect()}
+    assert got == {1: " ".join(["token=[SECRET]"] * n), 2: None} and time.monotonic() - start < 120
+
+
+def test_masked():
+    assert s.masked("abcdefgh", [(1, 3), (2, 4), (4, 5), (7, 8)], "_") == "a__fg_" and s.masked("", [], "_") == "" and s.masked(None, [], "_") is None
