@@ -13,8 +13,10 @@ about n + m log m points for m registers.
 
 Texts that agree in a band of registers are candidates. A band's bucket is split by
 length, and all its members are compared with one centre, by exact multiset overlap; members that no link puts into its class
-are compared with all members of other classes (see :func:`classify`). So a bucket whose texts are like its centre costs a number of
-comparisons that is linear in its size; members out of the centre's class cost one with each member of another class, by matrix products over blocks.
+are compared with the members of other classes (see :func:`classify`): all of them in a bucket of bounded size, by matrix products; in a larger one those that share
+a rare shingle. For there the texts are ordered by how rare their shingles are, and pairs can only be alike if a
+shingle among the first fifth of the longer text is among the first ninth of the shorter (at 0.8), with enough shingles behind it in both. So texts
+that have a template in common, but not enough to be alike, don't meet: their own shingles come first.
 
 Hashes choose candidates only. What is compared are exact numbers: words are numbered by an
 exact dictionary, then pairs of numbers, up to five words. Equal texts are found by a 256-bit digest of their words.
@@ -29,16 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, Words, chunks, grams, materialize, meet, mix, narrow, numbered, partitions, ragged, words, worker
+from .common import U64, Chunk, Words, chunks, grams, hot_keys, materialize, meet, mix, narrow, numbered, partitions, ragged, words, worker
 from .components import HUB, SHARE, components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 26 bands of 5: texts of similarity 0.8 share a band but for 3 pairs in 100,000.
 BANDS, ROWS = 26, 5
-#: Members and shingles on a side of a cell, about; a longer text is a side of its own.
+#: Members and shingles of a small bucket at most; members of a centre that are compared at once, about.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Compressed bytes of texts that are compared with their centre at once, about.
 SLICE_BYTES = 1 << 19
@@ -181,9 +183,10 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     A centre's members are dealt out in blocks, and its text goes once to each block, so a
     centre of very many members is neither one task nor copied to each of them.
     """
-    blocks = pairs.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(pairs.groupBy("center").agg(F.count("*").alias("rows")), "sizes")
+    blocks = sizes.select("center", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     spot = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    members = pairs.join(blocks, "center").select("center", spot.alias("block"), F.lit(False).alias("head"), F.col("member").alias("id"))
+    members = meet(pairs, blocks, hot_keys(sizes, SHARE, "center"), "center").select("center", spot.alias("block"), F.lit(False).alias("head"), F.col("member").alias("id"))
     heads = blocks.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("head"), F.col("center").alias("id"))
     both = members.unionByName(heads).join(texts, "id").select("center", "block", "head", "id", "z")
     dealt = both.repartition(partitions(pairs.sparkSession), "center", "block").sortWithinPartitions("center", "block", F.desc("head"), "id")
@@ -304,38 +307,66 @@ def _placed(row: np.ndarray, key: np.ndarray, columns: np.ndarray) -> tuple[np.n
     return row[order], at[order]
 
 
-def _cells(rows: DataFrame, classes: DataFrame, hot: list[int]) -> DataFrame:
-    """(key, i, j, left, id, class): what is still to be compared, in cells of bounded size.
+def _open(rows: DataFrame, classes: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Rows (key, id, n, class, out) of all buckets, and (key, small) of those with pairs still to be compared.
 
-    A pair of a bucket is open if its classes differ, so one of the two is not in the centre's
-    class. Blocks of such members (left) meet blocks of all members. Buckets of the same
-    members are taken once; in one of two members the centre has met the other.
+    A pair of a bucket is open if its classes differ, so one of the two is not in the centre's class: out.
+    Buckets of the same members are taken once; in one of two members the centre has met the other. A small bucket has
+    BLOCK members and BLOCK_SHINGLES shingles at most.
     """
-    named = _labelled(_labelled(rows, "id", classes, "class"), "center", classes, "of").select("key", "id", "n", "class", (F.col("class") != F.col("of")).alias("out"))
+    of = _labelled(rows.select("key", "center").distinct(), "center", classes, "of").select("key", "of")
+    named = meet(_labelled(rows.select("key", "id", "n"), "id", classes, "class"), of, hot).select("key", "id", "n", "class", (F.col("class") != F.col("of")).alias("out"))
     named = materialize(named, "named")
     sizes = named.groupBy("key").agg(
         F.count("*").alias("size"), F.sum("n").alias("long"), F.sum(F.col("out").cast("long")).alias("rest"), F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("f2")
     )
-    open_ = sizes.where("rest > 0 and size > 2").groupBy("size", "f1", "f2").agg(F.min(F.struct("key", "long", "rest")).alias("b")).select("b.*", "size")
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) * F.col("size") / F.col("long"))))
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    found = meet(named, open_.select("key", blocks("rest").alias("ni"), blocks("size").alias("nj")), hot)
-    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = found.where("out").select("key", spot("ni").alias("i"), upto("nj").alias("j"), F.lit(True).alias("left"), "id", "class")
-    return left.unionByName(found.select("key", upto("ni").alias("i"), spot("nj").alias("j"), F.lit(False).alias("left"), "id", "class"))
+    open_ = sizes.where("rest > 0 and size > 2").groupBy("size", "f1", "f2").agg(F.min(F.struct("key", "long")).alias("b")).select("b.*", "size")
+    return named, materialize(open_.select("key", ((F.col("size") <= BLOCK) & (F.col("long") <= BLOCK_SHINGLES)).alias("small")), "open")
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(center, member): pairs of texts of different classes that may be alike, from rows (id, class), by prefixes of rare shingles.
+
+    The i-th copy of a shingle is a token of its own, so multisets are sets of tokens. Tokens of one text only come first
+    in its order and meet nobody, so they count but don't move; the others follow by their number of texts. The first token that two
+    alike texts have in common stands among the first n - t n + 1 of the longer and the first n - 2 t n / (1 + t) + 1 of the shorter, and what is
+    left from there on must allow for the overlap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor()
+        for batch in batches:
+            raw = [plain.decompress(z) for z in batch.column("z").to_pylist()]
+            named = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("class"), pa.array(raw, pa.large_binary())], ["id", "class", "text"])
+            for c in chunks(iter([named]), "text"):
+                doc, shingle, count, own, _ = shingles(c)
+                row = np.repeat(np.arange(len(doc)), count)
+                copy = ragged(np.zeros(len(count), np.int64), count)
+                token = mix(shingle[row] * U64(GOLD) + copy.astype(U64)).view(np.int64)
+                at = pa.array(doc[row])
+                yield pa.RecordBatch.from_arrays([c.batch.column("id").take(at), c.batch.column("class").take(at), pa.array(own[doc[row]], pa.int64()), pa.array(token)], ["id", "class", "n", "token"])
+
+    tokens = materialize(members.join(texts, "id").select("id", "class", "z").mapInArrow(worker(run), "id long, class long, n long, token long"), "tokens")
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "counts")
+    met = meet(tokens, counts, hot_keys(counts, SHARE, "token"), "token")
+    texts_order = Window.partitionBy("id").orderBy("rows", "token")
+    met = met.withColumn("at", F.col("n") - F.count("*").over(Window.partitionBy("id")) + F.row_number().over(texts_order) - 1)
+    t = float(threshold)
+    met = materialize(met.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (t - 1e-9)) + 1).drop("rows"), "prefixes")
+    long_ = met.select("token", F.col("id").alias("x"), F.col("class").alias("xc"), F.col("n").alias("xn"), F.col("at").alias("xa"))
+    short = met.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t) - 1e-9)) + 1).select("token", F.col("id").alias("y"), F.col("class").alias("yc"), F.col("n").alias("yn"), F.col("at").alias("ya"))
+    left = F.least(F.col("xn") - F.col("xa"), F.col("yn") - F.col("ya"))
+    fits = (F.col("xc") != F.col("yc")) & (F.struct("yn", "y") < F.struct("xn", "x")) & (left >= (t - 1e-9) / (1 + t) * (F.col("xn") + F.col("yn")))
+    return long_.join(short, "token").where(fits).select(F.least("x", "y").alias("center"), F.greatest("x", "y").alias("member")).distinct()
 
 
 def _rest_links(cells: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(center, member): pairs of classes that a link of the threshold at least joins in a cell."""
+    """(center, member): pairs of classes that a link of the threshold at least joins in a small bucket, from rows (key, id, class, out)."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, left, of = table.column("id").to_pylist(), np.array(table.column("left").to_pylist(), bool), np.array(table.column("class").to_pylist(), np.int64)
-        place = {i: k for k, i in enumerate(dict.fromkeys(ids))}  # a text may stand on both sides
-        z = dict(zip(ids, table.column("z").to_pylist(), strict=True))
-        found = exact_bags([z[i] for i in place])
-        bags = [found[place[i]] for i in ids]
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        left, of = np.array(table.column("out").to_pylist(), bool), np.array(table.column("class").to_pylist(), np.int64)
+        bags = exact_bags(table.column("z").to_pylist())
+        a, b = np.flatnonzero(left), np.arange(len(bags))
         pairs: list[tuple[int, int]] = []
         if len(a) and len(b):
             alike = overlaps([bags[k] for k in a], [bags[k] for k in b]) >= threshold
@@ -354,15 +385,15 @@ def _rest_links(cells: DataFrame, texts: DataFrame, threshold: float) -> DataFra
                     pairs.append((p, q))
         return pa.table({"center": pa.array([p for p, _ in pairs], pa.int64()), "member": pa.array([q for _, q in pairs], pa.int64())})
 
-    return cells.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "center long, member long").distinct()
+    return cells.join(texts, "id").groupBy("key").applyInArrow(run, "center long, member long").distinct()
 
 
 def classify(signed: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     """Rows (id, component) of all texts that have a link, from rows (id, n, bands) and (id, z), one for each text.
 
     First each bucket's members are compared with its centre. The links so far make
-    classes; two members of one class need no comparison. Then all pairs of a bucket whose
-    classes differ are compared, in cells, so every pair of a bucket is in one class or has been compared.
+    classes; two members of one class need no comparison. Then the pairs of a bucket whose
+    classes differ are compared: all in a small bucket; in a large one those that rare shingles leave possible. So every pair of a bucket is in one class, has been compared or can't be alike.
     """
     each = signed.select("id", "n", F.posexplode("bands").alias("band", "key")).select("key", "band", "id", "n")
     rows = materialize(_shared(_by_length(_shared(each), threshold)), "buckets")
@@ -376,7 +407,13 @@ def classify(signed: DataFrame, packed: DataFrame, threshold: float) -> DataFram
     pairs = rows.where("id <> center").select(F.least("center", "id").alias("center"), F.greatest("center", "id").alias("member")).distinct()
     good = materialize(verify(pairs, texts, threshold), "links")
     classes = components(good.select(F.col("center").alias("a"), F.col("member").alias("b")))
-    more = materialize(_rest_links(_cells(rows, classes, hot), texts, threshold), "links")
+    named, open_ = _open(rows, classes, hot)
+    cells = named.join(open_.where("small").select("key"), "key").select("key", "id", "class", "out")
+    more = materialize(_rest_links(cells, texts, threshold), "links")
+    large = open_.where("not small").select("key")
+    if not large.isEmpty():
+        members = materialize(meet(named, large, hot).select("id", "class").distinct(), "members")
+        more = materialize(more.unionByName(verify(_rare_pairs(members, texts, threshold), texts, threshold)), "links")
     return classes if more.isEmpty() else _merged(classes, more)
 
 
@@ -385,7 +422,8 @@ def _merged(classes: DataFrame, good: DataFrame) -> DataFrame:
     edges = _labelled(_labelled(good, "center", classes, "a"), "member", classes, "b").select("a", "b")
     joined = components(edges).withColumnRenamed("component", "to")
     nodes = classes.unionByName(good.select(F.explode(F.array("center", "member")).alias("id")).distinct().join(classes.select("id"), "id", "left_anti").withColumn("component", F.col("id")))
-    moved = nodes.join(joined.select(F.col("id").alias("component"), "to"), "component", "left")
+    hot = hot_keys(classes.groupBy("component").agg(F.count("*").alias("rows")), SHARE, "component")
+    moved = meet(nodes, joined.select(F.col("id").alias("component"), "to"), hot, "component", how="left")
     return materialize(moved.select("id", F.coalesce("to", "component").alias("component")), "classes")
 
 
@@ -399,8 +437,8 @@ def _classified(docs: DataFrame, threshold: float, bands: int, rows: int, id_col
     texts = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     classes = classify(texts.select(F.col("node").alias("id"), "n", "bands"), texts.select(F.col("node").alias("id"), "z"), threshold)
     placed = materialize(texts.select("key", "text_id", F.col("node").alias("id")).join(classes, "id"), "placed")
-    least = materialize(placed.groupBy("component").agg(F.min("text_id").alias("class_id")), "least")
-    placed = placed.join(least, "component").select("key", "class_id")
+    least = materialize(placed.groupBy("component").agg(F.min("text_id").alias("class_id"), F.count("*").alias("rows")), "least")
+    placed = meet(placed, least.drop("rows"), hot_keys(least, SHARE, "component"), "component").select("key", "class_id")
     named = texts.select("key", "text_id", "rows").join(placed, "key", "left").select("key", "text_id", "rows", F.coalesce("class_id", "text_id").alias("class_id"))
     named = materialize(named, "named")
     # A text of more than this share of the rows goes to them by broadcast: SHARE texts at most.

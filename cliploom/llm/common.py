@@ -136,13 +136,13 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def meet(rows: DataFrame, each: DataFrame, hot: list, key: str = "key", kind: str = "long") -> DataFrame:
-    """Join rows with ``each``, a row for each key (of the type ``kind``). The rows of the ``hot`` keys, of which there must be few, stay where they are."""
+def meet(rows: DataFrame, each: DataFrame, hot: list, key: str = "key", kind: str = "long", how: str = "inner") -> DataFrame:
+    """Join rows (inner or left) with ``each``, a row for each key (of the type ``kind``). The rows of the ``hot`` keys, of which there must be few, stay where they are."""
     if not hot:
-        return rows.join(each, key)
+        return rows.join(each, key, how)
     named = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], f"`{key}` {kind}"))
-    rest = rows.join(named, key, "left_anti").join(each, key)
-    return rest.unionByName(rows.join(F.broadcast(each.join(named, key, "left_semi")), key))
+    rest = rows.join(named, key, "left_anti").join(each, key, how)
+    return rest.unionByName(rows.join(named, key, "left_semi").join(F.broadcast(each.join(named, key, "left_semi")), key, how))
 
 
 def hot_keys(sizes: DataFrame, share: int, key: str = "key", least: int = 400) -> list:

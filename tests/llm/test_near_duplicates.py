@@ -202,3 +202,40 @@ def test_components_of_paths_and_stars(spark):
     many = [(1000 + k, 5000) for k in range(900)] + [(5000, 7000), (7000, 7001)]  # a node with more edges than HUB
     got = {r.id: r.component for r in components(spark.createDataFrame(many, "a long, b long")).collect()}
     assert set(got.values()) == {1000} and len(got) == 903
+
+
+def template(n, own, seed=4):
+    """Texts of 50 common words and some of their own, as pages under one template."""
+    rng = random.Random(seed)
+    common = [f"t{k}" for k in range(50)]
+    return {i: " ".join([*common[:25], *[f"o{i}x{k}" for k in range(own if isinstance(own, int) else rng.choice(own))], *common[25:]]) for i in range(n)}
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_large_open_buckets_equal_brute_force(spark, docs, monkeypatch, block):
+    """Texts of one template, just alike and just not, in buckets of all sizes; with small blocks all go by rare shingles."""
+    monkeypatch.setattr(b, "BLOCK", block)
+    rows = template(120, (1, 2, 3, 4, 9)) | {1000 + i: t for i, t in corpus(seed=9, groups=6).items()} | {5000 + i: f"{'a b c d e ' * (i % 4 + 4)} {i}" for i in range(40)}
+    got = {r.doc_id: r.class_id for r in b.near_duplicates(docs(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_templates_are_compared_in_proportion(spark, docs, monkeypatch):
+    """Texts of a similarity of about 0.7 share buckets but no class: what is moved and compared for them grows with their number, not with its square."""
+    seen = {}
+    plain = b.materialize
+
+    def counted(df, name, *args, **options):
+        out = plain(df, name, *args, **options)
+        seen.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(b, "materialize", counted)
+    work = {}
+    for n in (1000, 4000):
+        seen.clear()
+        got = b.near_duplicates(docs(template(n, 10))).collect()
+        assert all(r.class_id == r.doc_id for r in got)
+        small = seen["named"][0].join(seen["open"][0].where("small"), "key").count()
+        work[n] = small + sum(seen[k][0].count() for k in ("tokens", "prefixes") if k in seen) + sum(s.agg(F.sum("rows")).first()[0] or 0 for s in seen["sizes"][2:] if "rows" in s.columns)
+    assert work[4000] < 6 * work[1000] and work[4000] < 4000 * 80
