@@ -107,6 +107,23 @@ def loudness_kernel(zeros: int = 512, kind: str = "fir"):
     return _nested(one, "double")
 
 
+def excerpt_loudness_kernel(zeros: int = 512, kind: str = "fir"):
+    """(audio, sample_rate, offsets, duration) -> LUFS of each excerpt, filled with silence to its duration; null for null."""
+
+    def run(audio: pa.Array, rate: pa.Array, offsets: pa.Array, duration: pa.Array) -> pa.Array:
+        out = []
+        for x, r, at, d in zip(clip_arrays(audio), rate.to_pylist(), offsets.to_pylist(), duration.to_pylist(), strict=True):
+            if x is None or r is None or not len(x):
+                out.append([None] * len(at))
+                continue
+            n = round(d * r)
+            pieces = [x[:, int(o * r) :][:, :n] for o in at]
+            out.append([k.integrated_loudness(np.pad(p, ((0, 0), (0, n - p.shape[1]))), r, zeros, kind) for p in pieces])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return _udf(run, "array<double>", 4)
+
+
 def resample_kernel(new_rate: int, zeros: int, rolloff: float, output_length: int | None, full: bool):
     """(audio, sample_rate) -> audio at the new rate."""
 

@@ -78,15 +78,13 @@ class SaliencyParams:
         return self.enabled and self.loudness_cutoff is not None and not np.isnan(self.loudness_cutoff)
 
 
-def salient(audio: np.ndarray, rate: int, duration: float, params: SaliencyParams, seed: int, record: object) -> float:
-    """The offset of the excerpt, in seconds; tries end early where one is loud enough."""
-    total, best, at = audio.shape[-1] / rate, -np.inf, 0.0
+def searched(heard: Callable[[float], float], total: float, duration: float, params: SaliencyParams, seed: int, record: object) -> float:
+    """The offset of the excerpt, in seconds, of a clip of ``total`` seconds; ``heard`` gives the loudness at an offset. Tries end early where one is loud enough."""
+    best, at = -np.inf, 0.0
     for attempt in range(params.num_tries):
         u = uniform_key(seed, record, "saliency", "", "", "offset", attempt)
         offset = offset_value(params.search_function, u, 0.0, duration, total, attempt, params.num_tries)
-        first = int(offset * rate)
-        piece = audio[..., first : first + round(duration * rate)]
-        loudness = k.integrated_loudness(np.pad(piece, ((0, 0), (0, round(duration * rate) - piece.shape[-1]))), rate)
+        loudness = heard(offset)
         if attempt == 0 or loudness > best:
             best, at = loudness, offset
         if best > params.loudness_cutoff:
@@ -94,6 +92,16 @@ def salient(audio: np.ndarray, rate: int, duration: float, params: SaliencyParam
     return at
 
 
+def salient(audio: np.ndarray, rate: int, duration: float, params: SaliencyParams, seed: int, record: object) -> float:
+    """The offset of the excerpt of some samples."""
+
+    def heard(offset: float) -> float:
+        piece = audio[..., int(offset * rate) :][..., : round(duration * rate)]
+        return k.integrated_loudness(np.pad(piece, ((0, 0), (0, round(duration * rate) - piece.shape[-1]))), rate)
+
+    return searched(heard, audio.shape[-1] / rate, duration, params, seed, record)
+
+
 def attempts(clips: DataFrame, duration: float, params: SaliencyParams, seed: int = 0, clip_col: str = "clip") -> DataFrame:
     """Rows (record_key, attempt, offset): all tries of each record, drawn by its key."""
     clip = F.col(clip_col)
@@ -130,12 +138,16 @@ def salient_excerpts(clips: DataFrame, duration: float, params: SaliencyParams,
     """Relational form: rows (record_key, attempt, offset, loudness) of the chosen excerpts."""
     if duration <= 0:
         raise ValueError("an excerpt needs a duration")
-    one, _ = arrow.loudness_kernel()
-    tries = attempts(clips, duration, params, seed, clip_col).join(clips.select("record_key", F.col(clip_col).alias("__clip")), "record_key")
-    piece = e.excerpt(F.col("__clip.audio_data"), F.col("__clip.sample_rate"), F.col("offset"), duration)
-    heard = tries.select("record_key", "attempt", "offset", one(piece, F.col("__clip.sample_rate")).alias("loudness"))
-    cutoff = params.loudness_cutoff
-    found = F.struct("attempt", "offset", "loudness")
-    first = F.expr(f"min_by(struct(attempt, offset, loudness), attempt) filter (where loudness > {float(cutoff)!r})")
-    chosen = heard.groupBy("record_key").agg(F.coalesce(first, F.max_by(found, F.struct("loudness", -F.col("attempt")))).alias("t"))
+    hear = arrow.excerpt_loudness_kernel()
+    clip = F.col(clip_col)
+    total = F.size(F.get(clip["audio_data"], 0)) / clip["sample_rate"]
+    u = lambda i: Stream(seed, F.col("record_key"), "saliency").uniform("offset", i)
+    offsets = F.array(*[offset_column(params.search_function, u(F.lit(i)), 0.0, duration, total, F.lit(i), params.num_tries) for i in range(params.num_tries)])
+    # All tries of a clip are heard where the clip is, so no audio is shuffled.
+    drawn = clips.select("record_key", clip.alias("__clip"), offsets.alias("offsets"))
+    heard = drawn.select("record_key", "offsets", hear(F.col("__clip.audio_data"), F.col("__clip.sample_rate"), F.col("offsets"), F.lit(float(duration))).alias("loudness"))
+    tries = heard.select("record_key", F.transform(F.arrays_zip("offsets", "loudness"), lambda x, i: F.struct(i.alias("attempt"), x["offsets"].alias("offset"), x["loudness"].alias("loudness"))).alias("tries"))
+    over = F.get(F.filter("tries", lambda x: x["loudness"] > float(params.loudness_cutoff)), 0)
+    by_loudness = F.array_max(F.transform("tries", lambda x: F.struct(x["loudness"].alias("loudness"), (-x["attempt"]).alias("back"), x.alias("t"))))
+    chosen = tries.select("record_key", F.coalesce(over, by_loudness["t"]).alias("t"))
     return chosen.select("record_key", "t.*")

@@ -208,10 +208,38 @@ def remote_index(spark, sf_dir):
 
 @query(sql_report(REMOTE, "clip=embedding[9:48]", key="record_key"))
 def load_index(spark, sf_dir):
-    """Files of an index read by Spark, and an excerpt of each."""
+    """Files of an index opened by tasks, and an excerpt of each."""
+    index = ix.simple_index(_remote_files(spark, sf_dir)[1])
+    return report(load.load_index(index, None, duration=40 / RATE, offset=8 / RATE), "clip")
+
+
+@query(sql_report(REMOTE, "clip=embedding[9:48]", key="record_key"))
+def load_index_content(spark, sf_dir):
+    """The same of contents that Spark reads, as for stores that tasks can't open."""
     base, rows = _remote_files(spark, sf_dir)
-    index = ix.simple_index(rows.withColumn("path", F.regexp_replace("path", "^file:/*", "/")))
-    return report(load.load_index(load.with_content(index, base), None, duration=40 / RATE, offset=8 / RATE), "clip")
+    return report(load.load_index(load.with_content(ix.simple_index(rows), base), None, duration=40 / RATE, offset=8 / RATE), "clip")
+
+
+DRAWN = f"(SELECT *, {sql_u('excerpt', '', 'offset', key='record_key')} * (64 / 8000.0::DOUBLE - 40 / 8000.0::DOUBLE) AS o FROM {REMOTE})"
+
+
+@query(f"SELECT record_key, CAST(len(a) AS BIGINT) AS clip_n, {sql_sum('a')} AS clip_sum, CAST(floor(o * 1e9 + 0.5) AS BIGINT) AS offset_nano FROM (SELECT *, embedding[CAST(floor(o * 8000) AS BIGINT) + 1:CAST(floor(o * 8000) AS BIGINT) + 40] AS a FROM {DRAWN})")
+def file_excerpt(spark, sf_dir):
+    """A random excerpt of each file: headers probed, offsets drawn, and only the drawn frames read."""
+    index = ix.simple_index(_remote_files(spark, sf_dir)[1])
+    offset = F.floor(F.col("clip.metadata.offset") * 1e9 + 0.5).cast("bigint").alias("offset_nano")
+    return report(load.load_excerpts(index, 40 / RATE), "clip", extra=(offset,))
+
+
+@query("SELECT printf('%d.flac', vec_id) AS file, 8000 AS sample_rate, 40 AS n, " + sql_sum("list_transform(embedding[9:48], lambda x: CAST(round_even(CAST(x AS DOUBLE) * 32768, 0) / 32768 AS FLOAT))") + " AS total FROM embeddings")
+def flac_scan(spark, sf_dir):
+    """FLAC files, written and read here: samples of 16 bits come back exactly."""
+    load.register(spark)
+    folder = f"{mounted_dir(spark)}/flac-{uuid.uuid4().hex}"
+    load.write_wav(mono(spark, sf_dir), folder, form="flac")
+    rows = spark.read.format("clipfile").option("offset", 8 / RATE).option("duration", 40 / RATE).load(folder)
+    flat = F.flatten("audio_data")
+    return rows.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "sample_rate", F.size(flat).alias("n"), weighted(flat).alias("total"))
 
 
 @query("SELECT printf('%d.wav', vec_id) AS file, 8000 AS sample_rate, 40 AS n, " + sql_sum("embedding[9:48]") + " AS total FROM embeddings")

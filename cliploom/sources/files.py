@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import has_extension
+from . import stores
 
 EXTENSIONS = (".wav", ".flac")
 
@@ -41,16 +42,19 @@ def resolve_entry(entry: str, extensions: Sequence[str] = EXTENSIONS) -> list[st
     return find_files(path, extensions) if os.path.isdir(path) else sorted(glob.glob(path))
 
 
-def list_remote(spark: SparkSession, directory: str, extensions: Sequence[str] = EXTENSIONS, max_depth: int | None = None) -> DataFrame:
-    """Rows (path, length) of clip files below a directory of any Hadoop file system, listed by Spark.
+def list_remote(spark: SparkSession, directory: str, extensions: Sequence[str] = EXTENSIONS, max_depth: int | None = None, follow_symlinks: bool = False) -> DataFrame:
+    """Rows (path, length) of clip files below a directory of any store, listed by tasks as :func:`find_files` lists a local one.
 
-    Spark skips names that start with ``_`` or ``.`` and follows links. File contents are not read.
+    A directory with wildcards is a pattern. Stores that tasks can't open by themselves (see :data:`stores.SCHEMES`) are listed by Spark on the
+    driver, which skips names that begin with ``_`` or ``.`` and follows links. File contents are not read.
     """
+    if stores.reachable(directory):
+        return stores.list_tree(spark, [directory], tuple(extensions), max_depth, follow_symlinks).select("path", "length")
     any_case = ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + any_case + "}").load(directory).select("path", "length")
     found = found.where(has_extension(F.col("path"), tuple(extensions)))
     if max_depth is not None:
-        base = directory.rstrip("/").split("://", 1)[-1]
-        below = F.size(F.split(F.element_at(F.split(F.col("path"), F.lit(base), 2), -1), "/")) - 2
-        found = found.where(below <= max_depth)
+        base = stores.canonical(directory).rstrip("/") + "/"
+        below = F.substring(F.col("path"), F.instr(F.col("path"), F.lit(base)) + len(base), F.length("path"))
+        found = found.where(F.size(F.split(below, "/")) - 1 <= max_depth)
     return found

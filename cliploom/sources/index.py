@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import HELPER
 from ..shared import cut
+from . import stores
 from .files import EXTENSIONS, list_remote, resolve_entry
 
 
@@ -27,19 +28,24 @@ def file_table(spark: SparkSession, sources: Mapping[str, Sequence[str]], extens
 
 
 def remote_file_table(spark: SparkSession, sources: Mapping[str, Sequence[str]], extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """As :func:`file_table`, for folders of any Hadoop file system: Spark lists them, and no path comes to the driver."""
-    found = None
-    for g, (name, folders) in enumerate(sources.items()):
-        for f, folder in enumerate(folders):
-            listed = list_remote(spark, folder, extensions).select(F.lit(g).alias("group_idx"), F.lit(name).alias("group_name"), F.lit(f).alias("folder_idx"), "path")
-            found = listed if found is None else found.unionByName(listed)
-    if found is None:
-        return spark.createDataFrame([], "group_idx int, group_name string, folder_idx int, path string")
+    """As :func:`file_table`, and the files' length, for folders and patterns of any store.
+
+    Tasks list the folders of all groups level by level, and no path comes to the driver; only stores that tasks can't open are listed there by Spark.
+    """
+    folders = [(g, name, f, folder) for g, (name, own) in enumerate(sources.items()) for f, folder in enumerate(own)]
+    found = spark.createDataFrame([], "group_idx int, group_name string, folder_idx int, path string, length long")
+    near = [x for x in folders if stores.reachable(x[3])]
+    if near:
+        roots = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(near)], "root int, group_idx int, group_name string, folder_idx int")
+        found = stores.list_tree(spark, [x[3] for x in near], tuple(extensions)).join(F.broadcast(roots), "root").select(*found.columns)  # a row for each folder given
+    for g, name, f, folder in folders:
+        if not stores.reachable(folder):
+            found = found.unionByName(list_remote(spark, folder, extensions).select(F.lit(g).alias("group_idx"), F.lit(name).alias("group_name"), F.lit(f).alias("folder_idx"), "path", "length"))
     found = cut(found, "files")
     full = {r.group_idx for r in found.select("group_idx").distinct().collect()}  # a row for each group
-    for g, (name, folders) in enumerate(sources.items()):
+    for g, (name, own) in enumerate(sources.items()):
         if g not in full:
-            raise RuntimeError(f"group {name!r}: no {', '.join(extensions)} files in its {len(folders)} folders")
+            raise RuntimeError(f"group {name!r}: no {', '.join(extensions)} files in its {len(own)} folders")
     return found
 
 

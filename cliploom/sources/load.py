@@ -5,8 +5,10 @@ Offset, duration, mono and rate are applied in the reader: only the frames that
 
 from __future__ import annotations
 
+import io
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import kernels as k
 from ..operators.arrow import audio_array, clip_arrays
-from ..plans.saliency import SaliencyParams, salient
-from ..schema import CLIP
-from . import wav
+from ..plans.saliency import Draw, SaliencyParams, offset_column, searched
+from ..rng import Stream
+from ..schema import CLIP, HELPER
+from ..shared import cut
+from . import decode, flac, stores, wav
 from .files import EXTENSIONS, find_files
 
 ROW = T.StructType([T.StructField("path", T.StringType()), *CLIP.fields])
@@ -38,20 +42,15 @@ def shaped(audio: np.ndarray, rate: int, sample_rate: int | None, mono: bool, du
     return audio, rate
 
 
-def load(content: bytes, path: str, key: int | None, sample_rate: int | None, mono: bool, offset: float, duration: float | None, saliency: SaliencyParams | None, seed: int = 0):
-    """One clip of a file: (audio, rate, offset), the excerpt found by saliency if that is on."""
+def load(file: BinaryIO, key: object, sample_rate: int | None, mono: bool, offset: float, duration: float | None, saliency: SaliencyParams | None, seed: int = 0):
+    """One clip of a file: (audio, rate, offset), the excerpt found by saliency if that is on. Only the header and the frames of the excerpts tried are read."""
+    h = decode.probe(file)
+    piece = lambda at: shaped(decode.excerpt(file, h, at, duration), h.sample_rate, sample_rate, mono, duration)
     if saliency is not None and saliency.active:
         if duration is None or duration <= 0:
             raise ValueError("an excerpt needs a duration")
-        audio, rate = wav.decode(content, path)
-        audio, rate = shaped(audio, rate, sample_rate, mono, None)
-        at = salient(audio, rate, duration, saliency, seed, key if key is not None else path)
-        first = int(at * rate)
-        piece, _ = shaped(audio[:, first : first + round(duration * rate)], rate, None, False, duration)
-        return piece, rate, at
-    audio, rate = wav.decode(content, path, offset, duration)
-    audio, rate = shaped(audio, rate, sample_rate, mono, duration)
-    return audio, rate, offset
+        offset = searched(lambda at: k.integrated_loudness(*piece(at)), h.duration, duration, saliency, seed, key)
+    return *piece(offset), offset
 
 
 def _rows(paths: list[str], made: list[tuple[np.ndarray, int, float]], duration: float | None, extra: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -114,12 +113,7 @@ class ClipReader(DataSourceReader):
 
     def _clip(self, path: str) -> tuple[np.ndarray, int, float]:
         with open(path, "rb") as f:
-            if path.lower().endswith(".flac"):
-                audio, rate = wav.decode(f.read(), path, self.offset, self.duration)
-            else:
-                audio, rate = wav.read(f, self.offset, self.duration)
-        audio, rate = shaped(audio, rate, self.rate, self.mono, self.duration)
-        return audio, rate, self.offset
+            return load(f, path, self.rate, self.mono, self.offset, self.duration, None)
 
 
 class ClipFiles(DataSource):
@@ -146,53 +140,108 @@ def register(spark: SparkSession) -> None:
 
 
 def with_content(index: DataFrame, directory: str) -> DataFrame:
-    """Join an index (path) with the files' bytes, read by Spark from any Hadoop file system."""
+    """An index (path) with the files' bytes, read by Spark; an index row whose file isn't below the directory is an error.
+
+    Only for stores that tasks can't open by themselves: Spark lists the whole folder and shuffles the contents. Elsewhere :func:`load_index`
+    opens the index's own paths.
+    """
     files = index.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    plain = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    return index.join(files.select(plain.alias("path"), "content"), "path")
+    key, missing = f"{HELPER}_path", F.raise_error(F.concat(F.lit("no file "), F.col("path")))
+    found = index.withColumn(key, stores.canonical_column(F.col("path"))).join(files.select(stores.canonical_column(F.col("path")).alias(key), "content"), key, "left")
+    return found.withColumn("content", F.when(F.col("content").isNull(), missing.cast("binary")).otherwise(F.col("content"))).drop(key)
+
+
+ROWS = T.StructType([T.StructField("record_key", T.LongType()), *ROW.fields])
+
+
+def _records(rows: DataFrame, one: Callable, duration: float | None) -> DataFrame:
+    """Rows (record_key, clip) made by ``one``, which maps a batch to (path, clip, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batched((made for batch in batches for made in one(batch)), duration, True)
+
+    return rows.mapInArrow(run, ROWS).select("record_key", F.struct(*[f.name for f in CLIP.fields]).alias("clip"))
 
 
 def load_index(
-    index: DataFrame, sample_rate: int | None = 44100, mono: bool = True, duration: float | None = 1.0, offset: float = 0.0, saliency: SaliencyParams | None = None, seed: int = 0, cpu: bool = True
-) -> DataFrame:
+    index: DataFrame, sample_rate: int | None = 44100, mono: bool = True, duration: float | None = 1.0, offset: float = 0.0, saliency: SaliencyParams | None = None, seed: int = 0, cpu: bool = True,
+    opener: stores.Opener = stores.open_input, task_bytes: int = stores.TASK_BYTES,
+) -> DataFrame:
     """Rows (record_key, clip) of an index with record_key, path and, if Spark read the files, content.
 
-    With saliency each record's excerpt is searched with random numbers of its key; else the clip starts at
-    ``offset``. ``cpu`` is accepted and has no effect.
+    Tasks open the index's own paths in any store that PyArrow knows and read the header and the frames of the excerpt; an index with a
+    ``length`` is dealt out by it first. A file that isn't there is an error. With saliency each record's excerpt is searched with
+    random numbers of its key; else the clip starts at ``offset``. ``cpu`` is accepted and has no effect.
     """
     has = "content" in index.columns
-    source = index.select("record_key", "path", *["content"] * has)
-    fields = [f.name for f in CLIP.fields]
+    source = index.select("record_key", "path", *["content"] * has, *["length"] * ("length" in index.columns and not has))
+    if "length" in source.columns:
+        source = stores.packed(source, "length", task_bytes)
+
+    def one(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, (key, path) in enumerate(zip(batch.column("record_key").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+            with io.BytesIO(batch.column("content")[i].as_py()) if has else opener(path) as f:
+                yield path, load(f, key if key is not None else path, sample_rate, mono, offset, duration, saliency, seed), key
+
+    return _records(source, one, duration)
 
-    def clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for i, (key, path) in enumerate(zip(batch.column("record_key").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                if has:
-                    content = batch.column("content")[i].as_py()
-                else:
-                    with open(path, "rb") as f:
-                        content = f.read()
-                yield path, load(content, path, key, sample_rate, mono, offset, duration, saliency, seed), key
+
+def probe_index(index: DataFrame, opener: stores.Opener = stores.open_input) -> DataFrame:
+    """Rows (record_key, path, channels, sample_rate, bits, frames) of an index: tasks read what is before the samples of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batched(clips(batches), duration, True)
+        for batch in batches:
+            heads = []
+            for path in batch.column("path").to_pylist():
+                with opener(path) as f:
+                    h = decode.probe(f)
+                heads.append((h.channels, h.sample_rate, h.bits, h.frames))
+            columns = [pa.array(c, t) for c, t in zip(zip(*heads, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)] if heads else []
+            if heads:
+                yield pa.RecordBatch.from_arrays([batch.column("record_key"), batch.column("path"), *columns], ["record_key", "path", "channels", "sample_rate", "bits", "frames"])
+
+    rows = index.select(F.col("record_key").cast("long").alias("record_key"), "path")
+    return rows.mapInArrow(run, "record_key long, path string, channels int, sample_rate int, bits int, frames long")
+
+
+def load_excerpts(
+    index: DataFrame, duration: float, search: str | Draw = "uniform", offset: float = 0.0, sample_rate: int | None = None, mono: bool = False, seed: int = 0,
+    opener: stores.Opener = stores.open_input, task_bytes: int = stores.TASK_BYTES,
+) -> DataFrame:
+    """Rows (record_key, clip): a random excerpt of each file of an index (record_key, path), as :func:`random_excerpts` draws it of a clip.
+
+    Headers are probed first and make a table; offsets are drawn from it by Spark, keyed by the record. Then
+    tasks of about ``task_bytes`` read the drawn frames, and nothing else of the files. A file that is shorter gives all it has, filled with zeros.
+    """
+    if duration <= 0:
+        raise ValueError("an excerpt needs a duration")
+    probed = cut(probe_index(index, opener), "probed")
+    u = Stream(seed, F.col("record_key"), "excerpt").uniform("offset")
+    at = offset_column(search, u, offset, duration, F.col("frames") / F.col("sample_rate"), F.lit(0), 1)
+    size = F.ceil(F.least(F.lit(float(duration)) * F.col("sample_rate"), F.col("frames")) * F.col("channels") * F.col("bits") / 8).cast("long")
+    drawn = stores.packed(probed.select("record_key", "path", at.alias("at"), size.alias("size")), "size", task_bytes)
+
+    def one(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for key, path, start in zip(*(batch.column(c).to_pylist() for c in ("record_key", "path", "at")), strict=True):
+            with opener(path) as f:
+                yield path, load(f, key, sample_rate, mono, start, duration, None), key
 
-    schema = T.StructType([T.StructField("record_key", T.LongType()), *ROW.fields])
-    return source.mapInArrow(run, schema).select("record_key", F.struct(*fields).alias("clip"))
+    return _records(drawn, one, duration)
 
 
-def write_wav(clips: DataFrame, directory: str, clip_col: str = "clip", bits: int = 16) -> None:
-    """Write each record's clip as <record_key>.wav into a directory that all executors share."""
+def write_wav(clips: DataFrame, directory: str, clip_col: str = "clip", bits: int = 16, form: str = "wav") -> None:
+    """Write each record's clip as <record_key>.wav (or, with ``form="flac"``, .flac) into a directory that all executors share."""
+    encode = {"wav": wav.encode, "flac": flac.encode}[form]
     source = clips.select(F.col("record_key").cast("bigint").alias("k"), F.col(clip_col)["audio_data"].alias("a"), F.col(clip_col)["sample_rate"].alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(directory, exist_ok=True)
         for batch in batches:
             for key, audio, rate in zip(batch.column("k").to_pylist(), clip_arrays(batch.column("a")), batch.column("r").to_pylist(), strict=True):
-                to = os.path.join(directory, f"{key}.wav")
+                to = os.path.join(directory, f"{key}.{form}")
                 part = f"{to}.{TaskContext.get().taskAttemptId()}.part"
                 with open(part, "wb") as f:  # a task that runs again writes the same file
-                    f.write(wav.encode(audio, rate, bits))
+                    f.write(encode(audio, rate, bits))
                 os.replace(part, to)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 

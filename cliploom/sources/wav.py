@@ -1,8 +1,7 @@
-"""WAV files: header probe, seeking reads and a writer. FLAC only where an optional decoder is installed."""
+"""WAV files: header probe, seeking reads and a writer."""
 
 from __future__ import annotations
 
-import io
 import struct
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -52,15 +51,11 @@ def probe(file: BinaryIO) -> Header:
             file.seek(size + size % 2, 1)
 
 
-def read(file: BinaryIO, offset: float = 0.0, duration: float | None = None) -> tuple[np.ndarray, int]:
-    """channels x samples (float64 in [-1, 1]) and the rate; only the asked-for frames are read."""
-    h = probe(file)
-    first = min(max(int(offset * h.sample_rate), 0), h.frames)
-    n = h.frames - first if duration is None else min(int(round(duration * h.sample_rate)), h.frames - first)
+def frames_of(file: BinaryIO, h: Header, first: int, n: int) -> np.ndarray:
+    """channels x samples (float64 in [-1, 1]) of n frames from ``first`` on; only these are read."""
     width = h.channels * (h.bits // 8)
     file.seek(h.start + first * width)
-    raw = file.read(n * width)
-    return samples(raw, h).reshape(-1, h.channels).T, h.sample_rate
+    return samples(file.read(n * width), h).reshape(-1, h.channels).T
 
 
 def samples(raw: bytes, h: Header) -> np.ndarray:
@@ -79,20 +74,6 @@ def samples(raw: bytes, h: Header) -> np.ndarray:
     raise ValueError(f"{h.bits}-bit samples can't be read")
 
 
-def decode(content: bytes, path: str = "", offset: float = 0.0, duration: float | None = None) -> tuple[np.ndarray, int]:
-    """As :func:`read`, of a file's bytes; FLAC through the optional ``soundfile`` package."""
-    if content[:4] == b"fLaC" or path.lower().endswith(".flac"):
-        try:
-            import soundfile
-        except ImportError:
-            raise ValueError(f"{path}: FLAC needs the optional package soundfile") from None
-        with soundfile.SoundFile(io.BytesIO(content)) as f:
-            f.seek(int(offset * f.samplerate))
-            frames = -1 if duration is None else int(round(duration * f.samplerate))
-            return f.read(frames, dtype="float64", always_2d=True).T, f.samplerate
-    return read(io.BytesIO(content), offset, duration)
-
-
 def encode(audio: np.ndarray, sample_rate: int, bits: int = 16) -> bytes:
     """A WAV file of channels x samples; 8, 16, 24 or 32 bits of PCM, or -32 for float."""
     flat = np.asarray(audio, np.float64).T.reshape(-1)
