@@ -18,6 +18,7 @@ from .operators import arrow
 from .operators import transforms as t
 from .operators.base import MapTransform, RandomTransform
 from .operators.compose import Choose, Pipeline, ReduceBatch, batch
+from .plans import chunked
 from .plans import saliency as sal
 from .schema import CLIP, clip
 from .shared import mounted_dir, shared_dir
@@ -434,12 +435,23 @@ def excerpt_offset_callable(spark, sf_dir):
     return _drawn(spark, sf_dir, _third)
 
 
-def _taps() -> str:
-    return ", ".join(repr(float(x)) for x in k.k_taps(RATE, 512))
+def _taps_sql(rate: int = RATE, taps: int = 512) -> str:
+    """CTE h (j, h): both K-weighting filters as one, from their analog values, by the bilinear transform and the filters' recursions."""
+    gain, q1, f1 = k.SHELF
+    q2, f2 = k.HIGH_PASS
+    return f"""analog AS (SELECT tan(pi() * {f1!r} / {rate}) AS k1, pow(10.0::DOUBLE, {gain!r} / 20) AS v, tan(pi() * {f2!r} / {rate}) AS k2),
+norm AS (SELECT *, pow(v, 0.499666774155) AS vb, 1 + k1 / {q1!r} + k1 * k1 AS n1, 1 + k2 / {q2!r} + k2 * k2 AS n2 FROM analog),
+filters AS (
+  SELECT 1 AS f, (v + vb * k1 / {q1!r} + k1 * k1) / n1 AS b0, 2 * (k1 * k1 - v) / n1 AS b1, (v - vb * k1 / {q1!r} + k1 * k1) / n1 AS b2, 2 * (k1 * k1 - 1) / n1 AS a1, (1 - k1 / {q1!r} + k1 * k1) / n1 AS a2 FROM norm
+  UNION ALL SELECT 2, 1.0, -2.0, 1.0, 2 * (k2 * k2 - 1) / n2, (1 - k2 / {q2!r} + k2 * k2) / n2 FROM norm),
+response AS (
+  SELECT f, 0 AS i, b0::DOUBLE AS y, 0.0::DOUBLE AS y1, b1::DOUBLE AS b1, b2::DOUBLE AS b2, a1::DOUBLE AS a1, a2::DOUBLE AS a2 FROM filters
+  UNION ALL SELECT f, i + 1, CASE i WHEN 0 THEN b1 WHEN 1 THEN b2 ELSE 0.0 END - a1 * y - a2 * y1, y, b1, b2, a1, a2 FROM response WHERE i < {taps - 1}),
+h AS MATERIALIZED (SELECT x.i + y.i AS j, sum(x.y * y.y) AS h FROM response x JOIN response y ON x.f = 1 AND y.f = 2 GROUP BY x.i + y.i)"""
 
 
 @query(f"""
-WITH h AS (SELECT unnest(generate_series(0, 1022)) AS j, unnest([{_taps()}]::DOUBLE[]) AS h),
+WITH RECURSIVE {_taps_sql()},
 o AS (SELECT vec_id AS k, t, {sql_u('saliency', '', 'offset', 't', key='vec_id')} * (64 / 8000.0 - 0.005) AS off, embedding FROM embeddings, range(0, 4) r(t)),
 x AS (SELECT k, t, off, unnest(generate_series(0, 39)) AS p, unnest(embedding[CAST(floor(off * 8000) AS BIGINT) + 1 : CAST(floor(off * 8000) AS BIGINT) + 40]) AS x FROM o),
 y AS (SELECT k, t, off, p + j AS m, sum(CAST(x AS DOUBLE) * h) AS y FROM x, h GROUP BY k, t, off, p + j),
@@ -537,9 +549,9 @@ def istft_identity(spark, sf_dir):
     return report(z.select("record_key", F.struct(arrow.istft(F.col("z"), F.col("n"), 16, 0.5).alias("audio_data")).alias("clip")), "clip")
 
 
-@query("SELECT vec_id // 100 AS record_key, CAST(sum(len(embedding)) AS BIGINT) AS clip_n FROM embeddings GROUP BY vec_id // 100 HAVING count(*) = 100")
+@query("SELECT vec_id // 100 AS record_key, CAST(sum(len(embedding)) AS BIGINT) AS clip_n FROM embeddings GROUP BY vec_id // 100")
 def istft_default_frame(spark, sf_dir):
-    """Clips of 6,400 samples through frames of 2,048 at hops of a quarter and a half and back: the lengths where both agree with the clip."""
+    """Clips of up to 6,400 samples through frames of 2,048 at hops of a quarter and a half and back: the lengths where both agree with the clip."""
     rows = _joined(spark, sf_dir, lambda v, i: v)
     samples = F.col("clip.audio_data")
     out = rows
@@ -568,9 +580,8 @@ def shift_phase(spark, sf_dir):
 
 # -------------------------------------------------------------------------- loudness
 def _loudness_sql(tail: str) -> str:
-    taps = ", ".join(repr(float(x)) for x in k.k_taps(RATE, 512))
     return f"""
-WITH h AS (SELECT unnest(generate_series(0, 1022)) AS j, unnest([{taps}]::DOUBLE[]) AS h),
+WITH RECURSIVE {_taps_sql()},
 x AS (SELECT vec_id AS k, unnest(generate_series(0, len(embedding) - 1)) AS p, unnest(embedding) AS x FROM embeddings),
 y AS (SELECT k, p + j AS m, sum(CAST(x AS DOUBLE) * h) AS y FROM x, h GROUP BY k, p + j),
 l0 AS (SELECT k, -0.691 + 10 * log10(sum(y * y) / 3200.0) AS l FROM y GROUP BY k),
@@ -585,26 +596,73 @@ def integrated_loudness(spark, sf_dir):
 
 
 def _joined(spark, sf_dir, f) -> DataFrame:
-    """(record_key, clip): 100 neighbouring vectors end to end, each changed by f(vector, its place)."""
+    """(record_key, clip): up to 100 neighbouring vectors end to end, each changed by f(vector, its place)."""
     v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("record_key"), (F.col("vec_id") % 100).alias("i"), "embedding")
-    both = v.groupBy("record_key").agg(F.array_sort(F.collect_list(F.struct("i", "embedding"))).alias("v")).where("size(v) = 100")
+    both = v.groupBy("record_key").agg(F.array_sort(F.collect_list(F.struct("i", "embedding"))).alias("v"))
     return both.select("record_key", clip(F.array(F.flatten(F.transform("v", lambda x: f(x["embedding"], x["i"])))), RATE).alias("clip"))
 
 
-@query(f"""
-WITH h AS (SELECT unnest(generate_series(0, 1022)) AS j, unnest([{_taps()}]::DOUBLE[]) AS h),
+def _fading(v: Column, i: Column) -> Column:
+    """Falling by 40 dB a fifth of a hundred."""
+    return F.transform(v, lambda x: (x.cast("double") * F.pow(F.lit(10.0), F.lit(-2.0) * F.floor(i / 20))).cast("float"))
+
+
+GATED = f"""
+WITH RECURSIVE {_taps_sql()},
 x AS (
   SELECT vec_id // 100 AS k, (vec_id % 100) * 64 + unnest(generate_series(0, 63)) AS p, CAST(CAST(unnest(embedding) AS DOUBLE) * pow(10.0, -2.0 * ((vec_id % 100) // 20)) AS FLOAT) AS x
-  FROM embeddings WHERE vec_id // 100 IN (SELECT vec_id // 100 FROM embeddings GROUP BY 1 HAVING count(*) = 100)),
-y AS (SELECT k, p + j AS m, sum(CAST(x AS DOUBLE) * h) AS y FROM x, h WHERE p + j < 6400 GROUP BY k, p + j),
-z AS (SELECT k, b, sum(y * y) / 3200.0 AS z FROM y, range(0, 5) r(b) WHERE m >= 800 * b AND m < 800 * b + 3200 GROUP BY k, b),
+  FROM embeddings),
+n AS (SELECT k, greatest(max(p) + 1, 3200) AS n, greatest(CAST(round_even((greatest(max(p) + 1, 3200) / 8000.0 - 0.4) / 0.1, 0) AS BIGINT) + 1, 1) AS blocks FROM x GROUP BY k),
+y AS (SELECT x.k, p + j AS m, sum(CAST(x AS DOUBLE) * h) AS y FROM x JOIN n USING (k), h WHERE p + j < n GROUP BY x.k, p + j),
+z AS (SELECT k, b, sum(y * y) / 3200.0 AS z FROM y JOIN n USING (k), range(0, 5) r(b) WHERE b < blocks AND m >= 800 * b AND m < 800 * b + 3200 GROUP BY k, b),
 a AS (SELECT * FROM z WHERE -0.691 + 10 * log10(z) >= -70),
 g AS (SELECT k, -0.691 + 10 * log10(avg(z)) - 10 AS gate FROM a GROUP BY k)
-SELECT k AS record_key, CAST(floor((-0.691 + 10 * log10(avg(z))) * 10000.0 + 0.5) AS BIGINT) AS loudness FROM a JOIN g USING (k) WHERE -0.691 + 10 * log10(z) > gate GROUP BY k""")
+SELECT k AS record_key, CAST(floor((-0.691 + 10 * log10(avg(z))) * 10000.0 + 0.5) AS BIGINT) AS loudness FROM a JOIN g USING (k) WHERE -0.691 + 10 * log10(z) > gate GROUP BY k"""
+
+
+@query(GATED)
 def gated_loudness(spark, sf_dir):
     """Five blocks that fall by 40 dB a fifth of the clip: the absolute gate drops the last, the relative one others."""
-    rows = _joined(spark, sf_dir, lambda v, i: F.transform(v, lambda x: (x.cast("double") * F.pow(F.lit(10.0), F.lit(-2.0) * F.floor(i / 20))).cast("float")))
-    return t.ReplaceLoudness()(rows).select("record_key", whole(F.col("clip.loudness")).alias("loudness"))
+    return t.ReplaceLoudness()(_joined(spark, sf_dir, _fading)).select("record_key", whole(F.col("clip.loudness")).alias("loudness"))
+
+
+def _chunks(spark, sf_dir, f) -> DataFrame:
+    """Recordings of up to 100 vectors, each vector a chunk of its own, changed by f(vector, its place)."""
+    i = F.col("vec_id") % 100
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("record_key"), (i * 64).alias("start"), F.array(f(F.col("embedding"), i)).alias("audio"), F.lit(RATE).alias("sample_rate"))
+
+
+@query(GATED)
+def chunked_loudness(spark, sf_dir):
+    """The same loudness, of recordings that lie in rows of 64 samples: parts of blocks are summed up, gates are aggregates."""
+    return chunked.chunk_loudness(_chunks(spark, sf_dir, _fading)).select("record_key", whole(F.col("loudness")).alias("loudness"))
+
+
+def _placed(chunks: DataFrame) -> DataFrame:
+    """Number of samples of each recording, and their sum weighted by their place modulo 100."""
+    flat = F.flatten("audio")
+    each = F.aggregate(F.transform(flat, lambda x, i: x.cast("double") * ((F.col("start") + i) % 100 + 1)), F.lit(0.0), lambda a, x: a + x)
+    return chunks.groupBy("record_key").agg(F.sum(F.size(flat)).cast("bigint").alias("clip_n"), whole(F.sum(each)).alias("clip_sum"))
+
+
+JOINED = "(SELECT vec_id // 100 AS vec_id, flatten(list(embedding ORDER BY vec_id)) AS embedding FROM embeddings GROUP BY vec_id // 100)"
+
+
+@query(_resample_sql(2, 3).replace("FROM embeddings s", f"FROM {JOINED} s").replace("(m + 1)", "(m % 100 + 1)"))
+def chunked_resample(spark, sf_dir):
+    """Recordings in rows of 64 samples, resampled by tiles with halos."""
+    return _placed(chunked.resample_chunks(_chunks(spark, sf_dir, lambda v, i: v), 12000, tile_seconds=1))
+
+
+@query("SELECT vec_id // 100 AS record_key, CAST(sum(len(embedding)) AS BIGINT) AS clip_n, true AS same FROM embeddings GROUP BY vec_id // 100")
+def chunked_istft(spark, sf_dir):
+    """Recordings in rows of 64 samples to spectra of 2,048 and back: frames reach over rows, signals are added up over rows."""
+    chunks = _chunks(spark, sf_dir, lambda v, i: v)
+    back = chunked.istft_chunks(chunked.stft_chunks(chunks), sample_rate=RATE)
+    each = chunks.select("record_key", F.posexplode(F.flatten("audio")).alias("i", "x"), "start").select("record_key", (F.col("start") + F.col("i")).alias("at"), "x")
+    again = back.select("record_key", F.posexplode(F.flatten("audio")).alias("i", "y"), "start").select("record_key", (F.col("start") + F.col("i")).alias("at"), "y")
+    near = F.coalesce(F.abs(F.col("x") - F.col("y")) < 1e-4, F.lit(False))
+    return each.join(again, ["record_key", "at"], "full").groupBy("record_key").agg(F.count("*").alias("clip_n"), F.bool_and(near).alias("same"))
 
 
 TARGET = f"(-30.0 + {sql_u('VolumeNorm', 'clip', 'target')} * 10.0)"
