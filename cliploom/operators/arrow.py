@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import kernels as k
 from ..rng import SCALE
@@ -170,6 +172,35 @@ def codec_kernel(encode: Callable[[np.ndarray, int], np.ndarray]):
     return _nested(one, "array<array<int>>")
 
 
+def user_kernel(function: Callable, result: str | None, options: dict, bare: bool):
+    """A NumPy function of a leaf as Arrow UDFs: (audio, sample_rate, random prefix), or (numbers, random prefix) of bare arrays.
+
+    ``function(values, sample_rate, rng, **options)`` gives what ``result`` (a type's DDL) says, or audio. The generator is seeded by the
+    record and the leaf, so it gives the same numbers wherever and however often a record is computed. Null leaves are skipped.
+    """
+    kind = to_arrow_type(T.DataType.fromDDL(result)) if result else None
+
+    def made(values, rates, prefixes, indexes) -> pa.Array:
+        out = []
+        for x, rate, prefix, i in zip(values, rates, prefixes, indexes, strict=True):
+            if x is None:
+                out.append(None)
+                continue
+            key = f"{prefix}{i if prefix.split('|')[3] else ''}|kernel"
+            out.append(function(x, rate, np.random.Generator(np.random.Philox(int(hashlib.md5(key.encode()).hexdigest(), 16))), **options))
+        if kind is None:
+            return audio_array([None if x is None else np.atleast_2d(x) for x in out])
+        return pa.array([x.tolist() if isinstance(x, (np.ndarray, np.generic)) else x for x in out], kind)
+
+    def numbers(values: pa.Array, prefix: pa.Array, index: pa.Array) -> pa.Array:
+        return made([None if v is None else np.array(v, np.float64) for v in values.to_pylist()], [None] * len(values), prefix.to_pylist(), index.to_pylist())
+
+    def audio(values: pa.Array, rate: pa.Array, prefix: pa.Array, index: pa.Array) -> pa.Array:
+        return made(list(clip_arrays(values)), rate.to_pylist(), prefix.to_pylist(), index.to_pylist())
+
+    return _nested(numbers if bare else audio, result or AUDIO)
+
+
 SPECTRUM = "array<struct<channel:int,frequency:int,frame:int,re:double,im:double>>"
 
 

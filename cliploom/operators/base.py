@@ -56,6 +56,7 @@ class Transform:
     on_arrays: ClassVar[bool] = False
     random: ClassVar[bool] = False
     kernel_result: ClassVar[bool] = False
+    _taken: Column | None = None
 
     def __init__(self, config: Mapping | None = None, scope: Mapping | None = None, output_key: str | Callable[[list[str]], str] | None = None, name: str | None = None):
         self.config, self.scope, self.output_key = flatten(config), flatten(scope), output_key
@@ -92,8 +93,12 @@ class Transform:
         """Whether the transform applies to a record; None: always."""
         return None
 
-    def changes(self, df: DataFrame) -> Changed:
-        """New and replaced top-level columns, by name."""
+    def changes(self, df: DataFrame, taken: Column | None = None) -> Changed:
+        """New and replaced top-level columns, by name.
+
+        Where ``taken`` isn't true nobody will look at them: kernels get null there, and so do nothing.
+        """
+        self._taken = taken if self.kernel_result else None
         check_names(T.StructType([f for f in df.schema.fields if f.name in tree_columns(df)]))
         fields = {f.name: f.dataType for f in df.schema.fields if f.name in tree_columns(df)}
         found = [x for name, kind in fields.items() for x in leaves(kind, self.is_leaf, (name,))]
@@ -143,17 +148,18 @@ class Transform:
 
     def _new(self, col: Column, kind: T.DataType, path: tuple[str, ...], lists: int, gone: Column | None = None) -> Column:
         """The transformed leaf, or array of leaves. ``gone`` is what an idle coin leaves; None: the leaf itself."""
+        coin = self.coin()
         if self.is_leaf(kind):
             spot = self._spot(path, kind, lists)
-            ready = self.before(col, spot)
-            done, idle = self.apply(ready, spot), ready
+            before, apply = self.before, self.apply
         elif isinstance(kind, T.ArrayType) and self.is_leaf(kind.elementType):
             spot = self._spot(path, kind.elementType, lists + 1)
-            ready = self.before_list(col, spot)
-            done, idle = self.apply_list(ready, spot), ready
+            before, apply = self.before_list, self.apply_list
         else:
             return F.transform(col, lambda v: self._new(v, kind.elementType, path, lists + 1, gone))
-        coin = self.coin()
+        # Kernels see null where neither the coin nor a choice will use what they give, and skip it.
+        idle = before(col if self._taken is None else F.when(self._taken, col), spot)
+        done = apply(F.when(coin, idle) if coin is not None and self.kernel_result else idle, spot)
         if coin is None:
             return done
         return F.when(coin, done).otherwise(idle if gone is None else gone)

@@ -35,8 +35,8 @@ class Choose:
 
     Each record draws keys -ln(u)/weight and takes the c least, which is weighted drawing
     without replacement. Transforms of weight 0 are never drawn. Where a branch adds siblings,
-    records that took another have null there. A branch may be a chain or another Choose: it then runs on
-    all records, and those that took another branch get their tree back.
+    records that took another have null there. A branch may be a chain or another Choose: it then sees null for
+    records that took another branch, and these get their tree back. So kernels run only on the records that took their branch.
     """
 
     def __init__(self, *transforms: Transform | Callable, c: int = 1, weights: Sequence[float] | None = None, prob: float = 1.0, seed: int = 0, name: str = "Choose"):
@@ -73,8 +73,8 @@ class Choose:
     def _stage(self, df: DataFrame, which: Column, helper: str) -> DataFrame:
         plain = df.drop(*[c for c in df.columns if c.startswith(HELPER)])
         whole = [i for i in self.drawn if not isinstance(self.transforms[i], Transform)]
-        branches = {i: self.transforms[i].changes(plain) for i in self.drawn if i not in whole}
-        kinds = {i: plain.select(*[c.alias(n) for n, c in b.items()]).schema if b else T.StructType() for i, b in branches.items()}
+        branches = {i: self.transforms[i].changes(plain, which == i) for i in self.drawn if i not in whole}
+        kinds = {i: df.select(*[c.alias(n) for n, c in b.items()]).schema if b else T.StructType() for i, b in branches.items()}
         names = [f.name for f in plain.schema.fields] + [n for b in branches.values() for n in b]
         out = {}
         for name in dict.fromkeys(names):
@@ -99,7 +99,8 @@ class Choose:
         """A branch that is no single transform: its outcome where it was taken, else the tree as it was."""
         held, flag = f"{helper}_held", f"{helper}_taken"
         before = {c: df.schema[c].dataType for c in tree_columns(df)}
-        done = branch(df.withColumn(flag, taken).withColumn(held, F.struct(*[F.col(f"`{c}`") for c in before])))
+        ready = df.withColumn(flag, F.coalesce(taken, F.lit(False))).withColumn(held, F.struct(*[F.col(f"`{c}`") for c in before]))
+        done = branch(ready.withColumns({c: F.when(F.col(f"`{flag}`"), F.col(f"`{c}`")) for c in before}))
         done = apart(done)
         out = {}
         for c in tree_columns(done):

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import expr as e
-from ..schema import with_fields
+from ..schema import is_clip, with_fields
 from . import arrow
 from .base import MapTransform, RandomTransform, Spot
 
@@ -23,8 +23,8 @@ def field_of(values: Column, name: str) -> Column:
 class Identity(MapTransform):
     """Leaves everything as it is; no expression is made."""
 
-    def changes(self, df):
-        return {} if self.output_key is None else super().changes(df)
+    def changes(self, df, taken=None):
+        return {} if self.output_key is None else super().changes(df, taken)
 
     def apply(self, value: Column, spot: Spot) -> Column:
         return value
@@ -201,3 +201,36 @@ def _counted(encode: Callable, n_codebooks: int) -> Callable:
         return tokens
 
     return run
+
+
+class NumpyTransform(RandomTransform):
+    """A transform whose body is NumPy, planned like the built-in ones: options, scope, coin, output keys and lists work alike.
+
+    Subclasses write ``kernel(values, sample_rate, rng, **options)``, a static method. Of a clip it gets channels x samples and gives audio, which
+    becomes the clip's ``audio_data`` (the loudness becomes unknown); with ``on_arrays`` bare arrays of numbers are leaves, too, whose rate is None.
+    ``result`` declares another type, by its DDL: what the kernel gives then takes the leaf's place. ``rng`` is a NumPy generator of the record
+    and leaf; with ``split_seed=False`` all leaves of a record get the same. Kernels run on whole Arrow batches of leaves, and only where the coin says so.
+    """
+
+    result: ClassVar[str | None] = None
+    kernel_result: ClassVar[bool] = True
+
+    @staticmethod
+    def kernel(values: np.ndarray, sample_rate: int | None, rng: np.random.Generator, **options: Any) -> Any:
+        raise NotImplementedError
+
+    def _made(self, spot: Spot, bare: bool):
+        kind = self.result or (spot.leaf.kind.simpleString() if bare else None)
+        return arrow.user_kernel(type(self).kernel, kind, dict(spot.options), bare)
+
+    def _stored(self, value: Column, made: Column, spot: Spot) -> Column:
+        return made if self.result else with_fields(value, spot.leaf.kind, audio_data=made, loudness=F.lit(None).cast("double"))
+
+    def apply(self, value: Column, spot: Spot) -> Column:
+        if not is_clip(spot.leaf.kind):
+            return self._made(spot, True)[0](value, spot.stream.prefix())
+        return self._stored(value, self._made(spot, False)[0](value["audio_data"], value["sample_rate"], spot.stream.prefix()), spot)
+
+    def apply_list(self, values: Column, spot: Spot) -> Column:
+        made = self._made(spot, False)[1](field_of(values, "audio_data"), field_of(values, "sample_rate"), spot.stream.prefix(), from_list=(0,))
+        return made if self.result else F.zip_with(values, made, lambda v, m: self._stored(v, m, spot))

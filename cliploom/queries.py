@@ -573,6 +573,40 @@ class _ShortShift(t.ShiftPhase):
     frame_length = 16
 
 
+def _default_frame_sql(phase: str) -> str:
+    """The same for frames of 2,048 at hops of a half, over recordings of any length; sines come from a table."""
+    return f"""
+WITH x AS (SELECT vec_id // 100 AS k, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id, i) - 1 AS p, x FROM (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)),
+sine AS MATERIALIZED (SELECT i, cos(2 * pi() * i / 2048) AS c, sin(2 * pi() * i / 2048) AS s FROM range(0, 2048) r(i)),
+w AS MATERIALIZED (SELECT i AS n, 0.5 - 0.5 * c AS w FROM sine),
+size AS (SELECT k, max(p) + 1 AS n, CAST(ceil(greatest(max(p) + 1, 2048) / 1024) AS BIGINT) AS last FROM x GROUP BY k),
+placed AS (SELECT k, p, x, unnest([(p + 1024) // 1024, (p + 1024) // 1024 - 1]) AS t FROM x),
+fr AS MATERIALIZED (SELECT k, t, w.n, CAST(x AS DOUBLE) * w AS v FROM placed JOIN size USING (k) JOIN w ON w.n = p + 1024 - 1024 * t WHERE t BETWEEN 0 AND last),
+z0 AS (SELECT k, t, f, sum(v * c) / 1024 AS re, -sum(v * s) / 1024 AS im FROM fr, range(0, 1025) q(f) JOIN sine ON sine.i = (f * n) % 2048 GROUP BY k, t, f),
+z AS MATERIALIZED (SELECT k, t, f, (CASE WHEN f IN (0, 1024) THEN 1 ELSE 2 END) * (re * cos(a) - im * sin(a)) AS re, (CASE WHEN f IN (0, 1024) THEN 1 ELSE 2 END) * (re * sin(a) + im * cos(a)) AS im FROM (SELECT *, {phase} AS a FROM z0)),
+y AS (SELECT k, t, n, sum(re * c - im * s) / 2 AS y FROM z, w JOIN sine ON sine.i = (f * n) % 2048 GROUP BY k, t, n),
+o AS (SELECT k, 1024 * t + n - 1024 AS p, sum(y * w) / sum(w * w) AS y FROM y JOIN w USING (n) GROUP BY k, 1024 * t + n - 1024)
+SELECT k AS record_key, count(*) AS clip_n, CAST(floor(sum(y * (p % 100 + 1)) * 100.0 + 0.5) AS BIGINT) AS clip_sum FROM o JOIN size USING (k) WHERE p BETWEEN 0 AND size.n - 1 GROUP BY k
+"""
+
+
+def _by_place(df: DataFrame) -> DataFrame:
+    flat = F.flatten("clip.audio_data")
+    total = F.aggregate(F.transform(flat, lambda x, i: x.cast("double") * (i % 100 + 1)), F.lit(0.0), lambda a, x: a + x)
+    return df.select("record_key", F.size(flat).cast("bigint").alias("clip_n"), F.floor(total * 100.0 + 0.5).cast("bigint").alias("clip_sum"))
+
+
+@query(_default_frame_sql("(" + sql_u("CorruptPhase", "clip", "phase", "f") + " * 2 - 1) * pi()"))
+def corrupt_phase_default_frame(spark, sf_dir):
+    """Recordings of up to 6,400 samples at the default frame."""
+    return _by_place(t.CorruptPhase()(_joined(spark, sf_dir, lambda v, i: v)))
+
+
+@query(_default_frame_sql("(" + sql_u("ShiftPhase", "clip", "phase") + " * 2 - 1) * pi()"))
+def shift_phase_default_frame(spark, sf_dir):
+    return _by_place(t.ShiftPhase()(_joined(spark, sf_dir, lambda v, i: v)))
+
+
 @query(_spectrum_sql("(" + sql_u("ShiftPhase", "clip", "phase") + " * 2 - 1) * pi()", OVERLAP))
 def shift_phase(spark, sf_dir):
     return report(_ShortShift(name="ShiftPhase")(mono(spark, sf_dir)), "clip")
@@ -726,6 +760,41 @@ def choose_nested(spark, sf_dir):
     return report(Choose(inner, Pipeline(_times(3.0), _Add()), name="Outer")(mono(spark, sf_dir)), "clip")
 
 
+class _Range(t.NumpyTransform):
+    """A NumPy body that puts another type in the leaf's place."""
+
+    defaults = {"scale": 1.0}
+    result = "struct<low:double,high:double>"
+
+    @staticmethod
+    def kernel(values, sample_rate, rng, scale):
+        return {"low": float(values.min() * scale), "high": float(values.max() * scale)}
+
+
+class _Doubled(t.NumpyTransform):
+    @staticmethod
+    def kernel(values, sample_rate, rng):
+        return values * 2
+
+
+def _of_range(name: str, samples: str, scale: str) -> str:
+    each = f"list_transform({samples}, lambda x: CAST(x AS DOUBLE))"
+    return ", ".join(f"CAST(floor({f}({each}) * {scale} * 10000.0 + 0.5) AS BIGINT) AS {name}_{c}" for f, c in (("list_min", "low"), ("list_max", "high")))
+
+
+@query(f"SELECT k AS record_key, {_of_range('src', 'a', '2.0')}, {_of_range('target', 'b', '1.0')} FROM {NESTED}")
+def user_kernel(spark, sf_dir):
+    """A user's NumPy function as a transform: options by path, and a struct of its own in the leaves' place."""
+    out = _Range({"src": {"scale": 2.0}})(nested(spark, sf_dir))
+    return out.select("record_key", *[whole(F.col(f"{leaf}.{c}")).alias(f"{leaf}_{c}") for leaf in ("src", "target") for c in ("low", "high")])
+
+
+@query(sql_report(_choose_sql((1.0, 2.0), 1, 0.7), "clip=CASE chosen WHEN '0' THEN list_transform(a, lambda x: CAST(CAST(x AS DOUBLE) * 2.0 AS FLOAT)) WHEN '1' THEN list_transform(a, lambda x: -x) ELSE a END"))
+def choose_user_kernel(spark, sf_dir):
+    """A branch with a NumPy body, which runs on the records that take it only."""
+    return report(Choose(_Doubled(), t.InvertPhase(), weights=[1.0, 2.0], prob=0.7)(mono(spark, sf_dir)), "clip")
+
+
 def _quantise(audio: np.ndarray, rate: int) -> np.ndarray:
     """A stand-in for a codec: two codebooks of 8 levels."""
     one = np.floor((audio + 1) * 8).astype(np.int64)
