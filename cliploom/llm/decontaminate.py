@@ -11,13 +11,15 @@ own words, byte by byte, so hashes only ever propose.
 
 The join has two forms with one result. Windows whose number and bytes are under a limit are
 broadcast as an index, and documents are never shuffled. Beyond it, prefixes are joined by a
-shuffle: a bit table of fixed size lets only words through that may be a prefix, each with the
-words around it, and a frequent prefix is salted. Both count rarity in one pass.
+shuffle: a bit table, as large as the prefixes need up to a bound, lets only words through that may be a prefix, each with the
+words around it, and a frequent prefix is salted. Beyond the bound the tokens are taken in rounds, a table for each, so the share of words that pass
+stays the same. Which items a window is of is joined after the hits. Both forms count rarity first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from .common import U64, Chunk, Words, carried, chunks, grams, materialize, narr
 #: Words of a prefix shingle (fewer in shorter windows); windows and bytes that are broadcast at most.
 SHINGLE, MAX_BLOCK_WINDOWS, MAX_BLOCK_BYTES = 3, 200_000, 32 << 20
 SPANS = "array<struct<start:int,end:int>>"
-#: Bits of the table of tokens, as a power of two. A token that occurs in more than this share of the corpus's candidates is salted.
-SIEVE_BITS, HOT_SHARE = 26, 1024
+#: Bits of the table of tokens, as powers of two, at least and at most, and bits for each token. A token that occurs in more than this share of the corpus's candidates is salted.
+LEAST_BITS, MOST_BITS, TOKEN_BITS, HOT_SHARE = 16, 27, 16, 1024
 
 
 def text_chunk(texts: list[bytes]) -> Chunk:
@@ -64,16 +66,15 @@ def gram_rows(m: np.ndarray, k: int) -> np.ndarray:
 
 
 class Sieve:
-    """A bit table of tokens: no token is missed, some others pass."""
+    """A bit table of tokens of one round: no token is missed, some others pass. A token's round is its remainder by the number of rounds, a power of two."""
 
-    def __init__(self, tokens: np.ndarray):
-        self.bits = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
-        place = tokens >> U64(64 - SIEVE_BITS)
-        np.bitwise_or.at(self.bits, (place >> U64(3)).astype(np.int64), np.left_shift(1, (place & U64(7)).astype(np.uint8), dtype=np.uint8))
+    def __init__(self, bits: int, rounds: int = 1, number: int = 0):
+        self.size, self.rounds, self.number, self.bits = bits, rounds, number, np.zeros(1 << (bits - 3), np.uint8)
 
     def passing(self, g: np.ndarray) -> np.ndarray:
-        place = g >> U64(64 - SIEVE_BITS)
-        return np.flatnonzero(self.bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8) & 1)
+        place = g >> U64(64 - self.size)
+        found = np.flatnonzero(self.bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8) & 1)
+        return found[g[found] & U64(self.rounds - 1) == U64(self.number)] if self.rounds > 1 else found
 
 
 class Index:
@@ -209,14 +210,19 @@ def _window_tokens(windows: DataFrame) -> DataFrame:
     return windows.select("win", "window").mapInArrow(worker(run), "win long, offset int, size int, length int, token long")
 
 
-def _sieve(tokens: DataFrame) -> Sieve:
-    """The bit table of a column ``token``, made from at most 2 ** (SIEVE_BITS - 5) numbers."""
-    place = F.shiftrightunsigned("token", 64 - SIEVE_BITS)
-    cells = tokens.select(F.shiftright(place, 5).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - SIEVE_BITS}) & 31 as int))").alias("bit"))
-    table = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = Sieve(np.zeros(0, U64))
-    out.bits.view(np.uint32)[table.column("cell").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
-    return out
+def _sieves(tokens: DataFrame) -> Iterator[Sieve]:
+    """Bit tables of a column ``token``, one for each round. Each has at most 2 ** MOST_BITS bits, of which a TOKEN_BITS-th are set at most."""
+    n = tokens.agg(F.approx_count_distinct("token", 0.02)).first()[0]
+    bits = min(max(LEAST_BITS, (n * TOKEN_BITS).bit_length()), MOST_BITS)
+    rounds = 1 << max(0, (n * TOKEN_BITS - 1).bit_length() - MOST_BITS)
+    place = F.shiftrightunsigned("token", 64 - bits)
+    for number in range(rounds):
+        own = tokens.where(F.col("token").bitwiseAND(rounds - 1) == number) if rounds > 1 else tokens
+        cells = own.select(F.shiftright(place, 5).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - bits}) & 31 as int))").alias("bit"))
+        table = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (MOST_BITS - 5) rows at most
+        out = Sieve(bits, rounds, number)
+        out.bits.view(np.uint32)[table.column("cell").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+        yield out
 
 
 def _tokens_of(rows: DataFrame, shipped, window: int, counting: bool, salts=None) -> DataFrame:
@@ -251,8 +257,8 @@ def _tokens_of(rows: DataFrame, shipped, window: int, counting: bool, salts=None
     return found.groupBy("token").agg(F.sum("n").alias("n")) if counting else found
 
 
-def _by_shuffle(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """Documents against any number of windows: rarest shingles are joined, then the words around them are compared."""
+def _by_shuffle(rows: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
+    """Documents against any number of windows (window, item): rarest shingles are joined, then the words around them are compared, then items come in."""
     context = rows.sparkSession.sparkContext
     kind = dict(rows.dtypes)["row_id"]
 
@@ -264,24 +270,32 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
             row += len(c)
 
     docs = materialize(rows.mapInArrow(worker(number), f"row long, row_id {kind}, n_words long, text string"), "numbered")
-    windows = materialize(windows.withColumn("win", F.monotonically_increasing_id()), "windows")
+    windows = materialize(pairs.select("window").distinct().withColumn("win", F.monotonically_increasing_id()), "windows")
     tokens = materialize(_window_tokens(windows), "tokens")
     sizes = list(range(1, SHINGLE + 1))
-    counted = _tokens_of(docs, context.broadcast((_sieve(tokens), sizes)), window, counting=True)
+
+    def passed(wanted: DataFrame, name: str, **options) -> DataFrame:
+        """What passes the bit tables, of all rounds."""
+        parts = [materialize(_tokens_of(docs, context.broadcast((sieve, sizes)), window, **options), name) for sieve in _sieves(wanted)]
+        return reduce(DataFrame.unionByName, parts)
+
+    counted = passed(tokens, "counts", counting=True)
     rarity = tokens.join(counted, "token", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     prefix = materialize(rarity.groupBy("win").agg(F.min(F.struct("n", "offset", "token", "size", "length")).alias("p")).select("win", "p.*"), "prefixes")
     each = prefix.groupBy("token").agg(F.max("n").alias("n"))
     limit = (each.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE + 1
     salts = {r.token: r.salts for r in each.where(F.col("n") > limit).select("token", F.ceil(F.col("n") / limit).cast("int").alias("salts")).collect()}  # HOT_SHARE tokens at most
-    candidates = _tokens_of(docs, context.broadcast((_sieve(prefix), sizes)), window, counting=False, salts=context.broadcast(salts))
+    candidates = passed(prefix, "candidates", counting=False, salts=context.broadcast(salts))
     salted = prefix.join(windows, "win").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1).cast("int") - 1)))
-    met = candidates.join(salted.select("token", "salt", "size", "offset", "length", "window", "items"), ["token", "salt", "size"]).where("offset <= low")
+    met = candidates.join(salted.select("token", "salt", "size", "offset", "length", "window", "win"), ["token", "salt", "size"]).where("offset <= low")
     said = F.array_join(F.slice(F.split("around", " "), F.col("low") - F.col("offset") + 1, F.col("length")), " ")
-    hits = met.where(said == F.col("window")).select("row", (F.col("place") - F.col("offset")).alias("start"), "length", "items")
-    # Words, then items, are made distinct before a row's are put together.
+    hits = met.where(said == F.col("window")).select("row", (F.col("place") - F.col("offset")).alias("start"), "length", "win")
+    # Words, then items, are made distinct before a row's are put together. Only windows that were hit meet their items.
     found = materialize(hits, "hits")
     runs = found.select("row", "start", "length").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("runs"))
-    names = found.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    seen = materialize(found.select("row", "win").distinct(), "seen")
+    hit = seen.select("win").distinct().join(windows, "win").join(pairs, "window").select("win", "item")
+    names = seen.join(hit, "win").select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     joined = docs.select("row", "row_id", "n_words").join(runs.join(names, "row"), "row", "left")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,17 +326,18 @@ def find_contamination(
     """
     context = docs.sparkSession.sparkContext
     rows = narrow(docs, row_id=id_col, text=text_col)
-    # Equal windows of several items are one row.
-    each = item_windows(benchmark, window, item_col, item_text_col).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    windows = materialize(each, "windows")
-    bytes_ = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda acc, x: acc + F.octet_length(x) + 8)
-    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    pairs = materialize(item_windows(benchmark, window, item_col, item_text_col).distinct(), "windows")
+    # What the broadcast form would hold: each window once, and its items.
+    n, size = pairs.groupBy("window").agg((F.octet_length("window") + F.sum(F.octet_length("item") + 8)).alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if n > max_block_windows or size > max_block_bytes:
-        return _by_shuffle(rows, windows, window).withColumnRenamed("row_id", id_col)
+        return _by_shuffle(rows, pairs, window).withColumnRenamed("row_id", id_col)
     index = None
     if n:
-        table = windows.orderBy("window").toArrow()
-        index = Index([x.encode() for x in table.column("window").to_pylist()], table.column("items").to_pylist())
+        table = pairs.orderBy("window", "item").toArrow()  # within the bounds
+        items: dict[str, list[str]] = {}
+        for win, item in zip(table.column("window").to_pylist(), table.column("item").to_pylist(), strict=True):
+            items.setdefault(win, []).append(item)
+        index = Index([x.encode() for x in items], list(items.values()))
         tokens = index.shingles()
         counts = np.zeros(len(tokens), np.int64)
         counted = _count_shingles(rows.select("text"), context.broadcast((tokens, index.sizes))).toArrow()  # a row for each token at most

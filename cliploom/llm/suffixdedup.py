@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, POWERS, U64, Powers, chunks, give_back, materialize, mix, partitions, prefix_hash, ragged, worker
+from .common import BASE, POWERS, U64, Powers, chunks, give_back, hot_keys, materialize, meet, mix, partitions, prefix_hash, ragged, worker
 
 LENGTH, GRAM = 50, 16
 #: Text bytes of a pack (a longer document is a pack of its own) and of a bucket, on average.
@@ -44,6 +44,8 @@ MOST_PACK_BYTES, BYTES_A_BUCKET = 4 << 20, 340
 BUCKETS_A_TASK, GROUP_PACKS = 4, 50_000
 #: A minimiser of more segments (equal ones of a pack count once) has them cut into single strings.
 HOT_SEGMENTS = 20_000
+#: A single string of more than this share of all packs' strings (and of over 400 packs) is hot.
+HOT_STRINGS = 4096
 #: Suffixes that are sorted together.
 SORT_BLOCK = 400_000
 FP_BYTES, LOW = 5, 24  # of a minimiser's hash: its upper bytes travel, the lower bits choose the bucket
@@ -149,15 +151,25 @@ def _rows(**columns) -> pa.RecordBatch:
 
 # ------------------------------------------------- first: which minimisers are shared
 def distinct_fps(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pack's distinct minimisers, sorted, whether documents of two ids have them, and of how many segments (up to 255)."""
+    """The pack's distinct minimisers, sorted, whether documents of two ids have them, and of how many segments."""
     order = np.lexsort((p.content, p.fp))
     fp, content, ids = p.fp[order], p.content[order], p.ids[p.doc[order]]
     at, _ = runs(fp)
     if not len(at):
-        return fp, np.zeros(0, bool), np.zeros(0, np.uint8)
+        return fp, np.zeros(0, bool), np.zeros(0, np.int64)
     other = np.append(True, (fp[1:] != fp[:-1]) | (content[1:] != content[:-1]))
-    kinds = np.minimum(np.add.reduceat(other.astype(np.int64), at), 255).astype(np.uint8)
-    return fp[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at), kinds
+    return fp[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at), np.add.reduceat(other.astype(np.int64), at)
+
+
+def _small_first(counts: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and more as 255, and their own 4 bytes at the end."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes()
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u4", offset=n) if len(raw) > n else []
+    return out
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -182,7 +194,7 @@ def send_minimisers(packs: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 yield _rows(
                     bucket=b[at], pack=[pack] * len(at), fps=[raw[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist(), strict=True)],
                     many=[np.packbits(many[i:j]).tobytes() for i, j in zip(at.tolist(), ends.tolist(), strict=True)],
-                    kinds=[kinds[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist(), strict=True)],
+                    kinds=[_small_first(kinds[i:j]) for i, j in zip(at.tolist(), ends.tolist(), strict=True)],
                 )
 
     return packs.mapInArrow(worker(run), "bucket long, pack long, fps binary, many binary, kinds binary")
@@ -219,8 +231,8 @@ def shared_minimisers(sent: DataFrame, hot_segments: int, n_parts: int, n_groups
         fp, sizes = _unpacked(table.column("fps").to_pylist())
         distinct, inverse, count = np.unique(fp, return_inverse=True, return_counts=True)
         many = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table.column("many").to_pylist(), sizes.tolist(), strict=True)]])
-        kinds = b"".join(table.column("kinds").to_pylist())
-        total = np.bincount(inverse, weights=np.frombuffer(kinds, np.uint8 if len(kinds) == len(fp) else "<u4"), minlength=len(distinct))
+        kinds = np.concatenate([np.zeros(0, np.int64), *[_counts(c, n) for c, n in zip(table.column("kinds").to_pylist(), sizes.tolist(), strict=True)]])
+        total = np.bincount(inverse, weights=kinds, minlength=len(distinct))
         return distinct, inverse, (count > 1) | (np.bincount(inverse, weights=many, minlength=len(distinct)) > 0), total, sizes
 
     def judge(table: pa.Table) -> pa.Table:
@@ -230,7 +242,7 @@ def shared_minimisers(sent: DataFrame, hot_segments: int, n_parts: int, n_groups
     def combine(table: pa.Table) -> pa.Table:
         fp, _, shared, total, _ = counted(table)
         raw = fp.view(np.uint8).reshape(-1, 8)[:, :FP_BYTES].tobytes()
-        return pa.Table.from_batches([_rows(bucket=[table.column("bucket")[0].as_py()], fps=[raw], many=[np.packbits(shared).tobytes()], kinds=[np.minimum(total, hot_segments + 1).astype("<u4").tobytes()])])
+        return pa.Table.from_batches([_rows(bucket=[table.column("bucket")[0].as_py()], fps=[raw], many=[np.packbits(shared).tobytes()], kinds=[_small_first(np.minimum(total, hot_segments + 1).astype(np.int64))])])
 
     def decide(table: pa.Table) -> pa.Table:
         fp, _, shared, total, _ = counted(table)
@@ -301,10 +313,13 @@ def send_strings(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
 
 
 def judge_strings(sent: DataFrame) -> DataFrame:
-    """Rows (pack, known): the numbers of a pack's single strings that start under a smaller id elsewhere."""
+    """Rows (pack, known): the numbers of a pack's single strings that start under a smaller id elsewhere.
+
+    A string that very many packs have, such as a licence line, gets its least id by broadcast.
+    """
     sent = materialize(sent, "strings")
-    least = materialize(sent.groupBy("string").agg(F.min("least").alias("m"), F.max("least").alias("x")).where("m < x").drop("x"), "least")
-    return sent.join(least, "string").where("m < least").groupBy("pack").agg(F.collect_list("k").alias("known"))
+    least = materialize(sent.groupBy("string").agg(F.min("least").alias("m"), F.max("least").alias("x"), F.count("*").alias("rows")).where("m < x").drop("x"), "least")
+    return meet(sent, least.drop("rows"), hot_keys(least, HOT_STRINGS, "string"), "string", kind="binary").where("m < least").groupBy("pack").agg(F.collect_list("k").alias("known"))
 
 
 class Distinct:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cliploom.llm import decontaminate as d
@@ -87,3 +88,32 @@ def test_frequent_prefixes_by_shuffle(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     large = d.find_contamination(docs(rows), bench, max_block_bytes=10)
     assert got(large) == got(d.find_contamination(docs(rows), bench)) == brute(rows, items)
+
+
+def test_rounds_of_bit_tables(spark, docs, monkeypatch):
+    """More tokens than one table may hold are taken in rounds, with the same result."""
+    monkeypatch.setattr(d, "MOST_BITS", 10)
+    monkeypatch.setattr(d, "LEAST_BITS", 8)
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    items = [(k, say(rng.choice([1, 2, 11, 20]))) for k in range(40)]
+    rows = [(k, f"{say(9)} {rng.choice(items)[1]} {say(9)}") for k in range(40)]
+    tokens = spark.createDataFrame([(rng.getrandbits(63) * rng.choice((1, -1)),) for _ in range(500)], "token long")
+    made = list(d._sieves(tokens))
+    assert len(made) > 4 and all(s.size == 10 for s in made)
+    g = np.array([r.token for r in tokens.collect()], np.int64).view(np.uint64)
+    passed = np.concatenate([s.passing(g) for s in made])
+    assert sorted(passed.tolist()) == list(range(500))  # each token in its own round, once
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert got(d.find_contamination(docs(rows), bench, max_block_windows=0)) == brute(rows, items)
+
+
+@pytest.mark.parametrize("block", [200_000, 0])
+def test_one_window_in_very_many_items(spark, docs, block):
+    shared = " ".join(f"s{k}" for k in range(10))
+    items = [(k, shared if k % 10 else f"{shared} own{k}") for k in range(10_000)]
+    rows = [(1, f"x {shared} y"), (2, f"{shared} own20"), (3, "s0 s1")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_words, [tuple(x) for x in r.spans], r["items"]) for r in d.find_contamination(docs(rows), bench, max_block_windows=block).collect()}
+    every = sorted(str(k) for k in range(10_000))
+    assert found == {1: (12, [(1, 11)], every), 2: (11, [(0, 11)], every), 3: (2, [], [])}

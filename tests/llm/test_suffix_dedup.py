@@ -112,3 +112,18 @@ def test_collisions_are_noticed(monkeypatch):
     number = s.suffix_groups(data, places, 8)
     strings = [data[p : p + 8].tobytes() for p in places]
     assert number.tolist() == [sorted(set(strings)).index(t) for t in strings]
+
+
+def test_counts_of_segments_are_true():
+    counts = np.array([0, 1, 254, 255, 256, 100_000, 3])
+    packed = s._small_first(counts)
+    assert s._counts(packed, len(counts)).tolist() == counts.tolist() and len(packed) == 7 + 12
+    assert s._counts(s._small_first(counts[:3]), 3).tolist() == [0, 1, 254]
+
+
+def test_a_string_of_very_many_packs(spark):
+    """A licence line that every pack has gets its verdict by broadcast; each pack's own strings by a join."""
+    rows = [(b"line", p, 0, 10 + p) for p in range(900)] + [(b"own%d" % p, p, 1, p) for p in range(900)] + [(b"pair", 3, 2, 5), (b"pair", 4, 2, 4)]
+    sent = spark.createDataFrame(rows, "string binary, pack long, k int, least long")
+    got = {r.pack: sorted(r.known) for r in s.judge_strings(sent).collect()}
+    assert got == {p: [0, 2] if p == 3 else [0] for p in range(1, 900)}
