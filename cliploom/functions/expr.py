@@ -138,3 +138,37 @@ def register_sql(spark: SparkSession) -> list[str]:
     for name, (parameters, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
     return list(SQL_FUNCTIONS)
+
+
+#: Table functions for SQL, by name: their arguments, columns and bodies. In a body ``f.x`` is the argument x.
+TABLE_FUNCTIONS = {
+    "clip_frames": (
+        "samples ARRAY<FLOAT>, width INT, hop INT",
+        "frame INT, samples ARRAY<FLOAT>",
+        "SELECT i, slice(clip_frames.samples, i * clip_frames.hop + 1, clip_frames.width) FROM (SELECT explode(if(size(clip_frames.samples) >= clip_frames.width,"
+        " sequence(0, cast((size(clip_frames.samples) - clip_frames.width) div clip_frames.hop as int)), cast(array() as array<int>))) AS i)",
+    ),
+    "clip_tries": (
+        "record_key STRING, total DOUBLE, duration DOUBLE, tries INT, seed INT",
+        "attempt INT, offset DOUBLE",
+        "SELECT i, greatest(clip_tries.total - clip_tries.duration, 0D) * cast(conv(substring(md5(concat_ws('|', cast(clip_tries.seed AS STRING), coalesce(clip_tries.record_key, ''), 'saliency', '', '', 'offset',"
+        " cast(i AS STRING))), 1, 13), 16, 10) AS BIGINT) / 4503599627370496D FROM (SELECT explode(sequence(0, clip_tries.tries - 1)) AS i)",
+    ),
+    "clip_excerpts": (
+        "samples ARRAY<FLOAT>, sample_rate INT, seconds DOUBLE",
+        "start INT, samples ARRAY<FLOAT>",
+        "SELECT i, slice(clip_excerpts.samples, i + 1, cast(round(clip_excerpts.seconds * clip_excerpts.sample_rate) as int)) FROM (SELECT explode(if(size(clip_excerpts.samples) > 0,"
+        " sequence(0, size(clip_excerpts.samples) - 1, greatest(1, cast(round(clip_excerpts.seconds * clip_excerpts.sample_rate) as int))), cast(array() as array<int>))) AS i)",
+    ),
+}
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Table functions for SQL text, as ``SELECT ... FROM clips, LATERAL clip_frames(samples, 512, 256)``. Spark inlines them, so they cost a Generate and no Python.
+
+    clip_frames(samples, width, hop): frame, samples of whole frames. clip_tries(record_key, total, duration, tries, seed): attempt, offset (seconds) of
+    a uniform search, as drawn by :func:`cliploom.plans.saliency.attempts`. clip_excerpts(samples, sample_rate, seconds): start, samples of pieces of so many seconds,
+    the last one as long as it is.
+    """
+    for name, (arguments, columns, body) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({columns}) RETURN {body}")

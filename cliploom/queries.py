@@ -178,6 +178,22 @@ def record_lookup(spark, sf_dir):
     return ix.lookup(ix.simple_index(files(spark, sf_dir)), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_key"))).select("record_key", "path")
 
 
+@query(f"""
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY group_idx ORDER BY folder_idx, path) - 1 AS i FROM {FILES}),
+c AS (SELECT group_idx, count(*) AS n, row_number() OVER (ORDER BY group_idx) - 1 AS g, count(*) OVER () AS ng FROM f GROUP BY group_idx),
+k AS (SELECT vec_id * 3 AS record_key FROM embeddings),
+p AS (SELECT record_key, group_idx, n, g, record_key // ng // n AS pass, record_key // ng % n AS place FROM k JOIN c ON c.g = record_key % ng),
+w AS (
+  SELECT *, list_reduce(list_prepend(place, generate_series(1, CAST(12 + 3 * ceil(log2(n + 1.0)) AS BIGINT))), lambda x, r: CASE WHEN
+    ('0x' || substr(md5('0|' || g || '|' || pass || '|' || r || '|' || greatest(x, ((('0x' || substr(md5('0|' || g || '|' || pass || '|' || r), 1, 13))::BIGINT - x) % n + n) % n)), 1, 13))::BIGINT % 2 = 1
+    THEN ((('0x' || substr(md5('0|' || g || '|' || pass || '|' || r), 1, 13))::BIGINT - x) % n + n) % n ELSE x END) AS i FROM p)
+SELECT record_key, group_name, path, CAST(pass AS BIGINT) AS pass FROM w JOIN f USING (group_idx, i)""")
+def balanced_lookup(spark, sf_dir):
+    """Every third record of a balanced sequence that is nowhere written, far beyond its first pass."""
+    source = ix.KeyedBalancedSource(files(spark, sf_dir))
+    return source.lookup(table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("record_key"))).select("record_key", "group_name", "path", "pass")
+
+
 @query("SELECT page_id, url FROM pages WHERE ends_with(lower(url), '5') OR ends_with(lower(url), 'ref=x')")
 def suffix_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(e.has_extension(F.col("url"), ("5", "REF=X"))).select("page_id", "url")
@@ -251,6 +267,28 @@ def clipfile_scan(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "sample_rate", F.size(flat).alias("n"), weighted(flat).alias("total"))
 
 
+@query("SELECT printf('%d.wav', vec_id) AS file, len(embedding) AS n, " + sql_sum("embedding") + " AS total FROM embeddings")
+def clipfile_write(spark, sf_dir):
+    """Clips written by the data source, committed by tasks, and read again."""
+    load.register(spark)
+    folder = f"{mounted_dir(spark)}/written-{uuid.uuid4().hex}"
+    mono(spark, sf_dir).write.format("clipfile").option("bits", -32).mode("append").save(folder)
+    flat = F.flatten("audio_data")
+    return spark.read.format("clipfile").load(folder).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.size(flat).cast("bigint").alias("n"), weighted(flat).alias("total"))
+
+
+@query("SELECT printf('%d.wav', vec_id) AS file, 40 AS n, " + sql_sum("embedding[9:48]") + " AS total FROM embeddings")
+def stream_clip_files(spark, sf_dir):
+    """WAV files as a stream: each admitted once, its excerpt read by tasks."""
+    from .streaming import stream_clip_files
+
+    base = f"{mounted_dir(spark)}/stream-{uuid.uuid4().hex}"
+    clips = stream_clip_files(spark, _wav_folder(mono(spark, sf_dir), f"{base}/in"), sample_rate=None, duration=40 / RATE, offset=8 / RATE)
+    clips.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    flat = F.flatten("clip.audio_data")
+    return spark.read.schema(clips.schema).parquet(f"{base}/out").select(F.regexp_extract("clip.metadata.filepath", r"[^/]+$", 0).alias("file"), F.size(flat).alias("n"), weighted(flat).alias("total"))
+
+
 # ------------------------------------------------------------------------- functions
 @query("SELECT page_id, CAST(greatest(len(url), 256) AS INT) AS n, CAST(list_sum(list_transform(string_split(url, ''), lambda c, i: unicode(c) * i)) AS BIGINT) AS total FROM pages")
 def encode_path(spark, sf_dir):
@@ -390,6 +428,23 @@ def frame_sums(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_key"), F.size(cut).alias("n"), weighted(sums).alias("total"))
 
 
+@query("SELECT vec_id AS record_key, CAST(f AS INT) AS frame, 16 AS n, " + sql_sum("embedding[f * 8 + 1:f * 8 + 16]") + " AS total FROM embeddings, range(0, 7) r(f)")
+def table_frames(spark, sf_dir):
+    """Frames from SQL text, by a table function."""
+    e.register_table_functions(spark)
+    table(spark, sf_dir, "embeddings").createOrReplaceTempView("cliploom_vectors")
+    rows = spark.sql("SELECT vec_id AS record_key, frame, f.samples FROM cliploom_vectors, LATERAL clip_frames(embedding, 16, 8) f")
+    return rows.select("record_key", "frame", F.size("samples").alias("n"), weighted(F.col("samples")).alias("total"))
+
+
+@query("SELECT vec_id AS record_key, CAST(f * 24 AS INT) AS start, least(24, 64 - f * 24)::INT AS n, " + sql_sum("embedding[f * 24 + 1:f * 24 + 24]") + " AS total FROM embeddings, range(0, 3) r(f)")
+def table_excerpts(spark, sf_dir):
+    e.register_table_functions(spark)
+    table(spark, sf_dir, "embeddings").createOrReplaceTempView("cliploom_vectors")
+    rows = spark.sql("SELECT vec_id AS record_key, start, f.samples FROM cliploom_vectors, LATERAL clip_excerpts(embedding, 8000, 0.003D) f")
+    return rows.select("record_key", "start", F.size("samples").alias("n"), weighted(F.col("samples")).alias("total"))
+
+
 # -------------------------------------------------------------------------- saliency
 def _offsets(search: str) -> str:
     u = sql_u("saliency", "", "offset", "t")
@@ -409,6 +464,15 @@ def excerpt_offset_uniform(spark, sf_dir):
     return _drawn(spark, sf_dir, "uniform")
 
 
+@query(_offsets("uniform"))
+def table_tries(spark, sf_dir):
+    """The same tries from SQL text, by a table function."""
+    e.register_table_functions(spark)
+    long_clips(spark, sf_dir).createOrReplaceTempView("cliploom_long")
+    rows = spark.sql("SELECT record_key, attempt, t.offset FROM cliploom_long, LATERAL clip_tries(cast(record_key as string), size(clip.audio_data[0]) / 10D, 2D, 4, 0) t")
+    return rows.select("record_key", "attempt", whole(F.col("offset")).alias("offset_"))
+
+
 @query(_offsets("early"))
 def excerpt_offset_early(spark, sf_dir):
     return _drawn(spark, sf_dir, "early")

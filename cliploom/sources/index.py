@@ -102,6 +102,71 @@ def balanced_index(files: DataFrame, num_steps: int) -> DataFrame:
     return out.select("record_key", "group_idx", *[c for c in files.columns if c not in ("group_idx", "occurrence")], "pass", "seed")
 
 
+#: Rounds of a permutation, for each bit of the number of places and besides.
+ROUNDS_PER_BIT, ROUNDS = 3, 12
+
+
+def _number(text: Column) -> Column:
+    """A number of 52 bits of some text, as :mod:`cliploom.rng` makes them."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+def permuted(place: Column, n: Column, seed: Column) -> Column:
+    """Where a seeded permutation of 0 .. n-1 sends a place, computed from the place alone.
+
+    In each round a place and its mirror image, at a distance that the round draws, change places or don't, as a bit of both
+    says ("swap or not"): every round is its own inverse, so all together are a permutation for any n.
+    """
+    rounds = F.sequence(F.lit(1), F.lit(ROUNDS) + ROUNDS_PER_BIT * F.ceil(F.log2(n.cast("double") + 1)).cast("int"))
+
+    def step(x: Column, r: Column) -> Column:
+        key = F.concat_ws("|", seed, r.cast("string"))
+        mirror = F.pmod(_number(key) - x, n)
+        swap = _number(F.concat_ws("|", key, F.greatest(x, mirror).cast("string"))) % 2 == 1
+        return F.when(swap, mirror).otherwise(x)
+
+    return F.aggregate(rounds, place.cast("bigint"), step)
+
+
+class KeyedBalancedSource:
+    """A group-balanced sequence without an end whose records are looked up by their keys.
+
+    As in :func:`balanced_index` record k is of group k mod G, and a group repeats a file only after all its files came, each pass in an order of
+    its own. Here that order is a keyed permutation, so record k follows from k and the groups' sizes: files are numbered once, and
+    no sequence is sorted or written, however long it is.
+    """
+
+    def __init__(self, files: DataFrame, seed: int = 0):
+        groups = files.groupBy("group_idx").agg(F.count("*").alias("n"))
+        before = Window.orderBy("group_idx").rowsBetween(Window.unboundedPreceding, -1)
+        g = (F.row_number().over(Window.orderBy("group_idx")) - 1).cast("bigint")
+        # A row for each group.
+        groups = cut(groups.select("group_idx", "n", g.alias("g"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("first")), "groups")
+        self.seed, self.groups, self.count = seed, groups, groups.count()
+        self.files = numbered(files, ["group_idx", "folder_idx", "path"], "file")
+
+    def lookup(self, keys: DataFrame | Sequence[int]) -> DataFrame:
+        """Rows (record_key, pass, and the files' columns) of some keys, which can't be negative or null; repeated keys give repeated rows."""
+        if not isinstance(keys, DataFrame):
+            if any(k < 0 for k in keys):
+                raise ValueError("record keys can't be negative")
+            keys = self.files.sparkSession.createDataFrame([(int(k),) for k in keys], "record_key bigint")
+        if not self.count:
+            raise RuntimeError("the source has no records")
+        own = keys.select(F.col("record_key").cast("bigint").alias("record_key")).withColumn("g", F.col("record_key") % self.count).withColumn("j", F.floor(F.col("record_key") / self.count))
+        sized = own.join(self.groups, "g").withColumn("pass", F.floor(F.col("j") / F.col("n")))
+        seed = F.concat_ws("|", F.lit(str(self.seed)), F.col("g").cast("string"), F.col("pass").cast("string"))
+        placed = sized.withColumn("file", F.col("first") + permuted(F.col("j") % F.col("n"), F.col("n"), seed)).select("record_key", "pass", "file")
+        return placed.join(self.files, "file").drop("file")
+
+    def first(self, num_steps: int) -> DataFrame:
+        """The first so many records."""
+        return self.lookup(self.files.sparkSession.range(num_steps).withColumnRenamed("id", "record_key"))
+
+    def __getitem__(self, key: int) -> DataFrame:
+        return self.lookup([key])
+
+
 def lookup(index: DataFrame, keys: DataFrame | Sequence[int]) -> DataFrame:
     """The records of some keys. Keys can't be negative; a key that the index lacks gives no row, a repeated key repeated rows."""
     if not isinstance(keys, DataFrame):

@@ -7,16 +7,19 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import kernels as k
 from ..operators.arrow import audio_array, clip_arrays
@@ -27,6 +30,7 @@ from ..shared import cut
 from . import decode, flac, stores, wav
 from .files import EXTENSIONS, find_files
 
+ENCODERS = {"wav": wav.encode, "flac": flac.encode}
 ROW = T.StructType([T.StructField("path", T.StringType()), *CLIP.fields])
 
 
@@ -116,12 +120,80 @@ class ClipReader(DataSourceReader):
             return load(f, path, self.rate, self.mono, self.offset, self.duration, None)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """A task's folder and its number of files."""
+
+    folder: str | None
+    files: int
+
+
+class ClipWriter(DataSourceArrowWriter):
+    """Clip files with commit and abort.
+
+    A task writes into a folder of its own below ``_temporary``; the commit moves the folders of tasks that succeeded to
+    ``part-<task>-<job>``, one move a task, and clears the rest. A job that fails leaves no file, and a task that runs twice counts once.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        o = {x.lower(): v for x, v in options.items()}
+        self.path, self.form, self.bits, self.overwrite = o.get("path") or "", o.get("form", "wav"), int(o.get("bits", "16")), overwrite
+        if self.form not in ENCODERS:
+            raise ValueError(f"unknown form {self.form!r}; known are {', '.join(ENCODERS)}")
+        self.job = uuid.uuid4().hex
+
+    def _place(self, name: str = "") -> tuple[fs.FileSystem, str]:
+        store, base = stores.writable(self.path)
+        return store, f"{base.rstrip('/')}/{name}" if name else base
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        context, folder, files = TaskContext.get(), None, 0
+        for batch in iterator:
+            clips = batch.column("clip")
+            keys, rates = batch.column("record_key").to_pylist(), clips.field("sample_rate").to_pylist()
+            for key, audio, rate in zip(keys, clip_arrays(clips.field("audio_data")), rates, strict=True):
+                if folder is None:
+                    folder = f"part-{context.partitionId():05d}-{context.taskAttemptId()}"
+                    store, base = self._place(f"_temporary/{self.job}/{folder}")
+                    store.create_dir(base, recursive=True)
+                if audio is None or rate is None:
+                    raise ValueError(f"record {key} has no clip")
+                with store.open_output_stream(f"{base}/{key}.{self.form}") as f:
+                    f.write(ENCODERS[self.form](audio, rate, self.bits))
+                files += 1
+        return Written(folder, files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, base = self._place()
+        done = [m.folder for m in messages if m is not None and m.folder]
+        if self.overwrite:
+            for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+                if info.base_name != "_temporary":
+                    store.delete_dir(info.path) if info.type == fs.FileType.Directory else store.delete_file(info.path)
+        for folder in done:
+            store.move(f"{base}/_temporary/{self.job}/{folder}", f"{base}/{folder.rsplit('-', 1)[0]}-{self.job}")
+        self._clear()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        store, base = self._place("_temporary")
+        if store.get_file_info(f"{base}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/{self.job}")
+        if store.get_file_info(base).type == fs.FileType.Directory and not store.get_file_info(fs.FileSelector(base)):
+            store.delete_dir(base)
+
+
 class ClipFiles(DataSource):
     """``spark.read.format("clipfile").option("duration", 1.0).load(directory)``: one row for each file.
 
     Options: sample_rate, offset, duration, mono, extensions (with commas), max_depth, follow_symlinks,
     files_per_partition. Files are read where the partition runs, so directories must be mounted there;
-    for other stores use :func:`load_index` with ``content``.
+    for other stores use :func:`load_index`.
+
+    ``df.write.format("clipfile").mode("append").save(directory)`` writes rows (record_key, clip) as <record_key>.wav, into any store that PyArrow
+    knows; options are form (wav, flac) and bits. With mode overwrite what was there goes when the job commits.
     """
 
     @classmethod
@@ -134,6 +206,11 @@ class ClipFiles(DataSource):
     def reader(self, schema: T.StructType) -> ClipReader:
         return ClipReader(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> ClipWriter:
+        if not {"record_key", "clip"} <= set(schema.names):
+            raise ValueError("rows to write need record_key and clip")
+        return ClipWriter(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ClipFiles)
@@ -231,7 +308,7 @@ def load_excerpts(
 
 def write_wav(clips: DataFrame, directory: str, clip_col: str = "clip", bits: int = 16, form: str = "wav") -> None:
     """Write each record's clip as <record_key>.wav (or, with ``form="flac"``, .flac) into a directory that all executors share."""
-    encode = {"wav": wav.encode, "flac": flac.encode}[form]
+    encode = ENCODERS[form]
     source = clips.select(F.col("record_key").cast("bigint").alias("k"), F.col(clip_col)["audio_data"].alias("a"), F.col(clip_col)["sample_rate"].alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

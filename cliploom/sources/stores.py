@@ -52,6 +52,12 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return store, f"{base.rstrip('/')}/{inner}"
 
 
+def writable(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path for writing, and the path's name there."""
+    path = canonical(path)
+    return _store(path) if scheme(path) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def open_input(path: str) -> BinaryIO:
     """A file for reading at any place. A local name that isn't there but has ``%`` is tried as an encoded one."""
     path = canonical(path)
