@@ -7,6 +7,7 @@ Embeddings stand in for clips: ``vec_id`` is the record key, the vector the samp
 from __future__ import annotations
 
 import uuid
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ from .plans import chunked
 from .plans import saliency as sal
 from .schema import CLIP, clip
 from .shared import mounted_dir, shared_dir
+from .sources import files as remote
 from .sources import index as ix
 from .sources import load
 
@@ -267,6 +269,46 @@ def clipfile_scan(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "sample_rate", F.size(flat).alias("n"), weighted(flat).alias("total"))
 
 
+@query("SELECT row_number() OVER (ORDER BY printf('%d.wav', vec_id)) - 1 AS record_key, printf('%d.wav', vec_id) AS file FROM embeddings WHERE vec_id % 10 = 5")
+def pattern_index(spark, sf_dir):
+    """A folder entry with wildcards: its files, whatever their extension, are listed by tasks."""
+    base, _ = _remote_files(spark, sf_dir)
+    index = ix.simple_index(ix.remote_file_table(spark, {"fives": [f"{base}/o[cd]d/*5.w?v"]}, (".none",)))
+    return index.select("record_key", F.regexp_extract("path", r"[^/]+$", 0).alias("file"))
+
+
+@query("SELECT d AS max_depth, count(*) AS n FROM embeddings, (SELECT unnest([1, 2]) AS d) WHERE d > 0 GROUP BY d UNION ALL SELECT 0, 0")
+def depth_listing(spark, sf_dir):
+    """How many files lie within so many levels below a folder: none in itself, all in its two folders."""
+    base, _ = _remote_files(spark, sf_dir)
+    counts = [remote.list_remote(spark, base, max_depth=d).agg(F.lit(d).alias("max_depth"), F.count("*").alias("n")) for d in range(3)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT 'simple' AS source, count(*) AS n FROM embeddings UNION ALL SELECT 'balanced', 2 * count(*) FROM embeddings")
+def source_lengths(spark, sf_dir):
+    """A simple source is as long as its files, a balanced one as long as it was asked to be."""
+    rows = files(spark, sf_dir)
+    lengths = [("simple", len(ix.SimpleSource(rows))), ("balanced", len(ix.BalancedSource(rows, 2 * rows.count())))]
+    return spark.createDataFrame(lengths, "source string, n long")
+
+
+@query("SELECT CAST(vec_id % 3 AS INT) AS group_idx, count(*) AS n, NULL AS refused FROM embeddings WHERE vec_id % 3 < 2 GROUP BY 1 UNION ALL SELECT 2, 0, 'group ''none'': no .wav, .flac files in its 2 folders'")
+def empty_group(spark, sf_dir):
+    """Groups of files; the one whose folders hold none is refused by name."""
+    base = f"{mounted_dir(spark)}/wav-{uuid.uuid4().hex}"
+    clips = mono(spark, sf_dir)
+    found = []
+    for g, name in enumerate(("zero", "one")):
+        _wav_folder(clips.where(F.col("record_key") % 3 == g), f"{base}/{name}")
+        found.append((g, ix.remote_file_table(spark, {name: [f"{base}/{name}"]}).count(), None))
+    try:
+        ix.remote_file_table(spark, {"zero": [f"{base}/zero"], "none": [f"{base}/none*", f"{base}/*/none"]})
+    except RuntimeError as e:
+        found.append((2, 0, str(e)))
+    return spark.createDataFrame(found, "group_idx int, n long, refused string")
+
+
 @query("SELECT printf('%d.wav', vec_id) AS file, len(embedding) AS n, " + sql_sum("embedding") + " AS total FROM embeddings")
 def clipfile_write(spark, sf_dir):
     """Clips written by the data source, committed by tasks, and read again."""
@@ -415,6 +457,23 @@ def output_key(spark, sf_dir):
     return report(out, "d.e", "d.e_louder", "d.f", "d.f_louder")
 
 
+class _RandomAdd(RandomTransform):
+    defaults = {"amount": 1.0}
+
+    def apply(self, value, spot):
+        return t.with_fields(value, spot.leaf.kind, audio_data=e.each_sample(value["audio_data"], lambda x: x + spot.options["amount"]))
+
+
+@query(f"SELECT k AS record_key, CASE WHEN {sql_u('RandomAdd', '', 'prob')} < 0.3 THEN {sql_sum('list_transform(a, lambda x: CAST(CAST(x AS DOUBLE) + 1.0 AS FLOAT))')} END AS more, 'e,f,e_more' AS fields FROM {NESTED}")
+def sibling_by_coin(spark, sf_dir):
+    """A sibling is null where the coin says no, and a leaf out of scope gets none."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        out = _RandomAdd(prob=0.3, scope={"d": {"scope": True, "f": {"scope": False}}}, output_key=lambda path: f"{path[-1]}_more", name="RandomAdd")(_tree(spark, sf_dir))
+    made = F.when(F.col("d.e_more").isNotNull(), weighted(F.flatten("d.e_more.audio_data")))
+    return out.select("record_key", made.alias("more"), F.lit(",".join(out.schema["d"].dataType.names)).alias("fields"))
+
+
 @query(sql_report(LONG, "long=list_concat(a, list_transform(generate_series(1, 120 - len(a)), lambda i: CAST(0 AS FLOAT)))", "short=a[1:20]"))
 def pad_clip(spark, sf_dir):
     out = long_clips(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,8 +28,26 @@ def mounted_dir(spark: SparkSession) -> str:
     return folder.removeprefix("file://").removeprefix("file:")
 
 
+_written: list[tuple[DataFrame, str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage. It is emptied when the program ends."""
     path = f"{shared_dir(df.sparkSession)}/cliploom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append((out, path))
+    return out
+
+
+def release() -> None:
+    """Empty all tables that :func:`cut` wrote. DataFrames that read them can't be used any more."""
+    while _written:
+        table, path = _written.pop()
+        try:
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+        except Exception:  # the session has ended: the folder goes with the cluster's clean-up
+            _written.clear()
+
+
+atexit.register(release)
