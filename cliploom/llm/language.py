@@ -195,7 +195,9 @@ def learn(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
 
     each = taken.mapInArrow(worker(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     table = each.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).toArrow()
-    return Profiles(table.column("lang").to_pylist(), np.array(table.column("v").to_pylist(), np.float64).reshape(-1, DIM))
+    sums = table.column("v").combine_chunks()
+    flat = sums.flatten() if isinstance(sums, pa.ListArray) else pa.concat_arrays([c.flatten() for c in sums.chunks])
+    return Profiles(table.column("lang").to_pylist(), flat.to_numpy().astype(np.float64).reshape(-1, DIM))
 
 
 def predict(docs: DataFrame, profiles: Profiles, extra: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_LANGUAGES) -> DataFrame:
