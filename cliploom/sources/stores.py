@@ -20,8 +20,8 @@ from ..shared import cut
 Opener = Callable[[str], BinaryIO]
 #: Schemes of stores that tasks open by themselves, and the names PyArrow knows them by. Fixed values.
 SCHEMES = {"hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
-#: Bytes of files that a task reads, about.
-TASK_BYTES = 128 << 20
+#: Bytes of files that a task reads, about, and bytes that opening a file counts for.
+TASK_BYTES, OPEN_BYTES = 128 << 20, 1 << 20
 
 
 def canonical(path: str) -> str:
@@ -121,27 +121,27 @@ def list_tree(spark: SparkSession, roots: list[str], extensions: tuple[str, ...]
         base = os.path.abspath(os.path.expanduser(os.path.expandvars(canonical(root)))) if scheme(root) is None else root.rstrip("/")
         plain = re.split(r"(?<=/)(?=[^/]*[*?\[])", base, maxsplit=1)
         starts.append((i, plain[0] if len(plain) > 1 else base, plain[1] if len(plain) > 1 else None))
-    now, found, depth = spark.createDataFrame(starts, "root int, path string, pattern string"), None, 0
+    now, found, depth, folders = spark.createDataFrame(starts, "root int, path string, pattern string"), None, 0, len(starts)
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     while True:
-        here = cut(now.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))).mapInArrow(level, LEVEL), "level")
+        here = cut(now.repartition(max(1, min(folders, most))).mapInArrow(level, LEVEL), "level")
         own = here.where("not folder").select("root", "path", "length")
         found = own if found is None else found.unionByName(own)
         now, depth = here.where("folder").select("root", "path", "pattern"), depth + 1
-        if max_depth is not None and depth > max_depth or now.isEmpty():
+        if max_depth is not None and depth > max_depth or not (folders := now.count()):
             return found
 
 
-def packed(rows: DataFrame, size: str, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """Rows of files dealt to tasks of about ``task_bytes``; only the rows move, before anything is read.
+def packed(rows: DataFrame, size: str, task_bytes: int = TASK_BYTES, open_bytes: int = OPEN_BYTES) -> DataFrame:
+    """Rows of files dealt to tasks of about ``task_bytes``, where each file counts ``open_bytes`` more; only the rows move, before anything is read.
 
     Sizes are summed up along a range partitioning, so no task sees all rows. A file larger than that is a task of its own.
     """
     part, place, start, before = (f"{HELPER}_{c}" for c in ("part", "place", "start", "before"))
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-total // task_bytes))
+    own = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long") + open_bytes
+    n = max(1, -(-(rows.agg(F.sum(own)).first()[0] or 0) // task_bytes))
     if n == 1:
         return rows.coalesce(1)
-    own = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     named = rows.withColumn(place, F.xxhash64(*[F.col(f"`{c}`") for c in ("record_key", "path")]))
     named = named.repartitionByRange(place).withColumn(part, F.spark_partition_id())
     upto = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)

@@ -304,11 +304,13 @@ def test_saliency_reads_only_its_tries(spark, tmp_path):
 
 def test_packing(spark):
     rows = spark.range(300).selectExpr("id AS record_key", "concat('p', id) AS path", "cast(if(id = 7, 5000, 10 + id % 20) as long) AS size")
-    dealt = stores.packed(rows, "size", 500).withColumn("task", F.spark_partition_id())
+    dealt = stores.packed(rows, "size", 500, open_bytes=0).withColumn("task", F.spark_partition_id())
     sums = [r.s for r in dealt.groupBy("task").agg(F.sum("size").alias("s")).collect()]
     assert dealt.count() == 300 and dealt.columns == ["record_key", "path", "size", "task"] and 10 <= len(sums) <= 22
     assert sorted(sums)[-2] <= 530 and max(sums) < 5600
     assert stores.packed(rows.limit(0), "size").count() == 0
+    opened = stores.packed(rows, "size", 100_000, open_bytes=1000).withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert 3 <= opened.count() <= 4  # files count by being opened, too
 
 
 def test_salient_excerpts_shuffle_no_audio(spark):
