@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, worker
+from .common import drop, materialize, worker
 from .vectors import integers, kept, limbs_of, long_or_null, matrix, rebatched, split, squares, summed, total
 
 CLUSTERS, ROUNDS, DIM, SEED = 8, 10, 64, 3
@@ -148,6 +148,7 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
         means = summed(_sums(trees, z, limbs), ["cluster"], dim, limbs)
         z = matrix([[s // means[c,][0] for s in means[c,][1]] if (c,) in means else [int(n) for n in z[c]] for c in range(len(z))], dim, wide)
     found = materialize(_members(trees, z), "members") if len(z) else spark.createDataFrame([], "id long, cluster int, distance long")
+    drop(trees)
     sums = found.groupBy("cluster").agg(total("distance").alias("cluster_inertia"), F.count("*").alias("n")).collect()  # a row a cluster
     every = None if any(r.cluster_inertia is None for r in sums) else sum(r.cluster_inertia for r in sums)
     every = every if every is None or every < 1 << 63 else None
