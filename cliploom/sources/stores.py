@@ -139,7 +139,8 @@ def packed(rows: DataFrame, size: str, task_bytes: int = TASK_BYTES, open_bytes:
     """
     part, place, start, before = (f"{HELPER}_{c}" for c in ("part", "place", "start", "before"))
     own = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long") + open_bytes
-    n = max(1, -(-(rows.agg(F.sum(own)).first()[0] or 0) // task_bytes))
+    total, count = rows.agg(F.coalesce(F.sum(own), F.lit(0)), F.count("*")).first()
+    n = max(1, min(-(-total // task_bytes), count))
     if n == 1:
         return rows.coalesce(1)
     named = rows.withColumn(place, F.xxhash64(*[F.col(f"`{c}`") for c in ("record_key", "path")]))
