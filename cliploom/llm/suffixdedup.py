@@ -46,8 +46,8 @@ BUCKETS_A_TASK, GROUP_PACKS = 4, 50_000
 HOT_SEGMENTS = 20_000
 #: A single string of more than this share of all packs' strings (and of over 400 packs) is hot.
 HOT_STRINGS = 4096
-#: Suffixes that are sorted together.
-SORT_BLOCK = 400_000
+#: Suffixes that are sorted together, and strings whose minimisers are found together.
+SORT_BLOCK, WINDOWS = 400_000, 1 << 14
 FP_BYTES, LOW = 5, 24  # of a minimiser's hash: its upper bytes travel, the lower bits choose the bucket
 
 
@@ -105,33 +105,51 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         return none, none, none, np.zeros(0, U64), np.zeros(0, U64)
     h = prefix_hash(data)
     _, down = POWERS.upto(n + 1)
-    g = mix((h[gram:] - h[:-gram]) * down[: n - gram + 1])
-    bits = U64(int(n).bit_length())
-    least = (g >> bits << bits) | np.arange(len(g), dtype=np.int64).astype(U64)
-    have, want = 1, length - gram + 1
-    while have * 2 <= want:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < want:
-        least = np.minimum(least[: len(least) - (want - have)], least[want - have :])
-    place = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    place = least_grams(h, down, n - length + 1, gram, length)
     # A suffix counts if its string ends in its own document.
-    sizes = np.diff(offsets)
-    room = np.maximum(sizes - length + 1, 0)
-    inside = np.zeros(len(place) + 1, np.int8)
-    has = room > 0
-    np.add.at(inside, offsets[:-1][has], 1)
-    np.add.at(inside, offsets[:-1][has] + room[has], -1)
-    valid = np.cumsum(inside)[:-1] > 0
-    fresh = valid.copy()
-    fresh[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
-    # Documents of exactly one string may follow each other without a gap only if length is 1.
-    begins = offsets[:-1][has]
-    fresh[begins] = True
+    room = np.maximum(np.diff(offsets) - length + 1, 0)
+    last = offsets[:-1] + room
+    fresh = np.append(True, place[1:] != place[:-1])
+    fresh[offsets[:-1][room > 0]] = True
     start = np.flatnonzero(fresh)
-    stop = np.flatnonzero(valid & ~np.append(valid[1:] & ~fresh[1:], False)) + 1
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    inside = start < last[doc]
+    start, doc = start[inside], doc[inside]
+    stop = np.minimum(np.append(start[1:], n), last[doc])
     content = mix((h[stop + length - 1] - h[start]) * down[start])
-    return start, stop - start, np.searchsorted(offsets, start, side="right") - 1, g[place[start]], content
+    return start, stop - start, doc, gram_hash(h, down, place[start], gram), content
+
+
+def gram_hash(h: np.ndarray, down: np.ndarray, at: np.ndarray | slice, gram: int) -> np.ndarray:
+    """Hashes of the grams at some places, or at a slice of them."""
+    to = slice(at.start + gram, at.stop + gram) if isinstance(at, slice) else at + gram
+    return mix((h[to] - h[at]) * down[at])
+
+
+def least_grams(h: np.ndarray, down: np.ndarray, n: int, gram: int, length: int) -> np.ndarray:
+    """Where the least hashed gram of each of the first n strings of ``length`` bytes begins; the leftmost of equal ones.
+
+    Places are taken in blocks that stay in the processor's cache. Hashes lose as many bits in every pack, those that hold a
+    place in a block, so equal strings have equal minimisers whatever they are packed with.
+    """
+    want = length - gram + 1
+    bits = U64((WINDOWS + want).bit_length())
+    low = (U64(1) << bits) - U64(1)
+    local = np.arange(WINDOWS + want, dtype=U64)
+    out = np.zeros(n, np.int64)
+    for lo in range(0, n, WINDOWS):
+        hi = min(lo + WINDOWS, n)
+        least = gram_hash(h, down, slice(lo, hi + want - 1), gram)
+        least &= ~low
+        least |= local[: len(least)]
+        have = 1
+        while have * 2 <= want:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if have < want:
+            least = np.minimum(least[: len(least) - (want - have)], least[want - have :])
+        np.add((least & low).view(np.int64), lo, out=out[lo:hi])
+    return out
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +170,19 @@ def _rows(**columns) -> pa.RecordBatch:
 # ------------------------------------------------- first: which minimisers are shared
 def distinct_fps(p: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pack's distinct minimisers, sorted, whether documents of two ids have them, and of how many segments."""
-    order = np.lexsort((p.content, p.fp))
-    fp, content, ids = p.fp[order], p.content[order], p.ids[p.doc[order]]
-    at, _ = runs(fp)
+    order = np.argsort(p.fp)
+    fp, ids = p.fp[order], p.ids[p.doc[order]]
+    at, ends = runs(fp)
     if not len(at):
         return fp, np.zeros(0, bool), np.zeros(0, np.int64)
-    other = np.append(True, (fp[1:] != fp[:-1]) | (content[1:] != content[:-1]))
-    return fp[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at), np.add.reduceat(other.astype(np.int64), at)
+    kinds, several = np.ones(len(at), np.int64), np.flatnonzero(ends - at > 1)
+    if len(several):  # most minimisers have one segment
+        sizes = (ends - at)[several]
+        content, group = p.content[order[ragged(at[several], sizes)]], np.repeat(several, sizes)
+        by = np.lexsort((content, group))
+        other = np.append(True, (np.diff(group) != 0) | (content[by][1:] != content[by][:-1]))
+        kinds[several] = np.bincount(group, weights=other, minlength=len(at))[several]
+    return fp[at], np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at), kinds
 
 
 def _small_first(counts: np.ndarray) -> bytes:
