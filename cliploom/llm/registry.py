@@ -9,6 +9,7 @@ from .bpe import op4_byte_bpe
 from .codebooks import op11_vector_codes
 from .common import bounded_batches
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .digest_sql import OP3_SQL, OP13_SQL
 from .kdclusters import op12_centroid_clusters
 from .language import op2_language
 from .media import op3_media
@@ -48,6 +49,7 @@ QUERIES = {
 QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
 ORACLES: dict[str, str] = {
+    "op3_media": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_suffix_dedup": OP6_SQL,
     "op7_secrets": OP7_SQL,
@@ -55,4 +57,5 @@ ORACLES: dict[str, str] = {
     "op10_near_duplicates": OP10_SQL,
     "op11_vector_codes": OP11_SQL,
     "op12_centroid_clusters": OP12_SQL,
+    "op13_simhash": OP13_SQL,
 }

@@ -1,10 +1,12 @@
-"""The SQL of secret scans and near duplicates, on small tables with hard rows."""
+"""The SQL of stored samples, secret scans, near duplicates and fingerprints, on small tables with hard rows."""
 
 import random
 
 import duckdb
 import pytest
+import xxhash
 
+from cliploom.llm.digest_sql import xxh64
 from cliploom.llm.registry import ORACLES, QUERIES
 
 LIVE = "aB3dE5gH7jK9mN1pQ2rS"
@@ -60,3 +62,36 @@ def test_secrets(spark, tmp_path, rows):
 def test_near_duplicates(spark, tmp_path, rows):
     got, want = both(spark, tmp_path, "op10_near_duplicates", rows, "doc_id long, text string")
     assert got == want and len(got) == len(rows)
+
+
+SAMPLED = [
+    (1, None), (2, ""), (3, "x" * 63), (4, "x" * 64), (5, "é" * 33), (6, "ÿ😀\x7f\x80\0 z" * 700), (7, "GIF89a BM RIFFxxxxWAVE PK\3\4 %PDF-1.4 \0\0\0\x08ftyp"),
+    (7, "GIF89a BM"), (7, "GIF89a BM"), (None, "no id"), (8, "word é " * 20_000), (9, "\x7f\x80" * 32),
+]
+
+
+@pytest.mark.parametrize("rows", [SAMPLED, []], ids=["hard", "empty"])
+def test_stored_samples(spark, tmp_path, rows):
+    got, want = both(spark, tmp_path, "op3_media", rows, "doc_id long, text string")
+    assert got == want and len(got) == len(rows)
+
+
+def test_xxh64_of_every_length():
+    """Stripes of 32 bytes, eights, a four and single bytes, and none, against the public library."""
+    rng = random.Random(2)
+    texts = {"".join(rng.choice("ab é😀z") for _ in range(n)) for n in range(110)}
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE texts (s VARCHAR)")
+        con.executemany("INSERT INTO texts VALUES (?)", [(t,) for t in texts])
+        for seed in (0, 42, (1 << 64) - 1):
+            got = con.sql("WITH " + ", ".join(xxh64("texts", seed)) + " SELECT s, h FROM hashed").fetchall()
+            assert dict(got) == {t: xxhash.xxh64_intdigest(t, seed) for t in texts}
+
+
+FINGERPRINTS = [(1, None), (2, ""), (3, " \t\r\n\x0b\x0c"), (4, "one"), (5, "ONE"), (6, "one two three"), (7, "é É x y a B c\x1cd\u00a0e"), (None, "one"), (None, "nobody else says this"), (9, "a b c d " * 5_000), (2, "two"), (2, "two")]
+
+
+@pytest.mark.parametrize("rows", [FINGERPRINTS + copies()[10:], []], ids=["copies", "empty"])
+def test_fingerprints(spark, tmp_path, rows):
+    got, want = both(spark, tmp_path, "op13_simhash", rows, "doc_id long, text string")
+    assert got == want and len(got) == len(rows)
