@@ -4,16 +4,18 @@ The ranks define, for every token, the one pair of tokens whose merge makes it.
 Two tokens may stand side by side in an encoding exactly if merging their bytes
 by rank would never have joined them across the border; that test walks down
 both merge trees and is memoised. An automaton over all tokens (bytes mapped to
-Latin-1 characters) gives the longest token that starts at each position. The
-encoder takes longest matches and, where a border is not allowed, falls back to
-the next shorter prefix token; a position that turned out to be a dead end is
-never tried again, so the work is linear in the length of the piece.
+Latin-1 characters) cuts a piece into longest matches, each beginning where the
+one before ends. The encoder takes them and, where a border is not allowed, falls
+back to the next shorter prefix token; the longest token of a position that only
+this leads to is looked up when it is reached. A position that turned out to be a
+dead end is never tried again, so the work is linear in the length of the piece.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,17 +28,34 @@ from pyspark.sql import DataFrame
 from .common import narrow, worker
 
 #: Pieces of up to so many characters are remembered, up to so many pieces; and so many borders.
-CACHED_LENGTH, CACHED_PIECES, CACHED_BORDERS = 32, 120_000, 250_000
+CACHED_LENGTH, CACHED_PIECES, CACHED_BORDERS = 32, 240_000, 250_000
 #: A rank file of more bytes is refused: it is sent to every Python worker.
 MAX_RANK_BYTES = 64 << 20
 
 
+class Borders(dict):
+    """Whether token b may follow token a, by a << 32 | b; a border that isn't known is tested, and all are forgotten at CACHED_BORDERS."""
+
+    def __init__(self, test):
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, border: int) -> bool:
+        known = self.test(border >> 32, border & 0xFFFFFFFF)
+        if len(self) >= CACHED_BORDERS:
+            self.clear()
+        self[border] = known
+        return known
+
+
 class Codec:
     """Encoder and decoder for one rank file and one splitting pattern."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
         self.token = {r: t for t, r in self.rank.items()}
+        self.size = {r: len(t) for t, r in self.rank.items()}
+        self.most = max(self.size.values(), default=0)
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -45,7 +64,7 @@ class Codec:
         self.automaton.make_automaton()
         self.split: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int] = {}
-        self.border: dict[int, bool] = {}
+        self.border = Borders(self.may_follow)
 
     # -------------------------------------------------------------- merge trees
     def parts(self, r: int) -> tuple[int, int] | None:
@@ -68,14 +87,6 @@ class Codec:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of ``a`` and ``b`` together gives these two tokens again."""
-        known = self.border.get(a << 32 | b)
-        if known is None:
-            if len(self.border) > CACHED_BORDERS:
-                self.border.clear()
-            known = self.border[a << 32 | b] = self._test(a, b)
-        return known
-
-    def _test(self, a: int, b: int) -> bool:
         limit = 1 << 62
         while True:
             joined = self.rank.get(self.token[a] + self.token[b])
@@ -111,49 +122,46 @@ class Codec:
         return self.shorter[r]
 
     # ----------------------------------------------------------------- encoding
-    def longest(self, data: bytes) -> list[int]:
-        """For each position the longest token that starts there.
-
-        The automaton reports matches by their end; matches that start at one
-        position come in growing length, so the last one written is longest.
-        """
-        out = [-1] * len(data)
-        token = self.token
-        for end, r in self.automaton.iter(data.decode("latin-1")):
-            out[end + 1 - len(token[r])] = r
-        return out
+    def longest(self, text: str, at: int) -> int:
+        """The longest token that starts at a position of a piece (as Latin-1); -1 if there is none."""
+        for n in range(self.automaton.longest_prefix(text[at : at + self.most]), 0, -1):
+            r = self.automaton.get(text[at : at + n], -1)
+            if r >= 0:
+                return r
+        return -1
 
     def encode_piece(self, data: bytes) -> list[int]:
-        whole = self.rank.get(data)
-        if whole is not None:
-            return [whole]
-        n = len(data)
-        best = self.longest(data)
-        dead = bytearray(n + 1)
+        n, text = len(data), data.decode("latin-1")
+        size, border = self.size, self.border
+        best = {end + 1 - size[r]: r for end, r in self.automaton.iter_long(text)}
+        dead: set[int] = set()
         ids: list[int] = []
-        at, candidate = 0, best[0]
+        at, last, candidate = 0, -1, best.get(0, -1)
         while True:
             while candidate >= 0:
-                end = at + len(self.token[candidate])
-                if not dead[end] and (not ids or self.may_follow(ids[-1], candidate)):
+                end = at + size[candidate]
+                if end not in dead and (last < 0 or border[last << 32 | candidate]):
                     break
                 candidate = self.next_shorter(candidate)
             if candidate >= 0:
                 ids.append(candidate)
-                at = end
-                if at == n:
+                if end == n:
                     return ids
-                candidate = best[at]
+                at, last = end, candidate
+                candidate = best.get(at)
+                if candidate is None:
+                    candidate = best[at] = self.longest(text, at)
             else:
                 if not ids:
                     raise ValueError("the ranks lack a byte of this text")
-                dead[at] = 1
-                last = ids.pop()
-                at -= len(self.token[last])
-                candidate = self.next_shorter(last)
+                dead.add(at)
+                candidate = self.next_shorter(ids[-1])
+                at -= size[ids.pop()]
+                last = ids[-1] if ids else -1
 
     def _pack(self, piece: str) -> bytes:
-        packed = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+        ids = self.encode_piece(piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_LENGTH:
             if len(self.pieces) >= CACHED_PIECES:
                 self.pieces.clear()
@@ -162,11 +170,8 @@ class Codec:
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        known, out = self.pieces.get, []
-        for piece in self.find(text):
-            packed = known(piece)
-            out.append(self._pack(piece) if packed is None else packed)
-        return b"".join(out)
+        known, pack = self.pieces.get, self._pack
+        return b"".join([known(piece) or pack(piece) for piece in self.find(text)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()

@@ -38,6 +38,41 @@ def test_long_pieces(codec, public, text):
     assert codec.encode(text) == public.encode_ordinary(text)
 
 
+class Looks:
+    """An automaton that counts the matches and answers it gives."""
+
+    def __init__(self, automaton):
+        self.automaton, self.seen = automaton, 0
+
+    def __getattr__(self, name):
+        def counted(*args):
+            out = getattr(self.automaton, name)(*args)
+            out = list(out) if name.startswith("iter") else out
+            self.seen += len(out) if isinstance(out, list) else 1
+            return out
+
+        return counted
+
+
+def test_few_matches_are_looked_at(public):
+    """Words of syllables, whose longest matches are often refused, take less than one look a byte."""
+    path, pattern = bpe.default_tokenizer()
+    own, rng = bpe.Codec(bpe.rank_bytes(path), pattern), random.Random(3)
+    own.automaton = looks = Looks(own.automaton)
+    syllables = ["th", "on", "er", "ing", "tion", "ble", "wh", "nd", "ou", "sh", "ción", "pf", "lich", "eau", "ç", "é"]
+    words = [" " + "".join(rng.choices(syllables, k=rng.randrange(1, 9))) for _ in range(3000)]
+    for word in words:
+        assert own.encode_piece(word.encode()) == public.encode_ordinary(word)
+    assert looks.seen < sum(len(word.encode()) for word in words)
+
+
+def test_different_pieces_are_remembered(codec):
+    """200,000 different pieces asked for a second time are not encoded again."""
+    own, text = bpe.Codec(b"\n".join(bpe.base64.b64encode(bytes([x])) + b" %d" % x for x in range(256)), r"\d+"), " ".join(map(str, range(200_000)))
+    first, own.encode_piece = own.encode(text), None
+    assert own.encode(text) == first and len(first) == sum(len(str(x)) for x in range(200_000))
+
+
 def test_query_digests(spark, sf, public):
     want = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = bpe.op4_byte_bpe(spark, sf).collect()
