@@ -35,13 +35,17 @@ from pyspark.sql import functions as F
 
 from .common import BASE, POWERS, U64, Powers, chunks, give_back, hot_keys, materialize, meet, mix, partitions, prefix_hash, ragged, worker
 
-LENGTH, GRAM = 50, 16
-#: Text bytes of a pack (a longer document is a pack of its own) and of a bucket, on average.
-PACK_BYTES, BUCKET_BYTES = 1 << 20, 4 << 20
-#: Packs grow with the number of buckets, so that what a pack sends to one isn't a single minimiser, up to so many bytes.
-MOST_PACK_BYTES, BYTES_A_BUCKET = 4 << 20, 340
-#: Buckets that a task works on one after the other; packs whose minimisers meet in one group.
-BUCKETS_A_TASK, GROUP_PACKS = 4, 50_000
+#: In grams of 16 bytes ever more strings of a growing corpus share their minimiser by chance alone.
+LENGTH, GRAM = 50, 24
+#: Text bytes of a pack (a longer document is a pack of its own), at least and at most, and of a bucket, on average.
+PACK_BYTES, MOST_PACK_BYTES, BUCKET_BYTES, MOST_BUCKET_BYTES = 1 << 20, 4 << 20, 4 << 20, 16 << 20
+#: From so many buckets on they grow, and packs with their number: a row goes from each pack to each bucket, and what
+#: rows cost would grow with the square of the input. A row stands for about so many bytes of text.
+MANY_BUCKETS, BYTES_A_ROW = 256, 3400
+#: Text bytes of a task, which takes its buckets one after the other; packs whose minimisers meet in one group.
+TASK_BYTES, GROUP_PACKS = 16 << 20, 50_000
+#: Bytes of a bucket's segments that are sorted together. A bucket of more is sorted in up to 256 parts, by minimisers.
+PART_BYTES = 1 << 20
 #: A minimiser of more segments (equal ones of a pack count once) has them cut into single strings.
 HOT_SEGMENTS = 20_000
 #: A single string of more than this share of all packs' strings (and of over 400 packs) is hot.
@@ -91,6 +95,12 @@ class Segments:
     fp: np.ndarray
 
 
+def sizes_for(total: int, n_partitions: int) -> tuple[int, int, int]:
+    """For so many bytes of text: the numbers of buckets and of their tasks, and the bytes of a pack."""
+    n_buckets = max(min(n_partitions, MANY_BUCKETS), total // min(max(total // MANY_BUCKETS, BUCKET_BYTES), MOST_BUCKET_BYTES), 1)
+    return n_buckets, max(n_partitions, total // TASK_BYTES), min(MOST_PACK_BYTES, max(PACK_BYTES, BYTES_A_ROW * n_buckets))
+
+
 def open_pack(ids: bytes, sizes: bytes, z: bytes, length: int) -> Pack:
     data = np.frombuffer(zstandard.decompress(z) if z else b"", np.uint8)
     offsets = np.append(0, np.cumsum(np.frombuffer(sizes, np.int64)))
@@ -364,6 +374,8 @@ class Distinct:
         self.count[self.of] = count
         bucket = np.zeros(n, np.int64)
         bucket[self.of] = bucket_of(some.fp, n_buckets)
+        self.part = np.zeros(n, np.uint8)
+        self.part[self.of] = (some.fp >> U64(LOW)).astype(np.uint8)  # bits that don't choose the bucket
         self.order = np.argsort(bucket, kind="stable")
         sorted_ = bucket[self.order]
         self.at, self.ends = runs(sorted_)
@@ -371,9 +383,10 @@ class Distinct:
 
 
 def send_segments(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Rows (bucket, pack, sizes, least, z): a pack's distinct candidate segments of a bucket."""
+    """Rows (bucket, pack, sizes, least, part, z): a pack's distinct candidate segments of a bucket."""
 
     def run(batches):
+        pressed = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for ids, sizes, z, pack, answers in rows_of(batch, "ids", "sizes", "z", "pack", "answers"):
                 p = open_pack(ids, sizes, z, length)
@@ -381,10 +394,10 @@ def send_segments(rows: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 groups = [d.order[a:b].tolist() for a, b in zip(d.at.tolist(), d.ends.tolist(), strict=True)]
                 yield _rows(
                     bucket=d.buckets, pack=[pack] * len(groups), sizes=[np.array([len(d.text[k]) for k in g], np.int32).tobytes() for g in groups],
-                    least=[d.least[g].tobytes() for g in groups], z=[zstandard.compress(b"".join([d.text[k] for k in g]), 1) for g in groups],
+                    least=[d.least[g].tobytes() for g in groups], part=[d.part[g].tobytes() for g in groups], z=[pressed(b"".join([d.text[k] for k in g])) for g in groups],
                 )
 
-    return rows.mapInArrow(worker(run), "bucket long, pack long, sizes binary, least binary, z binary")
+    return rows.mapInArrow(worker(run), "bucket long, pack long, sizes binary, least binary, part binary, z binary")
 
 
 # ---------------------------------------------------------------- the suffix sort
@@ -511,35 +524,44 @@ def _less(data, h, down, pos, whole, y, x, or_equal, length) -> np.ndarray:
     return out
 
 
+def start_elsewhere(raw: bytes, at: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix of some segments, whether its string starts in a segment of a smaller id."""
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)], np.int64)
+    texts = list(known)
+    lowest = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, number, least)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    n = sizes - length + 1
+    places, owner = ragged(np.cumsum(sizes) - sizes, n), np.repeat(np.arange(len(texts)), n)
+    group = suffix_groups(np.frombuffer(b"".join(texts), np.uint8), places, length)
+    best = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(best, group, lowest[owner])
+    string = best[group]  # of each suffix of each distinct segment
+    count = size - length + 1
+    return string[ragged((np.cumsum(n) - n)[number], count)] < np.repeat(least, count)
+
+
 def judge_segments(sent: DataFrame, length: int, n_parts: int) -> DataFrame:
     """Rows (pack, bucket, bits): for each suffix of a pack's segments, whether its string starts under a smaller id."""
 
     def run(table: pa.Table) -> pa.Table:
         give_back()
-        known: dict[bytes, int] = {}
-        least: list[np.ndarray] = []
-        numbers, counts = [], []
-        for z, sizes, ids in zip(*(table.column(c).to_pylist() for c in ("z", "sizes", "least")), strict=True):
-            text, at = zstandard.decompress(z), np.append(0, np.cumsum(np.frombuffer(sizes, np.int32))).tolist()
-            numbers.append(np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(at, at[1:], strict=False)], np.int64))
-            counts.append(np.frombuffer(sizes, np.int32).astype(np.int64) - length + 1)
-            least.append(np.frombuffer(ids, np.int64))
-        texts = list(known)
-        lowest = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(lowest, np.concatenate(numbers), np.concatenate(least))
-        size = np.array([len(t) for t in texts])
-        first = np.cumsum(size) - size
-        n = size - length + 1
-        places, owner = ragged(first, n), np.repeat(np.arange(len(texts)), n)
-        group = suffix_groups(np.frombuffer(b"".join(texts), np.uint8), places, length)
-        best = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, group, lowest[owner])
-        string = best[group]  # of each suffix of each distinct segment
-        base = np.cumsum(n) - n
-        bits = []
-        for number, count, own in zip(numbers, counts, least, strict=True):
-            bits.append(np.packbits(string[ragged(base[number], count)] < np.repeat(own, count)).tobytes())
-        return pa.Table.from_batches([_rows(pack=table.column("pack").to_pylist(), bucket=table.column("bucket").to_pylist(), bits=bits)])
+        opened = zstandard.ZstdDecompressor().decompress
+        raw = b"".join([opened(z.as_py()) for z in table.column("z")])
+        sizes = [np.frombuffer(x.as_py(), np.int32) for x in table.column("sizes")]
+        size = np.concatenate(sizes).astype(np.int64)
+        least = np.frombuffer(b"".join(table.column("least").to_pylist()), np.int64)
+        part = np.frombuffer(b"".join(table.column("part").to_pylist()), np.uint8).astype(np.int16)
+        at, count = np.cumsum(size) - size, size - length + 1
+        first = np.cumsum(count) - count
+        goes = np.zeros(int(count.sum()), bool)
+        parts = min(-(-len(raw) // PART_BYTES), 256)
+        for k in range(parts):
+            own = np.flatnonzero(part % parts == k)
+            if len(own):
+                goes[ragged(first[own], count[own])] = start_elsewhere(raw, at[own], size[own], least[own], length)
+        return pa.Table.from_batches([_rows(pack=table.column("pack").to_pylist(), bucket=table.column("bucket").to_pylist(), bits=_marks(goes, np.array([int(x.sum()) - len(x) * (length - 1) for x in sizes])))])
 
     return sent.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(run, "pack long, bucket long, bits binary")
 
@@ -609,9 +631,8 @@ def remove_repeats(
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     total = source.where("id is not null").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_buckets = max(partitions(spark), total // BUCKET_BYTES, 1)
-    n_parts = max(partitions(spark), n_buckets // BUCKETS_A_TASK)
-    packs = materialize(make_packs(source.where("id is not null"), pack_bytes or min(MOST_PACK_BYTES, max(PACK_BYTES, BYTES_A_BUCKET * n_buckets))), "packs")
+    n_buckets, n_parts, bytes_a_pack = sizes_for(total, partitions(spark))
+    packs = materialize(make_packs(source.where("id is not null"), pack_bytes or bytes_a_pack), "packs")
     n_groups = -(-packs.count() // group_packs)
     gather = lambda rows, name: rows.groupBy("pack").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "pack"])).alias(name))
     found = shared_minimisers(send_minimisers(packs, length, n_buckets), hot_segments, n_parts, n_groups)
